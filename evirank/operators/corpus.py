@@ -16,3 +16,11 @@ def gold_queries(facts: DataFrame, concepts: DataFrame, prefix: str) -> DataFram
         text.join_filled([raw_tag("tag", prefix), "standard_label", "documentation"], " ").alias("gold_text"),
     )
     return facts.join(described, "gold_tag", "left").withColumn("query", first_filled("gold_text", "direct_query"))
+
+
+def inventory(*code_lists: DataFrame) -> DataFrame:
+    """Codes every list holds, once each."""
+    out = code_lists[0]
+    for other in code_lists[1:]:
+        out = out.intersect(other)
+    return out.distinct() if len(code_lists) == 1 else out

@@ -198,3 +198,24 @@ def common_misses(probe: DataFrame, gold: DataFrame, n: int = 25) -> DataFrame:
 def stacked(frames: dict[str, DataFrame], name: str = "config") -> DataFrame:
     """Union of result frames, each labelled."""
     return reduce(DataFrame.unionByName, [df.withColumn(name, F.lit(label)) for label, df in frames.items()])
+
+
+def initialisation(ranks: DataFrame, choice: DataFrame, fused: DataFrame, depth: int) -> DataFrame:
+    """Recall of ways to start: first list, expected random list, the list each agreement layer selects, union fusion.
+
+    ranks(fact_id, hyp_idx, gold_rank); choice carries selected_by_* flags per (fact_id, hyp_idx).
+    """
+    def hit(name: str = "gold_rank") -> Column:
+        return F.coalesce((F.col(name) <= depth).cast("double"), F.lit(0.0))
+
+    joined = ranks.join(choice.select("fact_id", "hyp_idx", "selected_by_overall", "selected_by_exact", "selected_by_lexical"),
+                        ["fact_id", "hyp_idx"])
+    own = joined.groupBy("fact_id").agg(
+        F.min_by(hit(), "hyp_idx").alias("first"), F.avg(hit()).alias("random_one"),
+        F.max(F.when(F.col("selected_by_overall"), hit())).alias("symbolic"),
+        F.max(F.when(F.col("selected_by_exact"), hit())).alias("exact_only"),
+        F.max(F.when(F.col("selected_by_lexical"), hit())).alias("lexical_only"))
+    both = own.join(fused.select("fact_id", hit().alias("union_rrf")), "fact_id")
+    names = ["first", "random_one", "symbolic", "exact_only", "lexical_only", "union_rrf"]
+    return both.unpivot(["fact_id"], names, "config", "recall").groupBy("config").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias(f"recall_at_{depth}"))

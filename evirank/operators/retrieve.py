@@ -22,12 +22,15 @@ ALL = "ALL"
 
 
 def scoped_docs(concepts: DataFrame, typed: bool = True) -> DataFrame:
-    """Each concept once under its type (plain text) and once under ALL (text prefixed with the type)."""
-    whole = F.struct(F.lit(ALL).alias("scope"),
-                     F.concat(F.col("entity_type"), F.lit(". "), F.col("retrieval_text")).alias("body"))
-    own = F.struct(F.col("entity_type").alias("scope"), F.col("retrieval_text").alias("body"))
-    rows = concepts.select("doc_idx", "tag", F.inline(F.array(own, whole) if typed else F.array(whole)))
-    return rows.select("scope", "doc_idx", "tag", tokenize("body").alias("tokens")).withColumn("dl", F.size("tokens"))
+    """Each concept once under its type and once under ALL, where its type counts as text too.
+
+    The text is tokenised once; scores do not depend on token order, so the type's tokens are simply added.
+    """
+    rows = concepts.select("doc_idx", "tag", "entity_type", tokenize("retrieval_text").alias("own"))
+    whole = F.struct(F.lit(ALL).alias("scope"), F.concat(tokenize("entity_type"), F.col("own")).alias("tokens"))
+    own = F.struct(F.col("entity_type").alias("scope"), F.col("own").alias("tokens"))
+    scoped = rows.select("doc_idx", "tag", F.inline(F.array(own, whole) if typed else F.array(whole)))
+    return scoped.withColumn("dl", F.size("tokens"))
 
 
 def scope_stats(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_text", "q_retrieve"]
+SECTIONS = ["q_text", "q_retrieve", "q_fuse", "q_agree"]
 
 
 def load_all() -> None:

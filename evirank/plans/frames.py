@@ -148,3 +148,89 @@ fragment("sup_gold", """SELECT DISTINCT l_suppkey AS fact_id, l_partkey::VARCHAR
 def supplier_gold(t: Tables) -> DataFrame:
     big = t.lineitem.where((F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 45))
     return big.select(F.col("l_suppkey").alias("fact_id"), F.col("l_partkey").cast("string").alias("tag")).distinct()
+
+
+# Two hypotheses per customer over a small vocabulary of part words; roles and events are matched by tokens only.
+PART_VOCABULARY = {
+    "family": {"fastener": ["bolt", "rod", "ring"], "device": ["gizmo", "widget"], "machine": ["gear", "plate", "anvil"]},
+    "qualifier": {"hue": ["red", "blue"], "thermal": ["hot", "cold"], "age": ["old", "new"]},
+    "scope": {"little": ["small", "economy"], "big": ["large", "promo"], "odd": ["brand 7"]},
+    "temporal": {}, "aggregation": {}, "role": {}, "event": {},
+}
+VALUES = {
+    "FAMILY": ["bolt", "gizmo widgets", "large gear", "UNRESOLVED", "tool"],
+    "ROLE": ["red ring", "blue brand 7", "none", "size 12", "cold gear size"],
+    "EVENT": ["UNRESOLVED", "old anvil", "brand 3", "not specified"],
+    "QUALIFIER": ["hot", "blue", "cold plate", "unknown", "shiny"],
+    "SCOPE": ["small", "promo", "", "huge"],
+    "TEMPORAL": ["n/a", "size 7", "new"],
+}
+UNRESOLVED_SQL = "('', 'na', 'n/a', 'none', 'null', 'unknown', 'unsupported', 'unresolved', 'not specified', 'not applicable')"
+
+
+def part_domain():
+    from evirank.domain import DomainConfig
+
+    return DomainConfig(tag_prefix="", vocabulary=PART_VOCABULARY)
+
+
+def hypotheses(t: Tables) -> DataFrame:
+    rows = t.customer.select(F.col("c_custkey").alias("fact_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("hyp_idx"))
+    key = F.concat_ws("-", F.col("fact_id").cast("string"), F.col("hyp_idx").cast("string"))
+    cells = [x for d, options in VALUES.items() for x in (F.lit(d), pick(options, F.concat(F.lit(d), key)))]
+    return rows.withColumn("dimensions", F.create_map(*cells))
+
+
+fragment("hyp_long", "SELECT fact_id, hyp_idx, lower(dim) AS dim, value FROM (" + " UNION ALL ".join(
+    f"SELECT c_custkey AS fact_id, hyp_idx, '{d}' AS dim, "
+    + sql_pick(options, f"'{d}' || c_custkey || '-' || hyp_idx") + " AS value FROM customer, (SELECT unnest([0, 1]) AS hyp_idx)"
+    for d, options in VALUES.items()) + f") WHERE lower(value) NOT IN {UNRESOLVED_SQL}")
+fragment("vocab", "SELECT dim, category, phrase, " + "string_split(phrase, ' ') AS ptoks FROM (VALUES " + ", ".join(
+    f"('{d}', '{c}', '{p}')" for d, cats in PART_VOCABULARY.items() for c, words in cats.items() for p in words)
+    + ") v(dim, category, phrase)")
+CONCEPT_TEXT = ["tag", "standard_label", "documentation", "retrieval_text", "entity_type"]
+
+
+def _toks(x: str) -> str:
+    from evirank.plans.registry import sql_tokens
+
+    return f"list_distinct({sql_tokens(x)})"
+
+
+fragment("concept_tok", f"""SELECT tag, lower(txt) AS low, {_toks('txt')} AS ctoks FROM (
+    SELECT tag, tag || ' ' || standard_label || ' ' || documentation || ' ' || retrieval_text || ' ' || entity_type AS txt FROM concepts)""")
+fragment("concept_cats", """SELECT tag, dim, list_sort(list_distinct(list(category))) AS ccats FROM concept_tok CROSS JOIN vocab
+    WHERE contains(low, phrase) OR (len(ptoks) > 0 AND list_has_all(ctoks, ptoks)) GROUP BY ALL""")
+fragment("norm", f"""SELECT dim, value, any_value(vtoks) AS vtoks, list_sort(list_distinct(list(category) FILTER (category IS NOT NULL))) AS vcats FROM (
+    SELECT DISTINCT dim, value, {_toks('lower(value)')} AS vtoks FROM hyp_long) LEFT JOIN vocab v USING (dim) WHERE category IS NULL
+      OR contains(lower(value), phrase) OR list_has_all(vtoks, ptoks) GROUP BY ALL
+    UNION ALL SELECT DISTINCT dim, value, {_toks('lower(value)')} AS vtoks, [] FROM hyp_long h WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.dim = h.dim)
+      AND NOT EXISTS (SELECT 1 FROM vocab v WHERE v.dim = h.dim AND (contains(lower(h.value), v.phrase) OR list_has_all({_toks('lower(h.value)')}, v.ptoks)))""")
+# every (candidate, hypothesis, dimension) of the fused pools, judged
+fragment("pair_long", """SELECT fact_id, hyp_idx, tag, dim, pool_rank, ctl,
+      CASE WHEN ctl THEN len(list_intersect(vc, cc)) > 0 WHEN len(vtoks) > 0 AND len(ctoks) > 0 THEN ov >= 0.5 END AS matched,
+      CASE WHEN ctl THEN CASE WHEN len(cc) > 0 THEN 0.85 ELSE 0.35 END WHEN len(vtoks) > 0 AND len(ctoks) > 0 THEN least(0.75, greatest(0.2, ov)) ELSE 0 END AS confidence,
+      CASE WHEN ctl THEN CASE WHEN len(cc) > 0 THEN 'controlled_category_intersection' ELSE 'candidate_missing_controlled_category' END
+        WHEN len(vtoks) > 0 AND len(ctoks) > 0 THEN 'token_overlap' ELSE 'no_comparable_tokens' END AS reason FROM (
+    SELECT f.fact_id, h.hyp_idx, f.tag, h.dim, f.rank AS pool_rank, n.vtoks, c.ctoks, coalesce(n.vcats, []) AS vc, coalesce(k.ccats, []) AS cc,
+      len(coalesce(n.vcats, [])) > 0 OR len(coalesce(k.ccats, [])) > 0 AS ctl,
+      len(list_intersect(n.vtoks, c.ctoks))::DOUBLE / nullif(len(n.vtoks), 0) AS ov
+    FROM fused f JOIN hyp_long h USING (fact_id) JOIN norm n USING (dim, value) JOIN concept_tok c USING (tag) LEFT JOIN concept_cats k ON k.tag = f.tag AND k.dim = h.dim)""")
+# a pair without any resolved dimension still takes part with score 0
+fragment("pair_agree", """SELECT fact_id, hyp_idx, tag, rank, coalesce(matched, 0) AS n_matched, coalesce(evaluated, 0) AS n_evaluated,
+      CASE WHEN coalesce(evaluated, 0) > 0 THEN matched / evaluated::DOUBLE ELSE 0.0 END AS agree
+    FROM (SELECT fact_id, tag, rank, unnest([0, 1]) AS hyp_idx FROM fused) LEFT JOIN (
+      SELECT fact_id, hyp_idx, tag, count(*) FILTER (matched) AS matched, count(matched) AS evaluated FROM pair_long GROUP BY ALL) USING (fact_id, hyp_idx, tag)""")
+WINDOW_M = 10
+fragment("verdicts", f"""SELECT fact_id, hyp_idx, tag, dim, CASE WHEN x < 3 THEN NULL ELSE x < 7 END AS matched FROM (
+    SELECT fact_id, hyp_idx, tag, dim, {sql_md5("fact_id || '-' || hyp_idx || '-' || tag || '-' || dim")} % 10 AS x FROM fused,
+      (SELECT unnest([0, 1]) AS hyp_idx), (SELECT unnest(['family', 'role', 'event', 'qualifier', 'scope', 'temporal']) AS dim) WHERE rank <= 10)""")
+
+
+def verdicts(fused: DataFrame) -> DataFrame:
+    dims = ["family", "role", "event", "qualifier", "scope", "temporal"]
+    rows = fused.where(F.col("rank") <= WINDOW_M).select(
+        "fact_id", "tag", F.explode(F.array(F.lit(0), F.lit(1))).alias("hyp_idx")).withColumn(
+        "dim", F.explode(F.array(*map(F.lit, dims))))
+    x = md5_int(F.concat_ws("-", F.col("fact_id").cast("string"), F.col("hyp_idx").cast("string"), "tag", "dim")) % 10
+    return rows.withColumn("matched", F.when(x >= 3, x < 7))

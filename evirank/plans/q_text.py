@@ -245,13 +245,14 @@ def f19(t):
     return codes.line_spans(t.documents, "doc_id", "text").withColumn("idx", F.col("idx").cast("bigint"))
 
 
-@query("F20_substring_check", f"""SELECT item_id, count(*) FILTER (contains({sql_space('d.text')}, {sql_space('b.text[:20]')})) AS n_found,
-    count(*) AS n FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % 40 GROUP BY item_id""")
+@query("F20_substring_check", f"""SELECT page_id, contains(v, {sql_space("regexp_extract(url, '//([^/]+)/', 1)")}) AS host_found,
+    tail <> '' AND contains(v, tail) AS tail_found
+    FROM (SELECT page_id, url, {sql_space("regexp_extract(url, '([^/?#]+)([?#].*)?$', 1)")} AS tail, {sql_visible('html')} AS v FROM pages)""")
 def f20(t):
-    pairs = t.benchmark.select("item_id", F.substring("text", 1, 20).alias("needle")).join(
-        t.documents.select((F.col("doc_id") % 40).alias("item_id"), "text"), "item_id")
-    return pairs.groupBy("item_id").agg(
-        F.count_if(text.contains_normalized("needle", "text")).alias("n_found"), F.count(F.lit(1)).alias("n"))
+    rows = t.pages.select("page_id", "url", text.html_to_visible_text("html").alias("visible"))
+    host, tail = F.regexp_extract("url", "//([^/]+)/", 1), F.regexp_extract("url", "([^/?#]+)([?#].*)?$", 1)
+    return rows.select("page_id", text.contains_normalized(host, "visible").alias("host_found"),
+                       text.contains_normalized(tail, "visible").alias("tail_found"))
 
 
 @query("F21_cue_features", f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END AS is_text,

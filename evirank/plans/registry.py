@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evirank.domain import STOPWORDS
 
@@ -22,12 +23,24 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is CPU-bound: a file with fewer splits than cores is spread out first, larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Counts and ranks leave as bigint, the type SQL engines give them."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint")})
 
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: widened(fn(Tables(spark, folder)))
         if oracle is not None:
             ORACLES[name] = with_fragments(oracle)
         return fn
@@ -45,7 +58,7 @@ def with_fragments(sql: str) -> str:
 
     def visit(text: str):
         for name in FRAGMENTS:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            if name not in ordered and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(FRAGMENTS[name])
                 if name not in ordered:
                     ordered.append(name)
@@ -54,6 +67,8 @@ def with_fragments(sql: str) -> str:
     if not ordered:
         return sql
     head = ",\n".join(f"{name} AS ({FRAGMENTS[name]})" for name in ordered)
+    if sql.lstrip().startswith("WITH "):
+        return f"WITH RECURSIVE {head},\n{sql.lstrip()[5:]}"
     return f"WITH RECURSIVE {head}\n{sql}"
 
 
