@@ -1,22 +1,26 @@
 """Symbolic agreement between a concept and the dimensions of a hypothesis.
 
 The vocabulary is a literal, so matching a text against it needs no join: concepts are profiled once, hypotheses are
-normalised in place, and a (concept, hypothesis) pair is judged from arrays that are already on its row.
+normalised in place. A (concept, hypothesis) pair is judged from arrays already on its row, with one plain column per
+dimension, so judging and scoring stay inside generated code.
 
-  profiles(tag, tokens, cats map<dimension, array<category>>)
-  hypotheses(fact_id, hyp_idx, dims array<struct<dim, value, cats, tokens>>)
-  pairs(keys.., hyp_idx, tag, verdicts array<struct<dim, matched, confidence, reason>>)
+  profiles(tag, tokens, cats struct<dimension: array<category>>)
+  hypotheses(fact_id, hyp_idx, dims struct<dimension: struct<value, cats, tokens>>)      null = unresolved
+  pairs(keys.., hyp_idx, tag, m_<dim> matched, e_<dim> by category, c_<dim> confidence)  m null = nothing to compare
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evirank.domain import DIMENSION_ALIASES, DIMENSIONS, DomainConfig
-from evirank.functions.text import is_unresolved, join_filled, normalize_space, token_set
+from evirank.domain import DIMENSION_ALIASES, DIMENSIONS, STOPWORDS, UNRESOLVED, DomainConfig
+from evirank.functions.text import join_filled, normalize_space, token_set
 
-EXACT_REASONS = ["candidate_missing_controlled_category", "controlled_category_intersection"]
+# The six dimensions and the optional aggregation reading.
+JUDGED = [d.lower() for d in DIMENSIONS] + ["aggregation"]
 
 
 def dimension_name(name) -> Column:
@@ -27,30 +31,50 @@ def dimension_name(name) -> Column:
 
 def canonical_dimensions(dims: Column) -> Column:
     """map name -> value, to the six lower-case dimensions (and aggregation when given); unresolved becomes null."""
-    renamed = F.transform(F.map_entries(dims), lambda e: F.struct(
-        dimension_name(e["key"]).alias("dim"),
-        F.when(~is_unresolved(e["value"]), normalize_space(e["value"])).alias("value")))
-    names = F.array(*[F.lit(d.lower()) for d in DIMENSIONS], F.lit("aggregation"))
+    names = JUDGED
+    known = F.create_map(*[F.lit(x) for pair in DIMENSION_ALIASES.items() for x in pair])
+
+    def named(entry: Column) -> Column:
+        value = normalize_space(entry["value"])
+        key = F.replace(F.lower(F.trim(entry["key"])), F.lit(" "), F.lit("_"))
+        return F.struct(F.coalesce(known[key], key).alias("dim"), value.alias("value"))
+
+    # one pass over the entries; a later entry for the same dimension replaces an earlier one
+    start = F.map_from_arrays(F.array(*map(F.lit, names)), F.array_repeat(F.lit(None).cast("string"), len(names)))
+    found = F.aggregate(F.transform(F.map_entries(dims), named), start, lambda acc, e: F.map_zip_with(
+        acc, F.create_map(e["dim"], e["value"]),
+        lambda k, old, new: F.when(k == e["dim"], F.when(~F.lower(new).isin(UNRESOLVED), new)).otherwise(old)))
+    return F.map_filter(found, lambda k, v: k.isin(names[:-1]) | ((k == "aggregation") & v.isNotNull()))
+
 
-    def last(name: Column) -> Column:
-        found = F.filter(renamed, lambda e: e["dim"] == name)
-        return F.try_element_at(found, F.lit(-1))
+def _phrase_tokens(phrase: str) -> list[str]:
+    """Tokens of a vocabulary phrase; phrases are lower-case already, so only plurals and stopwords matter."""
+    def fold(word: str) -> str:
+        if len(word) > 4 and word.endswith("ies"):
+            return word[:-3] + "y"
+        return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
-    rows = F.transform(names, lambda n: F.struct(n.alias("key"), last(n)["value"].alias("value")))
-    return F.map_from_entries(F.filter(rows, lambda r: (r["key"] != "aggregation") | r["value"].isNotNull()))
+    words = [fold(w) for w in re.findall("[a-z0-9]+", phrase)]
+    return list(dict.fromkeys(w for w in words if w not in STOPWORDS))
 
 
 def _vocabulary(cfg: DomainConfig) -> Column:
-    """Literal map dimension -> array<struct<category, phrase, tokens>>."""
-    entry = "struct<category:string,phrase:string,tokens:array<string>>"
-    items = []
-    for dimension, categories in cfg.vocabulary.items():
-        phrases = [
-            F.struct(F.lit(c).alias("category"), F.lit(p.lower()).alias("phrase"), token_set(F.lit(p.lower())).alias("tokens"))
-            for c, words in categories.items() for p in words
-        ]
-        items += [F.lit(dimension), F.array(*phrases) if phrases else F.array().cast(f"array<{entry}>")]
-    return F.create_map(*items)
+    """Literal struct dimension -> array<struct<category, phrase, tokens>>, written as one expression."""
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def entry(category: str, phrase: str) -> str:
+        tokens = ", ".join(text(w) for w in _phrase_tokens(phrase))
+        return (f"named_struct('category', {text(category)}, 'phrase', {text(phrase)}, "
+                f"'tokens', cast(array({tokens}) as array<string>))")
+
+    cells = []
+    for dimension in JUDGED:
+        categories = cfg.vocabulary.get(dimension, {})
+        entries = ", ".join(entry(c, p.lower()) for c, words in categories.items() for p in words)
+        kind = "array<struct<category:string,phrase:string,tokens:array<string>>>"
+        cells.append(f"{text(dimension)}, cast(array({entries}) as {kind})")
+    return F.expr(f"named_struct({', '.join(cells)})")
 
 
 def _matching(entries: Column, text: Column, tokens: Column) -> Column:
@@ -64,64 +88,75 @@ def concept_profiles(concepts: DataFrame, cfg: DomainConfig, text_columns: list[
     """Categories per dimension and tokens of each concept's joined text columns."""
     rows = concepts.select("tag", join_filled(text_columns, " ").alias("text"))
     rows = rows.select("tag", F.lower("text").alias("low"), token_set("text").alias("tokens"))
-    cats = F.transform_values(_vocabulary(cfg), lambda _, entries: _matching(entries, F.col("low"), F.col("tokens")))
-    return rows.select("tag", "tokens", cats.alias("cats"))
+    vocabulary = _vocabulary(cfg)
+    cats = [_matching(vocabulary[d], F.col("low"), F.col("tokens")).alias(d) for d in JUDGED]
+    return rows.select("tag", "tokens", F.struct(*cats).alias("cats"))
 
 
 def normalize_hypotheses(hypotheses: DataFrame, cfg: DomainConfig) -> DataFrame:
-    """hypotheses(fact_id, hyp_idx, dimensions map) with the resolved dimensions, their categories and tokens."""
+    """hypotheses(fact_id, hyp_idx, dimensions map) with the value, categories and tokens of each resolved dimension."""
     vocabulary = _vocabulary(cfg)
-    entries = F.filter(F.map_entries(canonical_dimensions(F.col("dimensions"))), lambda e: e["value"].isNotNull())
-    rows = hypotheses.withColumn("_entries", F.transform(entries, lambda e: F.struct(
-        e["key"].alias("dim"), e["value"].alias("value"), token_set(F.lower(e["value"])).alias("tokens"))))
-    dims = F.transform("_entries", lambda e: F.struct(
-        e["dim"].alias("dim"), e["value"].alias("value"),
-        F.coalesce(_matching(vocabulary[e["dim"]], F.lower(e["value"]), e["tokens"]), F.array().cast("array<string>")).alias("cats"),
-        e["tokens"].alias("tokens")))
-    return rows.withColumn("dims", dims).drop("_entries")
-
-
-def judged(pairs: DataFrame) -> DataFrame:
-    """Add `verdicts` to rows that carry dims (hypothesis) and cats, tokens (concept)."""
-    def verdict(d: Column) -> Column:
-        mine, theirs = d["cats"], F.coalesce(F.col("cats")[d["dim"]], F.array().cast("array<string>"))
-        overlap = F.size(F.array_intersect(d["tokens"], F.col("tokens"))) / F.size(d["tokens"])
-        controlled = (F.size(mine) > 0) | (F.size(theirs) > 0)
-        comparable = (F.size(d["tokens"]) > 0) & (F.size("tokens") > 0)
-        matched = (
-            F.when(controlled, (F.size(theirs) > 0) & F.arrays_overlap(mine, theirs))
-            .when(comparable, overlap >= 0.5)
-        )
-        confidence = (
-            F.when(controlled, F.when(F.size(theirs) > 0, 0.85).otherwise(0.35))
-            .when(comparable, F.least(F.lit(0.75), F.greatest(F.lit(0.2), overlap)))
-            .otherwise(0.0)
-        )
-        reason = (
-            F.when(controlled, F.when(F.size(theirs) > 0, EXACT_REASONS[1]).otherwise(EXACT_REASONS[0]))
-            .when(comparable, "token_overlap").otherwise("no_comparable_tokens")
-        )
-        return F.struct(d["dim"].alias("dim"), matched.alias("matched"), confidence.alias("confidence"), reason.alias("reason"))
-
-    return pairs.withColumn("verdicts", F.transform("dims", verdict)).drop("dims", "cats", "tokens")
+    rows = hypotheses.withColumn("_canon", canonical_dimensions(F.col("dimensions")))
+    tokens = [F.struct(F.col("_canon")[d].alias("value"), token_set(F.lower(F.col("_canon")[d])).alias("tokens")).alias(d) for d in JUDGED]
+    rows = rows.withColumn("_named", F.struct(*tokens))
+
+    def normalized(d: str) -> Column:
+        value, words = F.col("_named")[d]["value"], F.col("_named")[d]["tokens"]
+        full = F.struct(value.alias("value"), _matching(vocabulary[d], F.lower(value), words).alias("cats"), words.alias("tokens"))
+        return F.when(value.isNotNull(), full).alias(d)
+
+    return rows.withColumn("dims", F.struct(*map(normalized, JUDGED))).drop("_canon", "_named")
 
 
 def pair_verdicts(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame) -> DataFrame:
     """Judge every (candidate, hypothesis) of a fact; `pool` may carry hyp_idx to judge a list by its own hypothesis."""
     on = ["fact_id", "hyp_idx"] if "hyp_idx" in pool.columns else ["fact_id"]
-    return judged(pool.join(hypotheses.select("fact_id", "hyp_idx", "dims"), on).join(profiles, "tag"))
+    rows = pool.join(hypotheses.select("fact_id", "hyp_idx", "dims"), on).join(profiles, "tag")
+    out = {}
+    for d in JUDGED:
+        mine, theirs = F.col("dims")[d], F.col("cats")[d]
+        resolved = mine.isNotNull()
+        controlled = (F.size(mine["cats"]) > 0) | (F.size(theirs) > 0)
+        comparable = (F.size(mine["tokens"]) > 0) & (F.size("tokens") > 0)
+        overlap = F.size(F.array_intersect(mine["tokens"], F.col("tokens"))) / F.size(mine["tokens"])
+        out[f"m_{d}"] = F.when(resolved & controlled, F.arrays_overlap(mine["cats"], theirs)).when(
+            resolved & comparable, overlap >= 0.5)
+        out[f"e_{d}"] = F.when(resolved, controlled)
+        out[f"c_{d}"] = F.when(resolved & controlled, F.when(F.size(theirs) > 0, 0.85).otherwise(0.35)).when(
+            resolved & comparable, F.least(F.lit(0.75), F.greatest(F.lit(0.2), overlap))).when(resolved, 0.0)
+    kept = [c for c in rows.columns if c not in ("dims", "cats", "tokens")]
+    return rows.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
-def count_matched(verdicts: str = "verdicts", value: bool | None = None, keep=None) -> Column:
-    chosen = F.col(verdicts) if keep is None else F.filter(verdicts, keep)
-    test = (lambda v: v["matched"].isNotNull()) if value is None else (lambda v: v["matched"] == value)
-    return F.size(F.filter(chosen, test))
+def verdict_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Long form of the resolved dimensions: keys, dim, matched, confidence, reason."""
+    def reason(d: str) -> Column:
+        by_category = F.when(F.col(f"c_{d}") == 0.35, "candidate_missing_controlled_category").otherwise(
+            "controlled_category_intersection")
+        return F.when(F.col(f"e_{d}"), by_category).when(F.col(f"m_{d}").isNotNull(), "token_overlap").otherwise(
+            "no_comparable_tokens")
 
+    cells = [F.struct(F.lit(d).alias("dim"), F.col(f"m_{d}").alias("matched"), F.col(f"e_{d}").alias("exact"),
+                      F.col(f"c_{d}").alias("confidence"), reason(d).alias("reason")) for d in JUDGED]
+    return pairs.select(*keys, F.inline(F.array(*cells))).where(F.col("exact").isNotNull())
 
-def agree_score(verdicts: str = "verdicts") -> Column:
+
+def _tally(flags: list[Column]) -> Column:
+    """How many of the conditions hold; null counts as no."""
+    return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0))
+
+
+def count_matched() -> Column:
+    return _tally([F.col(f"m_{d}") for d in JUDGED])
+
+
+def count_evaluated() -> Column:
+    return _tally([F.col(f"m_{d}").isNotNull() for d in JUDGED])
+
+
+def agree_score() -> Column:
     """Share of the evaluated dimensions that match; 0 when none was evaluated."""
-    evaluated = count_matched(verdicts)
-    return F.when(evaluated > 0, count_matched(verdicts, True) / evaluated).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(count_matched(), count_evaluated()), F.lit(0.0))
 
 
 def consensus(pairs: DataFrame, keys: tuple = ("fact_id",)) -> DataFrame:
@@ -149,10 +184,9 @@ def dimension_feedback(pairs: DataFrame, hypotheses: DataFrame, top_m: int) -> D
     """Per (fact, hypothesis, dimension): support share over the first m candidates and the resulting verdict."""
     every = hypotheses.select("fact_id", "hyp_idx", F.explode(F.array(*[F.lit(d.lower()) for d in DIMENSIONS])).alias("dim"))
     shares = (
-        pairs.where(F.col("rank") <= top_m)
-        .select("fact_id", "hyp_idx", F.inline("verdicts"))
+        verdict_rows(pairs.where(F.col("rank") <= top_m), ["fact_id", "hyp_idx"])
         .groupBy("fact_id", "hyp_idx", "dim")
-        .agg(F.avg(F.col("matched").cast("double")).alias("share"), F.count("matched").alias("comparable"))
+        .agg(F.avg(F.col("matched").cast("double")).alias("share"))
     )
     share = F.col("share")
     verdict = F.when(share >= 0.6, "support").when(share <= 0.25, "contradict").otherwise("unresolved")
@@ -189,21 +223,20 @@ def merge_feedback(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def decompose(pairs: DataFrame, top_m: int) -> DataFrame:
     """Exact and lexical support per (fact, hypothesis) over the first m candidates, with each layer's choice."""
-    def exact(v):
-        return v["reason"].isin(EXACT_REASONS)
-
-    def lexical(v):
-        return ~v["reason"].isin(EXACT_REASONS)
-
     def share(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
+    def layer(exact: bool, matched: bool) -> Column:
+        flags = []
+        for d in JUDGED:
+            own = F.col(f"e_{d}") if exact else ~F.col(f"e_{d}")
+            flags.append(own & (F.col(f"m_{d}") if matched else F.col(f"m_{d}").isNotNull()))
+        return F.sum(_tally(flags))
+
     sums = pairs.where(F.col("rank") <= top_m).groupBy("fact_id", "hyp_idx").agg(
-        F.sum(count_matched(value=True, keep=exact)).alias("exact_support"),
-        F.sum(count_matched(keep=exact)).alias("exact_evaluated"),
-        F.sum(count_matched(value=True, keep=lexical)).alias("lexical_support"),
-        F.sum(count_matched(keep=lexical)).alias("lexical_evaluated"),
-        F.sum(F.size("verdicts")).alias("judged"))
+        layer(True, True).alias("exact_support"), layer(True, False).alias("exact_evaluated"),
+        layer(False, True).alias("lexical_support"), layer(False, False).alias("lexical_evaluated"),
+        F.sum(_tally([F.col(f"e_{d}").isNotNull() for d in JUDGED])).alias("judged"))
     scored = sums.withColumns({
         "exact_score": share("exact_support", "exact_evaluated"),
         "lexical_score": share("lexical_support", "lexical_evaluated"),

@@ -1,7 +1,7 @@
 """Rerank terms from stored per-candidate verdicts, and the evaluation of a grid of configurations in one job.
 
   verdicts(fact_id, hyp_idx, tag, dim, matched)   long; matched null = the verifier abstained
-  pairs(.., fact_id, hyp_idx, tag, verdicts, given map<dim, boolean>)   symbolic verdicts next to the stored ones
+  pairs(.., fact_id, hyp_idx, tag, m_<dim>, has_given, g_<dim>)   symbolic verdicts next to the stored ones
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ def resolve_mode(mode: str, verdicts: DataFrame | None) -> str:
     return mode
 
 
-def verdict_maps(verdicts: DataFrame) -> DataFrame:
-    """One row per (fact, hypothesis, tag); a pair has at most one verdict per dimension."""
-    entries = F.collect_list(F.struct(F.lower("dim").alias("dim"), "matched"))
-    return verdicts.groupBy("fact_id", "hyp_idx", "tag").agg(F.map_from_entries(entries).alias("given"))
+def wide_verdicts(verdicts: DataFrame) -> DataFrame:
+    """One row per (fact, hypothesis, tag) with a column g_<dim>; a pair has at most one verdict per dimension."""
+    cells = [F.max(F.when(F.lower("dim") == d, F.col("matched"))).alias(f"g_{d}") for d in JUDGED_DIMENSIONS]
+    return verdicts.groupBy("fact_id", "hyp_idx", "tag").agg(F.lit(True).alias("has_given"), *cells)
 
 
-def with_given(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return pairs.join(verdict_maps(verdicts), ["fact_id", "hyp_idx", "tag"], "left")
+def with_given(pairs: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    if verdicts is None:
+        return pairs.withColumns({c: F.lit(None).cast("boolean") for c in ["has_given"] + [f"g_{d}" for d in JUDGED_DIMENSIONS]})
+    return pairs.join(wide_verdicts(verdicts), ["fact_id", "hyp_idx", "tag"], "left")
 
 
 def restrict_to_window(verdicts: DataFrame, windows: DataFrame, m: int) -> DataFrame:
@@ -44,65 +46,76 @@ def restrict_to_window(verdicts: DataFrame, windows: DataFrame, m: int) -> DataF
     return verdicts.join(windows.where(F.col("pos") <= m), ["fact_id", "hyp_idx", "tag"], "left_semi")
 
 
-def _weighted_mean(rows: Column) -> Column:
-    """Mean of array<struct<matched, weight>> over the rows with a value; null without any weight."""
-    known = F.filter(rows, lambda r: r["matched"].isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda a, r: a + r["weight"])
-    won = F.aggregate(known, F.lit(0.0), lambda a, r: a + F.when(r["matched"], r["weight"]).otherwise(F.lit(0.0)))
+def _weighted_mean(cells: list[tuple[Column, Column]]) -> Column:
+    """Mean of (value, weight) cells over those with a value; null without any weight."""
+    zero = F.lit(0.0)
+    total = sum((F.when(v.isNotNull(), w).otherwise(zero) for v, w in cells), zero)
+    won = sum((F.when(v, w).otherwise(zero) for v, w in cells), zero)
     return F.when(total > 0, won / total)
 
 
-def hybrid_score(weights: Column | None = None) -> Column:
-    """The stored verdict where it ruled, the symbolic one elsewhere; optional weights map<dim, double>."""
-    def row(v: Column) -> Column:
-        weight = F.lit(1.0) if weights is None else F.coalesce(weights[v["dim"]], F.lit(1.0))
-        return F.struct(F.coalesce(F.col("given")[v["dim"]], v["matched"]).alias("matched"), weight.alias("weight"))
+def _weight(weighted: bool, dim: str, default: float) -> Column:
+    return F.coalesce(F.col(f"w_{dim}"), F.lit(default)) if weighted else F.lit(1.0)
 
-    return _weighted_mean(F.transform("verdicts", row))
 
+def hybrid_score(weighted: bool = False) -> Column:
+    """The stored verdict where it ruled on a resolved dimension, the symbolic one elsewhere; weights w_<dim> optional."""
+    cells = []
+    for d in agree.JUDGED:
+        own = F.col(f"m_{d}")
+        if d in JUDGED_DIMENSIONS:
+            own = F.when(F.col(f"e_{d}").isNotNull(), F.coalesce(F.col(f"g_{d}"), own))
+        cells.append((own, _weight(weighted and d in JUDGED_DIMENSIONS, d, 1.0)))
+    return _weighted_mean(cells)
 
-def verdict_score(abstention: str, weights: Column | None = None) -> Column:
+
+def verdict_score(abstention: str, weighted: bool = False) -> Column:
     """Score of the stored verdicts alone; null where no candidate was judged."""
-    dims = F.array(*map(F.lit, JUDGED_DIMENSIONS))
     if abstention == "drop":
-        rows = F.transform(dims, lambda d: F.struct(
-            F.col("given")[d].alias("matched"),
-            (F.lit(1.0) if weights is None else F.coalesce(weights[d], F.lit(0.0))).alias("weight")))
-        return F.when(F.col("given").isNotNull(), _weighted_mean(rows))
-    other = {"negative": 0.0, "neutral": 0.5}[abstention]
-    points = F.aggregate(dims, F.lit(0.0), lambda a, d: a + F.coalesce(F.col("given")[d].cast("double"), F.lit(other)))
-    return F.when(F.col("given").isNotNull(), points / len(JUDGED_DIMENSIONS))
+        score = _weighted_mean([(F.col(f"g_{d}"), _weight(weighted, d, 0.0)) for d in JUDGED_DIMENSIONS])
+    else:
+        other = F.lit({"negative": 0.0, "neutral": 0.5}[abstention])
+        points = [F.coalesce(F.col(f"g_{d}").cast("double"), other) for d in JUDGED_DIMENSIONS]
+        score = sum(points, F.lit(0.0)) / len(points)
+    return F.when(F.col("has_given"), score)
 
 
 def variance_weights(verdicts: DataFrame) -> DataFrame:
     """Per (fact, hypothesis): a dimension weighs its population variance over the window, 1 each if all are 0."""
-    spread = verdicts.groupBy("fact_id", "hyp_idx", F.lower("dim").alias("dim")).agg(
-        F.when(F.count("matched") > 1, F.var_pop(F.col("matched").cast("double"))).otherwise(F.lit(0.0)).alias("w"))
-    flat = spread.groupBy("fact_id", "hyp_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("by_dim"), F.max("w").alias("top"))
-    ones = F.map_from_arrays(F.array(*map(F.lit, JUDGED_DIMENSIONS)), F.array_repeat(F.lit(1.0), len(JUDGED_DIMENSIONS)))
-    return flat.select("fact_id", "hyp_idx", F.when(F.col("top") > 0, F.col("by_dim")).otherwise(ones).alias("weights"))
+    def own(d: str) -> Column:
+        return F.when(F.lower("dim") == d, F.col("matched").cast("double"))
+
+    spread = verdicts.groupBy("fact_id", "hyp_idx").agg(*[
+        F.when(F.count(own(d)) > 1, F.var_pop(own(d))).otherwise(F.lit(0.0)).alias(f"v_{d}") for d in JUDGED_DIMENSIONS])
+    top = F.greatest(*[F.col(f"v_{d}") for d in JUDGED_DIMENSIONS])
+    return spread.select("fact_id", "hyp_idx", *[
+        F.when(top > 0, F.col(f"v_{d}")).otherwise(F.lit(1.0)).alias(f"w_{d}") for d in JUDGED_DIMENSIONS])
 
 
 def contradicted_weights(feedback: DataFrame, weight: float) -> DataFrame:
-    """Weights map per (fact, hypothesis): contradicted dimensions count `weight`, the others 1."""
-    value = F.when(F.col("verdict") == "contradict", F.lit(weight)).otherwise(F.lit(1.0))
-    return feedback.groupBy("fact_id", "hyp_idx").agg(F.map_from_entries(F.collect_list(F.struct("dim", value))).alias("weights"))
+    """w_<dim> per (fact, hypothesis): contradicted dimensions count `weight`, the others 1."""
+    def own(d: str) -> Column:
+        return F.max(F.when((F.col("dim") == d) & (F.col("verdict") == "contradict"), F.lit(weight)))
+
+    return feedback.groupBy("fact_id", "hyp_idx").agg(*[F.coalesce(own(d), F.lit(1.0)).alias(f"w_{d}") for d in JUDGED_DIMENSIONS])
+
+
+def long_weights(weights: DataFrame) -> DataFrame:
+    return weights.unpivot(["fact_id", "hyp_idx"], [f"w_{d}" for d in JUDGED_DIMENSIONS], "dim", "weight").withColumn(
+        "dim", F.substring("dim", 3, 20))
 
 
 def mode_score(mode: str) -> Column:
     """Raw score of a pair under a mode; null = this hypothesis did not judge the candidate."""
-    judged = F.col("given").isNotNull()
-    symbolic = F.when(agree.count_matched() > 0, agree.agree_score())
-    return {
-        "deterministic": agree.agree_score(),
-        "hybrid": F.coalesce(hybrid_score(), F.lit(0.0)),
-        "llm_drop": verdict_score("drop"),
-        "llm_strict": verdict_score("negative"),
-        "llm_neutral": verdict_score("neutral"),
-        "llm_varweight": verdict_score("drop", F.col("weights")) if mode == "llm_varweight" else F.lit(None),
-        "det_window": F.when(judged, symbolic),
-    }[mode]
+    if mode == "deterministic":
+        return agree.agree_score()
+    if mode == "hybrid":
+        return F.coalesce(hybrid_score(), F.lit(0.0))
+    if mode == "det_window":
+        return F.when(F.col("has_given"), F.try_divide(agree.count_matched(), agree.count_evaluated()))
+    if mode == "llm_varweight":
+        return verdict_score("drop", weighted=True)
+    return verdict_score({"llm_drop": "drop", "llm_strict": "negative", "llm_neutral": "neutral"}[mode])
 
 
 def mode_consensus(pairs: DataFrame, modes: list[str], verdicts: DataFrame | None, fill: str = "mean",
@@ -210,7 +223,7 @@ def evaluate_grid(rankings: DataFrame, hypotheses: DataFrame, profiles: DataFram
     pooled = ranked(fused, list(keys), POOL_ORDER, None, "pool_rank").where(~F.col("truncate") | (F.col("pool_rank") <= top_k))
 
     judged = agree.pair_verdicts(rankings.select("fact_id", "tag").distinct(), hypotheses, profiles)
-    judged = judged.withColumn("given", F.lit(None).cast("map<string,boolean>")) if verdicts is None else with_given(judged, verdicts)
+    judged = with_given(judged, verdicts)
     hyps_of = F.explode(F.filter(_literal(configs), lambda c: F.array_contains(c["hyps"], F.col("hyp_idx"))))
     if verdicts is not None and any(c["mode"] == "llm_varweight" for c in configs):
         judged = judged.join(variance_weights(verdicts), ["fact_id", "hyp_idx"], "left")

@@ -15,7 +15,7 @@ def score_window(ranking: DataFrame, score: str, m: int) -> DataFrame:
 
 def cluster_representatives(ranking: DataFrame, profiles: DataFrame, m: int, scan: int, keys: tuple = ("fact_id",)) -> DataFrame:
     """First of each category signature within the scanned head, in rank order, padded by rank to m."""
-    signature = profiles.select("tag", F.to_json(F.map_filter("cats", lambda _, c: F.size(c) > 0)).alias("signature"))
+    signature = profiles.select("tag", F.to_json("cats").alias("signature"))
     head = ranking.where(F.col("rank") <= max(scan, m)).join(signature, "tag", "left")
     first = ranked(head, [*keys, "signature"], [F.asc("rank")], None, "seen")
     return ranked(first, list(keys), [F.desc((F.col("seen") == 1).cast("int")), F.asc("rank")], m, "pos")

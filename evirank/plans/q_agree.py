@@ -48,29 +48,30 @@ def k2(t):
 @query("K3_value_categories", "SELECT DISTINCT dim, value, array_to_string(coalesce(vcats, []), ',') AS cats FROM norm")
 def k3(t):
     hyps = agree.normalize_hypotheses(frames.hypotheses(t), CFG)
-    rows = hyps.select(F.inline("dims"))
+    cells = [F.struct(F.lit(d).alias("dim"), F.col(f"dims.{d}.value").alias("value"), F.col(f"dims.{d}.cats").alias("cats")) for d in agree.JUDGED]
+    rows = hyps.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
     return rows.select("dim", "value", F.array_join("cats", ",").alias("cats")).distinct()
 
 
 @query("K4_concept_profile", "SELECT tag, dim, array_to_string(ccats, ',') AS cats FROM concept_cats")
 def k4(t):
     profiles = agree.concept_profiles(frames.concepts(t), CFG, frames.CONCEPT_TEXT)
-    return profiles.select("tag", F.explode("cats").alias("dim", "c")).where(F.size("c") > 0).select(
-        "tag", "dim", F.array_join("c", ",").alias("cats"))
+    cells = [F.struct(F.lit(d).alias("dim"), F.array_join(f"cats.{d}", ",").alias("cats")) for d in agree.JUDGED]
+    return profiles.select("tag", F.inline(F.array(*cells))).where(F.col("cats") != "")
 
 
 @query("K5_dimension_verdict", """SELECT fact_id, hyp_idx, tag, dim, matched, round(confidence, 6) AS confidence, reason FROM pair_long WHERE pool_rank <= 20""")
 def k5(t):
     i = Inputs(t)
-    return i.pairs.where("rank <= 20").select("fact_id", "hyp_idx", "tag", F.inline("verdicts")).withColumn(
-        "confidence", F.round("confidence", 6))
+    rows = agree.verdict_rows(i.pairs.where("rank <= 20"), ["fact_id", "hyp_idx", "tag"]).drop("exact")
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("K6_agree_score", "SELECT fact_id, hyp_idx, tag, n_matched AS matched, n_evaluated AS evaluated, round(agree, 6) AS agree FROM pair_agree")
 def k6(t):
     return Inputs(t).pairs.select(
-        "fact_id", "hyp_idx", "tag", agree.count_matched(value=True).alias("matched"),
-        agree.count_matched().alias("evaluated"), F.round(agree.agree_score(), 6).alias("agree"))
+        "fact_id", "hyp_idx", "tag", agree.count_matched().alias("matched"),
+        agree.count_evaluated().alias("evaluated"), F.round(agree.agree_score(), 6).alias("agree"))
 
 
 # each hypothesis's own list = the def list of that hypothesis
@@ -181,7 +182,7 @@ def k15(t):
 @query("K16_contradicted_weights", "SELECT fact_id, hyp_idx, dim, CASE WHEN verdict = 'contradict' THEN 0.5 ELSE 1.0 END AS weight FROM feedback")
 def k16(t):
     weights = verify.contradicted_weights(feedback(Inputs(t)), 0.5)
-    return weights.select("fact_id", "hyp_idx", F.explode("weights").alias("dim", "weight"))
+    return verify.long_weights(weights)
 
 
 fragment("hybrid_dims", """SELECT fact_id, hyp_idx, tag, dim, coalesce(v.matched, p.matched) AS matched FROM pair_long p LEFT JOIN verdicts v USING (fact_id, hyp_idx, tag, dim)""")
@@ -195,14 +196,14 @@ def k17(t):
     i = Inputs(t)
     weights = verify.contradicted_weights(feedback(i), 0.5)
     rows = i.given_pairs.join(weights, ["fact_id", "hyp_idx"], "left")
-    scored = rows.select("fact_id", "tag", F.coalesce(verify.hybrid_score(F.col("weights")), F.lit(0.0)).alias("s"))
+    scored = rows.select("fact_id", "tag", F.coalesce(verify.hybrid_score(weighted=True), F.lit(0.0)).alias("s"))
     return scored.groupBy("fact_id", "tag").agg(F.round(F.avg("s"), 6).alias("consensus"))
 
 
 @query("K18_verdict_score", """SELECT fact_id, hyp_idx, tag, round(avg(matched::INT), 6) AS score_drop, round(count(*) FILTER (matched) / 6.0::DOUBLE, 6) AS score_negative,
     round(avg(coalesce(matched::INT::DOUBLE, 0.5::DOUBLE)), 6) AS score_neutral FROM verdicts GROUP BY ALL""")
 def k18(t):
-    rows = verify.verdict_maps(Inputs(t).verdicts)
+    rows = verify.wide_verdicts(Inputs(t).verdicts)
     return rows.select("fact_id", "hyp_idx", "tag", *[F.round(verify.verdict_score(a), 6).alias(f"score_{a}") for a in ("drop", "negative", "neutral")])
 
 
@@ -245,8 +246,7 @@ def k19z(t):
 @query("K20_variance_weights", "SELECT fact_id, hyp_idx, dim, round(w, 8) AS weight FROM var_weights")
 def k20(t):
     rows = verify.variance_weights(Inputs(t).verdicts)
-    return rows.select("fact_id", "hyp_idx", F.explode("weights").alias("dim", "w")).select(
-        "fact_id", "hyp_idx", "dim", F.round("w", 8).alias("weight"))
+    return verify.long_weights(rows).withColumn("weight", F.round("weight", 8))
 
 
 @query("K21_window_symbolic", ROUNDED + f"({filled('det_window')})")
@@ -303,7 +303,7 @@ def grid_sql(c: dict) -> str:
             SELECT fact_id FROM rankings WHERE hyp_idx IN ({hyps}) AND rendering IN ({forms}))"""
     agg = "avg" if c["fusion"] == "mean" else "sum"
     pool = f"""SELECT fact_id, tag, s FROM (SELECT fact_id, tag, {agg}(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS br FROM ({src}) GROUP BY ALL)
-        QUALIFY {'row_number() OVER (PARTITION BY fact_id ORDER BY round(s, 10) DESC, br, tag) <= 25' if c['truncate'] else 'true'}"""
+        QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY round(s, 10) DESC, br, tag) <= {25 if c['truncate'] else 100000}"""
     pairs = f"(SELECT p.* FROM pair_agree p JOIN ({pool}) USING (fact_id, tag) WHERE hyp_idx IN ({hyps}))"
     if c["mode"] == "deterministic":
         term = f"SELECT fact_id, tag, avg(agree) AS consensus FROM {pairs} GROUP BY ALL"
@@ -401,10 +401,10 @@ def k30(t):
     i = Inputs(t)
     picked = seeded_sample(frames.facts(t).select("fact_id"), "fact_id", 17, 40)
     pairs = own_pairs(i).where("rank <= 10").join(picked, "fact_id")
-    listed = F.array_join(F.array_sort(F.transform("verdicts", lambda v: F.concat(
-        v["dim"], F.lit("="), F.coalesce(v["matched"].cast("string"), F.lit("null"))))), ",")
-    return pairs.select("fact_id", "hyp_idx", "rank", "tag", F.round(agree.agree_score(), 6).alias("agree"),
-                        F.nullif(listed, F.lit("")).alias("verdicts"))
+    keys = ["fact_id", "hyp_idx", "rank", "tag"]
+    entry = F.concat("dim", F.lit("="), F.coalesce(F.col("matched").cast("string"), F.lit("null")))
+    listed = agree.verdict_rows(pairs, keys).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("verdicts"))
+    return pairs.select(*keys, F.round(agree.agree_score(), 6).alias("agree")).join(listed, keys, "left")
 
 
 # --- windows over candidate lists ------------------------------------------------------------------------------------
