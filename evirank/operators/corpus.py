@@ -24,3 +24,27 @@ def inventory(*code_lists: DataFrame) -> DataFrame:
     for other in code_lists[1:]:
         out = out.intersect(other)
     return out.distinct() if len(code_lists) == 1 else out
+
+
+def walk_up(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """nodes(node, parent, label, note): labels and notes from the root down to each node, at most max_depth above it.
+
+    Each level is one equi-join on the parent key, so a hot subtree is only a skewed join side. A node that still has
+    an ancestor beyond max_depth stops the job.
+    """
+    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("next"), F.col("label").alias("up_label"), F.col("note").alias("up_note"))
+    rows = nodes.select("node", F.col("parent").alias("at"), F.array("label").alias("labels"), F.array("note").alias("notes"))
+    for _ in range(max_depth):
+        joined = rows.join(up, "at", "left")
+        rows = joined.select(
+            "node", F.col("next").alias("at"),
+            F.when(F.col("up_label").isNotNull(), F.concat(F.array("up_label"), F.col("labels"))).otherwise(F.col("labels")).alias("labels"),
+            F.when(F.col("up_label").isNotNull(), F.concat(F.array("up_note"), F.col("notes"))).otherwise(F.col("notes")).alias("notes"))
+    deeper = F.assert_true(F.col("at").isNull(), F.lit("hierarchy deeper than max_depth"))
+    return rows.withColumn("_ok", deeper).where("_ok IS NULL").select(
+        "node", "labels", F.array_compact("notes").alias("notes"), (F.size("labels") - 1).alias("depth"))
+
+
+def paths_by_code(rows: DataFrame) -> DataFrame:
+    """rows(code, path): the sorted distinct paths of each code."""
+    return rows.groupBy("code").agg(F.array_sort(F.collect_set("path")).alias("paths"))

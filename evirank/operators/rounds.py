@@ -37,3 +37,213 @@ def evidence_profile(limit: int) -> Column:
         truncate_middle("column_context", limit).alias("column_context"),
         truncate_middle("query_context", limit).alias("query_context"),
     )
+
+
+# A fact has at most as many rounds as its search budget, so windows over a fact stay small.
+BY_FACT = Window.partitionBy("fact_id").orderBy("round_idx")
+EARLIER = BY_FACT.rowsBetween(Window.unboundedPreceding, -1)
+
+# The operator that edits each dimension, and the order in which modes claim an operator.
+DIMENSION_OPERATOR = {
+    "FAMILY": "O_refine_family", "ROLE": "O_refine_role", "EVENT": "O_refine_event", "QUALIFIER": "O_refine_qualifier",
+    "SCOPE": "O_refine_scope", "TEMPORAL": "O_refine_temporal",
+}
+CHANGE_STRATEGY_OPERATOR = "O_change_strategy"
+PERTURB_OPERATOR = "O_perturb"
+MODE_PRIORITY = {"REFINE": 0, "CHANGE_STRATEGY": 1, "BRANCH": 2, "PERTURB": 3}
+
+
+def novelty(rounds: DataFrame, items: str) -> DataFrame:
+    """1 minus the largest Jaccard overlap with an earlier round's set; 1 without earlier rounds or items."""
+    previous = F.collect_list(items).over(EARLIER)
+    def overlap(other: Column) -> Column:
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(F.col(items), other)), F.size(F.array_union(F.col(items), other))), F.lit(0.0))
+
+    worst = F.array_max(F.transform("_previous", overlap))
+    rows = rounds.withColumn("_previous", previous)
+    blank = (F.size(items) == 0) | (F.size("_previous") == 0)
+    return rows.withColumn("novelty", F.when(blank, 1.0).otherwise(F.round(1.0 - worst, 6))).drop("_previous")
+
+
+def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """Top k memories per query and sign by token overlap, from the same modality and type but another source.
+
+    A query without any compatible memory falls back to its modality alone. Only memories that share a token with the
+    query meet it in the join, so the work follows the postings, not all pairs.
+    queries(query_id, source, modality, datatype, tokens), memories(memory_id, source, modality, datatype, positive, tokens)
+    """
+    strict = F.concat_ws("|", F.lit("s"), "modality", "datatype")
+    loose = F.concat_ws("|", F.lit("l"), "modality")
+    per_source = memories.groupBy(strict.alias("pool"), F.col("source").alias("own")).agg(F.count(F.lit(1)).alias("n_own"))
+    totals = per_source.groupBy("pool").agg(F.sum("n_own").alias("n_all"))
+    sized = queries.withColumn("pool", strict).join(totals, "pool", "left").join(
+        per_source.withColumnRenamed("own", "source"), ["pool", "source"], "left")
+    others = F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0))
+    asked = sized.select(
+        "query_id", F.col("source").alias("q_source"), F.when(others > 0, F.col("pool")).otherwise(loose).alias("pool"),
+        F.size("tokens").alias("n_q"), F.explode("tokens").alias("token"))
+    known = memories.select(
+        "memory_id", "source", "positive", F.size("tokens").alias("n_m"), F.explode(F.array(strict, loose)).alias("pool"), "tokens",
+    ).withColumn("token", F.explode("tokens")).drop("tokens")
+    shared = (
+        asked.join(known, ["pool", "token"]).where(F.col("source") != F.col("q_source"))
+        .groupBy("query_id", "memory_id", "positive", "n_q", "n_m").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("similarity", F.col("n") / (F.col("n_q") + F.col("n_m") - F.col("n")))
+    )
+    window = Window.partitionBy("query_id", "positive").orderBy(F.desc(F.round("similarity", 10)), F.asc("memory_id"))
+    return shared.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+
+
+def utility(rank) -> Column:
+    return F.when(F.col(rank) > 0, 1.0 / F.log2(F.col(rank) + 1.0)).otherwise(F.lit(0.0))
+
+
+def rewards(rounds: DataFrame, alpha: float) -> DataFrame:
+    """Gain over the previous round mixed with the gain over the replayed alternative (rank, replay_rank)."""
+    rows = rounds.withColumns({"u": utility("rank"), "u_replay": utility("replay_rank")})
+    before = F.coalesce(F.lag("u").over(BY_FACT), F.lit(0.0))
+    rows = rows.withColumn("delta", F.col("u") - before)
+    return rows.withColumn("reward", alpha * F.col("delta") + (1 - alpha) * (F.col("u") - F.col("u_replay")))
+
+
+def transitions(rounds: DataFrame) -> DataFrame:
+    """Consecutive rounds as before/after pairs with the reward change and a search text."""
+    rows = rounds.select(
+        "*", F.lag("operator").over(BY_FACT).alias("before_operator"), F.lag("reward").over(BY_FACT).alias("before_reward"))
+    text = F.concat_ws(" ", F.col("before_operator"), F.lit("->"), F.col("operator"), F.col("modality"))
+    return rows.where(F.col("before_operator").isNotNull()).withColumns({
+        "reward_change": F.col("reward") - F.col("before_reward"), "search_text": text})
+
+
+def recall_curve(rounds: DataFrame, budget: int, depth: int) -> DataFrame:
+    """Hit at `depth` after each of `budget` rounds, the last value carried forward; one row per (fact, round)."""
+    hits = rounds.where(F.col("round_idx") <= budget).select(
+        "fact_id", "round_idx", F.coalesce((F.col("rank") <= depth).cast("double"), F.lit(0.0)).alias("hit"))
+    grid = rounds.select("fact_id").distinct().withColumn("round_idx", F.explode(F.sequence(F.lit(1), F.lit(budget))))
+    upto = BY_FACT.rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(hits, ["fact_id", "round_idx"], "left").select(
+        "fact_id", "round_idx", F.last("hit", ignorenulls=True).over(upto).alias("recall"))
+
+
+def learning_area(curve: DataFrame) -> DataFrame:
+    return curve.groupBy("fact_id").agg(F.avg("recall").alias("aulc"))
+
+
+def arm_summary(facts: DataFrame) -> DataFrame:
+    """facts(arm, context_id, final_hit, round1_hit, aulc, realized_rounds, stop_reason, parity_ok)."""
+    reasons = facts.groupBy("arm", "stop_reason").agg(F.count(F.lit(1)).alias("n"))
+    reasons = reasons.groupBy("arm").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stop_reason", "n"))))).alias("stop_reasons"))
+    main = facts.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("facts"), F.countDistinct("context_id").alias("contexts"),
+        F.round(F.avg("final_hit"), 6).alias("full_recall"), F.round(F.avg("round1_hit"), 6).alias("round1_recall"),
+        F.round(F.avg("final_hit") - F.avg("round1_hit"), 6).alias("full_minus_round1"),
+        F.round(F.avg("realized_rounds"), 6).alias("realized_rounds_mean"), F.max("realized_rounds").alias("realized_rounds_max"),
+        F.round(F.avg("aulc"), 6).alias("aulc"), F.count_if(~F.col("parity_ok")).alias("parity_failures"))
+    return main.join(reasons, "arm")
+
+
+def parity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Do two pipelines order a fact's tags alike; the first rank at which they part."""
+    joined = left.select("fact_id", "rank", F.col("tag").alias("a")).join(
+        right.select("fact_id", "rank", F.col("tag").alias("b")), ["fact_id", "rank"], "full")
+    differs = ~F.col("a").eqNullSafe(F.col("b"))
+    return joined.groupBy("fact_id").agg(
+        (~F.max(differs)).alias("parity_ok"), F.min(F.when(differs, F.col("rank"))).alias("first_divergence"))
+
+
+def context_features(modality: str, datatype: str, n_support: str, n_against: str, n_open: str, mismatch: str, novelty: str) -> Column:
+    """Symbolic features of a round as a double array: no gold, no candidate identities."""
+    kind = F.lower(F.coalesce(datatype, F.lit("")))
+
+    def flag(c: Column) -> Column:
+        return F.when(c, 1.0).otherwise(0.0)
+
+    return F.array(
+        F.lit(1.0), flag(F.col(modality) == "table"), flag(F.col(modality) == "text"), flag(kind.contains("monetary")),
+        flag(kind.contains("share")), flag(kind.contains("percent") | kind.contains("pure")), F.col(n_support).cast("double"),
+        F.col(n_against).cast("double"), F.col(n_open).cast("double"), flag(F.col(mismatch)), F.col(novelty).cast("double"))
+
+
+def admissible_slate(states: DataFrame, limit: int) -> DataFrame:
+    """states(fact_id, contradicted, open, supported arrays of dimensions, mismatch): at most `limit` directives,
+    one per operator by mode priority; the perturbation always stays."""
+    def proposal(mode: str, operator: str, target: str, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(MODE_PRIORITY[mode]).alias("priority"), F.lit(mode).alias("mode"),
+                                     F.lit(operator).alias("operator"), F.lit(target).alias("target")))
+
+    cells = [proposal("REFINE", DIMENSION_OPERATOR[d], d, F.array_contains("contradicted", d)) for d in DIMENSION_OPERATOR]
+    cells += [proposal("CHANGE_STRATEGY", CHANGE_STRATEGY_OPERATOR, "", F.col("mismatch"))]
+    cells += [proposal("BRANCH", DIMENSION_OPERATOR[d], d, F.array_contains("open", d) & ~F.array_contains("contradicted", d))
+              for d in DIMENSION_OPERATOR]
+    cells += [proposal("PERTURB", PERTURB_OPERATOR, "", F.lit(True))]
+    listed = states.select("fact_id", "supported", F.posexplode(F.array(*cells)).alias("order", "p")).where(F.col("p").isNotNull()).select(
+        "fact_id", "order", F.array_join("supported", ",").alias("preserve"), "p.*")
+    one = Window.partitionBy("fact_id", "operator").orderBy("priority", "order")
+    claimed = listed.withColumn("claim", F.row_number().over(one)).where("claim = 1")
+    by_fact = Window.partitionBy("fact_id").orderBy("priority", "order")
+    numbered = claimed.withColumns({"slot": F.row_number().over(by_fact), "size": F.count(F.lit(1)).over(Window.partitionBy("fact_id"))})
+    last = (F.col("operator") == PERTURB_OPERATOR) & (F.col("size") > limit)
+    kept = numbered.where(last | (F.col("slot") < limit) | ((F.col("slot") == limit) & (F.col("size") <= limit)))
+    return kept.withColumn("slot", F.when(last, F.lit(limit)).otherwise(F.col("slot"))).drop("claim", "size", "order", "priority")
+
+
+def enforce_directive(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """rows(before, after map, mode, target, preserve array): only authorised dimensions move; the others are put back."""
+    mode = F.col("mode")
+
+    def allowed(d: str) -> Column:
+        one = mode.isin("REFINE", "BRANCH") & (F.upper(F.trim("target")) == d)
+        return one | ((mode == "CHANGE_STRATEGY") & ~F.array_contains("preserve", d))
+
+    before = {d: F.coalesce(F.col("before")[d], F.lit("UNRESOLVED")) for d in dims}
+    after = {d: F.coalesce(F.col("after")[d], before[d]) for d in dims}
+    moved = [F.when(~allowed(d) & (F.trim(after[d]) != F.trim(before[d])), F.lit(d)) for d in dims]
+    entries = [x for d in dims for x in (F.lit(d), F.when(allowed(d), after[d]).otherwise(before[d]))]
+    return rows.withColumns({"enforced": F.create_map(*entries), "reverted": F.array_compact(F.array(*moved))})
+
+
+def decayed_moments(rounds: DataFrame, dim: int, zeta: float, last_step) -> DataFrame:
+    """Per (operator, context): discounted sums of psi psi' (cells a_ij) and r psi (cells b_i), pre-aggregated by Spark.
+
+    rounds(operator, context_id, step, psi, reward); `last_step` is a one-row frame with the current step.
+    """
+    rows = rounds.crossJoin(last_step) if isinstance(last_step, DataFrame) else rounds.withColumn("now", F.lit(last_step))
+    weight = F.pow(F.lit(zeta), (F.col("now") - F.col("step")).cast("double"))
+    psi = F.col("psi")
+    a = [F.sum(weight * psi[i] * psi[j]).alias(f"a_{i}_{j}") for i in range(dim) for j in range(i, dim)]
+    b = [F.sum(weight * psi[i] * F.col("reward")).alias(f"b_{i}") for i in range(dim)]
+    return rows.groupBy("operator", "context_id").agg(F.count(F.lit(1)).alias("n"), *a, *b)
+
+
+def leave_one_context_out(moments: DataFrame) -> DataFrame:
+    """Totals per operator minus each context's own part."""
+    names = [c for c in moments.columns if c not in ("operator", "context_id")]
+    totals = moments.groupBy("operator").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    return moments.join(totals, "operator").select(
+        "operator", "context_id", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in names])
+
+
+def posterior_means(moments: DataFrame, dim: int, ridge: float) -> DataFrame:
+    """mu = (ridge I + A)^-1 b for each row of moments: a tiny dense solve per row, batched through Arrow."""
+    def solve(batches):
+        import numpy as np
+
+        for pdf in batches:
+            n = len(pdf)
+            a = np.zeros((n, dim, dim))
+            b = np.stack([pdf[f"b_{i}"].to_numpy(float) for i in range(dim)], axis=1) if n else np.zeros((0, dim))
+            for i in range(dim):
+                for j in range(i, dim):
+                    a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"].to_numpy(float)
+            mu = np.linalg.solve(a + ridge * np.eye(dim), b[..., None])[..., 0]
+            yield pdf[["operator", "context_id", "n"]].assign(mu=list(mu))
+
+    return moments.mapInPandas(solve, "operator string, context_id bigint, n bigint, mu array<double>")
+
+
+def diagonal_statistics(rounds: DataFrame, ridge: float) -> DataFrame:
+    """Per (arm, feature): a = ridge + sum x^2, b = sum r x, mu = b / a."""
+    cells = rounds.select("arm", "reward", F.posexplode("psi").alias("feature", "x"))
+    sums = cells.groupBy("arm", "feature").agg(
+        (F.sum(F.col("x") * F.col("x")) + ridge).alias("a"), F.sum(F.col("reward") * F.col("x")).alias("b"))
+    return sums.withColumn("mu", F.col("b") / F.col("a"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evirank.session import checkpointed
+
 
 def split_differences(rows: DataFrame) -> DataFrame:
     """rows(split, sample_id, context_id, tag): overlaps and differences between train and test, one row."""
@@ -27,3 +29,221 @@ def seeded_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows in the order of md5(seed-key): the same rows on any engine and any partitioning."""
     order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
     return rows.orderBy(order, key).limit(n)
+
+
+def hashed_order(rows: DataFrame, key: str, seed, groups: list[str], value: str | None = None, digits: int = 3) -> DataFrame:
+    """Add `place` (1, 2, ..) in md5(seed-key) order per group, and `running` (sum of value up to the row).
+
+    The md5 prefix cuts each group into 16^digits even buckets, so a group of any size is ordered by many tasks; only
+    the bucket totals (at most 16^digits per group) pass through one window.
+    """
+    seed = F.lit(str(seed)) if not hasattr(seed, "cast") else seed.cast("string")
+    rows = rows.withColumn("_h", F.md5(F.concat_ws("-", seed, F.col(key).cast("string")))).withColumn(
+        "_b", F.substring("_h", 1, digits)).withColumn("_v", F.lit(1) if value is None else F.col(value))
+    totals = rows.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+                            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    within = Window.partitionBy(*groups, "_b").orderBy("_h", key)
+    numbered = rows.withColumns({"_p": F.row_number().over(within), "_r": F.sum("_v").over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = numbered.join(offsets, [*groups, "_b"])
+    return joined.withColumns({"place": F.col("_n0") + F.col("_p"), "running": F.col("_s0") + F.col("_r")}).drop(
+        "_h", "_b", "_v", "_n0", "_s0", "_p", "_r")
+
+
+def entity_rows(samples: DataFrame) -> DataFrame:
+    """samples(sample_id, context_id, entities array<struct<value, concept, kind>>): one row per entity with position."""
+    return samples.select("sample_id", "context_id", F.posexplode_outer("entities").alias("position", "e")).select(
+        "sample_id", "context_id", "position", "e.value", "e.concept", "e.kind")
+
+
+def labelled_samples(entities: DataFrame) -> DataFrame:
+    """Samples with a concept and a type; the stratum is the type present in the fewest samples (name on a tie)."""
+    filled = entities.withColumns({c: F.nullif(c, F.lit("")) for c in ("concept", "kind")})
+    valid = filled.groupBy("sample_id").agg(F.count("concept").alias("nc"), F.count("kind").alias("nk")).where("nc > 0 AND nk > 0")
+    kinds = filled.join(valid, "sample_id", "left_semi").where("kind IS NOT NULL").groupBy("sample_id", "context_id", "kind").agg(
+        F.count(F.lit(1)).alias("n"))
+    presence = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("presence"))
+    return kinds.join(presence, "kind").groupBy("sample_id", "context_id").agg(
+        F.min_by("kind", F.struct("presence", "kind")).alias("stratum"), F.count(F.lit(1)).alias("n_kinds"))
+
+
+def allocate_quotas(weights: DataFrame, total: int, keys: tuple = (), cap: str = "weight", one_each: bool = True) -> DataFrame:
+    """weights(keys.., name, weight[, cap]): integer seats by largest remaining deficit, then weight, then name.
+
+    Seat k of a group has priority target - (k - 1), which only falls, so taking the best `total` seats equals handing
+    them out one by one. The seats listed are at most `total` per group.
+    """
+    groups = Window.partitionBy(*keys)
+    rows = weights.withColumn("_cap", F.col(cap)).where("_cap > 0")
+    rows = rows.withColumns({"_w": F.sum("weight").over(groups), "_g": F.count(F.lit(1)).over(groups), "_c": F.sum("_cap").over(groups)})
+    rows = rows.withColumn("_total", F.least(F.lit(total), F.col("_c"))).withColumn(
+        "_raw", F.col("weight") / F.col("_w") * F.col("_total"))
+    forced = F.lit(one_each) & (F.col("_total") >= F.col("_g"))
+    seats = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("_cap"), F.col("_total")).cast("int"))))
+    seats = seats.withColumn("_f", (forced & (F.col("k") == 1)).cast("int")).withColumn("_p", F.round(F.col("_raw") - (F.col("k") - 1), 10))
+    order = Window.partitionBy(*keys).orderBy(F.desc("_f"), F.desc("_p"), F.desc("weight"), F.desc("name"), F.asc("k"))
+    won = seats.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_total"))
+    return rows.select(*keys, "name").join(won.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("quota")), [*keys, "name"], "left").withColumn(
+        "quota", F.coalesce("quota", F.lit(0)))
+
+
+def stratified_sample(samples: DataFrame, quotas: DataFrame, seed, keys: tuple = ()) -> DataFrame:
+    """The first quota samples of each stratum in md5 order, without replacement."""
+    placed = hashed_order(samples, "sample_id", seed, [*keys, "stratum"])
+    return placed.join(quotas.withColumnRenamed("name", "stratum"), [*keys, "stratum"]).where(F.col("place") <= F.col("quota")).drop(
+        "place", "running", "quota")
+
+
+def proportions(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    counts = rows.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def max_share_difference(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Largest |p - q| over the union of names; left and right come from `proportions`."""
+    a, b = left.select(*keys, name, F.col("p").alias("a")), right.select(*keys, name, F.col("p").alias("b"))
+    gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
+    return a.join(b, [*keys, name], "full").groupBy(*keys).agg(F.max(gap).alias("max_diff"))
+
+
+def share_distance(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    a, b = left.select(name, F.col("p").alias("a")), right.select(name, F.col("p").alias("b"))
+    gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
+    return a.join(b, name, "full").agg(F.sum(gap).alias("l1"))
+
+
+def split_search(samples: DataFrame, labels: DataFrame, seed: int, attempts: int, n_train: int, n_test: int) -> DataFrame:
+    """All attempts in one job: train by quota, test from samples whose labels train covers; the attempt with the lowest
+    score wins, the lower number on a tie. Returns (attempt, sample_id, stratum, split) of every attempt.
+
+    samples(sample_id, stratum), labels(sample_id, label).
+    """
+    samples, labels = checkpointed(samples), checkpointed(labels)
+    tries = samples.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    quotas = allocate_quotas(samples.groupBy(F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("weight")), n_train)
+    # the picked training samples feed five later steps, so they are written once
+    train = checkpointed(_per_attempt(tries, quotas, seed))
+    covered = train.join(labels, "sample_id").select("attempt", "label").distinct()
+    rest = tries.join(train.select("attempt", "sample_id"), ["attempt", "sample_id"], "left_anti")
+    missing = rest.join(labels, "sample_id").join(covered, ["attempt", "label"], "left_anti").select("attempt", "sample_id").distinct()
+    eligible = checkpointed(rest.join(missing, ["attempt", "sample_id"], "left_anti"))
+    sizes = samples.groupBy(F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("weight"))
+    caps = eligible.groupBy("attempt", F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("room"))
+    test_quotas = allocate_quotas(caps.join(sizes, "name"), n_test, ("attempt",), "room")
+    test = _per_attempt(eligible, test_quotas, seed + 1_000_000, ("attempt",))
+    keep = ["attempt", "sample_id", "stratum"]
+    return train.select(*keep, F.lit("train").alias("split")).unionByName(test.select(*keep, F.lit("test").alias("split")))
+
+
+def _per_attempt(rows: DataFrame, quotas: DataFrame, seed: int, keys: tuple = ()) -> DataFrame:
+    placed = hashed_order(rows, "sample_id", F.col("attempt") + seed, ["attempt", "stratum"], digits=2)
+    return placed.join(quotas.withColumnRenamed("name", "stratum"), [*keys, "stratum"]).where(F.col("place") <= F.col("quota")).drop(
+        "place", "running", "quota")
+
+
+def split_scores(splits: DataFrame, n_train: int, n_test: int) -> DataFrame:
+    """Score of each attempt: size penalties plus the stratum share difference; low is good."""
+    sides = {s: splits.where(F.col("split") == s) for s in ("train", "test")}
+    diff = max_share_difference(proportions(sides["train"], ["attempt"], "stratum"), proportions(sides["test"], ["attempt"], "stratum"),
+                                ["attempt"], "stratum")
+    sizes = splits.groupBy("attempt").agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    score = 10.0 * F.abs(F.col("n_test") - n_test) / n_test + 5.0 * F.abs(F.col("n_train") - n_train) / n_train + 4.0 * F.col("max_diff")
+    return sizes.join(diff, "attempt").withColumn("score", score)
+
+
+def best_attempt(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.min_by("attempt", F.struct(F.round("score", 10), "attempt")).alias("attempt"), F.min("score").alias("score"))
+
+
+def count_with_share(rows: DataFrame, lead: list[str], name: str) -> DataFrame:
+    counts = rows.groupBy(*lead, name).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(*lead)))
+
+
+def presence_counts(entities: DataFrame, label: str) -> DataFrame:
+    """Distinct samples per (split, label); a null label is a group of its own."""
+    return entities.select("split", "sample_id", label).distinct().groupBy("split", label).agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+def group_facts(contexts: DataFrame) -> DataFrame:
+    """contexts(context_id, entities, meta arrays of equal length): zipped, looked up by index, grouped by identical input."""
+    same = F.assert_true(F.size("entities") == F.size("meta"), F.lit("entities and metadata differ in length"))
+    rows = contexts.select("context_id", F.posexplode(F.arrays_zip("entities", "meta")).alias("position", "z"), same.alias("_ok"))
+    rows = rows.where("_ok IS NULL").select("context_id", "position", "z.entities.*", F.col("z.meta.status").alias("status"))
+    keys = [c for c in ("value", "kind") if c in rows.columns]
+    return rows.groupBy("context_id", *keys).agg(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("position", "concept"))), lambda p: p["concept"])).alias("concepts"),
+        F.min("position").alias("position"), F.count(F.lit(1)).alias("n_entities"))
+
+
+def describe_sample(facts: DataFrame) -> DataFrame:
+    """facts(modality, context_id, concept, n_tags): counts and facts per context, pooled and per modality."""
+    per_context = facts.groupBy("modality", "context_id").agg(F.count(F.lit(1)).alias("n"))
+    spread = per_context.groupingSets([[F.col("modality")], []], F.col("modality")).agg(
+        F.round(F.avg("n"), 6).alias("facts_per_context_mean"), F.min("n").alias("facts_per_context_min"), F.max("n").alias("facts_per_context_max"))
+    main = facts.groupingSets([[F.col("modality")], []], F.col("modality")).agg(
+        F.count(F.lit(1)).alias("fact_count"), F.countDistinct("context_id").alias("context_count"),
+        F.countDistinct("concept").alias("unique_concepts"), F.count_if(F.col("n_tags") > 1).alias("multi_tag_facts"))
+    named = [d.withColumn("modality", F.coalesce("modality", F.lit("pooled"))) for d in (main, spread)]
+    return named[0].join(named[1], "modality")
+
+
+def sample_quality(sample: DataFrame, whole: DataFrame) -> DataFrame:
+    """Deltas of a sample against all facts with the fixed soft limits; one row.
+
+    Both come from `facts(modality, datatype, context_id, concept)`.
+    """
+    def stats(df: DataFrame, tag: str) -> DataFrame:
+        return df.agg(F.avg((F.col("modality") == "table").cast("double")).alias(f"{tag}_table"),
+                      (F.countDistinct("concept") / F.greatest(F.countDistinct("context_id"), F.lit(1))).alias(f"{tag}_unique"),
+                      *[F.try_divide(F.count_if(F.col("modality") == m), F.countDistinct(F.when(F.col("modality") == m, F.col("context_id")))).alias(
+                          f"{tag}_{m}_fpc") for m in ("table", "text")])
+
+    l1 = share_distance(proportions(sample, [], "datatype"), proportions(whole, [], "datatype"), "datatype")
+    # three one-row frames side by side
+    row = stats(sample, "s").join(stats(whole, "w")).join(l1)
+    rel = [F.abs(F.coalesce(f"s_{m}_fpc", F.lit(0.0)) - F.col(f"w_{m}_fpc")) / F.col(f"w_{m}_fpc") for m in ("table", "text")]
+    row = row.select(
+        F.abs(F.col("s_table") - F.col("w_table")).alias("table_delta"), F.col("l1").alias("datatype_l1"),
+        F.greatest(*rel).alias("fpc_delta"), (F.abs(F.col("s_unique") - F.col("w_unique")) / F.col("w_unique")).alias("unique_delta"))
+    flags = F.array_compact(F.array(
+        F.when(F.col("table_delta") > 0.08, "table_fact_ratio_delta_gt_0.08"), F.when(F.col("datatype_l1") > 0.15, "datatype_l1_delta_gt_0.15"),
+        F.when(F.col("fpc_delta") > 0.35, "by_modality_facts_per_context_relative_delta_gt_0.35"),
+        F.when(F.col("unique_delta") > 0.60, "unique_concepts_per_context_relative_delta_gt_0.60")))
+    return row.withColumns({"flags": F.array_join(flags, ","), "passed": F.size(flags) == 0})
+
+
+def cluster_search(facts: DataFrame, seed: int, attempts: int, n_table: int, n_text: int) -> DataFrame:
+    """Each attempt draws contexts per modality; its score against all facts decides. facts(modality, context_id, datatype).
+
+    The first attempt that passes the soft limit and improves on all before it ends the search, else the best one wins.
+    """
+    contexts = facts.groupBy("modality", "context_id").agg(F.count(F.lit(1)).alias("n"))
+    tries = contexts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn(
+        "sample_id", F.concat_ws(":", "modality", F.col("context_id").cast("string")))
+    placed = hashed_order(tries, "sample_id", F.col("attempt") + seed, ["attempt", "modality"], digits=2)
+    limit = F.when(F.col("modality") == "table", n_table).otherwise(n_text)
+    drawn = placed.where(F.col("place") <= limit)
+    whole = facts.agg(F.avg((F.col("modality") == "table").cast("double")).alias("w"))
+    # one-row frame: the share over all facts
+    scored = drawn.groupBy("attempt").agg(
+        (F.sum(F.when(F.col("modality") == "table", F.col("n")).otherwise(0)) / F.sum("n")).alias("s"), F.sum("n").alias("facts")).join(whole)
+    scored = scored.select("attempt", "facts", F.round(F.abs(F.col("s") - F.col("w")), 10).alias("score"))
+    best_before = F.min("score").over(Window.orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1))
+    marked = scored.withColumn("improves", F.coalesce(F.col("score") < best_before, F.lit(True)))
+    stop = F.min(F.when(F.col("improves") & (F.col("score") <= 0.08), F.col("attempt")))
+    return marked.agg(F.coalesce(stop, F.min_by("attempt", F.struct("score", "attempt"))).alias("attempt"), F.min("score").alias("best_score"))
+
+
+def fill_to_target(documents: DataFrame, seed: int, target: int) -> DataFrame:
+    """documents(sample_id, n): whole documents in md5 order until their facts reach the target."""
+    placed = hashed_order(documents, "sample_id", seed, [], "n")
+    return placed.where(F.col("running") - F.col("n") < target).drop("running")
+
+
+def dedupe_annotations(rows: DataFrame, codes: DataFrame, label: str) -> DataFrame:
+    """Annotations of one label with a known code, the first of each (document, position, code)."""
+    kept = rows.where(F.col("label") == label).join(codes, "code", "left_semi")
+    return kept.groupBy("doc_id", "position", "code").agg(F.min("row_id").alias("row_id"))

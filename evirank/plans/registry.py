@@ -56,9 +56,12 @@ def with_fragments(sql: str) -> str:
     """Prefix the WITH list of every fragment the statement uses, dependencies first."""
     ordered: list[str] = []
 
+    open_names: set[str] = set()
+
     def visit(text: str):
         for name in FRAGMENTS:
-            if name not in ordered and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in ordered and name not in open_names and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                open_names.add(name)
                 visit(FRAGMENTS[name])
                 if name not in ordered:
                     ordered.append(name)
