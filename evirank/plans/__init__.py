@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_text", "q_retrieve", "q_fuse", "q_agree", "q_rounds", "q_sampling", "q_json"]
+SECTIONS = ["q_text", "q_retrieve", "q_fuse", "q_agree", "q_rounds", "q_sampling", "q_json", "q_sources"]
 
 
 def load_all() -> None:
