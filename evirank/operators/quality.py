@@ -49,7 +49,7 @@ def config_drift(declared: DataFrame, pinned: DataFrame, tolerance: float = 1e-9
     wanted = runs.withColumn("one", F.lit(1)).join(pinned.withColumn("one", F.lit(1)), "one").drop("one")
 
     def as_set(c: str) -> Column:
-        return F.array_sort(F.transform(F.split(c, ","), F.trim))
+        return F.array_sort(F.transform(F.split(c, ","), lambda x: F.trim(x)))
 
     number = F.expr("try_cast(value as double)"), F.expr("try_cast(pin as double)")
     close = F.abs(number[0] - number[1]) <= tolerance

@@ -49,7 +49,7 @@ def p1(t):
     return parsed(t).select("event_id", "parse_ok", F.try_variant_get("doc", "$.query", "string").alias("query"))
 
 
-PLAIN = "CASE WHEN kind = 4 THEN trim(regexp_replace(raw, '\\s+', ' ', 'g')) ELSE 'no json here' END"
+PLAIN = "CASE WHEN kind = 4 THEN trim(regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '\"+$', '')) ELSE 'no json here' END"
 
 
 @query("P2_hypothesis_parse", f"""SELECT event_id, {FOUND} AS hypothesis_ok, CASE WHEN {FOUND} THEN event_type ELSE 'UNRESOLVED' END AS family, CASE WHEN {FOUND} THEN 'user ' || user_id ELSE 'UNRESOLVED' END AS role,

@@ -97,41 +97,34 @@ def s8(t):
 
 @query("S9_xml_elements", "SELECT 'C' || p_partkey AS tag, p_type AS type FROM part")
 def s9(t):
-    rows = t.part.select(F.concat(F.lit("C"), "p_partkey").alias("_name"), F.concat(F.lit("x:"), "p_type").alias("_type"), F.lit("d").alias("note"))
-    return readers.xml_elements(t.spark, sinks.xml(rows, at(t, "schema"), "xs:element", "xs:schema"))
+    rows = t.part.select(F.floor(F.col("p_partkey") / 1000).alias("doc"), F.format_string(
+        '<xs:element name="C%d" type="x:%s"><xs:note>d</xs:note></xs:element>', "p_partkey", "p_type").alias("value"))
+    path = sinks.documents(rows, at(t, "schema"), "doc", "value", '<xs:schema xmlns:xs="s">', "</xs:schema>")
+    return readers.xml_elements(t.spark, path)
 
 
-ROLE = "label"
-
-
-def linkbase(t, kind):
-    """One link block per brand: its parts as locators, two resources and arcs each."""
-    key = F.col("p_partkey").cast("string")
-    loc = F.struct(F.concat(F.lit("l"), key).alias("_xlink:label"), F.concat(F.lit("f.xsd#us-gaap_C"), key).alias("_xlink:href"))
-    if kind == "label":
-        res = [F.struct(F.concat(F.lit(f"r{i}_"), key).alias("_xlink:label"), F.lit(role).alias("_xlink:role"), value.alias("_VALUE"))
-               for i, (role, value) in enumerate([("terse", F.lit("T")), (ROLE, F.concat(F.lit(" "), "p_name", F.lit(" 1"))), (ROLE, F.lit("later"))])]
-    else:
-        res = [F.struct(F.concat(F.lit(f"r{i}_"), key).alias("_xlink:label"), *cells) for i, cells in enumerate([
-            [F.when(F.col("p_size") % 2 == 0, F.lit("310")).alias("codification-part:Topic"), F.lit("10").alias("codification-part:SubTopic"), F.lit("45").alias("ref:Section"),
-             F.lit("2").alias("ref:Paragraph"), F.lit("FASB").alias("ref:Name"), F.lit(None).cast("string").alias("codification-part:URI")],
-            [F.lit(None).cast("string").alias("codification-part:Topic"), F.lit(None).cast("string").alias("codification-part:SubTopic"), F.lit(None).cast("string").alias("ref:Section"),
-             F.lit(None).cast("string").alias("ref:Paragraph"), F.lit("FASB").alias("ref:Name"), F.lit("http://x/y/tail9/").alias("codification-part:URI")]])]
-    arcs = [F.struct(F.concat(F.lit("l"), key).alias("_xlink:from"), F.concat(F.lit(f"r{i}_"), key).alias("_xlink:to")) for i in range(len(res))]
-    rows = t.part.select("p_brand", F.struct("p_partkey", loc.alias("loc"), F.array(*res).alias("res"), F.array(*arcs).alias("arcs")).alias("x"))
-    nested = rows.groupBy("p_brand").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return nested.select(F.transform("x", lambda p: p["loc"]).alias("link:loc"), F.flatten(F.transform("x", lambda p: p["res"])).alias(f"link:{kind}"),
-                         F.flatten(F.transform("x", lambda p: p["arcs"])).alias(f"link:{kind}Arc"))
+def linkbase(t, kind, resources):
+    """One link block per thousand parts: a locator, its resources in order, an arc to each resource."""
+    loc = F.format_string('<link:loc xlink:label="l%d" xlink:href="f.xsd#us-gaap_C%d"/>', "p_partkey", "p_partkey")
+    res = F.concat(*[F.format_string(f'<link:{kind} xlink:label="r{i}_%d"%s</link:{kind}>', "p_partkey", body) for i, body in enumerate(resources)])
+    arcs = F.concat(*[F.format_string(f'<link:{kind}Arc xlink:from="l%d" xlink:to="r{i}_%d"/>', "p_partkey", "p_partkey") for i in range(len(resources))])
+    rows = t.part.select(F.floor(F.col("p_partkey") / 1000).alias("doc"), F.concat(loc, res, arcs).alias("value"))
+    head = f'<link:linkbase xmlns:link="l" xmlns:xlink="x" xmlns:ref="r" xmlns:codification-part="c"><link:{kind}Link>'
+    return sinks.documents(rows, at(t, kind), "doc", "value", head, f"</link:{kind}Link></link:linkbase>")
 
 
 @query("S10_label_linkbase", "SELECT 'C' || p_partkey AS tag, p_name || ' 1' AS label FROM part")
 def s10(t):
-    return readers.label_linkbase(t.spark, sinks.xml(linkbase(t, "label"), at(t, "labels"), "link:labelLink", "link:linkbase"), ROLE)
+    resources = [F.lit(' xlink:role="terse">T'), F.concat(F.lit(' xlink:role="label"> '), "p_name", F.lit(" 1")), F.lit(' xlink:role="label">later')]
+    return readers.label_linkbase(t.spark, linkbase(t, "label", resources), "label")
 
 
 @query("S11_reference_linkbase", "SELECT 'C' || p_partkey AS tag, CASE WHEN p_size % 2 = 0 THEN 'ASC 310-10-45-2' ELSE 'FASB 45 2' END || '|tail9' AS refs FROM part")
 def s11(t):
-    got = readers.reference_linkbase(t.spark, sinks.xml(linkbase(t, "reference"), at(t, "refs"), "link:referenceLink", "link:linkbase"))
+    topic = F.when(F.col("p_size") % 2 == 0, "<codification-part:Topic>310</codification-part:Topic>").otherwise("")
+    first = F.concat(F.lit("><ref:Name>FASB</ref:Name>"), topic, F.lit("<codification-part:SubTopic>10</codification-part:SubTopic><ref:Section>45</ref:Section><ref:Paragraph>2</ref:Paragraph>"))
+    second = F.lit("><ref:Name>FASB</ref:Name><codification-part:URI>http://x/y/tail9/</codification-part:URI>")
+    got = readers.reference_linkbase(t.spark, linkbase(t, "reference", [first, second]))
     return got.select("tag", F.array_join("references", "|").alias("refs"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -35,8 +36,11 @@ def lines(df: DataFrame, path: str) -> str:
     return path
 
 
-def xml(df: DataFrame, path: str, row: str, root: str) -> str:
-    df.write.mode("errorifexists").format("xml").option("rowTag", row).option("rootTag", root).save(path)
+def documents(df: DataFrame, path: str, key: str, value: str, head: str, tail: str) -> str:
+    """One file per key whose rows stand between head and tail; the caller keeps the rows per key few."""
+    body = F.array_join(F.array_sort(F.collect_list(value)), "")
+    whole = df.groupBy(key).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value"))
+    whole.write.mode("errorifexists").partitionBy(key).text(path)
     return path
 
 
