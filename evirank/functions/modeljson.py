@@ -24,12 +24,10 @@ def cleaned(raw) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(col(raw), F.lit("")), THINK, "")), r"^`+|`+$", "")
 
 
-@F.pandas_udf("string")
-def _first_complete(texts: pd.Series) -> pd.Series:
+def _first_complete(text: Column) -> Column:
     """Text of the first complete object in a string, else of the first array; null passes through."""
-    decoder = json.JSONDecoder()
-
     def find(text):
+        decoder = json.JSONDecoder()
         for opener in "{[":
             start = -1 if text is None else text.find(opener)
             if start >= 0:
@@ -39,7 +37,10 @@ def _first_complete(texts: pd.Series) -> pd.Series:
                     continue
         return None
 
-    return texts.map(find, na_action="ignore")
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(find, na_action="ignore")
+
+    return F.pandas_udf(batch, "string")(text)
 
 
 def parsed(rows: DataFrame, raw: str = "raw_output") -> DataFrame:

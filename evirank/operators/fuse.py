@@ -21,10 +21,22 @@ def high(name: str) -> Column:
     return F.desc(F.round(F.col(name), 10))
 
 
-FUSED_ORDER = [high("fused_score"), F.asc("first_list"), F.asc("best_rank"), F.asc("tag")]
-POOL_ORDER = [high("fused_score"), F.asc("best_rank"), F.asc("tag")]
-FINAL_ORDER = [high("final_score"), F.asc("tag")]
-RERANK_ORDER = [high("final_score"), F.asc("rank"), F.asc("tag")]
+# The tie-break contracts; functions, because columns need a running session.
+
+def fused_order() -> list[Column]:
+    return [high("fused_score"), F.asc("first_list"), F.asc("best_rank"), F.asc("tag")]
+
+
+def pool_order() -> list[Column]:
+    return [high("fused_score"), F.asc("best_rank"), F.asc("tag")]
+
+
+def final_order() -> list[Column]:
+    return [high("final_score"), F.asc("tag")]
+
+
+def rerank_order() -> list[Column]:
+    return [high("final_score"), F.asc("rank"), F.asc("tag")]
 
 
 def rrf_scores(rankings: DataFrame, kappa: float = 60.0, how: str = "sum", keys: tuple = ("fact_id",),
@@ -44,7 +56,7 @@ def rrf_scores(rankings: DataFrame, kappa: float = 60.0, how: str = "sum", keys:
 
 def fuse(rankings: DataFrame, top_k: int | None = None, kappa: float = 60.0, how: str = "sum",
          keys: tuple = ("fact_id",), payload: tuple = ()) -> DataFrame:
-    return ranked(rrf_scores(rankings, kappa, how, keys, payload), list(keys), FUSED_ORDER, top_k)
+    return ranked(rrf_scores(rankings, kappa, how, keys, payload), list(keys), fused_order(), top_k)
 
 
 def fuse_tag_lists(lists: DataFrame, kappa: float = 60.0) -> DataFrame:
@@ -88,7 +100,7 @@ def ordered_union(rankings: DataFrame, top_k: int | None = None, keys: tuple = (
 
 
 def truncate_pool(scores: DataFrame, top_k: int, keys: tuple = ("fact_id",)) -> DataFrame:
-    return ranked(scores, list(keys), POOL_ORDER, top_k, "pool_rank")
+    return ranked(scores, list(keys), pool_order(), top_k, "pool_rank")
 
 
 def composite(model_order: DataFrame, candidates: DataFrame) -> DataFrame:

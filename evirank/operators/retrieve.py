@@ -84,7 +84,8 @@ def _top(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank"
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-BM25_ORDER = [F.desc(F.expr("round(bm25_score, 10)")), F.asc("doc_idx")]
+def bm25_order() -> list:
+    return [F.desc(F.expr("round(bm25_score, 10)")), F.asc("doc_idx")]
 
 
 def rank_bm25(queries: DataFrame, docs: DataFrame, k: int, cfg: DomainConfig = DomainConfig(),
@@ -92,7 +93,7 @@ def rank_bm25(queries: DataFrame, docs: DataFrame, k: int, cfg: DomainConfig = D
     """Top k concepts per query by (score desc, doc_idx); short lists are padded with unmatched concepts at 0."""
     stats = scope_stats(docs) if stats is None else stats
     scoped = resolve_scope(queries, stats, typed)
-    hits = _top(match_scores(scoped, docs, stats, cfg), ["query_id"], BM25_ORDER, k)
+    hits = _top(match_scores(scoped, docs, stats, cfg), ["query_id"], bm25_order(), k)
     if not zero_fill:
         return hits
     return _zero_filled(scoped, hits, docs, k)
@@ -111,7 +112,7 @@ def _zero_filled(scoped: DataFrame, hits: DataFrame, docs: DataFrame, k: int) ->
         .select("query_id", "scope", "doc_idx", "tag", F.lit(0.0).alias("bm25_score"))
     )
     both = hits.drop("rank").unionByName(pad)
-    return _top(both, ["query_id"], BM25_ORDER, k)
+    return _top(both, ["query_id"], bm25_order(), k)
 
 
 def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame, k: int,
@@ -129,7 +130,7 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
     scores = match_scores(scoped, docs, stats, cfg)
     if cfg.pool_multiplier > 0:
         pool_k = max(k, k * cfg.pool_multiplier)
-        pool = _zero_filled(scoped, _top(scores, ["query_id"], BM25_ORDER, pool_k), docs, pool_k).drop("rank")
+        pool = _zero_filled(scoped, _top(scores, ["query_id"], bm25_order(), pool_k), docs, pool_k).drop("rank")
         span = pool.groupBy("query_id").agg(F.min("bm25_score").alias("lo"), F.max("bm25_score").alias("hi"))
     else:
         hit_stats = scores.groupBy("query_id").agg(

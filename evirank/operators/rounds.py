@@ -40,8 +40,10 @@ def evidence_profile(limit: int) -> Column:
 
 
 # A fact has at most as many rounds as its search budget, so windows over a fact stay small.
-BY_FACT = Window.partitionBy("fact_id").orderBy("round_idx")
-EARLIER = BY_FACT.rowsBetween(Window.unboundedPreceding, -1)
+def by_fact():
+    return Window.partitionBy("fact_id").orderBy("round_idx")
+
+
 
 # The operator that edits each dimension, and the order in which modes claim an operator.
 DIMENSION_OPERATOR = {
@@ -55,7 +57,7 @@ MODE_PRIORITY = {"REFINE": 0, "CHANGE_STRATEGY": 1, "BRANCH": 2, "PERTURB": 3}
 
 def novelty(rounds: DataFrame, items: str) -> DataFrame:
     """1 minus the largest Jaccard overlap with an earlier round's set; 1 without earlier rounds or items."""
-    previous = F.collect_list(items).over(EARLIER)
+    previous = F.collect_list(items).over(by_fact().rowsBetween(Window.unboundedPreceding, -1))
     def overlap(other: Column) -> Column:
         return F.coalesce(F.try_divide(F.size(F.array_intersect(F.col(items), other)), F.size(F.array_union(F.col(items), other))), F.lit(0.0))
 
@@ -101,7 +103,7 @@ def utility(rank) -> Column:
 def rewards(rounds: DataFrame, alpha: float) -> DataFrame:
     """Gain over the previous round mixed with the gain over the replayed alternative (rank, replay_rank)."""
     rows = rounds.withColumns({"u": utility("rank"), "u_replay": utility("replay_rank")})
-    before = F.coalesce(F.lag("u").over(BY_FACT), F.lit(0.0))
+    before = F.coalesce(F.lag("u").over(by_fact()), F.lit(0.0))
     rows = rows.withColumn("delta", F.col("u") - before)
     return rows.withColumn("reward", alpha * F.col("delta") + (1 - alpha) * (F.col("u") - F.col("u_replay")))
 
@@ -109,7 +111,7 @@ def rewards(rounds: DataFrame, alpha: float) -> DataFrame:
 def transitions(rounds: DataFrame) -> DataFrame:
     """Consecutive rounds as before/after pairs with the reward change and a search text."""
     rows = rounds.select(
-        "*", F.lag("operator").over(BY_FACT).alias("before_operator"), F.lag("reward").over(BY_FACT).alias("before_reward"))
+        "*", F.lag("operator").over(by_fact()).alias("before_operator"), F.lag("reward").over(by_fact()).alias("before_reward"))
     text = F.concat_ws(" ", F.col("before_operator"), F.lit("->"), F.col("operator"), F.col("modality"))
     return rows.where(F.col("before_operator").isNotNull()).withColumns({
         "reward_change": F.col("reward") - F.col("before_reward"), "search_text": text})
@@ -120,7 +122,7 @@ def recall_curve(rounds: DataFrame, budget: int, depth: int) -> DataFrame:
     hits = rounds.where(F.col("round_idx") <= budget).select(
         "fact_id", "round_idx", F.coalesce((F.col("rank") <= depth).cast("double"), F.lit(0.0)).alias("hit"))
     grid = rounds.select("fact_id").distinct().withColumn("round_idx", F.explode(F.sequence(F.lit(1), F.lit(budget))))
-    upto = BY_FACT.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_fact().rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(hits, ["fact_id", "round_idx"], "left").select(
         "fact_id", "round_idx", F.last("hit", ignorenulls=True).over(upto).alias("recall"))
 
@@ -180,8 +182,8 @@ def admissible_slate(states: DataFrame, limit: int) -> DataFrame:
         "fact_id", "order", F.array_join("supported", ",").alias("preserve"), "p.*")
     one = Window.partitionBy("fact_id", "operator").orderBy("priority", "order")
     claimed = listed.withColumn("claim", F.row_number().over(one)).where("claim = 1")
-    by_fact = Window.partitionBy("fact_id").orderBy("priority", "order")
-    numbered = claimed.withColumns({"slot": F.row_number().over(by_fact), "size": F.count(F.lit(1)).over(Window.partitionBy("fact_id"))})
+    slots = Window.partitionBy("fact_id").orderBy("priority", "order")
+    numbered = claimed.withColumns({"slot": F.row_number().over(slots), "size": F.count(F.lit(1)).over(Window.partitionBy("fact_id"))})
     last = (F.col("operator") == PERTURB_OPERATOR) & (F.col("size") > limit)
     kept = numbered.where(last | (F.col("slot") < limit) | ((F.col("slot") == limit) & (F.col("size") <= limit)))
     return kept.withColumn("slot", F.when(last, F.lit(limit)).otherwise(F.col("slot"))).drop("claim", "size", "order", "priority")

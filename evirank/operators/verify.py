@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from evirank.domain import DIMENSIONS
 from evirank.operators import agree
-from evirank.operators.fuse import FINAL_ORDER, POOL_ORDER, RERANK_ORDER, minmax, ranked
+from evirank.operators.fuse import final_order, pool_order, rerank_order, minmax, ranked
 
 JUDGED_DIMENSIONS = [d.lower() for d in DIMENSIONS]
 MODES = ["deterministic", "hybrid", "llm_drop", "llm_strict", "llm_neutral", "llm_varweight", "det_window"]
 NEEDS_VERDICTS = set(MODES) - {"deterministic"}
+# Modes that score every candidate, so nothing is left to fill.
+SCORES_ALL = {"deterministic", "hybrid"}
 
 
 def resolve_mode(mode: str, verdicts: DataFrame | None) -> str:
@@ -127,13 +129,17 @@ def mode_consensus(pairs: DataFrame, modes: list[str], verdicts: DataFrame | Non
     modes = [resolve_mode(m, verdicts) for m in modes]
     if "llm_varweight" in modes:
         pairs = pairs.join(variance_weights(verdicts), ["fact_id", "hyp_idx"], "left")
-    cells = F.array(*[F.struct(F.lit(m).alias("mode"), mode_score(m).alias("score")) for m in modes])
-    rows = pairs.select(*keys, "hyp_idx", "tag", F.inline(cells))
-    mean = F.avg("score").over(Window.partitionBy(*keys, "hyp_idx", "mode"))
-    filler = F.coalesce(mean, F.lit(0.0)) if fill == "mean" else F.lit(0.0)
-    fixed = F.col("mode").isin("deterministic", "hybrid")
-    filled = rows.withColumn("score", F.coalesce("score", F.when(fixed, F.lit(0.0)).otherwise(filler)))
-    return filled.groupBy(*keys, "tag", "mode").agg(F.avg("score").alias("consensus"))
+    # one column per mode: rows are neither multiplied nor shuffled per mode until the small result is turned long
+    rows = pairs.select(*keys, "hyp_idx", "tag", *[mode_score(m).alias(m) for m in modes])
+    judged = Window.partitionBy(*keys, "hyp_idx")
+
+    def filled(m: str) -> Column:
+        if m in SCORES_ALL or fill == "zero":
+            return F.coalesce(m, F.lit(0.0))
+        return F.coalesce(F.col(m), F.avg(m).over(judged), F.lit(0.0))
+
+    means = rows.select(*keys, "tag", *[filled(m).alias(m) for m in modes]).groupBy(*keys, "tag").agg(*[F.avg(m).alias(m) for m in modes])
+    return means.unpivot([*keys, "tag"], modes, "mode", "consensus")
 
 
 def rerank(scores: DataFrame, terms: DataFrame, beta, scaling: str = "range", top_k: int | None = None,
@@ -143,7 +149,7 @@ def rerank(scores: DataFrame, terms: DataFrame, beta, scaling: str = "range", to
         "base", F.col("fused_score"))
     joined = base.join(terms, [*keys, "tag"], "left").withColumn("consensus", F.coalesce("consensus", F.lit(0.0)))
     final = joined.drop("rank").withColumn("final_score", F.col("base") + beta * F.col("consensus"))
-    return ranked(final, list(keys), FINAL_ORDER, top_k)
+    return ranked(final, list(keys), final_order(), top_k)
 
 
 def rerank_in_place(order: DataFrame, terms: DataFrame, beta: float, top_k: int, kappa: float = 60.0,
@@ -157,7 +163,7 @@ def rerank_in_place(order: DataFrame, terms: DataFrame, beta: float, top_k: int,
         rows = minmax(rows.withColumn("raw_base", F.col("base")), ["fact_id"], "raw_base", 1.0, "base")
     joined = rows.join(terms, ["fact_id", "tag"], "left")
     final = joined.withColumn("final_score", F.col("base") + beta * F.coalesce("consensus", F.lit(0.0)))
-    return ranked(final, ["fact_id"], RERANK_ORDER, top_k, "new_rank")
+    return ranked(final, ["fact_id"], rerank_order(), top_k, "new_rank")
 
 
 def rerank_share(reranked: DataFrame, beta: float) -> DataFrame:
@@ -220,20 +226,21 @@ def evaluate_grid(rankings: DataFrame, hypotheses: DataFrame, profiles: DataFram
         F.sum(share).alias("total"), F.avg(share).alias("mean"), F.min("rank").alias("best_rank"),
         (~F.max("has_primary")).alias("fallback_used"))
     fused = fused.withColumn("fused_score", F.when(F.col("fusion") == "sum", F.col("total")).otherwise(F.col("mean")))
-    pooled = ranked(fused, list(keys), POOL_ORDER, None, "pool_rank").where(~F.col("truncate") | (F.col("pool_rank") <= top_k))
+    pooled = ranked(fused, list(keys), pool_order(), None, "pool_rank").where(~F.col("truncate") | (F.col("pool_rank") <= top_k))
 
     judged = agree.pair_verdicts(rankings.select("fact_id", "tag").distinct(), hypotheses, profiles)
     judged = with_given(judged, verdicts)
-    hyps_of = F.explode(F.filter(_literal(configs), lambda c: F.array_contains(c["hyps"], F.col("hyp_idx"))))
     if verdicts is not None and any(c["mode"] == "llm_varweight" for c in configs):
         judged = judged.join(variance_weights(verdicts), ["fact_id", "hyp_idx"], "left")
     modes = sorted({c["mode"] for c in configs})
-    score = F.coalesce(*[F.when(F.col("c.mode") == m, mode_score(m)) for m in modes])
-    terms = judged.withColumn("c", hyps_of).select("c.config_id", "c.mode", "fact_id", "hyp_idx", "tag", score.alias("score"))
+    scored = judged.select("fact_id", "hyp_idx", "tag", *[mode_score(m).alias(m) for m in modes])
+    hyps_of = F.explode(F.filter(_literal(configs), lambda c: F.array_contains(c["hyps"], F.col("hyp_idx"))))
+    score = F.coalesce(*[F.when(F.col("c.mode") == m, F.col(m)) for m in modes])
+    terms = scored.withColumn("c", hyps_of).select("c.config_id", "c.mode", "fact_id", "hyp_idx", "tag", score.alias("score"))
     in_pool = terms.join(pooled.select(*keys, "tag"), [*keys, "tag"])
     mean = F.avg("score").over(Window.partitionBy(*keys, "hyp_idx"))
     filler = F.coalesce(mean, F.lit(0.0)) if fill == "mean" else F.lit(0.0)
-    fixed = F.col("mode").isin("deterministic", "hybrid")
+    fixed = F.col("mode").isin(*SCORES_ALL)
     consensus = in_pool.withColumn("score", F.coalesce("score", F.when(fixed, F.lit(0.0)).otherwise(filler))).groupBy(
         *keys, "tag").agg(F.avg("score").alias("consensus"))
 
@@ -241,7 +248,7 @@ def evaluate_grid(rankings: DataFrame, hypotheses: DataFrame, profiles: DataFram
         "base", F.when(F.col("scaling") == "range", F.col("ranged")).otherwise(F.col("fused_score")))
     final = scaled.join(consensus, [*keys, "tag"], "left").withColumn("consensus", F.coalesce("consensus", F.lit(0.0)))
     final = final.withColumn("final_score", F.col("base") + F.col("beta") * F.col("consensus"))
-    return ranked(final, list(keys), FINAL_ORDER, top_k)
+    return ranked(final, list(keys), final_order(), top_k)
 
 
 def best_single_hypothesis(rankings: DataFrame, hypotheses: DataFrame, profiles: DataFrame, gold: DataFrame,

@@ -1,11 +1,14 @@
 """Agreement, verifier terms, windows and the evaluation grid."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from evirank.operators import agree, fuse, metrics, verify, windows
 from evirank.plans import frames
 from evirank.plans.q_fuse import rrf
 from evirank.plans.registry import fragment, query
+from evirank.session import checkpointed
 
 CFG = frames.part_domain()
 
@@ -14,11 +17,15 @@ class Inputs:
     """The frames most queries here start from."""
 
     def __init__(self, t):
-        self.lists = frames.rankings(t)
+        # ranked lists and verdicts are stored tables in a real run, so they are written once here too
+        self.lists = checkpointed(frames.rankings(t))
         self.fused = fuse.fuse(self.lists)
         self.hyps = agree.normalize_hypotheses(frames.hypotheses(t), CFG)
         self.profiles = agree.concept_profiles(frames.concepts(t), CFG, frames.CONCEPT_TEXT)
-        self.verdicts = frames.verdicts(self.fused)
+
+    @cached_property
+    def verdicts(self):
+        return checkpointed(frames.verdicts(self.fused))
 
     @property
     def pairs(self):

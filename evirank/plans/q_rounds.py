@@ -76,7 +76,7 @@ def j3(t):
 
 @query("J4_span_overlap", "SELECT doc_id, r.s AS s, r.e AS e, idx FROM ranges JOIN sentences USING (doc_id) WHERE r.s < span_end AND r.e > span_start")
 def j4(t):
-    ranges = t.documents.select("doc_id", F.inline(codes.parse_ranges(POSITION)))
+    ranges = t.documents.select("doc_id", F.inline(codes.parse_ranges(F.expr(POSITION))))
     return codes.spans_touching(codes.sentence_spans(t.documents, "doc_id", "text"), ranges, "doc_id").select("doc_id", "s", "e", "idx")
 
 
@@ -94,7 +94,7 @@ def loci(t):
     sentences = codes.sentence_spans(t.documents, "doc_id", "text")
     lines = codes.line_spans(t.documents, "doc_id", "text").where("doc_id % 3 = 0").select("doc_id", "idx", "line").unionByName(
         sentences.where("doc_id % 3 <> 0").select("doc_id", "idx", F.concat(F.lit("en: "), F.col("sentence")).alias("line")))
-    requests = t.documents.select(F.col("doc_id").alias("req_id"), "doc_id", codes.parse_ranges(POSITION).alias("ranges"))
+    requests = t.documents.select(F.col("doc_id").alias("req_id"), "doc_id", codes.parse_ranges(F.expr(POSITION)).alias("ranges"))
     return codes.aligned_locus(requests, sentences, lines)
 
 

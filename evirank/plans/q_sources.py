@@ -70,7 +70,7 @@ def s5(t):
 
 
 def code_lines(t):
-    return t.part.select(F.concat_ws("\t", PART_CODE, F.concat(F.lit("es "), "p_name"), F.concat(F.lit(" "), "p_name")).alias("value"))
+    return t.part.select(F.concat_ws("\t", F.expr(PART_CODE), F.concat(F.lit("es "), "p_name"), F.concat(F.lit(" "), "p_name")).alias("value"))
 
 
 @query("S6_tsv_scan", "SELECT raw, 'es ' || p_name AS es_desc, p_name AS en_desc FROM coded_parts")
@@ -209,7 +209,7 @@ def c1(t):
     SELECT node AS p_partkey, replace(notes, ';', '; ') AS notes2, path AS path2 FROM walked) USING (p_partkey)""")
 def c2(t):
     walked = corpus.walk_up(part_tree(t), 8).select("node", "labels", "notes")
-    rows = t.part.select("p_partkey", "p_name", codes.normalize_code(PART_CODE).alias("code"))
+    rows = t.part.select("p_partkey", "p_name", codes.normalize_code(F.expr(PART_CODE)).alias("code"))
     # the part key keeps equal codes apart
     key = F.concat_ws("-", "code", F.col("p_partkey").cast("string"))
     base = rows.select(key.alias("raw"), F.col("p_name").alias("label"))
@@ -223,7 +223,7 @@ def c2(t):
     UNION ALL SELECT 'temporal', CASE WHEN p_name LIKE '%new%' THEN 'initial-encounter' ELSE 'sequela' END, CASE WHEN p_name LIKE '%new%' THEN 'initial encounter' ELSE 'sequela of ' || p_name END FROM part) GROUP BY ALL""")
 def c3(t):
     extension = F.when(F.col("p_name").contains("new"), "initial encounter").otherwise(F.concat(F.lit("sequela of "), "p_name"))
-    return corpus.vocabulary_table(t.part.select(F.col("p_type").alias("chapter"), codes.role_for_code(PART_CODE).alias("role"), extension.alias("extension")))
+    return corpus.vocabulary_table(t.part.select(F.col("p_type").alias("chapter"), codes.role_for_code(F.expr(PART_CODE)).alias("role"), extension.alias("extension")))
 
 
 @query("C4_facts_build", """SELECT count(*) AS n_facts, avg(alignment_ok::INT) AS alignment_rate, avg(CASE WHEN ok THEN 0 ELSE 1 END) AS fallback_rate FROM loci JOIN (SELECT doc_id FROM (SELECT doc_id, sum(1) OVER (ORDER BY md5('3-' || doc_id), doc_id) AS r FROM documents) WHERE r <= 600) USING (doc_id)""")

@@ -78,7 +78,7 @@ def f6(t):
 
 
 # Codes for the driver tables: a letter and digits derived from the part key, dotted after three characters.
-PART_CODE = F.expr(
+PART_CODE = (
     "concat(substr('CDRSTVWXYZOPQABEFGHIJKLMNU', cast(p_partkey % 26 as int) + 1, 1), lpad(cast(p_partkey % 100 as string), 2, '0'),"
     " case when p_partkey % 3 = 0 then '' else '.' end, cast(p_size as string))"
 )
@@ -98,12 +98,12 @@ fragment("coded_parts", f"SELECT p_partkey, p_name, p_type, replace(upper({SQL_C
 @query("F7_code_normalize", f"SELECT p_partkey, raw, {SQL_DOTTED} AS dotted FROM coded_parts")
 def f7(t):
     return t.part.select(
-        "p_partkey", codes.normalize_code(PART_CODE).alias("raw"), codes.dotted_code(PART_CODE).alias("dotted"))
+        "p_partkey", codes.normalize_code(F.expr(PART_CODE)).alias("raw"), codes.dotted_code(F.expr(PART_CODE)).alias("dotted"))
 
 
 @query("F8_code_role", f"SELECT {SQL_ROLE} AS role, count(*) AS n FROM coded_parts GROUP BY 1")
 def f8(t):
-    return t.part.groupBy(codes.role_for_code(PART_CODE).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return t.part.groupBy(codes.role_for_code(F.expr(PART_CODE)).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 PHRASES = ["routine healing", "delayed healing", "nonunion", "malunion", "subsequent", "initial", "sequela",
@@ -199,7 +199,7 @@ def f15(t):
 
 
 # Two offset ranges per document, the second one malformed for every fourth document.
-POSITION = F.expr("concat(doc_id % 40, ' ', doc_id % 40 + 15, ';', case when doc_id % 4 = 0 then 'x 9' else"
+POSITION = ("concat(doc_id % 40, ' ', doc_id % 40 + 15, ';', case when doc_id % 4 = 0 then 'x 9' else"
                   " concat(60 + doc_id % 300, ' ', 90 + doc_id % 300) end)")
 fragment("ranges", """SELECT doc_id, unnest(list_concat([{'s': (doc_id % 40)::INT, 'e': (doc_id % 40 + 15)::INT}],
     CASE WHEN doc_id % 4 = 0 THEN [] ELSE [{'s': (60 + doc_id % 300)::INT, 'e': (90 + doc_id % 300)::INT}] END)) AS r FROM documents""")
@@ -207,13 +207,13 @@ fragment("ranges", """SELECT doc_id, unnest(list_concat([{'s': (doc_id % 40)::IN
 
 @query("F16_parse_ranges", "SELECT doc_id, r.s AS s, r.e AS e FROM ranges")
 def f16(t):
-    return t.documents.select("doc_id", F.inline(codes.parse_ranges(POSITION)))
+    return t.documents.select("doc_id", F.inline(codes.parse_ranges(F.expr(POSITION))))
 
 
 @query("F17_extract_span", f"""SELECT doc_id, {sql_space("string_agg(CASE WHEN r.e <= length(text) THEN text[r.s+1:r.e] END, ' ' ORDER BY r.s)")} AS span
     FROM ranges JOIN documents USING (doc_id) GROUP BY doc_id""")
 def f17(t):
-    rows = t.documents.select("doc_id", "text", codes.parse_ranges(POSITION).alias("ranges"))
+    rows = t.documents.select("doc_id", "text", codes.parse_ranges(F.expr(POSITION)).alias("ranges"))
     return rows.select("doc_id", codes.extract_span("text", "ranges").alias("span"))
 
 
