@@ -63,8 +63,18 @@ def resolve_scope(queries: DataFrame, stats: DataFrame, typed: bool = True) -> D
     ).drop("known_scope")
 
 
-def match_scores(queries: DataFrame, docs: DataFrame, stats: DataFrame, cfg: DomainConfig) -> DataFrame:
-    """BM25 score of every (query, concept) that shares a token: query_id, scope, doc_idx, tag, bm25_score."""
+def by_document(rows: DataFrame) -> DataFrame:
+    """Spread index rows by document before queries meet them.
+
+    While the query terms are small enough to be broadcast, every (query, document) group then forms and is summed
+    inside one task: the index is shuffled, not the far more numerous matches, and only k rows per query and task
+    travel to the top-k window. The count is fixed, so tasks are not merged for the small input they read.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_idx")
+
+
+def match_parts(queries: DataFrame, docs: DataFrame, stats: DataFrame, cfg: DomainConfig) -> DataFrame:
+    """One row per (query, concept, shared token) with the token's share of the BM25 score."""
     terms = queries.select("query_id", "scope", F.explode(token_set("query")).alias("token"))
     posts = postings(docs, terms.select("scope", "token").distinct())
     weighted = posts.join(idf_table(posts, stats), ["scope", "token"]).select(
@@ -72,11 +82,13 @@ def match_scores(queries: DataFrame, docs: DataFrame, stats: DataFrame, cfg: Dom
         (F.col("idf") * F.col("tf") * (cfg.k1 + 1.0)
          / (F.col("tf") + cfg.k1 * (1.0 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))).alias("part"),
     )
-    return (
-        terms.join(weighted, ["scope", "token"])
-        .groupBy("query_id", "scope", "doc_idx", "tag")
-        .agg(F.sum("part").alias("bm25_score"))
-    )
+    return terms.join(by_document(weighted), ["scope", "token"]).select("query_id", "scope", "doc_idx", "tag", "part")
+
+
+def match_scores(queries: DataFrame, docs: DataFrame, stats: DataFrame, cfg: DomainConfig) -> DataFrame:
+    """BM25 score of every (query, concept) that shares a token: query_id, scope, doc_idx, tag, bm25_score."""
+    parts = match_parts(queries, docs, stats, cfg)
+    return parts.groupBy("query_id", "scope", "doc_idx", "tag").agg(F.sum("part").alias("bm25_score"))
 
 
 def _top(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -119,47 +131,20 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
                         cfg: DomainConfig = DomainConfig(), typed: bool = True) -> DataFrame:
     """BM25 min-max scaled over the pool plus weighted label coverage, ordered by five keys.
 
-    With `pool_multiplier` <= 0 the pool is every concept of the scope. Concepts outside both the BM25 hits and the
-    label matches all score the pool minimum, so the k of them with the smallest tags are all that can be listed.
+    With `pool_multiplier` <= 0 the pool is every concept of the scope.
     """
     stats = scope_stats(docs)
     scoped = resolve_scope(queries, stats, typed).withColumn("q_tokens", token_set("query"))
-    labels = concepts.select(
-        "doc_idx", "entity_type", token_set(first_filled("standard_label", "tag")).alias("label_tokens")
-    )
-    scores = match_scores(scoped, docs, stats, cfg)
-    if cfg.pool_multiplier > 0:
-        pool_k = max(k, k * cfg.pool_multiplier)
-        pool = _zero_filled(scoped, _top(scores, ["query_id"], bm25_order(), pool_k), docs, pool_k).drop("rank")
-        span = pool.groupBy("query_id").agg(F.min("bm25_score").alias("lo"), F.max("bm25_score").alias("hi"))
-    else:
-        hit_stats = scores.groupBy("query_id").agg(
-            F.min("bm25_score").alias("min_hit"), F.max("bm25_score").alias("hi_hit"), F.count(F.lit(1)).alias("n_hits")
-        )
-        span = (
-            scoped.select("query_id", "scope").join(stats, "scope").join(hit_stats, "query_id", "left")
-            .select(
-                "query_id",
-                F.when(F.coalesce("n_hits", F.lit(0)) < F.col("n_docs"), 0.0).otherwise(F.col("min_hit")).alias("lo"),
-                F.coalesce("hi_hit", F.lit(0.0)).alias("hi"),
-            )
-        )
-        pool = scores.unionByName(_unscored(scoped, scores, docs, labels, k))
-    joined = (
-        pool.join(span, "query_id")
-        .join(scoped.select("query_id", "q_tokens"), "query_id")
-        .join(labels.select("doc_idx", "label_tokens"), "doc_idx")
-    )
-    cov, qcov = coverage("q_tokens", "label_tokens")
+    labels = concepts.select("doc_idx", token_set(first_filled("standard_label", "tag")).alias("label_tokens"))
+    whole = cfg.pool_multiplier <= 0
+    pool = (_whole_pool if whole else _bounded_pool)(scoped, docs, labels, stats, k, cfg)
     spread = F.col("hi") - F.col("lo")
-    rescored = joined.select(
-        "query_id", "scope", "doc_idx", "tag", "bm25_score", cov.alias("label_coverage"),
-        qcov.alias("query_label_coverage"),
-        F.when(spread > 0, (F.col("bm25_score") - F.col("lo")) / spread).otherwise(F.lit(1.0)).alias("bm25_normalized"),
+    rescored = pool.withColumn(
+        "bm25_normalized", F.when(spread > 0, (F.col("bm25_score") - F.col("lo")) / spread).otherwise(F.lit(1.0))
     ).withColumn(
         "retrieval_score",
         F.col("bm25_normalized") + cfg.coverage_weight * (F.col("label_coverage") + F.col("query_label_coverage")),
-    )
+    ).drop("lo", "hi")
     order = [
         F.desc(F.expr("round(retrieval_score, 10)")), F.desc(F.expr("round(label_coverage, 10)")),
         F.desc(F.expr("round(query_label_coverage, 10)")), F.desc(F.expr("round(bm25_score, 10)")), F.asc("tag"),
@@ -167,23 +152,45 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
     return _top(rescored, ["query_id"], order, k)
 
 
-def _unscored(scoped: DataFrame, scores: DataFrame, docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Concepts without a BM25 hit that may still be listed: label matches and the k smallest tags of the scope."""
-    terms = scoped.select("query_id", "scope", F.explode("q_tokens").alias("token"))
+def _bounded_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
+    """The best max(k, k * multiplier) concepts per query, zero fill included, with their coverage."""
+    pool_k = max(k, k * cfg.pool_multiplier)
+    hits = _top(match_scores(scoped, docs, stats, cfg), ["query_id"], bm25_order(), pool_k)
+    pool = _zero_filled(scoped, hits, docs, pool_k).drop("rank")
+    span = pool.groupBy("query_id").agg(F.min("bm25_score").alias("lo"), F.max("bm25_score").alias("hi"))
+    joined = pool.join(span, "query_id").join(scoped.select("query_id", "q_tokens"), "query_id").join(labels, "doc_idx")
+    cov, qcov = coverage("q_tokens", "label_tokens")
+    return joined.withColumns({"label_coverage": cov, "query_label_coverage": qcov}).drop("q_tokens", "label_tokens")
+
+
+def _whole_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
+    """Every concept that can be listed: text matches, label matches, and the smallest tags of the scope.
+
+    Text and label postings meet in one aggregate per (query, concept), so coverage is a count and no concept text is
+    joined to the matches. A concept without either match scores the pool minimum; it is listed only while there are
+    fewer than k matches, so 2k names leave k that are no match.
+    """
+    terms = scoped.select("query_id", "scope", F.size("q_tokens").alias("n_query"), F.explode("q_tokens").alias("token"))
     members = docs.select("scope", "doc_idx", "tag")
-    label_terms = labels.select("doc_idx", F.explode("label_tokens").alias("token")).join(
-        terms.select("token").distinct(), "token", "left_semi"
-    )
-    by_label = terms.join(label_terms.join(members, "doc_idx"), ["scope", "token"]).select(
-        "query_id", "scope", "doc_idx", "tag"
-    )
-    # a concept at score 0 is listed only while there are fewer than k hits, so 2k names leave k that are no hits
+    label_terms = labels.select("doc_idx", F.size("label_tokens").alias("n_label"), F.explode("label_tokens").alias("token")).join(
+        terms.select("token").distinct(), "token", "left_semi")
+    none = F.lit(None).cast("int")
+    cells = ["query_id", "scope", "doc_idx", "tag"]
+    by_text = match_parts(scoped, docs, stats, cfg).select(*cells, "part", F.lit(0).alias("shared"), none.alias("n_label"), none.alias("n_query"))
+    by_label = terms.join(by_document(label_terms.join(members, "doc_idx")), ["scope", "token"]).select(
+        *cells, F.lit(None).cast("double").alias("part"), F.lit(1).alias("shared"), "n_label", "n_query")
     head = _top(members, ["scope"], [F.asc("tag")], 2 * k, "pos").drop("pos")
-    by_tag = scoped.select("query_id", "scope").join(head, "scope").select("query_id", "scope", "doc_idx", "tag")
-    extra = by_label.unionByName(by_tag).distinct()
-    return extra.join(scores.select("query_id", "doc_idx"), ["query_id", "doc_idx"], "left_anti").select(
-        "query_id", "scope", "doc_idx", "tag", F.lit(0.0).alias("bm25_score")
-    )
+    by_name = scoped.select("query_id", "scope").join(head, "scope").select(
+        *cells, F.lit(None).cast("double").alias("part"), F.lit(0).alias("shared"), none.alias("n_label"), none.alias("n_query"))
+    pool = by_text.unionByName(by_label).unionByName(by_name).groupBy(*cells).agg(
+        F.sum("part").alias("text_score"), F.sum("shared").alias("shared"), F.max("n_label").alias("n_label"), F.max("n_query").alias("n_query"))
+    hit = pool.groupBy("query_id").agg(F.min("text_score").alias("min_hit"), F.max("text_score").alias("max_hit"), F.count("text_score").alias("n_hits"))
+    span = scoped.select("query_id", "scope").join(stats, "scope").join(hit, "query_id").select(
+        "query_id", F.when(F.col("n_hits") < F.col("n_docs"), 0.0).otherwise(F.col("min_hit")).alias("lo"), F.coalesce("max_hit", F.lit(0.0)).alias("hi"))
+    return pool.join(span, "query_id").select(
+        *cells, F.coalesce("text_score", F.lit(0.0)).alias("bm25_score"), "lo", "hi",
+        F.coalesce(F.col("shared") / F.col("n_label"), F.lit(0.0)).alias("label_coverage"),
+        F.coalesce(F.col("shared") / F.col("n_query"), F.lit(0.0)).alias("query_label_coverage"))
 
 
 def attach_concepts(ranking: DataFrame, concepts: DataFrame, digits: int = 8) -> DataFrame:
