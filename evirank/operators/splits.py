@@ -81,7 +81,7 @@ def allocate_quotas(weights: DataFrame, total: int, keys: tuple = (), cap: str =
         "_raw", F.col("weight") / F.col("_w") * F.col("_total"))
     forced = F.lit(one_each) & (F.col("_total") >= F.col("_g"))
     seats = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("_cap"), F.col("_total")).cast("int"))))
-    seats = seats.withColumn("_f", (forced & (F.col("k") == 1)).cast("int")).withColumn("_p", F.round(F.col("_raw") - (F.col("k") - 1), 10))
+    seats = seats.withColumn("_f", (forced & (F.col("k") == 1)).cast("int")).withColumn("_p", F.col("_raw") - (F.col("k") - 1))
     order = Window.partitionBy(*keys).orderBy(F.desc("_f"), F.desc("_p"), F.desc("weight"), F.desc("name"), F.asc("k"))
     won = seats.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_total"))
     return rows.select(*keys, "name").join(won.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("quota")), [*keys, "name"], "left").withColumn(

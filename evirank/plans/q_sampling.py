@@ -45,7 +45,7 @@ def b2(t):
 
 
 fragment("strata", "SELECT stratum AS name, count(*) AS weight FROM labelled GROUP BY stratum")
-SEATS = """SELECT {k} name, count(*) AS quota FROM (SELECT {k} name, row_number() OVER ({p} ORDER BY (total >= g AND seat = 1)::INT DESC, round(raw - (seat - 1), 10) DESC, weight DESC, name DESC, seat) AS r, total FROM (
+SEATS = """SELECT {k} name, count(*) AS quota FROM (SELECT {k} name, row_number() OVER ({p} ORDER BY (total >= g AND seat = 1)::INT DESC, raw - (seat - 1) DESC, weight DESC, name DESC, seat) AS r, total FROM (
     SELECT *, unnest(range(1, least(cap, total)::BIGINT + 1)) AS seat FROM (SELECT *, weight / (sum(weight) OVER ({p})) * total AS raw FROM (
       SELECT *, count(*) OVER ({p}) AS g, least({n}, sum(cap) OVER ({p})) AS total FROM ({src}) WHERE cap > 0)))) WHERE r <= total GROUP BY ALL"""
 fragment("train_quotas", SEATS.format(k="", p="", n=400, src="SELECT name, weight, weight AS cap FROM strata"))

@@ -1,0 +1,209 @@
+"""Small hand-made cases for the rules that decide results."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from evirank.domain import DomainConfig
+from evirank.functions import codes, modeljson, text
+from evirank.operators import agree, bootstrap, fuse, metrics, quality, retrieve, rounds, splits, verify
+
+
+def one(spark, **columns):
+    row = spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).collect()[0]
+    return row[0] if len(columns) == 1 else row
+
+
+def test_tokens(spark):
+    assert {"goodwill", "impairment"} <= set(one(spark, t=text.tokenize(F.lit("GoodwillImpairment"))))
+    assert "of" not in one(spark, t=text.tokenize(F.lit("Cost of Revenue")))
+    assert one(spark, t=text.tokenize(F.lit(""))) == []
+    assert one(spark, t=text.tokenize(F.lit("taxes Policies ties glass"))) == ["taxe", "policy", "tie", "glass"] * 2
+
+
+def test_label_rendering(spark):
+    dims = F.create_map(*map(F.lit, ["FAMILY", "Debt", "ROLE", "Repayment", "TEMPORAL", "year three", "EVENT", "UNRESOLVED"]))
+    assert one(spark, t=text.render_label(dims)).split()[0] == "debt"
+    assert one(spark, t=text.render_label(F.create_map(F.lit("FAMILY"), F.lit("unresolved")))) is None
+
+
+def test_visible_text(spark):
+    html = "<p>a&amp;b</p><!-- no --><script>if (x<1) {y}</script><b>c</b> 1 < 2"
+    assert one(spark, t=text.html_to_visible_text(F.lit(html))) == "a&b if (x<1) {y} c 1 < 2"
+    assert one(spark, t=text.html_to_visible_text(F.lit("x&nbsp;&lt; y"))) == "x < y"
+
+
+def test_sentences_keep_initials(spark):
+    docs = spark.createDataFrame([(1, "The U.S. Army came. It left! 3 days. end")], "doc_id int, text string")
+    got = [r.sentence for r in codes.sentence_spans(docs, "doc_id", "text").orderBy("idx").collect()]
+    assert got == ["The U.", "S. Army came.", "It left!", "3 days. end"]
+
+
+def lists(spark, rows):
+    return spark.createDataFrame(rows, "fact_id int, list_id int, rank int, tag string, score double")
+
+
+def test_fusion(spark):
+    got = {r.tag: r for r in fuse.fuse(lists(spark, [(1, 1, 1, "x", 1.0), (1, 2, 1, "x", 1.0), (1, 1, 2, "y", 1.0), (1, 2, 0, "z", 1.0)])).collect()}
+    assert got["x"].fused_score == pytest.approx(2 / 61) and "z" not in got
+    mean = fuse.rrf_scores(lists(spark, [(1, 1, 10, "Z", 0.0), (1, 2, 1, "a", 0.0)]), how="mean").where("tag = 'Z'").first()
+    assert mean.fused_score == pytest.approx(1 / 70)
+    best = fuse.rrf_scores(lists(spark, [(1, 1, 5, "X", 1.0), (1, 2, 2, "X", 9.0)]), payload=("score",)).first()
+    assert best.score == 9.0
+
+
+def test_scaling_ties(spark):
+    rows = lists(spark, [(1, 1, 1, "a", 1.0), (1, 1, 2, "b", 3.0), (1, 1, 3, "c", 5.0), (2, 1, 1, "a", 2.0), (2, 1, 2, "b", 2.0)])
+    for on_tie in (0.0, 1.0):
+        got = {(r.fact_id, r.tag): r.s for r in fuse.minmax(rows, ["fact_id"], "score", on_tie, "s").collect()}
+        assert got[1, "a"] == 0 and got[1, "c"] == 1 and got[2, "a"] == got[2, "b"] == on_tie
+
+
+def test_zero_fill_and_order(spark):
+    concepts = spark.createDataFrame(
+        [(i, f"t{i}", "x", f"label {i}", body) for i, body in enumerate(["red bolt", "blue", "red", "green", "bolt"])],
+        "doc_idx bigint, tag string, entity_type string, standard_label string, retrieval_text string")
+    queries = spark.createDataFrame([(1, "x", "red red bolts"), (2, "none", "nothing")], "query_id int, entity_type string, query string")
+    got = retrieve.rank_bm25(queries, retrieve.scoped_docs(concepts), 5).orderBy("query_id", "rank").collect()
+    first = [r.doc_idx for r in got if r.query_id == 1]
+    assert first[0] == 0 and set(first[1:3]) == {2, 4} and first[3:] == [1, 3]
+    assert [r.doc_idx for r in got if r.query_id == 2] == [0, 1, 2, 3, 4]
+    # brute force for the first query
+    docs = [["red", "bolt"], ["blue"], ["red"], ["green"], ["bolt"]]
+    docs = [d * 2 for d in docs]
+    avg = sum(map(len, docs)) / 5
+    def score(d):
+        out = 0
+        for t in ("red", "bolt"):
+            df = sum(t in x for x in docs)
+            tf = d.count(t)
+            out += math.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / avg)) if tf else 0
+        return out
+    for r in got:
+        if r.query_id == 1:
+            assert r.bm25_score == pytest.approx(score(docs[r.doc_idx]))
+
+
+def pool(spark, concept_rows, dims, cfg=DomainConfig()):
+    concepts = spark.createDataFrame(concept_rows, "tag string, label string")
+    hyps = spark.createDataFrame([(1, 0, dims)], "fact_id int, hyp_idx int, dimensions map<string,string>")
+    profiles = agree.concept_profiles(concepts, cfg, ["tag", "label"])
+    ranked = concepts.select(F.lit(1).alias("fact_id"), F.lit(0).alias("hyp_idx"), "tag", F.monotonically_increasing_id().alias("rank"))
+    return agree.pair_verdicts(ranked.withColumn("rank", F.lit(1)), agree.normalize_hypotheses(hyps, cfg), profiles)
+
+
+def test_agreement(spark):
+    rows = pool(spark, [("LongTermDebt", "Long-term debt principal repayment, maturities, year three")],
+                {"FAMILY": "debt", "ROLE": "repayment principal", "TEMPORAL": "UNRESOLVED"})
+    got = rows.select(agree.count_evaluated().alias("e"), agree.agree_score().alias("s")).first()
+    assert got.e == 2 and got.s >= 0.5
+
+
+def test_vocabulary_values(spark):
+    hyps = spark.createDataFrame([(1, 0, {"QUALIFIER": "net of tax", "period": "third year"})], "fact_id int, hyp_idx int, dimensions map<string,string>")
+    dims = agree.normalize_hypotheses(hyps, DomainConfig()).first().dims
+    assert "aftertax" in dims.qualifier.cats and "year_3" in dims.temporal.cats and dims.family is None
+
+
+def test_feedback_merge_keeps_first(spark):
+    schema = "fact_id int, hyp_idx int, dim string, verdict string, confidence double"
+    first = spark.createDataFrame([(1, 0, "family", "support", 0.9), (1, 0, "role", "unresolved", 0.0)], schema)
+    second = spark.createDataFrame([(1, 0, "family", "contradict", 0.0), (1, 0, "role", "support", 0.0)], schema)
+    got = {r.dim: r for r in agree.merge_feedback(first, second).collect()}
+    assert got["family"].verdict == "support" and got["family"].disagrees and got["family"].confidence == pytest.approx(0.7)
+    assert got["role"].verdict == "support" and got["role"].layer == "second" and got["role"].confidence == 0.6
+
+
+def verdicts(spark, rows):
+    return spark.createDataFrame(rows, "fact_id int, hyp_idx int, tag string, dim string, matched boolean")
+
+
+def test_verdict_scores(spark):
+    rows = [(1, 0, "a", d, m) for d, m in zip(verify.JUDGED_DIMENSIONS, [True, True, None, None, None, None])]
+    wide = verify.wide_verdicts(verdicts(spark, rows))
+    got = wide.select(verify.verdict_score("drop").alias("d"), verify.verdict_score("negative").alias("n"), verify.verdict_score("neutral").alias("u")).first()
+    assert got.d == 1.0 and got.n == pytest.approx(2 / 6) and got.u == pytest.approx((2 + 4 * 0.5) / 6)
+    assert verify.resolve_mode("auto", None) == "deterministic"
+    with pytest.raises(ValueError):
+        verify.resolve_mode("llm_drop", None)
+
+
+def test_metrics(spark):
+    ranking = lists(spark, [(1, 1, 1, "B", 0.0), (1, 1, 2, "A", 0.0), (2, 1, 1, "B", 0.0)])
+    gold = spark.createDataFrame([(1, "A"), (2, "A")], "fact_id int, tag string")
+    facts = spark.createDataFrame([(1, 1), (2, 1)], "fact_id int, context_id int")
+    got = {r.fact_id: r for r in metrics.fact_metrics(facts, metrics.gold_ranks(ranking, gold, ["fact_id"]), [10]).collect()}
+    assert got[1].gold_rank == 2 and got[1].accuracy == 0 and got[1].recall_at_10 == 1
+    assert got[2].gold_rank is None and got[2].mrr == 0
+
+
+def test_rerank_share(spark):
+    rows = spark.createDataFrame([(1, "a", 0.0, 0.0), (1, "b", 1.0, 0.5), (2, "a", 1.0, 0.1), (2, "b", 1.0, 0.2)], "fact_id int, tag string, base double, consensus double")
+    got = {r.fact_id: r.rerank_share for r in verify.rerank_share(rows, 0.6).collect()}
+    assert got[1] == pytest.approx(0.3) and got[2] is None
+
+
+def test_quotas_equal_the_greedy_loop(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        weights = {f"g{i}": rng.randint(1, 40) for i in range(5)}
+        total = rng.randint(3, sum(weights.values()))
+        quotas = dict.fromkeys(weights, 1 if total >= len(weights) else 0)
+        raw = {g: w / sum(weights.values()) * total for g, w in weights.items()}
+        while sum(quotas.values()) < total:
+            best = max((g for g in weights if quotas[g] < weights[g]), key=lambda g: (raw[g] - quotas[g], weights[g], g))
+            quotas[best] += 1
+        df = spark.createDataFrame(list(weights.items()), "name string, weight bigint")
+        assert {r.name: r.quota for r in splits.allocate_quotas(df, total).collect()} == quotas
+
+
+def test_hashed_order_is_a_total_order(spark):
+    rows = spark.range(500).select(F.col("id").alias("sample_id"), (F.col("id") % 3).alias("g"), F.lit(2).alias("n"))
+    got = splits.hashed_order(rows, "sample_id", 7, ["g"], "n").collect()
+    import hashlib
+
+    for g in range(3):
+        mine = [r.sample_id for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)]
+        want = sorted((i for i in range(500) if i % 3 == g), key=lambda i: (hashlib.md5(f"7-{i}".encode()).hexdigest(), i))
+        assert mine == want
+        assert [r.running for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == [2 * (i + 1) for i in range(len(want))]
+
+
+def test_directives(spark):
+    state = spark.createDataFrame([(1, ["FAMILY"], ["ROLE", "EVENT"], ["SCOPE"], True)],
+                                  "fact_id int, supported array<string>, contradicted array<string>, open array<string>, mismatch boolean")
+    got = rounds.admissible_slate(state, 6).orderBy("slot").collect()
+    assert [r.mode for r in got] == ["REFINE", "REFINE", "CHANGE_STRATEGY", "BRANCH", "PERTURB"]
+    assert rounds.admissible_slate(state, 3).where("slot = 3").first().mode == "PERTURB"
+
+
+def test_posterior_means_match_numpy(spark):
+    import numpy as np
+
+    data = [("o", c, s, [1.0, float(s % 3)], 0.1 * s) for s, c in enumerate([1, 1, 2, 2, 3])]
+    rows = spark.createDataFrame(data, "operator string, context_id bigint, step bigint, psi array<double>, reward double")
+    got = rounds.posterior_means(rounds.leave_one_context_out(rounds.decayed_moments(rows, 2, 0.5, 5)), 2, 1.0).collect()
+    for r in got:
+        keep = [(p, w, y) for _, c, s, p, y in data if c != r.context_id for w in [0.5 ** (5 - s)]]
+        a = np.eye(2) + sum(w * np.outer(p, p) for p, w, y in keep)
+        b = sum(w * y * np.array(p) for p, w, y in keep)
+        assert np.allclose(r.mu, np.linalg.solve(a, b))
+
+
+def test_salvage_and_resume(spark):
+    raw = '{"verdicts": [{"tag": "a", "FAMILY": "support"}, {"tag": "b", "FAMILY": "contradict"}, {"tag": "c", "FAM'
+    calls = spark.createDataFrame([(1, raw, ["a", "b", "c"]), (2, "nothing", ["a"])], "call_id int, raw_output string, candidate_tags array<string>")
+    entries = modeljson.verdict_entries(calls, ["FAMILY"])
+    assert {(r.tag, r.matched, r.parse_mode) for r in entries.collect()} == {("a", True, "salvaged"), ("b", False, "salvaged")}
+    assert {r.call_id: r.parse_mode for r in modeljson.call_modes(calls, entries).collect()} == {1: "salvaged", 2: "failed"}
+    log = spark.createDataFrame([(i, 1, 0, False, 0) for i in range(60)] + [(60, 1, 0, True, 3)], "log_pos int, fact_id int, hyp_idx int, parse_ok boolean, n_verdicts int")
+    assert quality.reusable_calls(log.where("log_pos < 60")).where("reusable").count() == 0
+    assert quality.reusable_calls(log).where("reusable").count() == 1
+
+
+def test_bootstrap_brackets_the_mean(spark):
+    rows = spark.range(400).select((F.col("id") % 20).alias("context_id"), (F.col("id") % 7 / 7.0).alias("value"))
+    got = bootstrap.mean_interval(rows, "value", [], 200, 1).first()
+    assert got.ci_low <= got.mean <= got.ci_high and got.n_contexts == 20
