@@ -146,7 +146,7 @@ MODES = {
     "parallel_sampling": ("def", ONE_STAGE), "decomposed_retrieval": ("def", ONE_STAGE),
     "intrinsic_self_refinement": ("def", ONE_STAGE), "retrieval_feedback_refinement": ("def", ONE_STAGE),
     "parallel_sampling_diversity": ("dual", PER_HYPOTHESIS), "bandit_freeform": ("dual", PER_HYPOTHESIS),
-    "frozen_ags": ("dual", ONE_STAGE), "ags_seq": ("dual", ONE_STAGE),
+    "frozen_hypotheses": ("dual", ONE_STAGE), "sequential_rounds": ("dual", ONE_STAGE),
 }
 
 

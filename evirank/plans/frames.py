@@ -50,10 +50,10 @@ def rankings(t: Tables, top_k: int = TOP_K) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
 
 
-fragment("rankings", """SELECT fact_id, list_id, ((list_id - 1) // 2)::INT AS hyp_idx,
+fragment("rankings", """SELECT fact_id, list_id, ((list_id - 1) // 2)::BIGINT AS hyp_idx,
     CASE WHEN list_id % 2 = 1 THEN 'def' ELSE 'lab' END AS rendering, tag, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY fact_id, list_id ORDER BY score DESC, tag) AS rank FROM (
-      SELECT fact_id, tag, 1 AS list_id, round(sum(l_extendedprice), 6) AS score FROM sold GROUP BY ALL
+      SELECT fact_id, tag, 1::BIGINT AS list_id, round(sum(l_extendedprice), 6) AS score FROM sold GROUP BY ALL
       UNION ALL SELECT fact_id, tag, 2, round(sum(l_quantity), 6) FROM sold WHERE l_returnflag <> 'N' GROUP BY ALL
       UNION ALL SELECT fact_id, tag, 3, round(sum(l_discount), 6) FROM sold WHERE l_discount >= 0.05 GROUP BY ALL
       UNION ALL SELECT fact_id, tag, 4, round(sum(l_tax), 6) FROM sold WHERE l_tax >= 0.04 GROUP BY ALL)) WHERE rank <= 200""")
@@ -136,7 +136,7 @@ fragment("sup_hyps", f"""SELECT s_suppkey AS fact_id, hyp_idx, CASE WHEN s_suppk
     {sql_pick(ADJECTIVES, "'a' || s_suppkey || '-' || hyp_idx")} || ' ' || {sql_pick(NOUNS, "'n' || s_suppkey || '-' || hyp_idx")}
       || ' size ' || {sql_md5("'s' || s_suppkey || '-' || hyp_idx")} % 50 AS def_query,
     CASE WHEN {sql_md5("'e' || s_suppkey || '-' || hyp_idx")} % 5 = 0 THEN '' ELSE {sql_pick(NOUNS, "'l' || s_suppkey || '-' || hyp_idx")} END AS lab_query
-    FROM supplier, (SELECT unnest([0, 1]) AS hyp_idx)""")
+    FROM supplier, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx)""")
 fragment("sup_queries", """SELECT fact_id, hyp_idx, rendering, list_id, entity_type, fact_id * 10 + list_id AS query_id,
       trim(entity_type || ' ' || txt) AS query FROM (
     SELECT *, 'def' AS rendering, hyp_idx * 2 + 1 AS list_id, def_query AS txt FROM sup_hyps
@@ -183,7 +183,7 @@ def hypotheses(t: Tables) -> DataFrame:
 
 fragment("hyp_long", "SELECT fact_id, hyp_idx, lower(dim) AS dim, value FROM (" + " UNION ALL ".join(
     f"SELECT c_custkey AS fact_id, hyp_idx, '{d}' AS dim, "
-    + sql_pick(options, f"'{d}' || c_custkey || '-' || hyp_idx") + " AS value FROM customer, (SELECT unnest([0, 1]) AS hyp_idx)"
+    + sql_pick(options, f"'{d}' || c_custkey || '-' || hyp_idx") + " AS value FROM customer, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx)"
     for d, options in VALUES.items()) + f") WHERE lower(value) NOT IN {UNRESOLVED_SQL}")
 fragment("vocab", "SELECT dim, category, phrase, " + "string_split(phrase, ' ') AS ptoks FROM (VALUES " + ", ".join(
     f"('{d}', '{c}', '{p}')" for d, cats in PART_VOCABULARY.items() for c, words in cats.items() for p in words)
@@ -219,12 +219,12 @@ fragment("pair_long", """SELECT fact_id, hyp_idx, tag, dim, pool_rank, ctl,
 # a pair without any resolved dimension still takes part with score 0
 fragment("pair_agree", """SELECT fact_id, hyp_idx, tag, rank, coalesce(matched, 0) AS n_matched, coalesce(evaluated, 0) AS n_evaluated,
       CASE WHEN coalesce(evaluated, 0) > 0 THEN matched / evaluated::DOUBLE ELSE 0.0 END AS agree
-    FROM (SELECT fact_id, tag, rank, unnest([0, 1]) AS hyp_idx FROM fused) LEFT JOIN (
+    FROM (SELECT fact_id, tag, rank, unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx FROM fused) LEFT JOIN (
       SELECT fact_id, hyp_idx, tag, count(*) FILTER (matched) AS matched, count(matched) AS evaluated FROM pair_long GROUP BY ALL) USING (fact_id, hyp_idx, tag)""")
 WINDOW_M = 10
 fragment("verdicts", f"""SELECT fact_id, hyp_idx, tag, dim, CASE WHEN x < 3 THEN NULL ELSE x < 7 END AS matched FROM (
     SELECT fact_id, hyp_idx, tag, dim, {sql_md5("fact_id || '-' || hyp_idx || '-' || tag || '-' || dim")} % 10 AS x FROM fused,
-      (SELECT unnest([0, 1]) AS hyp_idx), (SELECT unnest(['family', 'role', 'event', 'qualifier', 'scope', 'temporal']) AS dim) WHERE rank <= 10)""")
+      (SELECT unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx), (SELECT unnest(['family', 'role', 'event', 'qualifier', 'scope', 'temporal']) AS dim) WHERE rank <= 10)""")
 
 
 def verdicts(fused: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def k13(t):
 
 fragment("dims6", "SELECT unnest(['family', 'role', 'event', 'qualifier', 'scope', 'temporal']) AS dim")
 fragment("feedback", """SELECT fact_id, hyp_idx, dim, coalesce(share, 0) AS share, CASE WHEN share >= 0.6 THEN 'support' WHEN share <= 0.25 THEN 'contradict' ELSE 'unresolved' END AS verdict,
-    CASE WHEN share IS NULL THEN 0 ELSE abs(share - 0.5) * 2 END AS confidence FROM (SELECT c_custkey AS fact_id, hyp_idx, dim FROM customer, (SELECT unnest([0, 1]) AS hyp_idx) CROSS JOIN dims6)
+    CASE WHEN share IS NULL THEN 0 ELSE abs(share - 0.5) * 2 END AS confidence FROM (SELECT c_custkey AS fact_id, hyp_idx, dim FROM customer, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx) CROSS JOIN dims6)
     LEFT JOIN (SELECT fact_id, hyp_idx, dim, avg(CASE WHEN matched THEN 1.0::DOUBLE WHEN NOT matched THEN 0 END) AS share FROM pair_long JOIN
       (SELECT fact_id, hyp_idx, tag, rank FROM rankings WHERE rendering = 'def' AND rank <= 10) USING (fact_id, hyp_idx, tag) GROUP BY ALL) USING (fact_id, hyp_idx, dim)""")
 
@@ -451,7 +451,7 @@ def w3u(t):
     return windows.unresolved_tags(arms, known)
 
 
-@query("W4_window_coverage", """WITH need AS (SELECT fact_id, tag, unnest([0, 1]) AS hyp_idx FROM fused_mean WHERE rank <= 10),
+@query("W4_window_coverage", """WITH need AS (SELECT fact_id, tag, unnest([0::BIGINT, 1::BIGINT]) AS hyp_idx FROM fused_mean WHERE rank <= 10),
     c AS (SELECT fact_id, avg(CASE WHEN v.tag IS NULL THEN 0.0 ELSE 1.0 END) AS coverage FROM need LEFT JOIN (SELECT DISTINCT fact_id, hyp_idx, tag FROM verdicts) v USING (fact_id, hyp_idx, tag) GROUP BY fact_id)
     SELECT fact_id, round(coverage, 6) AS coverage, CASE WHEN coverage >= 1 THEN 'REUSE' WHEN coverage > 0 THEN 'PARTIAL' ELSE 'NEEDS' END AS status FROM c""")
 def w4(t):

@@ -330,8 +330,8 @@ def m20b(t):
       SELECT fact_id, tag, sum(1.0::DOUBLE / (60 + rank)) AS s, min(hyp_idx) AS fl, min(rank) AS br FROM inner_lists WHERE rank <= 20 GROUP BY ALL)),
     defs AS ({rrf('fact_id', '(SELECT * FROM rankings WHERE rendering = $$def$$)')}), one AS ({rrf('fact_id', '(SELECT * FROM rankings WHERE list_id = 1)')})
     SELECT 'parallel_sampling_diversity' AS mode, fact_id, tag, rank FROM two WHERE rank <= 20 UNION ALL SELECT 'parallel_sampling', fact_id, tag, rank FROM defs WHERE rank <= 20
-    UNION ALL SELECT 'frozen_ags', fact_id, tag, rank FROM fused WHERE rank <= 20 UNION ALL SELECT 'direct_retrieval', fact_id, tag, rank FROM one WHERE rank <= 20""")
+    UNION ALL SELECT 'frozen_hypotheses', fact_id, tag, rank FROM fused WHERE rank <= 20 UNION ALL SELECT 'direct_retrieval', fact_id, tag, rank FROM one WHERE rank <= 20""")
 def qm1(t):
     lists = frames.rankings(t)
-    modes = ["parallel_sampling_diversity", "parallel_sampling", "frozen_ags", "direct_retrieval"]
+    modes = ["parallel_sampling_diversity", "parallel_sampling", "frozen_hypotheses", "direct_retrieval"]
     return metrics.stacked({m: fuse.fuse_mode(lists, m, 20).select("fact_id", "tag", "rank") for m in modes}, "mode")

@@ -201,8 +201,8 @@ def f15(t):
 # Two offset ranges per document, the second one malformed for every fourth document.
 POSITION = ("concat(doc_id % 40, ' ', doc_id % 40 + 15, ';', case when doc_id % 4 = 0 then 'x 9' else"
                   " concat(60 + doc_id % 300, ' ', 90 + doc_id % 300) end)")
-fragment("ranges", """SELECT doc_id, unnest(list_concat([{'s': (doc_id % 40)::INT, 'e': (doc_id % 40 + 15)::INT}],
-    CASE WHEN doc_id % 4 = 0 THEN [] ELSE [{'s': (60 + doc_id % 300)::INT, 'e': (90 + doc_id % 300)::INT}] END)) AS r FROM documents""")
+fragment("ranges", """SELECT doc_id, unnest(list_concat([{'s': doc_id % 40, 'e': doc_id % 40 + 15}],
+    CASE WHEN doc_id % 4 = 0 THEN [] ELSE [{'s': 60 + doc_id % 300, 'e': 90 + doc_id % 300}] END)) AS r FROM documents""")
 
 
 @query("F16_parse_ranges", "SELECT doc_id, r.s AS s, r.e AS e FROM ranges")
