@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evirank.llm import chat, decontaminate, simhash
+from evirank.llm import chat, decontaminate, langid, mixing, pii, quality_net, quality_rules, simhash, toxicity
 from evirank.llm.common import table
 
 #: A conversation that says the control strings of a common template, added to the table's own.
@@ -20,6 +20,23 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op2_quality_net(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality_net.digest(quality_net.score(docs, quality_net.fit(docs, table(spark, folder, "labels")), keep=["doc_id"]))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judged(table(spark, folder, "documents")))
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, folder, "documents")))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, folder, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, folder, "benchmark"), keep=["doc_id"]))
@@ -29,7 +46,18 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(simhash.simhash_components(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op7_decontaminate, op8_simhash)}
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.digest(langid.identify(docs.select("doc_id", "text"), langid.fit(docs), keep=["doc_id"]))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), keep=["doc_id"]))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_format, op2_quality_net, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     # template: 12 + role + 1 characters open a block, 11 close it, 8 part two turns of one role
