@@ -8,6 +8,8 @@ from evirank.llm.common import CHUNK_BYTES
 
 #: Byte map of terms: A-Z lower-cased, digits, a-z and bytes of multi-byte characters kept, the rest separates (0).
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
+#: Bytes of the prefix that stands for a longer word's stem.
+PREFIX = 6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -28,9 +30,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """uint32 hash and row of every word of the rows data[offsets[i]:offsets[i + 1]]; words never cross rows.
+    """uint32 hash and row of every term of the rows data[offsets[i]:offsets[i + 1]]: each word, and of a longer word also its
+    first PREFIX bytes, which compounds share. Words never cross rows.
 
-    A word's hash is its polynomial value mod 2^64, from prefix sums over the whole buffer, mixed down to 32 bits."""
+    A term's hash is its polynomial value mod 2^64, from prefix sums over the whole buffer, mixed down to 32 bits."""
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if len(data) > most and len(offsets) == 2:  # one long row: in parts that end between words
@@ -57,8 +60,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES)
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends)
     sums = np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _powers(len(data), _BASE))
     before = np.where(begin > 0, sums[begin - 1], np.uint64(0))
-    value = (sums[end] - before) * _powers(len(data), _INVERSE)[begin]
+    back = _powers(len(data), _INVERSE)[begin]
+    rows = np.searchsorted(offsets, begin, "right") - 1
+    long = end - begin >= PREFIX
+    prefix = (sums[begin[long] + PREFIX - 1] - before[long]) * back[long] + np.uint64(PREFIX)
+    value = np.concatenate(((sums[end] - before) * back, prefix))
     value ^= value >> np.uint64(32)
     value *= _MIX
-    rows = np.searchsorted(offsets, begin, "right") - 1
-    return (value >> np.uint64(32)).astype(np.uint32), rows
+    return (value >> np.uint64(32)).astype(np.uint32), np.concatenate((rows, rows[long]))
