@@ -84,17 +84,18 @@ def _scan(automaton, raw: bytes) -> tuple[int, np.ndarray, set]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES,
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Add n_words, n_hit, items array<string> (sorted as strings), spans array<struct<start, end>> to docs(.., text).
 
     A word is hit if it lies in any occurrence of an item window; `spans` are the maximal runs of hit words as code-point
     offsets of the original text, end exclusive. Null and empty texts have no words; an empty benchmark, or items with
     null text or no word, hit nothing; items with a null id count as the id ''. Repeated rows each keep their own row,
     and other columns pass through (columns with the four names are replaced). A text is scanned whole, once per automaton.
-    keep: the columns of docs to return (all of them by default).
+    keep: the columns of docs to return (all of them by default); prefix: put before the four names.
     """
-    n_words, n_hit, items, spans = ("n_words", "n_hit", "items", "spans")
-    docs = docs.drop(n_words, n_hit, items, spans)
+    names = [prefix + name for name in ("n_words", "n_hit", "items", "spans")]
+    n_words, n_hit, items, spans = names
+    docs = docs.drop(*names)
     rows = benchmark.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text"))
     sized = rows.withColumn("bytes", F.octet_length("text") * window)
@@ -106,52 +107,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     for block in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else sized
         held = context.broadcast([(r["id"], bytes(r["text"])) for r in part.select("id", "text").toLocalIterator()])  # about automaton_bytes / window
-        out = _pass(out, held, f"{tag()}", window, flags, keep if block == blocks - 1 else docs.columns, last=block == blocks - 1)
+        out = _pass(out, held, f"{tag()}", window, flags, names, keep if block == blocks - 1 else docs.columns, last=block == blocks - 1)
     return out
 
 
-def _pass(docs: DataFrame, held, key: str, window: int, flags: str, keep: list[str] | None, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, held, key: str, window: int, flags: str, named: list[str], keep: list[str] | None, last: bool) -> DataFrame:
     """One scan; the hit flags of earlier scans come in the column `flags` and leave as spans after the last one."""
     from pyspark.sql import types as T
 
-    carried = [f for f in docs.schema.fields if f.name not in (flags, "items", "n_words") and (keep is None or f.name in keep)]
-    ends = [T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    schema = T.StructType(carried + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())] + (ends if last else [T.StructField(flags, T.BinaryType())]))
+    n_words, n_hit, n_items, n_spans = named
+    carried = [f for f in docs.schema.fields if f.name not in (flags, n_items, n_words) and (keep is None or f.name in keep)]
+    ends = [T.StructField(n_hit, T.LongType()), T.StructField(n_spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    schema = T.StructType(carried + [T.StructField(n_items, T.ArrayType(T.StringType())), T.StructField(n_words, T.LongType())] + (ends if last else [T.StructField(flags, T.BinaryType())]))
     names = [f.name for f in carried]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, held.value, window)
         for batch in pieces(batches, "text"):
             texts = batch.column("text").cast(pa.binary()) if pa.types.is_string(batch.column("text").type) else batch.column("text").cast(pa.large_binary())
-            before, seen = batch.column(flags), batch.column("items")
-            cols: dict[str, list] = {"items": [], "n_words": [], "n_hit": [], "spans": [], flags: []}
+            before, seen = batch.column(flags), batch.column(n_items)
+            cols: dict[str, list] = {n_items: [], n_words: [], n_hit: [], n_spans: [], flags: []}
             for i in range(batch.num_rows):
                 raw = texts[i].as_py() or b""
                 n, hit, found = _scan(automaton, raw)
                 if (old := before[i].as_py()) is not None:
                     old = np.unpackbits(np.frombuffer(old, np.uint8), count=n).astype(bool)
                     hit = old | hit if len(hit) else old
-                cols["items"].append(sorted(found | set(seen[i].as_py() or [])))
-                cols["n_words"].append(n)
+                cols[n_items].append(sorted(found | set(seen[i].as_py() or [])))
+                cols[n_words].append(n)
                 if last:
-                    cols["n_hit"].append(int(hit.sum()))
+                    cols[n_hit].append(int(hit.sum()))
                     runs = []
                     if hit.any():
                         starts, stops = _word_spans(raw)
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                         runs = [{"start": int(starts[a]), "end": int(stops[b - 1])} for a, b in zip(edge[0::2], edge[1::2])]
-                    cols["spans"].append(runs)
+                    cols[n_spans].append(runs)
                 else:
                     cols[flags].append(np.packbits(hit).tobytes() if len(hit) else None)
             arrays = [batch.column(name) for name in names]
-            kinds = {"items": pa.list_(pa.string()), "n_words": pa.int64(), "n_hit": pa.int64(), flags: pa.binary(),
-                     "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-            extra = ["items", "n_words"] + (["n_hit", "spans"] if last else [flags])
+            kinds = {n_items: pa.list_(pa.string()), n_words: pa.int64(), n_hit: pa.int64(), flags: pa.binary(),
+                     n_spans: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+            extra = [n_items, n_words] + ([n_hit, n_spans] if last else [flags])
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[c], kinds[c]) for c in extra], names=names + extra)
 
     return docs.mapInArrow(scan, schema)
 
 
+def without_spans(scanned: DataFrame, prefix: str = "") -> DataFrame:
+    """The texts of contamination() without their spans; n_chars, if there, follows. Rows without a span stay untouched."""
+    spans = prefix + "spans"
+    hit = F.size(spans) > 0
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, s):
+        gap = F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(gap)).alias("parts"))
+
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(
+        F.array_join(acc["parts"], ""), F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
+    out = scanned.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
+    if "n_chars" in scanned.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(scanned.schema["n_chars"].dataType))
+    return out
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),

@@ -201,13 +201,13 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Net | None:
     return train([langs[i] for i in langs_seen], np.stack(x), np.searchsorted(langs_seen, found))
 
 
-def identify(docs: DataFrame, net: Net | None, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to docs(.., text): the language with the largest probability pooled over every byte of the text.
+def identify(docs: DataFrame, net: Net | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add two columns (lang_pred and score, or other `names`) to docs(.., text): the language with the largest probability pooled over every byte of the text.
 
     `und` with score 0 if the text is null or has no letter (or no language could be learned). Ties go to the language first in order.
     Other columns pass through, columns of the two names are replaced."""
-    carried = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score") and (keep is None or f.name in keep)]
-    names = [f.name for f in carried]
+    carried = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
+    own = [f.name for f in carried]
     letter = f"letter_{tag()}"
     held = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -221,10 +221,10 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str] | None = None) ->
                 best = p.argmax(axis=1)
                 langs = [net.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
                 scores = np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(langs), pa.array(scores)], names=names + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in own] + [pa.array(langs), pa.array(scores)], names=[*own, *names])
 
     marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(run, T.StructType(carried + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return marked.mapInArrow(run, T.StructType(carried + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def digest(found: DataFrame) -> DataFrame:

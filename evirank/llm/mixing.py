@@ -177,3 +177,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     sources = wanted.withColumnRenamed("source", "_source")
     return mixed.join(sources, F.col("members")[0].eqNullSafe(F.col("_source"))).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with `copies` (1 .. MOST_COPIES); all other columns stay.
+
+    Only ids, a hash of the text, sizes and sources go through the flow and the selection; the texts move once. Rows that repeat
+    id and text are one draw with the size of one: each gets the copies of that draw.
+    """
+    key, id_, source, copies = f"hash_{tag()}", f"id_{tag()}", f"source_{tag()}", "copies"
+    docs = docs.drop(copies)
+    narrow = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.array("source").alias("members"), n_words(F.col("text")).alias("size"))
+    drawn, _ = mix(checkpointed(narrow.dropDuplicates(["id", "hash", "members"])))
+    drawn = drawn.where(F.col(copies) > 0).select(F.col("id").alias(id_), F.col("hash").alias(key), F.col("members")[0].alias(source), copies)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)) & F.col("source").eqNullSafe(F.col(source))
+    return docs.join(drawn, same).select(*docs.columns, copies)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evirank.llm import chat, decontaminate, langid, mixing, pii, quality_net, quality_rules, simhash, toxicity
+from evirank.llm import chat, decontaminate, langid, mixing, pii, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from evirank.llm.common import table
 
 #: A conversation that says the control strings of a common template, added to the table's own.
@@ -25,6 +25,10 @@ def op2_quality_net(spark: SparkSession, folder: str) -> DataFrame:
     return quality_net.digest(quality_net.score(docs, quality_net.fit(docs, table(spark, folder, "labels")), keep=["doc_id"]))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_runs(table(spark, folder, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judged(table(spark, folder, "documents")))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_quality_net, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity)}
+    op1_chat_format, op2_quality_net, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     # template: 12 + role + 1 characters open a block, 11 close it, 8 part two turns of one role

@@ -171,13 +171,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     A null doc_id sorts last; rows that repeat id and text are one; rows of one id with different texts are told apart by
     a hash of the text. Only (id, hash, fingerprint) go through the search, the texts move once.
     """
-    text_hash, place = f"hash_{tag()}", f"place_{tag()}"
+    text_hash, place, id_, hash_ = (f"{x}_{tag()}" for x in ("hash", "place", "id", "first"))
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     prints = checkpointed(with_fingerprint(narrow, "fp", keep=["doc_id", "h"]))
     keepers = prints.join(near_components(prints), "fp").groupBy("component_id", "root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")).select(
-        F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_hash"))
+        F.col("first.doc_id").alias(id_), F.col("first.h").alias(hash_))
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    kept = hashed.join(keepers, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col(text_hash) == F.col("k_hash")), "left_semi")
+    kept = hashed.join(keepers, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_semi")
     once = Window.partitionBy("doc_id", text_hash).orderBy(F.lit(1))
     return kept.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).drop(text_hash, place)
