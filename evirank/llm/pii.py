@@ -148,7 +148,10 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         _listed(F.array_sort(F.concat("base", "found"))).alias("spans"))
 

@@ -102,7 +102,8 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
         while len(front) and len(left):
             parent = np.full(len(left), -1)
             for start in range(0, len(front), 64):
-                near = np.bitwise_count(left[None, :] ^ front[start : start + 64, None]) <= MAX_BITS
+                differ = (left[None, :] ^ front[start : start + 64, None]).view(np.uint64)  # of a signed number numpy counts the absolute value's bits
+                near = np.bitwise_count(differ) <= MAX_BITS
                 hit = near.any(axis=0) & (parent < 0)
                 parent[hit] = start + near[:, hit].argmax(axis=0)
             found = parent >= 0
