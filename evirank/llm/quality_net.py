@@ -23,6 +23,7 @@ RUN, LAGS = 8, 32
 ROWS_PER_CLASS, ROW_BYTES, EPOCHS = 1500, 6000, 14
 SEED = 3
 PER_HALF = HALF // STRIDE
+LEAD = WIDTH - STRIDE
 
 
 @dataclass
@@ -51,13 +52,15 @@ def new_net(seed: int = SEED) -> Net:
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows padded with zero bytes to whole halves plus one, side by side, and the row offsets counted in halves."""
+    """Rows padded with zero bytes to whole halves plus one, side by side, and the row offsets counted in halves.
+
+    A row starts LEAD zero bytes in, which is as far as the windows of the half before it reach, so rows don't see each other."""
     sizes = np.diff(offsets)
-    halves = np.maximum(-(-sizes // HALF), 1) + 1
+    halves = np.maximum(-(-(sizes + LEAD) // HALF), 1) + 1
     ends = np.concatenate(([0], np.cumsum(halves)))
     out = np.zeros(ends[-1] * HALF + WIDTH, np.uint8)
     for at, start, stop in zip((ends[:-1] * HALF).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-        out[at : at + stop - start] = data[start:stop]
+        out[at + LEAD : at + LEAD + stop - start] = data[start:stop]
     return out, ends
 
 
@@ -198,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class:
     With one class or none the net scores that rate."""
     sample, counts = labelled(labels, column, per_class)
     total = sum(counts.values())
-    rows = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= row_bytes).join(sample, F.col("doc_id") == F.col("row_id")).select(
+    short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= row_bytes)
+    rows = short.join(sample, F.col("doc_id") == F.col("row_id")).select(
         "row_id", "y", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect()
     rows = sorted(((r["row_id"], r["y"], bytes(r["text"])) for r in rows))
     y = np.array([r[1] for r in rows], np.float32)

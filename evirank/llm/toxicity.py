@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     sample, counts = labelled(labels, column, per_class)
     total = sum(counts.values())
     rate = (counts.get(1, 0) + 1) / (total + 2)
-    bags = checkpointed(_terms(docs.join(sample, F.col("doc_id") == F.col("row_id")).select("row_id", "y", "text")))
+    bags = checkpointed(_terms(docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("row_id")).select("row_id", "y", "text")))
     by_class = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = by_class.get(1, 0), by_class.get(0, 0)
     if not n0 or not n1:
