@@ -51,7 +51,7 @@ def normalize_code(code) -> Column:
 def dotted_code(code) -> Column:
     raw = normalize_code(code)
     return F.when(F.length(raw) <= 3, raw).otherwise(
-        F.concat(F.substring(raw, 1, 3), F.lit("."), F.substring(raw, 4, 100))
+        F.concat(F.substring(raw, 1, 3), F.lit("."), F.substring(raw, F.lit(4), F.length(raw)))
     )
 
 

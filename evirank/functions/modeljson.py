@@ -7,13 +7,14 @@ it. Only texts that fail the plain attempt reach the small Python step.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evirank.domain import DIMENSIONS, INTERPRETATION_OPERATORS
-from evirank.functions.text import col, first_filled, normalize_space, tokenize
+from evirank.functions.text import col, first_filled, normalize_space, normalize_tag, tokenize
 
 THINK = r"(?is)<think>.*?</think>"
 # How a written verdict counts.
@@ -29,7 +30,7 @@ def _first_complete(text: Column) -> Column:
     def find(text):
         decoder = json.JSONDecoder()
         for opener in "{[":
-            start = -1 if text is None else text.find(opener)
+            start = text.find(opener)
             if start >= 0:
                 try:
                     return json.dumps(decoder.raw_decode(text, start)[0])
@@ -43,11 +44,15 @@ def _first_complete(text: Column) -> Column:
     return F.pandas_udf(batch, "string")(text)
 
 
-def parsed(rows: DataFrame, raw: str = "raw_output") -> DataFrame:
-    """Add `doc` (VARIANT or null) and `parse_ok` (an object was found)."""
+def parsed(rows: DataFrame, raw: str = "raw_output", lists: bool = False) -> DataFrame:
+    """Add `doc` (VARIANT or null) and `parse_ok` (an object was found).
+
+    The first complete object counts, also inside a list that is valid JSON as a whole; with `lists` such a list stays the doc.
+    """
     rows = rows.withColumn("_clean", cleaned(raw)).withColumn("_whole", F.try_parse_json("_clean"))
-    rows = rows.withColumn("_found", _first_complete(F.when(F.col("_whole").isNull(), F.col("_clean"))))
-    rows = rows.withColumn("doc", F.coalesce("_whole", F.try_parse_json("_found")))
+    good = F.col("_whole").isNotNull() if lists else F.coalesce(F.schema_of_variant("_whole").startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumn("_found", F.try_parse_json(_first_complete(F.when(~good, F.col("_clean")))))
+    rows = rows.withColumn("doc", F.when(good, F.col("_whole")).otherwise(F.coalesce("_found", "_whole")))
     kind = F.schema_of_variant("doc")
     return rows.withColumn("parse_ok", F.coalesce(kind.startswith("OBJECT"), F.lit(False))).drop("_whole", "_found")
 
@@ -163,23 +168,49 @@ def directive() -> dict[str, Column]:
     }
 
 
-def verdict_entries(calls: DataFrame, dims: list[str]) -> DataFrame:
+def _finished_entries(text: Column) -> Column:
+    """JSON texts of the finished objects of a verdict list that may be cut off; null passes through.
+
+    The list starts after the key "verdicts", else at the first bracket, and ends at its closing bracket. Objects are read by
+    a JSON decoder, so braces inside strings and nested objects are no obstacle; one that doesn't decode is stepped over."""
+    def find(text):
+        decoder, out = json.JSONDecoder(), []
+        named = re.search(r'"verdicts"\s*:\s*\[', text)
+        at = named.end() if named else text.find("[") + 1
+        while 0 < at < len(text) and text[at] != "]":
+            if text[at] == "{":
+                try:
+                    entry, at = decoder.raw_decode(text, at)
+                    out.append(json.dumps(entry))
+                    continue
+                except ValueError:
+                    pass
+            at += 1
+        return out
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(find, na_action="ignore")
+
+    return F.pandas_udf(batch, "array<string>")(text)
+
+
+def verdict_entries(calls: DataFrame, dims: list[str], prefix: str = "") -> DataFrame:
     """calls(call_id, raw_output, candidate_tags): one row per judged (call, tag, dim) with the parse mode.
 
-    A cut-off array still yields its finished entries; tags outside the window are dropped and later entries win.
+    A cut-off array still yields its finished entries; tags outside the window are dropped and later entries win. Tags count
+    with or without the taxonomy prefix and leave as the window spells them.
     """
     rows = parsed(calls)
     clean = F.try_variant_get("doc", "$.verdicts", "array<variant>")
-    text = F.regexp_replace("raw_output", THINK, "")
-    tail = F.regexp_extract(text, r'(?s)"verdicts"\s*:\s*\[(.*)', 1)
-    pieces = F.regexp_extract_all(tail, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    salvaged = F.filter(F.transform(pieces, F.try_parse_json), lambda v: v.isNotNull())
     whole = F.coalesce(F.size(clean) > 0, F.lit(False))
+    text = F.regexp_replace("raw_output", THINK, "")
+    salvaged = F.filter(F.transform(_finished_entries(F.when(~whole, text)), F.try_parse_json), lambda v: v.isNotNull())
     rows = rows.select(
         "call_id", "candidate_tags", "parse_ok", whole.alias("whole"),
         F.posexplode_outer(F.when(whole, clean).otherwise(salvaged)).alias("pos", "entry"))
-    tag = normalize_space(F.try_variant_get("entry", "$.tag", "string"))
-    allowed = rows.withColumn("tag", tag).where(F.array_contains("candidate_tags", F.col("tag")))
+    said = normalize_tag(F.try_variant_get("entry", "$.tag", "string"), prefix)
+    own = F.filter("candidate_tags", lambda c: normalize_tag(c, prefix) == F.col("said"))
+    allowed = rows.withColumn("said", said).withColumn("tag", F.try_element_at(own, F.lit(1))).where(F.col("tag").isNotNull())
     last = allowed.groupBy("call_id", "tag").agg(F.max("pos").alias("pos"))
     kept = allowed.join(last, ["call_id", "tag", "pos"])
     cells = []
@@ -203,8 +234,11 @@ def decisive_dimensions(allowed: list[str]) -> Column:
     return F.coalesce(F.array_distinct(F.filter(names, lambda x: x.isin(allowed))), F.array().cast("array<string>"))
 
 
-def ranked_tags(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """outputs(fact_id, doc), candidates(fact_id, rank, tag): tags in the model's order, the selected one in front."""
+def ranked_tags(outputs: DataFrame, candidates: DataFrame, prefix: str = "") -> DataFrame:
+    """outputs(fact_id, doc), candidates(fact_id, rank, tag): tags in the model's order, the selected one in front.
+
+    Tags count with or without the taxonomy prefix and leave as the candidates spell them.
+    """
     def column(*paths: str) -> Column:
         return F.concat(*[F.coalesce(F.try_variant_get("doc", p, "array<string>"), F.array().cast("array<string>")) for p in paths])
 
@@ -217,8 +251,8 @@ def ranked_tags(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
         F.transform(by_tag, lambda x, i: F.struct((i + 1_000_000).alias("pos"), x.alias("item"), F.lit(False).alias("is_index"))))))
     index_hits = mentions.where("is_index").withColumn("rank", F.expr("try_cast(item as int)")).join(
         candidates.select("fact_id", "rank", "tag"), ["fact_id", "rank"]).select("fact_id", "pos", "tag")
-    tag_hits = mentions.where("NOT is_index").withColumn("tag", normalize_space("item")).join(
-        candidates.select("fact_id", "tag"), ["fact_id", "tag"]).select("fact_id", "pos", "tag")
+    tag_hits = mentions.where("NOT is_index").withColumn("_said", normalize_tag("item", prefix)).join(
+        candidates.select("fact_id", "tag", normalize_tag("tag", prefix).alias("_said")), ["fact_id", "_said"]).select("fact_id", "pos", "tag")
     hits = index_hits.unionByName(tag_hits)
     # a valid selected index outranks a selected tag
     first = hits.where("pos < 0").groupBy("fact_id").agg(F.min_by("tag", "pos").alias("selected"))

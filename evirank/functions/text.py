@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def normalize_tag(tag, prefix: str) -> Column:
 
 def raw_tag(tag, prefix: str) -> Column:
     text = normalize_space(tag)
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1_000_000)).otherwise(text)
+    return F.when(text.startswith(prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
 
 
 def fold_token(token: Column) -> Column:
@@ -63,15 +63,13 @@ def token_set(text) -> Column:
     return F.array_distinct(tokenize(text))
 
 
-def _entities() -> list[tuple[str, str]]:
-    # The named references common in tables and prose; `unescape_full` covers the rest.
-    names = "nbsp lt gt quot apos copy reg mdash ndash hellip lsquo rsquo ldquo rdquo euro pound sect middot eacute".split()
-    return [(f"&{name};", html.unescape(f"&{name};")) for name in names] + [("&#39;", "'"), ("&amp;", "&")]
-
-
 def unescape_html(text) -> Column:
-    """Named references by chained replace, `&amp;` last so nothing is unescaped twice."""
-    return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), _entities(), col(text))
+    """All named and numeric character references of HTML 5, decoded once. Only texts that hold `&` reach the Arrow step."""
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    text = col(text)
+    return F.coalesce(F.pandas_udf(decode, "string")(F.when(text.contains("&"), text)), text)
 
 
 # A comment, or a script or style element whose body is raw text.

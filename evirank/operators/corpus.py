@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evirank.functions import codes, text
 from evirank.functions.text import first_filled, normalize_space, raw_tag
+from evirank.session import checkpointed
 
 
 def gold_queries(facts: DataFrame, concepts: DataFrame, prefix: str) -> DataFrame:
@@ -26,23 +27,27 @@ def inventory(*code_lists: DataFrame) -> DataFrame:
     return out.distinct() if len(code_lists) == 1 else out
 
 
-def walk_up(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """nodes(node, parent, label, note): labels and notes from the root down to each node, at most max_depth above it.
+def walk_up(nodes: DataFrame) -> DataFrame:
+    """nodes(node, parent, label, note): labels and notes from the root down to each node, however deep it lies.
 
-    Each level is one equi-join on the parent key, so a hot subtree is only a skewed join side. A node that still has
-    an ancestor beyond max_depth stops the job.
+    Pointer doubling: a node's pointer moves to its target's pointer while the target's labels go in front, so the rounds grow
+    with the logarithm of the depth, and each is one equi-join of the rows that are still open. A cycle stops the job.
     """
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("next"), F.col("label").alias("up_label"), F.col("note").alias("up_note"))
-    rows = nodes.select("node", F.col("parent").alias("at"), F.array("label").alias("labels"), F.array("note").alias("notes"))
-    for _ in range(max_depth):
-        joined = rows.join(up, "at", "left")
-        rows = joined.select(
-            "node", F.col("next").alias("at"),
-            F.when(F.col("up_label").isNotNull(), F.concat(F.array("up_label"), F.col("labels"))).otherwise(F.col("labels")).alias("labels"),
-            F.when(F.col("up_label").isNotNull(), F.concat(F.array("up_note"), F.col("notes"))).otherwise(F.col("notes")).alias("notes"))
-    deeper = F.assert_true(F.col("at").isNull(), F.lit("hierarchy deeper than max_depth"))
-    return rows.withColumn("_ok", deeper).where("_ok IS NULL").select(
-        "node", "labels", F.array_compact("notes").alias("notes"), (F.size("labels") - 1).alias("depth"))
+    rows = checkpointed(nodes.select("node", F.col("parent").alias("at"), F.array("node").alias("ids"), F.array("label").alias("labels"), F.array("note").alias("notes")))
+    finished = None
+    while True:
+        done, open_ = rows.where(F.col("at").isNull()), rows.where(F.col("at").isNotNull())
+        finished = done if finished is None else finished.unionByName(done)
+        n, cycles = open_.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.array_contains("ids", F.col("at"))), F.lit(0))).first()
+        if not n:
+            break
+        if cycles:
+            raise ValueError("the hierarchy has a cycle")
+        up = open_.unionByName(finished).select(F.col("node").alias("at"), F.col("at").alias("next"), *[F.col(c).alias(f"up_{c}") for c in ("ids", "labels", "notes")])
+        found = F.col("up_ids").isNotNull()
+        rows = checkpointed(open_.join(up, "at", "left").select(
+            "node", F.col("next").alias("at"), *[F.when(found, F.concat(f"up_{c}", c)).otherwise(F.col(c)).alias(c) for c in ("ids", "labels", "notes")]))
+    return finished.select("node", "labels", F.array_compact("notes").alias("notes"), (F.size("labels") - 1).alias("depth"))
 
 
 def paths_by_code(rows: DataFrame) -> DataFrame:

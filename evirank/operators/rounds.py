@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evirank.functions.text import token_set, truncate_middle
+from evirank.session import checkpointed
 
 
 def cue_features(rows: DataFrame, text: str, modality: Column, cues: dict[str, list[str]]) -> DataFrame:
@@ -71,7 +72,8 @@ def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
     """Top k memories per query and sign by token overlap, from the same modality and type but another source.
 
     A query without any compatible memory falls back to its modality alone. Only memories that share a token with the
-    query meet it in the join, so the work follows the postings, not all pairs.
+    query meet it in the join, so the work follows the postings, not all pairs; where fewer than k do, the first memories of
+    the pool follow with similarity 0.
     queries(query_id, source, modality, datatype, tokens), memories(memory_id, source, modality, datatype, positive, tokens)
     """
     strict = F.concat_ws("|", F.lit("s"), "modality", "datatype")
@@ -81,9 +83,8 @@ def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
     sized = queries.withColumn("pool", strict).join(totals, "pool", "left").join(
         per_source.withColumnRenamed("own", "source"), ["pool", "source"], "left")
     others = F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0))
-    asked = sized.select(
-        "query_id", F.col("source").alias("q_source"), F.when(others > 0, F.col("pool")).otherwise(loose).alias("pool"),
-        F.size("tokens").alias("n_q"), F.explode("tokens").alias("token"))
+    pooled = sized.select("query_id", F.col("source").alias("q_source"), F.when(others > 0, F.col("pool")).otherwise(loose).alias("pool"), "tokens")
+    asked = pooled.select("query_id", "q_source", "pool", F.size("tokens").alias("n_q"), F.explode("tokens").alias("token"))
     known = memories.select(
         "memory_id", "source", "positive", F.size("tokens").alias("n_m"), F.explode(F.array(strict, loose)).alias("pool"), "tokens",
     ).withColumn("token", F.explode("tokens")).drop("tokens")
@@ -92,8 +93,20 @@ def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
         .groupBy("query_id", "memory_id", "positive", "n_q", "n_m").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("similarity", F.col("n") / (F.col("n_q") + F.col("n_m") - F.col("n")))
     )
+    shared = shared.select("query_id", "memory_id", "positive", "similarity")
     window = Window.partitionBy("query_id", "positive").orderBy(F.desc(F.round("similarity", 10)), F.asc("memory_id"))
-    return shared.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+    top = checkpointed(shared.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).drop("place"))
+    # the first of a pool: at most k per source and 3 k in all, of which k remain once a query's own source and found ones are out
+    first = memories.select("memory_id", "source", "positive", F.explode(F.array(strict, loose)).alias("pool"))
+    per_source = Window.partitionBy("pool", "positive", "source").orderBy("memory_id")
+    first = first.withColumn("_n", F.row_number().over(per_source)).where(F.col("_n") <= k)
+    per_pool = Window.partitionBy("pool", "positive").orderBy("memory_id")
+    first = first.withColumn("_n", F.row_number().over(per_pool)).where(F.col("_n") <= 3 * k).drop("_n")
+    full = top.groupBy("query_id", "positive").agg(F.count(F.lit(1)).alias("_found"))
+    rest = pooled.join(first, "pool").where(F.col("source") != F.col("q_source")).join(full, ["query_id", "positive"], "left").where(
+        F.coalesce("_found", F.lit(0)) < k).join(top.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    rows = top.unionByName(rest.select("query_id", "memory_id", "positive", F.lit(0.0).alias("similarity")))
+    return rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
 
 
 def utility(rank) -> Column:
@@ -226,21 +239,16 @@ def leave_one_context_out(moments: DataFrame) -> DataFrame:
 
 
 def posterior_means(moments: DataFrame, dim: int, ridge: float) -> DataFrame:
-    """mu = (ridge I + A)^-1 b for each row of moments: a tiny dense solve per row, batched through Arrow."""
-    def solve(batches):
-        import numpy as np
-
-        for pdf in batches:
-            n = len(pdf)
-            a = np.zeros((n, dim, dim))
-            b = np.stack([pdf[f"b_{i}"].to_numpy(float) for i in range(dim)], axis=1) if n else np.zeros((0, dim))
-            for i in range(dim):
-                for j in range(i, dim):
-                    a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"].to_numpy(float)
-            mu = np.linalg.solve(a + ridge * np.eye(dim), b[..., None])[..., 0]
-            yield pdf[["operator", "context_id", "n"]].assign(mu=list(mu))
-
-    return moments.mapInPandas(solve, "operator string, context_id bigint, n bigint, mu array<double>")
+    """mu = (ridge I + A)^-1 b for each row of moments, by elimination on columns: the matrix is symmetric and positive, so no
+    pivot is zero and rows need not be swapped."""
+    a = {(i, j): F.col(f"a_{min(i, j)}_{max(i, j)}") + (ridge if i == j else 0.0) for i in range(dim) for j in range(dim)}
+    names = {(i, j): f"_m_{i}_{j}" for i in range(dim) for j in range(dim)} | {(i, dim): f"_m_{i}_b" for i in range(dim)}
+    rows = moments.withColumns({names[i, j]: a[i, j] for i in range(dim) for j in range(dim)} | {names[i, dim]: F.col(f"b_{i}").cast("double") for i in range(dim)})
+    for k in range(dim):  # clear column k in every other row
+        factor = {i: F.col(names[i, k]) / F.col(names[k, k]) for i in range(dim) if i != k}
+        rows = rows.withColumns({names[i, j]: F.col(names[i, j]) - f * F.col(names[k, j]) for i, f in factor.items() for j in range(k + 1, dim + 1)})
+    mu = F.array(*[F.col(names[i, dim]) / F.col(names[i, i]) for i in range(dim)])
+    return rows.select("operator", "context_id", "n", mu.alias("mu"))
 
 
 def diagonal_statistics(rounds: DataFrame, ridge: float) -> DataFrame:

@@ -67,10 +67,10 @@ def k4(t):
     return profiles.select("tag", F.inline(F.array(*cells))).where(F.col("cats") != "")
 
 
-@query("K5_dimension_verdict", """SELECT fact_id, hyp_idx, tag, dim, matched, round(confidence, 6) AS confidence, reason FROM pair_long WHERE pool_rank <= 20""")
+@query("K5_dimension_verdict", """SELECT fact_id, hyp_idx, tag, dim, matched, round(confidence, 6) AS confidence, reason FROM pair_long""")
 def k5(t):
     i = Inputs(t)
-    rows = agree.verdict_rows(i.pairs.where("rank <= 20"), ["fact_id", "hyp_idx", "tag"]).drop("exact")
+    rows = agree.verdict_rows(i.pairs, ["fact_id", "hyp_idx", "tag"]).drop("exact")
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -364,7 +364,7 @@ def k27(t):
     return verify.rerank_share(out, 0.6).withColumn("rerank_share", F.round("rerank_share", 6))
 
 
-@query("K28_verdict_restriction", "SELECT fact_id, hyp_idx, tag, dim, matched FROM verdicts WHERE EXISTS (SELECT 1 FROM fused f WHERE f.fact_id = verdicts.fact_id AND f.tag = verdicts.tag AND f.rank <= 4)")
+@query("K28_verdict_restriction", "SELECT fact_id, hyp_idx, tag, dim, matched FROM verdicts WHERE (fact_id, tag) IN (SELECT fact_id, tag FROM fused WHERE rank <= 4)")
 def k28(t):
     i = Inputs(t)
     calls = i.fused.where("rank <= 10").select("fact_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("hyp_idx"), F.col("rank").alias("pos"), "tag")

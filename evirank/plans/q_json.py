@@ -40,8 +40,8 @@ fragment("docs_found", """SELECT *, CASE WHEN json_valid(c) THEN c WHEN json_val
 FOUND = "(js IS NOT NULL)"
 
 
-def parsed(t):
-    return mj.parsed(outputs(t))
+def parsed(t, lists=False):
+    return mj.parsed(outputs(t), lists=lists)
 
 
 @query("P1_tolerant_parse", f"SELECT event_id, {FOUND} AS parse_ok, js->>'$.query' AS query FROM docs_found")
@@ -75,7 +75,7 @@ def p4(t):
 
 @query("P5_decomposed_queries", f"SELECT event_id, CASE WHEN {FOUND} THEN 'a ' || user_id || '|b|fallback' WHEN kind = 4 THEN 'rate|bogus|fallback' ELSE {PLAIN} || '|fallback|fallback' END AS queries FROM docs_found")
 def p5(t):
-    return parsed(t).select("event_id", F.array_join(mj.decomposed_queries("raw_output", F.lit("fallback"), 3), "|").alias("queries"))
+    return parsed(t, lists=True).select("event_id", F.array_join(mj.decomposed_queries("raw_output", F.lit("fallback"), 3), "|").alias("queries"))
 
 
 @query("P6_feedback_parse", f"SELECT event_id, CASE WHEN {FOUND} THEN 'FAMILY' ELSE '' END AS supported, CASE WHEN {FOUND} THEN 'ROLE,EVENT' ELSE '' END AS contradicted, '' AS unresolved, {FOUND} AND event_id % 3 = 0 AS is_mismatch FROM docs_found")

@@ -185,7 +185,7 @@ def r11(t):
     return retrieve.self_retrieval(concepts, retrieve.scoped_docs(concepts), CFG)
 
 
-fragment("probe_queries", """SELECT fact_id, tag AS gold_tag, fact_id * 1000000 + tag::BIGINT AS query_id, entity_type,
+fragment("probe_queries", """SELECT fact_id, tag AS gold_tag, fact_id || '-' || tag AS query_id, entity_type,
     standard_label || '. ' || documentation AS query FROM sup_gold JOIN concepts USING (tag)""")
 bm25_fragments("pr", "concepts", "probe_queries")
 fragment("probe", """SELECT fact_id, min(CASE WHEN tag = gold_tag THEN rank END) AS gold_rank FROM (
@@ -198,7 +198,7 @@ def probe(t):
     gold = frames.supplier_gold(t).withColumnRenamed("tag", "gold_tag")
     queries = gold.join(concepts.withColumnRenamed("tag", "gold_tag"), "gold_tag").select(
         "fact_id", "gold_tag", "entity_type", F.concat_ws(". ", "standard_label", "documentation").alias("query"),
-        (F.col("fact_id") * 1000000 + F.col("gold_tag").cast("bigint")).alias("query_id"))
+        F.concat_ws("-", F.col("fact_id").cast("string"), "gold_tag").alias("query_id"))
     top = retrieve.rank_bm25(queries, retrieve.scoped_docs(concepts), 50, CFG, zero_fill=False)
     ranks = top.join(queries.select("query_id", "fact_id", "gold_tag"), "query_id")
     return ranks.groupBy("fact_id").agg(F.min(F.when(F.col("tag") == F.col("gold_tag"), F.col("rank"))).alias("gold_rank"))

@@ -54,7 +54,7 @@ def j2(t):
     return rows.withColumn("passes_gate", F.col("novelty") >= 0.6)
 
 
-fragment("mems", f"""SELECT conv_id * 1000 + turn AS id, conv_id AS source, CASE WHEN conv_id % 2 = 0 THEN 'table' ELSE 'text' END AS modality,
+fragment("mems", f"""SELECT conv_id || '-' || turn AS id, conv_id AS source, CASE WHEN conv_id % 2 = 0 THEN 'table' ELSE 'text' END AS modality,
     'd' || conv_id % 7 AS datatype, role, turn % 4 < 2 AS positive, list_distinct({sql_tokens('text')}) AS toks FROM conversations""")
 
 
@@ -63,10 +63,10 @@ fragment("mems", f"""SELECT conv_id * 1000 + turn AS id, conv_id AS source, CASE
     p AS (SELECT q.id AS query_id, m.id AS memory_id, m.positive, len(list_intersect(q.toks, m.toks))::DOUBLE AS n, len(q.toks) AS nq, len(m.toks) AS nm
       FROM q JOIN s USING (id) JOIN m ON q.modality = m.modality AND (NOT strict OR q.datatype = m.datatype) AND q.source <> m.source)
     SELECT query_id, memory_id, positive, place, round(sim, 8) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, positive ORDER BY round(sim, 10) DESC, memory_id) AS place
-      FROM (SELECT *, n / (nq + nm - n) AS sim FROM p WHERE n > 0)) WHERE place <= 3""")
+      FROM (SELECT *, CASE WHEN n > 0 THEN n / (nq + nm - n) ELSE 0 END AS sim FROM p)) WHERE place <= 3""")
 def j3(t):
     rows = t.conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("source"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("conv_id").alias("source"),
         F.when(F.col("conv_id") % 2 == 0, "table").otherwise("text").alias("modality"), F.concat(F.lit("d"), F.col("conv_id") % 7).alias("datatype"),
         "role", (F.col("turn") % 4 < 2).alias("positive"), token_set("text").alias("tokens"))
     queries = rows.where("role = 'user'").withColumnRenamed("id", "query_id")
@@ -118,13 +118,13 @@ fragment("walked", """SELECT node, label AS path, coalesce(note, '') AS notes, 0
 
 @query("J6_hierarchy_walk", "SELECT node, path, notes, depth FROM walked")
 def j6(t):
-    return corpus.walk_up(part_tree(t), 8).select("node", F.array_join("labels", " > ").alias("path"), F.array_join("notes", ";").alias("notes"), "depth")
+    return corpus.walk_up(part_tree(t)).select("node", F.array_join("labels", " > ").alias("path"), F.array_join("notes", ";").alias("notes"), "depth")
 
 
 @query("J7_index_term_paths", """SELECT p_brand, array_to_string(list_sort(list_distinct(list(path))), '|') AS paths FROM walked JOIN tree USING (node) WHERE note IS NOT NULL GROUP BY p_brand""")
 def j7(t):
     tree = part_tree(t)
-    paths = corpus.walk_up(tree, 8).select("node", F.array_join("labels", " > ").alias("path"))
+    paths = corpus.walk_up(tree).select("node", F.array_join("labels", " > ").alias("path"))
     return corpus.paths_by_code(tree.where("note IS NOT NULL").select("node", F.col("p_brand").alias("code")).join(paths, "node")).select(
         F.col("code").alias("p_brand"), F.array_join("paths", "|").alias("paths"))
 
@@ -277,7 +277,13 @@ def j16(t):
     return loco(t).withColumns({c: F.round(c, 6) for c in CELLS})
 
 
-@query("J16_posterior_means")
+# the inverse of a symmetric 3 x 3 matrix from its cofactors
+@query("J16_posterior_means", """WITH m AS (SELECT m.operator, m.context_id, t.n - m.n AS n, 1 + t.a_0_0 - m.a_0_0 AS a, t.a_0_1 - m.a_0_1 AS b, t.a_0_2 - m.a_0_2 AS c, 1 + t.a_1_1 - m.a_1_1 AS d,
+      t.a_1_2 - m.a_1_2 AS e, 1 + t.a_2_2 - m.a_2_2 AS f, t.b_0 - m.b_0 AS x, t.b_1 - m.b_1 AS y, t.b_2 - m.b_2 AS z FROM moment_parts m JOIN (SELECT operator, sum(n)::BIGINT AS n, """
+       + ", ".join(f"sum({c}) AS {c}" for c in CELLS) + """ FROM moment_parts GROUP BY operator) t USING (operator)),
+    k AS (SELECT *, d * f - e * e AS aa, c * e - b * f AS bb, b * e - c * d AS cc, a * f - c * c AS dd, b * c - a * e AS ee, a * d - b * b AS ff FROM m)
+    SELECT operator, context_id, n, round((aa * x + bb * y + cc * z) / det, 6) AS mu_0, round((bb * x + dd * y + ee * z) / det, 6) AS mu_1, round((cc * x + ee * y + ff * z) / det, 6) AS mu_2
+    FROM (SELECT *, a * aa + b * bb + c * cc AS det FROM k)""")
 def j16p(t):
     means = rounds.posterior_means(loco(t), 3, 1.0)
     return means.select("operator", "context_id", "n", *[F.round(F.col("mu")[i], 6).alias(f"mu_{i}") for i in range(3)])

@@ -162,12 +162,12 @@ def s14(t):
 def verdict_log(t):
     """Every line logs a verdict; repeated (order supplier, flag, part) keys are later rows of the same key."""
     dims = F.create_map(F.lit("FAMILY"), F.col("l_tax") > 0.04, F.lit("ROLE"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity") > 25))
-    return t.lineitem.select((F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).alias("log_pos"), F.col("l_suppkey").alias("fact_id"),
+    return t.lineitem.select(F.struct(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("bigint").alias("line")).alias("log_pos"), F.col("l_suppkey").alias("fact_id"),
                              F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("hypothesis_idx"), (F.col("l_partkey") % 100).cast("string").alias("tag"), dims.alias("verdict"))
 
 
 @query("S15_verdict_load", """SELECT fact_id, hyp_idx, tag, dim, CASE dim WHEN 'FAMILY' THEN f ELSE r END AS matched FROM (SELECT fact_id, hyp_idx, tag, arg_max(fam, log_pos) AS f, arg_max(role, log_pos) AS r FROM (
-    SELECT l_orderkey * 10000000 + l_partkey * 1000 + l_quantity::INT * 10 + l_linenumber AS log_pos, l_suppkey AS fact_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hyp_idx, (l_partkey % 100)::VARCHAR AS tag,
+    SELECT {'file': l_orderkey, 'line': l_linenumber} AS log_pos, l_suppkey AS fact_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hyp_idx, (l_partkey % 100)::VARCHAR AS tag,
       CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS fam, CASE WHEN l_discount > 0.02 THEN (l_quantity > 25)::INT ELSE 2 END AS role FROM lineitem) GROUP BY ALL), (SELECT unnest(['FAMILY', 'ROLE']) AS dim)""".replace("THEN f ELSE r END", "THEN f = 1 ELSE CASE WHEN r < 2 THEN r = 1 END END"))
 def s15(t):
     path = sinks.jsonl(verdict_log(t), at(t, "verdicts"))
@@ -208,7 +208,7 @@ def c1(t):
 @query("C2_code_table", f"""SELECT raw || '-' || p_partkey AS key, {SQL_ROLE} AS role, array_to_string(list_filter([notes2, path2, p_name], lambda x: x <> ''), '. ') AS documentation FROM coded_parts JOIN (
     SELECT node AS p_partkey, replace(notes, ';', '; ') AS notes2, path AS path2 FROM walked) USING (p_partkey)""")
 def c2(t):
-    walked = corpus.walk_up(part_tree(t), 8).select("node", "labels", "notes")
+    walked = corpus.walk_up(part_tree(t)).select("node", "labels", "notes")
     rows = t.part.select("p_partkey", "p_name", codes.normalize_code(F.expr(PART_CODE)).alias("code"))
     # the part key keeps equal codes apart
     key = F.concat_ws("-", "code", F.col("p_partkey").cast("string"))
@@ -338,7 +338,7 @@ def q6(t):
     return quality.config_drift(declared, pinned)
 
 
-@query("Q7_window_mismatch", "SELECT fact_id, hyp_idx, tag, dim FROM verdicts WHERE EXISTS (SELECT 1 FROM fused f WHERE f.fact_id = verdicts.fact_id AND f.tag = verdicts.tag AND f.rank > 8)")
+@query("Q7_window_mismatch", "SELECT fact_id, hyp_idx, tag, dim FROM verdicts WHERE (fact_id, tag) IN (SELECT fact_id, tag FROM fused WHERE rank > 8)")
 def q7(t):
     fused = fuse.fuse(frames.rankings(t))
     windows = fused.where("rank <= 10").select("fact_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("hyp_idx"), F.col("rank").alias("pos"), "tag")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evirank.functions import text
 from evirank.functions.codes import normalize_code
 from evirank.functions.text import first_filled, normalize_space
+from evirank.session import checkpointed
 
 FIELDS = ("struct<numeric_entity:string,entity:string,value:string,numeric_value:string,datatype:string,type:string,"
           "row_context:string,column_context:string,original_context:string>")
@@ -15,7 +16,7 @@ FACTS = f"example_idx bigint, context_id string, source_sample_idx string, input
 CONCEPTS = "doc_idx bigint, tag string, type string, standard_label string, documentation string, references array<string>, retrieval_text string"
 CANDIDATE = "struct<rank:int,tag:string,bm25_score:double,retrieval_score:double>"
 TRACES = f"example_idx bigint, context_id string, rounds array<struct<round:int,hypothesis_idx:int,rendering:string,label_render_skipped:boolean,candidates:array<{CANDIDATE}>>>"
-VERDICTS = "log_pos bigint, fact_id bigint, hypothesis_idx int, tag string, verdict map<string,boolean>"
+VERDICTS = "log_pos struct<file:bigint,line:bigint>, fact_id bigint, hypothesis_idx int, tag string, verdict map<string,boolean>"
 CALLS = "fact_id bigint, hypothesis_idx int, candidate_tags array<string>, prompt_tokens bigint, completion_tokens bigint"
 
 
@@ -76,7 +77,7 @@ def valid_codes(spark: SparkSession, path: str) -> DataFrame:
 def billable_codes(spark: SparkSession, path: str) -> DataFrame:
     """Fixed width: code in the first 8 characters, description after; the later of two equal codes wins."""
     rows = spark.read.text(path).where(F.length("value") > 0).select(
-        normalize_code(F.substring("value", 1, 8)).alias("raw"), normalize_space(F.substring("value", 9, 1_000_000)).alias("desc"),
+        normalize_code(F.substring("value", 1, 8)).alias("raw"), normalize_space(F.substring("value", F.lit(9), F.length("value"))).alias("desc"),
         F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"))
     return rows.where("raw <> '' AND desc <> ''").groupBy("raw").agg(F.max_by("desc", "at").alias("desc"))
 
@@ -100,14 +101,21 @@ ARC = "array<struct<`_xlink:from`:string,`_xlink:to`:string>>"
 def _linked(rows: DataFrame, arcs: str, resources: str, value) -> DataFrame:
     """Arcs joined inside their own link block to locator and resource: (block, pos, tag, value struct).
 
-    A block is one element, so the join is row-local on its arrays.
+    A label may repeat inside a block; the last locator or resource of it counts. Blocks are numbered once, then locators,
+    resources and arcs are rows of their own that meet on (block, label), so a large block is no large row.
     """
-    loc = F.map_from_entries(F.array_distinct(F.transform("`link:loc`", lambda x: F.struct(x["_xlink:label"], text.tag_from_href(x["_xlink:href"])))))
-    res = F.map_from_entries(F.transform(F.col(f"`{resources}`"), lambda x: F.struct(x["_xlink:label"], value(x))))
-    blocks = rows.select(F.monotonically_increasing_id().alias("block"), loc.alias("loc"), res.alias("res"), F.col(f"`{arcs}`").alias("arcs"))
-    out = blocks.select("block", "loc", "res", F.posexplode("arcs").alias("pos", "arc"))
-    return out.select("block", "pos", F.col("loc")[F.col("arc")["_xlink:from"]].alias("tag"), F.col("res")[F.col("arc")["_xlink:to"]].alias("value")).where(
-        "tag IS NOT NULL AND tag <> '' AND value IS NOT NULL")
+    loc = F.transform("`link:loc`", lambda x: F.struct(x["_xlink:label"].alias("label"), text.tag_from_href(x["_xlink:href"]).alias("tag")))
+    res = F.transform(F.col(f"`{resources}`"), lambda x: F.struct(x["_xlink:label"].alias("label"), value(x).alias("value")))
+    blocks = checkpointed(rows.select(F.monotonically_increasing_id().alias("block"), loc.alias("loc"), res.alias("res"), F.col(f"`{arcs}`").alias("arcs")))
+
+    def last(items: str, field: str, end: str) -> DataFrame:
+        each = blocks.select("block", F.posexplode(items).alias("pos", "x"))
+        return each.groupBy("block", F.col("x.label").alias(end)).agg(F.max_by(f"x.{field}", "pos").alias(field))
+
+    each = blocks.select("block", F.posexplode("arcs").alias("pos", "arc")).select(
+        "block", "pos", F.col("arc")["_xlink:from"].alias("from"), F.col("arc")["_xlink:to"].alias("to"))
+    joined = each.join(last("loc", "tag", "from"), ["block", "from"]).join(last("res", "value", "to"), ["block", "to"])
+    return joined.select("block", "pos", "tag", "value").where("tag IS NOT NULL AND tag <> '' AND value IS NOT NULL")
 
 
 def label_linkbase(spark: SparkSession, path: str, role: str) -> DataFrame:

@@ -207,3 +207,65 @@ def test_bootstrap_brackets_the_mean(spark):
     rows = spark.range(400).select((F.col("id") % 20).alias("context_id"), (F.col("id") % 7 / 7.0).alias("value"))
     got = bootstrap.mean_interval(rows, "value", [], 200, 1).first()
     assert got.ci_low <= got.mean <= got.ci_high and got.n_contexts == 20
+
+
+def test_html_references_of_every_kind(spark):
+    rows = spark.createDataFrame([("<p>Company&#8217;s &plusmn; 5&#160;&#x2014; &frac12;</p>",), ("a &amp;lt; b",), ("plain",), (None,)], "html string")
+    got = [r[0] for r in rows.select(text.html_to_visible_text("html")).collect()]
+    assert got == ["Company’s ± 5 — ½", "a &lt; b", "plain", ""]
+
+
+def test_verdicts_with_prefix_braces_and_cuts(spark):
+    """Tags without prefix, a brace inside a string, a nested object, a list without its key, text after the list, a cut-off end."""
+    window = ["us-gaap:Cash", "us-gaap:Debt"]
+    calls = spark.createDataFrame([
+        (1, '{"verdicts": [{"tag": "Cash", "FAMILY": "support"}, {"tag": "us-gaap:Debt", "FAMILY": "contradict"}]}', window),
+        (2, 'so: {"verdicts": [{"tag": "Cash", "FAMILY": "support", "why": "a } b"}, {"tag": "Debt", "FAMILY": "support", "more": {"x": 1}}, {"tag": "Cas', window),
+        (3, '[{"tag": "Cash", "FAMILY": "contradict"}] then [{"tag": "Debt", "FAMILY": "support"}]', window)], "call_id int, raw_output string, candidate_tags array<string>")
+    got = {(r["call_id"], r["tag"]): (r["parse_mode"], r["matched"]) for r in modeljson.verdict_entries(calls, ["FAMILY"], "us-gaap:").collect()}
+    assert got == {(1, "us-gaap:Cash"): ("clean", True), (1, "us-gaap:Debt"): ("clean", False), (2, "us-gaap:Cash"): ("salvaged", True),
+                   (2, "us-gaap:Debt"): ("salvaged", True), (3, "us-gaap:Cash"): ("salvaged", False)}
+
+
+def test_object_inside_a_list(spark):
+    rows = spark.createDataFrame([('[{"query": "x"}]',), ('["a", "b"]',), ('{"query": "cut',)], "raw_output string")
+    got = [(r["parse_ok"], r["q"]) for r in modeljson.parsed(rows).select("parse_ok", F.try_variant_get("doc", "$.query", "string").alias("q")).collect()]
+    assert got == [(True, "x"), (False, None), (False, None)]
+    listed = modeljson.parsed(rows.limit(1), lists=True).select(modeljson.decomposed_queries("raw_output", F.lit("f"), 2)).first()[0]
+    assert listed == ["x", "f"]
+
+
+def test_deep_hierarchy(spark):
+    from evirank.operators import corpus
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"l{i}", f"n{i}" if i % 5 == 0 else None) for i in range(13)] + [(50, 49, "lost", None)], "node int, parent int, label string, note string")
+    got = {r["node"]: (r["labels"], r["notes"], r["depth"]) for r in corpus.walk_up(nodes).collect()}
+    assert got[12] == ([f"l{i}" for i in range(13)], ["n0", "n5", "n10"], 12) and got[0] == (["l0"], ["n0"], 0) and got[50] == (["lost"], [], 0) and len(got) == 14
+    loop = spark.createDataFrame([(1, 2, "a", None), (2, 1, "b", None)], "node int, parent int, label string, note string")
+    with pytest.raises(ValueError):
+        corpus.walk_up(loop)
+
+
+def test_repeated_linkbase_labels(spark, tmp_path):
+    body = """<link:linkbase xmlns:link="l" xmlns:xlink="x"><link:labelLink>
+      <link:loc xlink:label="a" xlink:href="f.xsd#us-gaap_A"/><link:loc xlink:label="b" xlink:href="f.xsd#us-gaap_B"/>
+      <link:label xlink:label="r" xlink:role="std">first</link:label><link:label xlink:label="r" xlink:role="std">second</link:label><link:label xlink:label="s" xlink:role="std">other</link:label>
+      <link:labelArc xlink:from="a" xlink:to="r"/><link:labelArc xlink:from="a" xlink:to="s"/><link:labelArc xlink:from="b" xlink:to="s"/>
+      </link:labelLink></link:linkbase>"""
+    (tmp_path / "lab.xml").write_text(body)
+    from evirank.sources import readers
+
+    got = {r["tag"].split(":")[-1].split("_")[-1]: r["label"] for r in readers.label_linkbase(spark, str(tmp_path / "lab.xml"), "std").collect()}
+    assert got == {"A": "second", "B": "other"}
+
+
+def test_memories_without_overlap_fill_up(spark):
+    from evirank.operators import rounds
+
+    queries = spark.createDataFrame([("q", 1, "t", "d", ["x"]), ("e", 9, "t", "d", [])], "query_id string, source int, modality string, datatype string, tokens array<string>")
+    memories = spark.createDataFrame([(f"m{i}", i % 4, "t", "d", True, ["x", "y"] if i == 6 else ["z"]) for i in range(8)],
+                                     "memory_id string, source int, modality string, datatype string, positive boolean, tokens array<string>")
+    got = {}
+    for r in rounds.nearest_memories(queries, memories, 3).orderBy("place").collect():
+        got.setdefault(r["query_id"], []).append((r["memory_id"], r["similarity"]))
+    assert got == {"q": [("m6", 0.5), ("m0", 0.0), ("m2", 0.0)], "e": [("m0", 0.0), ("m1", 0.0), ("m2", 0.0)]}
