@@ -199,7 +199,7 @@ def b15(t):
 
 # --- bootstrap --------------------------------------------------------------------------------------------------------
 
-DRAWS = 500
+DRAWS = 2000
 
 
 def interval_sql(by: str, src: str, num: str = "value", den: str = "1.0::DOUBLE", seed: int = 41) -> str:
