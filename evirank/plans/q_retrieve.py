@@ -33,19 +33,21 @@ def bm25_fragments(prefix: str, concepts: str, queries: str) -> None:
         JOIN {prefix}_idf USING (scope, token) GROUP BY ALL""")
 
 
+#: Retrieval depth of every ranking here.
+DEPTH = 200
 bm25_fragments("bm", "doc_concepts", "bench_queries")
 bm25_fragments("sb", "concepts", "sup_queries")
 fragment("bm_top", """SELECT query_id, doc_idx, tag, scope, bm25, rank FROM (SELECT *, row_number() OVER (
-    PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM bm_hits) WHERE rank <= 10""")
+    PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM bm_hits) WHERE rank <= 200""")
 fragment("sb_top", """SELECT query_id, doc_idx, tag, scope, bm25, rank FROM (SELECT *, row_number() OVER (
-    PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM sb_hits) WHERE rank <= 10""")
+    PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM sb_hits) WHERE rank <= 200""")
 
 
 def _docs(t):
     return retrieve.scoped_docs(frames.document_concepts(t))
 
 
-def _bench_top(t, k=10, zero_fill=False):
+def _bench_top(t, k=DEPTH, zero_fill=False):
     return retrieve.rank_bm25(frames.benchmark_queries(t), _docs(t), k, CFG, zero_fill=zero_fill)
 
 
@@ -54,7 +56,7 @@ def supplier_queries(t):
     return rows.withColumn("query_id", F.col("fact_id") * 10 + F.col("list_id"))
 
 
-def supplier_lists(t, k=10):
+def supplier_lists(t, k=DEPTH):
     queries = supplier_queries(t)
     docs = retrieve.scoped_docs(frames.concepts(t))
     top = retrieve.rank_bm25(queries.select("query_id", "entity_type", "query"), docs, k, CFG, zero_fill=False)
@@ -78,9 +80,9 @@ def r2(t):
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM (
       SELECT query_id, doc_idx, bm25 FROM bm_hits UNION ALL
       SELECT q.query_id, d.doc_idx, 0.0 FROM bm_q q JOIN bm_docs d USING (scope)
-      WHERE NOT EXISTS (SELECT 1 FROM bm_hits h WHERE h.query_id = q.query_id AND h.doc_idx = d.doc_idx))) WHERE rank <= 120""")
+      WHERE NOT EXISTS (SELECT 1 FROM bm_hits h WHERE h.query_id = q.query_id AND h.doc_idx = d.doc_idx))) WHERE rank <= 200""")
 def r3(t):
-    top = _bench_top(t, 120, zero_fill=True)
+    top = _bench_top(t, zero_fill=True)
     return top.select("query_id", "doc_idx", F.round("bm25_score", 6).alias("bm25_score"), "rank")
 
 
@@ -112,7 +114,7 @@ def _rescored_sql(pool: str) -> str:
             THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1 END AS nb,
             len(list_intersect(q_toks, l)) / len(l)::DOUBLE AS cov, len(list_intersect(q_toks, l)) / len(q_toks)::DOUBLE AS qcov
           FROM ({pool}) JOIN (SELECT query_id, q_toks FROM sb_q) USING (query_id) JOIN (SELECT doc_idx, list_distinct({sql_tokens('standard_label')}) AS l FROM concepts) USING (doc_idx)
-          WINDOW w AS (PARTITION BY query_id)))) WHERE rank <= 10"""
+          WINDOW w AS (PARTITION BY query_id)))) WHERE rank <= 200"""
 
 
 fragment("sb_full", """SELECT q.query_id, d.doc_idx, d.tag, coalesce(h.bm25, 0) AS bm25 FROM sb_q q JOIN sb_docs d USING (scope)
@@ -123,7 +125,7 @@ def _rescored(t, multiplier):
     queries = supplier_queries(t).select("query_id", "entity_type", "query")
     concepts = frames.concepts(t)
     cfg = replace(CFG, pool_multiplier=multiplier)
-    top = retrieve.rescore_with_labels(queries, retrieve.scoped_docs(concepts), concepts, 10, cfg)
+    top = retrieve.rescore_with_labels(queries, retrieve.scoped_docs(concepts), concepts, DEPTH, cfg)
     return top.select("query_id", "doc_idx", "rank", F.round("label_coverage", 6).alias("label_coverage"),
                       F.round("retrieval_score", 6).alias("retrieval_score"))
 
@@ -134,9 +136,9 @@ def r6(t):
 
 
 @query("R6_bounded_pool", _rescored_sql("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-    ORDER BY round(bm25, 10) DESC, doc_idx) AS pos FROM sb_full) WHERE pos <= 50"""))
+    ORDER BY round(bm25, 10) DESC, doc_idx) AS pos FROM sb_full) WHERE pos <= 200"""))
 def r6b(t):
-    return _rescored(t, 5)
+    return _rescored(t, 1)
 
 
 @query("R7_candidate_projection", """SELECT query_id, rank, tag, entity_type, standard_label, round(bm25, 8) AS bm25_score
