@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # Words ignored by the tokeniser.
-STOPWORDS = (
-    "a an and are as at be been being but by for if in into is it its of on or that the their then "
-    "there these this to was were which with"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "for", "if", "in", "into", "is", "it", "its", "of", "on", "or",
+    "that", "the", "their", "then", "there", "these", "this", "to", "was", "were", "which", "with",
+]
 
 # The six hypothesis dimensions, in rendering order.
 DIMENSIONS = ["FAMILY", "ROLE", "EVENT", "QUALIFIER", "SCOPE", "TEMPORAL"]

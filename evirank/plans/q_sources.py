@@ -60,13 +60,14 @@ def s4(t):
     return rows.select("o_orderkey", "o_custkey", "split", "source_sample_idx")
 
 
-@query("S5_split_sink", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(*) AS n_ids FROM orders GROUP BY 1")
+@query("S5_split_sink", """SELECT o_orderkey, o_custkey, split, split AS id_split, n FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) OVER (PARTITION BY o_orderkey % 5 = 0) AS n FROM orders)""")
 def s5(t):
     rows = t.orders.withColumn("split", F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("train"))
     report = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     paths = sinks.split_files(rows.select("split", "o_orderkey", "o_custkey"), report, at(t, "split"), "o_orderkey")
-    ids = t.spark.read.option("header", "true").schema("split string, o_orderkey bigint").csv(paths["ids"]).groupBy("split").agg(F.count(F.lit(1)).alias("n_ids"))
-    return t.spark.read.schema("o_orderkey bigint, o_custkey bigint, split string").parquet(paths["samples"]).groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(ids, "split")
+    ids = t.spark.read.option("header", "true").schema("id_split string, o_orderkey bigint").csv(paths["ids"], enforceSchema=True)
+    samples = t.spark.read.schema("o_orderkey bigint, o_custkey bigint, split string").parquet(paths["samples"])
+    return samples.join(ids, "o_orderkey", "full").join(report, "split")
 
 
 def code_lines(t):
@@ -84,15 +85,14 @@ def s7(t):
     return readers.billable_codes(t.spark, sinks.lines(rows, at(t, "billable")))
 
 
-@query("S8_whole_files", "SELECT sum(length(text)) AS n_chars, count(*) > 0 AS has_files FROM (SELECT string_agg(text, '') AS text FROM conversations GROUP BY conv_id)")
+@query("S8_whole_files", """SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM (SELECT string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)) GROUP BY line""")
 def s8(t):
     rows = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]), "").alias("value"))
     files = readers.text_files(t.spark, sinks.lines(rows.select("value"), at(t, "texts")))
-    # each file ends every row with a line break of its own
-    n_rows = F.sum(F.length("text"))
-    total = files.agg(n_rows.alias("n"), (F.count(F.lit(1)) > 0).alias("has_files"))
-    return total.join(rows.agg(F.count(F.lit(1)).alias("breaks"))).select((F.col("n") - F.col("breaks")).alias("n_chars"), "has_files")
+    # which rows share a file depends on the writer, the lines in all files don't; the last line break of a file ends its last row
+    lines = files.select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S9_xml_elements", "SELECT 'C' || p_partkey AS tag, p_type AS type FROM part")

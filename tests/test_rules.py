@@ -269,3 +269,25 @@ def test_memories_without_overlap_fill_up(spark):
     for r in rounds.nearest_memories(queries, memories, 3).orderBy("place").collect():
         got.setdefault(r["query_id"], []).append((r["memory_id"], r["similarity"]))
     assert got == {"q": [("m6", 0.5), ("m0", 0.0), ("m2", 0.0)], "e": [("m0", 0.0), ("m1", 0.0), ("m2", 0.0)]}
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    """Batches, compaction, a later batch, a replayed one: the table reads as if nothing had been folded."""
+    from evirank.streaming import ingest
+
+    table = str(tmp_path / "calls")
+    def put(i, rows):
+        ingest.upsert_calls(spark.createDataFrame(rows, ingest.CALL_LOG), i, table)
+
+    def state():
+        return sorted((r["fact_id"], r["hyp_idx"], r["n_verdicts"]) for r in ingest.current_calls(spark, table).collect())
+
+    put(0, [(1, 7, 0, True, 3, 1, 1), (2, 8, 0, True, 1, 1, 1)])
+    put(1, [(3, 7, 0, True, 4, 1, 1)])
+    before = state()
+    assert before == [(7, 0, 4), (8, 0, 1)]
+    assert ingest.compact_calls(spark, table) == 1 and state() == before and ingest.compact_calls(spark, table) == 1
+    put(2, [(4, 8, 0, False, 0, 1, 1), (5, 9, 1, True, 2, 1, 1)])
+    put(2, [(4, 8, 0, False, 0, 1, 1), (5, 9, 1, True, 2, 1, 1)])
+    assert state() == [(7, 0, 4), (9, 1, 2)]
+    assert ingest.compact_calls(spark, table) == 2 and state() == [(7, 0, 4), (9, 1, 2)]
