@@ -14,8 +14,9 @@ from evirank.llm.common import WORD, checkpointed, tag
 MOST_COPIES = 3
 #: Cost of a token of the first, second, third copy (convex, so copies spread before they pile up).
 COPY_COSTS = (0, 1, 3)
-#: Hash ranges a pattern is cut into: a running sum runs inside one range, the ranges' totals in one small window per pattern.
-RANGES = 4096
+#: Rows are ordered by a seeded md5, whose first hex digits cut a pattern into 4,096 even ranges: a running sum runs inside one
+#: range, the ranges' totals in one small window per pattern.
+RANGE_DIGITS = 3
 #: Distinct membership patterns the driver solves for (a pattern is a set of sources, not a document).
 MOST_PATTERNS = 100_000
 SEED = 7
@@ -123,12 +124,18 @@ def mix(rows: DataFrame, weights: dict | None = None, cycle: tuple = (1, 2, 3),
     flows = min_cost_flow(patterns, quota)
     spark = rows.sparkSession
     plan = spark.createDataFrame(
-        [(list(p), int(flows[p] // n) if n else 0, float(flows[p] - (flows[p] // n) * n) if n else 0.0) for p, n in patterns.items()],
+        [(list(p), *_shared_out(flows[p], n)) for p, n in patterns.items()],
         "members array<string>, base int, rest double")
     wanted = spark.createDataFrame([(s, sizes[s], quota[s]) for s in order], "source string, source_size bigint, target double")
     return _select(rows, plan, seed), wanted
 
 
+def _shared_out(flow: float, size: int) -> tuple[int, float]:
+    """Whole copies for all rows of a pattern and the tokens beyond them; a flow within a millionth of a whole counts as whole."""
+    base = int((flow + 1e-6) // size) if size else 0
+    return base, max(0.0, round(flow - base * size, 6))
+
+
 def targets_of(sizes: dict, weights: dict, total: float) -> dict:
     """targets() scaled to a total that counts a row of several sources once."""
     listed = sum(sizes.values())
@@ -142,7 +149,7 @@ def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Base copies for all rows; one more for the first rows in hash order whose running size stays within the rest; then the one
     row whose size comes nearest to what is still missing, if it brings the pattern nearer."""
     key = f"h_{tag()}"
-    hashed = rows.withColumn(key, F.xxhash64(F.lit(seed), F.col("id").cast("string"))).withColumn("_range", F.pmod(F.shiftrightunsigned(key, 40), F.lit(RANGES)))
+    hashed = rows.withColumn(key, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))).withColumn("_range", F.substring(key, 1, RANGE_DIGITS))
     ranges = hashed.groupBy("members", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("members").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("members", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), "_sum")

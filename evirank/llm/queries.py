@@ -110,5 +110,23 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    # one source per document, so each pattern's flow is its source's target: the level at which sources in the order of saturation fill up
+    "op6_mixing": """
+WITH d AS (
+  SELECT doc_id, source AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('7-' || doc_id) AS h FROM documents),
+o AS (SELECT s, n, (row_number() OVER (ORDER BY s NULLS LAST) - 1) % 3 + 1 AS w FROM (SELECT s, sum(size)::BIGINT AS n FROM d GROUP BY s)),
+r AS (SELECT *, 3 * n / w::DOUBLE AS full_at, sum(n) OVER () AS total FROM o),
+v AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY full_at, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY full_at, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT s, n, least(3.0::DOUBLE * n, w * (SELECT min_by(level, full_at) FROM v WHERE level <= full_at)) AS target FROM v),
+p AS (SELECT *, CASE WHEN n > 0 THEN floor((target + 1e-6) / n)::BIGINT ELSE 0 END AS base FROM t),
+c AS (SELECT d.*, n, target, base, greatest(0, round(target - base * n, 6)) AS rest,
+    sum(size) OVER (PARTITION BY d.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.s IS NOT DISTINCT FROM p.s),
+m AS (SELECT *, (upto <= rest)::INT AS more FROM c),
+g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY s) AS gap FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN more = 0 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h, doc_id, size) = 1
+    AND more = 0 AND size > 0 AND abs(size - gap) < gap AS last FROM g)
+SELECT doc_id, size, n AS source_size, target, (size * CASE WHEN size = 0 THEN 0 ELSE base + more + last::INT END)::BIGINT AS taken FROM l
 """,
 }
