@@ -13,38 +13,42 @@ def shard_order(strings: np.ndarray, lengths: np.ndarray, width: int) -> tuple[n
     full = width + 1
     owner = np.repeat(np.arange(len(lengths)), lengths + 1)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
-    period = (lengths + 1)[owner]
     padded = np.zeros((len(strings), full), np.uint8)
     padded[:, :width] = strings
-    places = (offset[:, None] + np.arange(full)[None, :]) % period[:, None]
-    rotations = np.ascontiguousarray(padded[owner[:, None], places])
+    # each string repeated far enough that every rotation is a stretch of it
+    period = (lengths + 1)[:, None]
+    wound = np.take_along_axis(padded, np.arange(full + width)[None, :] % period, axis=1)
+    rotations = np.lib.stride_tricks.sliding_window_view(wound, full, axis=1)[owner, offset]
     order = np.argsort(rotations.view(f"S{full}").ravel(), kind="stable")
-    before = padded[owner, (offset - 1) % period]
+    before = padded[owner, (offset - 1) % (lengths + 1)[owner]]
     return before[order], owner[order], offset[order]
 
 
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave the transforms of several shards to rotations sorted by `depth` bytes, without looking at a suffix again.
 
-    `source` says which shard the row at each place comes from; the rows of a shard keep their order. One refinement reads each
-    row's preceding byte in the present order and deals the rows stably by it: what was sorted by d bytes is then sorted by
-    d + 1. Beside it go the borders between rows whose first d bytes differ, so the places without a border after `depth` rounds
-    are the common prefixes of at least `depth` bytes. Returns (row ids: shard after shard, in merged order; border flags)."""
+    The interleave lists the shards' rows in the present order; the rows of a shard keep their order in it. One refinement reads
+    the byte before each rotation, deals the places stably by it, and moves each row to the one with that byte in front, which its
+    shard's transform gives: what was sorted by d bytes is then sorted by d + 1. Beside it go the borders between rows whose first
+    d bytes differ, so the places without a border after `depth` rounds are the common prefixes of at least `depth` bytes.
+    Returns (row ids: shard after shard, in merged order; border flags)."""
     bwt = np.concatenate(shards)
     n = len(bwt)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
+    front = np.empty(n, np.int32)  # the row of the rotation that starts one byte earlier
+    at = 0
+    for shard in shards:
+        front[at + np.argsort(shard, kind="stable")] = np.arange(at, at + len(shard), dtype=np.int32)
+        at += len(shard)
+    row = np.arange(n, dtype=np.int32)
     block = np.zeros(n, np.int32)
-    row = np.empty(n, np.int64)
     border = np.zeros(n, bool)
     for _ in range(depth):
-        row[np.argsort(source, kind="stable")] = np.arange(n)  # the next unread row of each place's shard
         byte = bwt[row]
         order = np.argsort(byte, kind="stable")
-        source, byte, block = source[order], byte[order], block[order]
-        border[0] = True
+        row, byte, block = front[row[order]], byte[order], block[order]
+        border[:1] = True
         border[1:] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(border, dtype=np.int32)
-    row[np.argsort(source, kind="stable")] = np.arange(n)
+        np.cumsum(border, dtype=np.int32, out=block)
     return row, border
 
 

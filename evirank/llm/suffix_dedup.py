@@ -27,6 +27,10 @@ SPAN = MATCH - ANCHOR + 1
 WIDTH = MATCH + SPAN - 1
 #: Bytes of text per anchor bucket; their number follows the size of the input.
 BUCKET_BYTES = 48 << 20
+#: A window has at least so many bytes on one side of its anchor: half of those around it.
+SIDE = (MATCH - ANCHOR) // 2
+#: Fragments are dealt to so many times more parts than anchors, whose entries are smaller.
+FINER = 8
 #: Fragment bytes that are merged together (anchors are independent of each other; one anchor is never cut).
 MERGE_BYTES = 1 << 20
 LAST = (1 << 63) - 1  # stands for a null id: larger than any other
@@ -55,7 +59,7 @@ def _hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 class Runs:
-    """The anchors of the rows data[offsets[i]:offsets[i + 1]] in order: row, hash, first and last window (places in data)."""
+    """The anchors of the rows data[offsets[i]:offsets[i + 1]] in order: row, hash, place, first and last window (places in data)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         parts = [self._part(data[a:b], a) for a, b in _cuts(len(data))]
@@ -68,7 +72,7 @@ class Runs:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(place)) - 1
         self.row, self.hash = row[first], hashed[first]
-        self.first, self.last = place[first], place[last]
+        self.first, self.last, self.anchor = place[first], place[last], anchor[first]
 
     @staticmethod
     def _part(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +158,13 @@ def _flag(table: pa.Table) -> pa.Table:
 
 
 def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows(id, th, text, flags) -> (bucket, hash, id, th, start, size, bytes): the fragments of flagged anchors, columns packed."""
+    """rows(id, th, text, flags) -> (bucket, hash, id, th, start, size, anchor, bytes): the fragments of flagged anchors, columns packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             data, offsets = text_bytes(batch.column("text"))
             runs = Runs(data, offsets)
             bucket = (runs.hash % np.uint64(buckets)).astype(np.int64)
+            finer = (runs.hash % np.uint64(buckets * FINER)).astype(np.int64)
             order = np.lexsort((bucket, runs.row))
             key = runs.row[order] * buckets + bucket[order]
             hit = np.zeros(len(key), bool)
@@ -169,24 +174,49 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
                     bits = np.frombuffer(flag["bits"], np.uint8)
                     hit[at : at + len(bits)] = bits
             chosen = order[hit]
-            chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+            chosen = chosen[np.argsort(finer[chosen], kind="stable")]
             if not len(chosen):
                 continue
             first, size = runs.first[chosen], runs.last[chosen] - runs.first[chosen] + MATCH
             jump = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
             joined = data[np.arange(size.sum()) + jump]
-            row, part = runs.row[chosen], bucket[chosen]
+            row, part = runs.row[chosen], finer[chosen]
             edge = np.flatnonzero(np.diff(part, prepend=-1))
             n_in = np.diff(np.append(edge, len(part)))
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "th"))
             columns = [_lists(runs.hash[chosen], n_in), _lists(ids, n_in), _lists(ths, n_in), _lists((first - offsets[row]).astype(np.int64), n_in),
-                       _lists(size.astype(np.uint8), n_in), _lists(joined, np.add.reduceat(size, edge))]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), *columns], names=["bucket", "hash", "id", "th", "start", "size", "bytes"])
+                       _lists(size.astype(np.uint8), n_in),
+                       _lists((runs.anchor[chosen] - first).astype(np.uint8), n_in), _lists(joined, np.add.reduceat(size, edge))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), *columns], names=["bucket", "hash", "id", "th", "start", "size", "anchor", "bytes"])
 
-    return rows.mapInArrow(run, "bucket int, hash binary, id binary, th binary, start binary, size binary, bytes binary")
+    return rows.mapInArrow(run, "bucket int, hash binary, id binary, th binary, start binary, size binary, anchor binary, bytes binary")
 
 
-def covered(hashed: np.ndarray, ids: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(key: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Which usable rows have a key that another usable row has as well."""
+    at = np.flatnonzero(usable)
+    order = at[np.argsort(key[at], kind="stable")]
+    same = key[order][1:] == key[order][:-1]
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _may_repeat(hashed: np.ndarray, rows: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Fragments of an anchor that agree with another one in the SIDE bytes on the left or on the right of it: as a window has that
+    many on one side, all others can't share a window."""
+    weight = _powers(SIDE, _BASE)
+
+    def side(start: np.ndarray) -> np.ndarray:
+        near = rows[np.arange(len(rows))[:, None], np.clip(start, 0, rows.shape[1] - SIDE)[:, None] + np.arange(SIDE)].astype(np.uint64)
+        return (near + np.uint64(1)) @ weight ^ hashed
+
+    right = anchor + ANCHOR
+    return _shared(side(anchor - SIDE), anchor >= SIDE) | _shared(side(right), size - right >= SIDE)
+
+
+def covered(hashed: np.ndarray, ids: np.ndarray, size: np.ndarray, anchored: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fragment, from, to): stretches of fragments that repeat in a smaller id. Fragments of one bucket, bytes one after another."""
     n, ends = len(size), np.cumsum(size.astype(np.int64))
     rows = np.zeros((n, WIDTH), np.uint8)
@@ -199,12 +229,10 @@ def covered(hashed: np.ndarray, ids: np.ndarray, size: np.ndarray, data: np.ndar
     keeper = order[starts]
     least = ids[keeper][same]
     whole = ids > least
-    # distinct fragments of anchors that have several
+    # distinct fragments that may share a window with another one of their anchor, anchor by anchor
     anchor = hashed[keeper]
-    by_anchor = np.argsort(anchor, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(anchor[by_anchor]) != 0)))
-    many = np.repeat(np.diff(np.append(edge, len(anchor))), np.diff(np.append(edge, len(anchor)))) > 1
-    open_ = by_anchor[many]
+    open_ = np.flatnonzero(_may_repeat(anchor, rows[keeper], size[keeper], anchored[keeper]))
+    open_ = open_[np.argsort(anchor[open_], kind="stable")]
     found_class, found_at = [], []
     group = np.cumsum(np.diff(anchor[open_], prepend=anchor[open_][:1]) != 0) if len(open_) else np.zeros(0, np.int64)
     at = 0
@@ -244,9 +272,9 @@ def union(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(table: pa.Table) -> pa.Table:
     """The covered stretches of one bucket: (th, spans), spans as packed pairs of int64 offsets in the text."""
-    names = {"hash": np.uint64, "id": np.int64, "th": np.int64, "start": np.int64, "size": np.uint8, "bytes": np.uint8}
+    names = {"hash": np.uint64, "id": np.int64, "th": np.int64, "start": np.int64, "size": np.uint8, "anchor": np.uint8, "bytes": np.uint8}
     c = {name: _joined(table.column(name), kind) for name, kind in names.items()}
-    fragment, lo, hi = covered(c["hash"], c["id"], c["size"].astype(np.int64), c["bytes"])
+    fragment, lo, hi = covered(c["hash"], c["id"], c["size"].astype(np.int64), c["anchor"].astype(np.int64), c["bytes"])
     th, begin = c["th"][fragment], c["start"][fragment]
     order = np.lexsort((begin + lo, th))
     pairs = np.stack([(begin + lo)[order], (begin + hi)[order]], axis=1).reshape(-1)
@@ -298,7 +326,8 @@ def repeated_runs(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
     texts = long.select("id", "th", "text")
     pieces_ = _fragments(texts.join(by_text, ["id", "th"]).select("id", "th", "text", "flags"), buckets)
     spans = pieces_.groupBy("bucket").applyInArrow(_settle, "th bigint, spans binary").groupBy("th").agg(F.collect_list("spans").alias("spans"))
-    spans = checkpointed(spans.join(firsts, "th"))
+    # one job from here: both joins read the texts from the same shuffle
+    spans = spans.join(firsts, "th")
     partly = _cut(texts.join(spans, ["id", "th"])).dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "_id", "th": "_th"})
     least = firsts.withColumnsRenamed({"id": "_first", "th": "_text"})
     joined = narrow.join(least, F.col("th") == F.col("_text"), "left").join(partly, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
