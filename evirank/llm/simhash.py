@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +26,9 @@ BUCKET_ROWS = 1024
 #: 15 bits, of which two linked fingerprints differ in at most 3, so no sub-bucket outgrows 2^15 fingerprints.
 CELLS, CLEAN_CELLS = 8, 5
 
+#: Rows of whole buckets that one call works on.
+PART_ROWS = 100_000
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -129,11 +131,26 @@ def links(prints: DataFrame) -> DataFrame:
     large = met.where(F.col("n") > BUCKET_ROWS).select("fp", F.explode(F.element_at(inner, F.col("m") + 1)).alias("mask")).select(
         "fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
-    def join_up(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(group["fp"].to_numpy(np.int64)), columns=["a", "b"], dtype=np.int64)
+    each = [small.withColumn("mask", F.col("mask").cast("bigint")), large]
+    return _joined_up(each[0]).unionAll(_joined_up(each[1]))
+
+
+def _joined_up(buckets: DataFrame) -> DataFrame:
+    """buckets(fp, mask, key) -> (a, b). Whole buckets are dealt to parts of about PART_ROWS rows and told apart by sorting there,
+    so a part costs one call however many small buckets it holds."""
+    parts = buckets.count() // PART_ROWS + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        fp, mask, key = (table.column(c).to_numpy() for c in ("fp", "mask", "key"))
+        order = np.lexsort((key, mask))
+        mask, key, fp = mask[order], key[order], fp[order]
+        starts = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), [True])))
+        found = [link for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()) for link in _forest(fp[a:b])]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    found = [part.groupBy("mask", "key").applyInPandas(join_up, "a bigint, b bigint") for part in (small.withColumn("mask", F.col("mask").cast("bigint")), large)]
-    return found[0].unionAll(found[1])
+    part = F.pmod(F.xxhash64("mask", "key"), F.lit(parts)).cast("int")
+    return buckets.withColumn("part", part).groupBy("part").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_components(prints: DataFrame) -> DataFrame:
