@@ -33,6 +33,9 @@ SIDE = (MATCH - ANCHOR) // 2
 FINER = 8
 #: Fragment bytes that are merged together (anchors are independent of each other; one anchor is never cut).
 MERGE_BYTES = 1 << 20
+#: Packed columns of a fragment, and of a stretch of a text that is covered already, with their types.
+FRAGMENT = {"hash": np.uint64, "id": np.int64, "th": np.int64, "start": np.int64, "size": np.uint8, "anchor": np.uint8, "bytes": np.uint8}
+DONE = {"done_th": np.int64, "done_start": np.int64, "done_size": np.uint8}
 LAST = (1 << 63) - 1  # stands for a null id: larger than any other
 PIECE = 2 << 20
 
@@ -158,7 +161,8 @@ def _flag(table: pa.Table) -> pa.Table:
 
 
 def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows(id, th, text, flags) -> (bucket, hash, id, th, start, size, anchor, bytes): the fragments of flagged anchors, columns packed."""
+    """rows(id, th, text, flags) -> (bucket, FRAGMENT and DONE columns): the fragments of flagged anchors, dealt by anchor, and the
+    stretches that are covered already, dealt by text; packed. A passage of very many texts goes on once per batch of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             data, offsets = text_bytes(batch.column("text"))
@@ -178,18 +182,52 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
             if not len(chosen):
                 continue
             first, size = runs.first[chosen], runs.last[chosen] - runs.first[chosen] + MATCH
-            jump = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            joined = data[np.arange(size.sum()) + jump]
-            row, part = runs.row[chosen], finer[chosen]
-            edge = np.flatnonzero(np.diff(part, prepend=-1))
-            n_in = np.diff(np.append(edge, len(part)))
+            joined = _stretches(data, first, size)
+            row = runs.row[chosen]
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "th"))
-            columns = [_lists(runs.hash[chosen], n_in), _lists(ids, n_in), _lists(ths, n_in), _lists((first - offsets[row]).astype(np.int64), n_in),
-                       _lists(size.astype(np.uint8), n_in),
-                       _lists((runs.anchor[chosen] - first).astype(np.uint8), n_in), _lists(joined, np.add.reduceat(size, edge))]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), *columns], names=["bucket", "hash", "id", "th", "start", "size", "anchor", "bytes"])
-
-    return rows.mapInArrow(run, "bucket int, hash binary, id binary, th binary, start binary, size binary, anchor binary, bytes binary")
+            hashed, start, part = runs.hash[chosen], (first - offsets[row]).astype(np.int64), finer[chosen]
+            # equal fragments of this batch: the least id goes on, the others are covered whole and need not meet anyone
+            gone = _later_copies(hashed, ids, size, joined)
+            keep = ~gone
+            joined = joined[np.repeat(keep, size)]
+            yield _packed(FRAGMENT, part[keep], [hashed[keep], ids[keep], ths[keep], start[keep], size[keep].astype(np.uint8), (runs.anchor[chosen] - first)[keep].astype(np.uint8)], joined, size[keep])
+            if gone.any():
+                spread = ths[gone] % (buckets * FINER)
+                order = np.argsort(spread, kind="stable")
+                yield _packed(DONE, spread[order], [ths[gone][order], start[gone][order], size[gone].astype(np.uint8)[order]], None, None)
+
+    return rows.mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in FRAGMENT | DONE))
+
+
+def _stretches(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    jump = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+    return data[np.arange(size.sum()) + jump]
+
+
+def _later_copies(hashed: np.ndarray, ids: np.ndarray, size: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Fragments that equal (by 128 bits of hash) one of a smaller id."""
+    forward, back = _tables(1 << (len(joined) - 1).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * forward[: len(joined)])))
+    ends = np.cumsum(size)
+    begin = ends - size
+    content = (sums[ends] - sums[begin]) * back[begin] + size.astype(np.uint64) * _MIX
+    order = np.lexsort((ids, content, hashed))
+    same = (hashed[order][1:] == hashed[order][:-1]) & (content[order][1:] == content[order][:-1])
+    lead = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))
+    gone = np.zeros(len(order), bool)
+    gone[order] = ids[order] > ids[order][lead]
+    return gone
+
+
+def _packed(names: dict, part: np.ndarray, columns: list[np.ndarray], joined: np.ndarray | None, size: np.ndarray | None) -> pa.RecordBatch:
+    """One row per part, ordered by part; the columns of the other kind of row stay empty."""
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    n_in = np.diff(np.append(edge, len(part)))
+    lists = [_lists(c, n_in) for c in columns] + ([_lists(joined, np.add.reduceat(size, edge))] if joined is not None else [])
+    filled = dict(zip(names, lists))
+    blank = pa.array([b""] * len(edge), pa.binary())
+    every = [*FRAGMENT, *DONE]
+    return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), *[filled.get(name, blank) for name in every]], names=["bucket", *every])
 
 
 def _shared(key: np.ndarray, usable: np.ndarray) -> np.ndarray:
@@ -272,12 +310,14 @@ def union(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(table: pa.Table) -> pa.Table:
     """The covered stretches of one bucket: (th, spans), spans as packed pairs of int64 offsets in the text."""
-    names = {"hash": np.uint64, "id": np.int64, "th": np.int64, "start": np.int64, "size": np.uint8, "anchor": np.uint8, "bytes": np.uint8}
-    c = {name: _joined(table.column(name), kind) for name, kind in names.items()}
-    fragment, lo, hi = covered(c["hash"], c["id"], c["size"].astype(np.int64), c["anchor"].astype(np.int64), c["bytes"])
-    th, begin = c["th"][fragment], c["start"][fragment]
-    order = np.lexsort((begin + lo, th))
-    pairs = np.stack([(begin + lo)[order], (begin + hi)[order]], axis=1).reshape(-1)
+    c = {name: _joined(table.column(name), kind) for name, kind in (FRAGMENT | DONE).items()}
+    th, begin, end = c["done_th"], c["done_start"], c["done_start"] + c["done_size"]
+    if len(c["hash"]):
+        fragment, lo, hi = covered(c["hash"], c["id"], c["size"].astype(np.int64), c["anchor"].astype(np.int64), c["bytes"])
+        at = c["start"][fragment]
+        th, begin, end = np.concatenate((th, c["th"][fragment])), np.concatenate((begin, at + lo)), np.concatenate((end, at + hi))
+    order = np.lexsort((begin, th))
+    pairs = np.stack([begin[order], end[order]], axis=1).reshape(-1)
     edge = np.flatnonzero(np.concatenate(([True], np.diff(th[order]) != 0))) if len(th) else np.zeros(0, np.int64)
     n_in = np.diff(np.append(edge, len(th)))
     return pa.table({"th": pa.array(th[order][edge]), "spans": _lists(pairs, 2 * n_in)})
