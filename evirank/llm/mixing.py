@@ -162,10 +162,11 @@ def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     cut = joined.where(F.col("_more").isNull()).withColumn("_end", F.col("_before") + F.sum("size").over(within))
     cut = cut.withColumn("_more", (F.col("_end") <= F.col("rest")).cast("int")).drop("_end")
     dealt = checkpointed(joined.where(F.col("_more").isNotNull()).unionByName(cut))
+    # one row per pattern, of which mix() allows MOST_PATTERNS: small enough to broadcast, so a hot source stays where it is
     gaps = dealt.groupBy("members").agg((F.first("rest") - F.sum(F.col("size") * F.col("_more"))).alias("_gap"))
-    open_ = dealt.where((F.col("_more") == 0) & (F.col("size") > 0)).join(gaps, "members").where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
+    open_ = dealt.where((F.col("_more") == 0) & (F.col("size") > 0)).join(F.broadcast(gaps), "members").where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
     last = open_.groupBy(F.col("members").alias("_m")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), F.col(key).alias("k"), "id", "size")).alias("_last"))
-    marked = dealt.join(last, F.col("members") == F.col("_m"), "left")
+    marked = dealt.join(F.broadcast(last), F.col("members") == F.col("_m"), "left")
     chosen = (F.col("_more") == 0) & F.col("_last.k").eqNullSafe(F.col(key)) & F.col("_last.id").eqNullSafe(F.col("id")) & F.col("_last.size").eqNullSafe(F.col("size"))
     rest = marked.where(~chosen)
     first = marked.where(chosen).withColumn("_more", (F.row_number().over(Window.partitionBy("members").orderBy("id")) == 1).cast("int"))  # equal rows: one
