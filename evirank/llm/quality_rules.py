@@ -15,10 +15,13 @@ MOST_REPEATED_PERCENT = 20
 WINDOW_WORDS = 5
 SYMBOLS = "#*$%&|<>"
 
-#: Signals with an adaptive fence: (name, lower slack, upper slack). A fence lies FENCE interquartile ranges outside the
-#: quartiles of the group, and never nearer to them than the slack, so that a group without spread keeps its usual texts.
-#: No lower fence where the slack is None.
+#: Signals with an adaptive fence: (name, lower slack, upper slack). Two fences are read from the group's sketch and the nearer one
+#: holds. One lies FENCE interquartile ranges outside the quartiles, or the slack if that is more: it decides in groups whose own
+#: tail is odd. The other lies outside the quantile TAIL by TAIL_MARGIN times the way from the median to it: it has no constant,
+#: so a group in which a signal hardly occurs also drops the few texts that show it. No lower fence where the slack is None.
 FENCE = 3.0
+TAIL = 0.99
+TAIL_MARGIN = 1.0
 SIGNALS: list[tuple[str, float | None, float]] = [
     ("mean_word", 1.5, 3.0),
     ("symbol_rate", None, 0.3),
@@ -28,8 +31,8 @@ SIGNALS: list[tuple[str, float | None, float]] = [
 ]
 #: Rows a group needs for fences of its own; smaller groups take those of their language, then of all rows.
 LEAST_ROWS = 200
-#: KLL sketch size: rank error about 1 %.
-SKETCH_K = 200
+#: KLL sketch size: rank error about 0.3 %, well below 1 - TAIL.
+SKETCH_K = 1000
 
 
 def _repeated_words(words: Column) -> Column:
@@ -101,12 +104,16 @@ def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS, k: int = SKETCH_K)
     def fences(sketches: DataFrame, prefix: str) -> list[Column]:
         out = []
         for name, below, above in SIGNALS:
-            def quartile(p: float, name=name) -> Column:
+            def quantile(p: float, name=name) -> Column:
                 return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(name, F.lit(p)))
-            spread = FENCE * (quartile(0.75) - quartile(0.25))
-            out.append((quartile(0.75) + F.greatest(spread, F.lit(above))).alias(f"{prefix}hi_{name}"))
+
+            def tail(p: float) -> Column:
+                return quantile(p) + TAIL_MARGIN * (quantile(p) - quantile(0.5))
+
+            spread = FENCE * (quantile(0.75) - quantile(0.25))
+            out.append(F.least(quantile(0.75) + F.greatest(spread, F.lit(above)), tail(TAIL)).alias(f"{prefix}hi_{name}"))
             if below is not None:
-                out.append((quartile(0.25) - F.greatest(spread, F.lit(below))).alias(f"{prefix}lo_{name}"))
+                out.append(F.greatest(quantile(0.25) - F.greatest(spread, F.lit(below)), tail(1 - TAIL)).alias(f"{prefix}lo_{name}"))
         return out
 
     fine = groups.select("lang", "source", F.col("n").alias("n0"), *fences(groups, "a_"))

@@ -102,6 +102,27 @@ def test_quality_fences_follow_the_group(spark):
     assert quality_rules.judged(spark.createDataFrame(rows[:1], "doc_id bigint, text string, lang string, source string").limit(0)).count() == 0
 
 
+def test_quality_tails_reject_per_signal(spark):
+    """In a group where a signal hardly varies, a text far outside its tail goes, though it is within every slack and passes the base rules."""
+    rnd = random.Random(8)
+    word = lambda lengths: "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice(lengths)))
+    say = lambda n, lengths=(3, 4, 5, 6, 7): [word(lengths) for _ in range(n)]
+    lines = [" ".join(say(3)) for _ in range(14)]
+    odd = {
+        "high_symbol_rate": " ".join(w + "$" * (i % 5 == 0) for i, w in enumerate(say(40))),
+        "high_dup_line_rate": "\n".join(lines + [lines[0], lines[4], lines[9]]),
+        "high_repeat_rate": " ".join((r := say(5)) + say(25) + r + say(25)),
+        "high_upper_rate": " ".join(w.title() if i % 3 == 0 else w for i, w in enumerate(say(60))),
+        "high_mean_word": " ".join(say(40, (6, 7, 8))),
+        "low_mean_word": " ".join(say(40, (3, 4))),
+    }
+    rows = [(i, " ".join(say(40)), "en", "web") for i in range(600)] + [(1000 + i, t, "en", "web") for i, t in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    for i, rule in enumerate(odd):
+        assert not got[1000 + i]["base_failed"] and rule in got[1000 + i]["failed_rules"], rule
+    assert sum(got[i]["kept"] for i in range(600)) >= 597, "usual texts stay"
+
+
 # PII
 
 def luhn(d):
