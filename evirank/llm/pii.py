@@ -20,6 +20,8 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 #: What may be an identifier that the base patterns miss: a run with a digit or @, long enough (see _candidates).
 CANDIDATE = r"[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
+#: The same written in groups: runs of digits joined by single spaces, dots, hyphens or round brackets.
+GROUPED = r"\(?[0-9]++(?:\)?[\x20.-]?\(?[0-9]++)*+"
 LEAST_DIGITS = 6
 #: Code points of context looked at on either side.
 CONTEXT = 48
@@ -64,14 +66,32 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, taken: Column) -> Column:
-    """Runs that look like an identifier and overlap no base span; kind -1."""
+    """Runs that look like an identifier and overlap no base span; kind -1. Digit groups that are joined count as one run, looked for
+    beside the base spans; a single run of digits inside it is no candidate of its own."""
     def valid(m: Column) -> Column:
         return (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS) | (F.contains(m, F.lit("@")) & (F.length(m) >= LEAST_DIGITS))
 
+    def joined(m: Column) -> Column:
+        return m.rlike(r"[\x20()]") & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS)
+
+    def unbracketed(c: Column) -> Column:
+        """Without an opening bracket that nothing closes."""
+        cut = F.when(F.startswith(c["value"], F.lit("(")) & ~F.contains(c["value"], F.lit(")")), 1).otherwise(0)
+        return let(cut, lambda k: F.struct(c["kind"].alias("kind"), (c["start"] + k).alias("start"), c["end"].alias("end"), F.substring(c["value"], k + 1, F.length(c["value"])).alias("value")))
+
+    masked = F.aggregate(taken, text, lambda acc, b: F.concat(
+        F.substring(acc, F.lit(1), b["start"]), F.repeat(F.lit("\x01"), b["end"] - b["start"]), F.substring(acc, b["end"] + 1, F.length(acc))))
+    groups = F.when(text.rlike(r"[0-9][\x20()]+[0-9]|\([0-9]"), F.transform(let(masked, lambda t: _placed(t, GROUPED, -1, joined)), unbracketed)).otherwise(F.array().cast(SPAN))
+
     found = F.when(text.rlike("[0-9@]"), _placed(text, CANDIDATE, -1, valid)).otherwise(F.array().cast(SPAN))
     trimmed = F.transform(found, lambda c: let(F.regexp_replace(c["value"], r"[._%+-]+$", ""), lambda v: F.struct(
         c["kind"].alias("kind"), c["start"].alias("start"), (c["start"] + F.length(v)).alias("end"), v.alias("value"))))
-    return F.filter(trimmed, lambda c: ~F.exists(taken, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+    apart = F.filter(trimmed, lambda c: ~F.exists(taken, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+
+    def whole(g: Column) -> Column:
+        return F.concat(g, F.filter(apart, lambda c: c["value"].rlike("[A-Za-z@]") | ~F.exists(g, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))))
+
+    return let(groups, whole)
 
 
 def _contexts(text: Column, span: Column) -> Column:

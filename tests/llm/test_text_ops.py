@@ -174,6 +174,23 @@ def test_pii_learns_contexts(spark):
     assert texts[100] == "ipsum call phone: <phone> today" and texts[3] == "lorem 3 call phone: <phone> today" and texts[101] == rows[21][1]
 
 
+def test_pii_finds_grouped_forms(spark):
+    """Numbers written in groups are one candidate each, with the context outside the whole run."""
+    rows = [(i, f"lorem {i} call phone: +1 823 555 {4000 + i} today") for i in range(30)]
+    rows += [(50 + i, f"pay {i} with card: {c} gladly") for i, c in enumerate(["4111 1111 1111 1111", "5500000000000004", "4012-8888-8888-1881", "4222 2222 2222 2", "5105 1051 0510 5100", "378282246310005"])]
+    grouped = {100: "(743) 555-3824", 101: "823 555 9911", 102: "1 (743) 555-3825", 103: "743.555 38 26"}
+    rows += [(i, f"ipsum{i} call phone: {n} today") for i, n in grouped.items()]
+    rows += [(110, "use card: 4111 1111 1111 1112 gladly"), (120, "stock (823 555 9912) of order"), (121, "host 10.0.0.1 823 555 9913"), (122, "lot 12 345 678 left")]
+    df, texts = spark.createDataFrame(rows, "doc_id bigint, text string"), dict(rows)
+    found = {r["doc_id"]: [(pii.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["found"]] for r in pii.find_pii(df).collect()}
+    assert {i: found[i] for i in grouped} == {i: [("phone", n)] for i, n in grouped.items()}
+    assert found[110] == [("card", "4111 1111 1111 1112")]
+    assert not any(found[i] for i in (120, 121, 122))
+    seen = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["seen"]] for r in pii.extracted(df).where("doc_id > 110").collect()}
+    assert seen[120] == [(-1, "823 555 9912")] and (-1, "823 555 9913") in seen[121] and seen[122] == [(-1, "12 345 678")]
+    assert {r["text"] for r in pii.redact(df).where("doc_id = 100").collect()} == {"ipsum100 call phone: <phone> today"}
+
+
 def test_redact_unites_overlaps(spark):
     df = spark.createDataFrame([(1, "x 4111111111111111, 1.2.3.4@b.de é", 5), (2, None, 0)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: r for r in pii.redact(df).collect()}
