@@ -25,7 +25,7 @@ GROUPED = r"\(?[0-9]++(?:\)?[\x20.-]?\(?[0-9]++)*+"
 LEAST_DIGITS = 6
 #: Code points of context looked at on either side.
 CONTEXT = 48
-#: Scoring rounds; a pattern counts once it has so many distinct seed values, and finds identifiers from this confidence on.
+#: Scoring rounds of a hop; a pattern counts once it has so many distinct seed values, and finds identifiers from this confidence on.
 ROUNDS = 3
 LEAST_SEEDS = 5
 CONFIDENT = 0.8
@@ -120,15 +120,12 @@ def extracted(docs: DataFrame) -> DataFrame:
         "doc_id", "text_hash", F.coalesce("f.base", F.array().cast(SPAN)).alias("base"), F.col("f.seen").alias("seen"))
 
 
-def scored_patterns(occurrences: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """occurrences(kind, value, patterns, ..) -> (pattern, kind, confidence) of patterns with enough distinct seeds of that kind.
+def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """edges(pattern, value, kind) -> (pattern, kind, confidence) of patterns with enough distinct seeds of that kind.
 
     The graph joins patterns to instances (values). In each round a pattern's confidence for a kind is the mean confidence of its
     instances, smoothed by PRIOR; an instance that is no seed takes the noisy-or of its patterns. Seeds stay at 1 for their kind
-    and 0 for others. Edges are counted once however often they occur; all sums are combined before the shuffle, so a frequent
-    pattern or value gathers nowhere."""
-    edges = occurrences.select("value", F.explode("patterns").alias("pattern"), "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    edges = checkpointed(edges)
+    and 0 for others. All sums are combined before the shuffle, so a frequent pattern or value gathers nowhere."""
     seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
     seeds = checkpointed(seeds)
     sizes = checkpointed(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).join(seeds, "pattern").select("pattern", "kind", "n", "seeds"))
@@ -143,6 +140,25 @@ def scored_patterns(occurrences: DataFrame, rounds: int = ROUNDS, least_seeds: i
     return scores
 
 
+def learned_patterns(occurrences: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+    """occurrences(kind, value, patterns, ..) -> (pattern, kind, confidence) of the patterns that were confident in some hop.
+
+    After each hop the values that a confident pattern found become seeds of its kind (that of the most confident; ties: listed first)
+    and all patterns are counted anew, so contexts seen only around found values are induced too. Values not found stay in the counts
+    as evidence against. Edges are counted once however often they occur. Ends when a hop finds nothing new; no count of hops is set."""
+    edges = checkpointed(occurrences.select("value", F.explode("patterns").alias("pattern"), "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
+    known = None
+    while True:
+        sure = checkpointed(scored_patterns(edges).where(F.col("confidence") >= confident))
+        known = sure if known is None else checkpointed(known.unionByName(sure).groupBy("pattern", "kind").agg(F.max("confidence").alias("confidence")))
+        fresh = checkpointed(edges.where("kind < 0").select("pattern", "value").join(sure, "pattern").groupBy("value").agg(
+            F.min(F.struct((-F.col("confidence")).alias("c"), F.col("kind").alias("kind")))["kind"].alias("as_kind")))
+        if fresh.isEmpty():
+            return known
+        edges = checkpointed(edges.join(fresh, "value", "left").select(
+            "pattern", "value", F.when(F.col("kind") < 0, F.coalesce("as_kind", "kind")).otherwise(F.col("kind")).alias("kind")))
+
+
 def find_pii(docs: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """docs(doc_id, text, ..) -> doc_id, text_hash, base SPAN, found SPAN (added by the method), one row per row of docs.
 
@@ -152,7 +168,7 @@ def find_pii(docs: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """
     rows = checkpointed(extracted(docs))  # spans and short contexts, no texts
     occurrences = rows.where(F.size("seen") > 0).select("doc_id", "text_hash", F.explode("seen").alias("s")).select("doc_id", "text_hash", "s.*")
-    patterns = scored_patterns(occurrences).where(F.col("confidence") >= confident).withColumnRenamed("kind", "as_kind")
+    patterns = learned_patterns(occurrences, confident).withColumnRenamed("kind", "as_kind")
     open_ = occurrences.where("kind < 0").select("doc_id", "text_hash", "start", "end", "value", F.explode("patterns").alias("pattern"))
     best = open_.join(patterns, "pattern").groupBy("doc_id", "text_hash", "start", "end", "value").agg(
         F.min(F.struct((-F.col("confidence")).alias("c"), F.col("as_kind").alias("kind"))).alias("b"))

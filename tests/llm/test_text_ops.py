@@ -191,6 +191,18 @@ def test_pii_finds_grouped_forms(spark):
     assert {r["text"] for r in pii.redact(df).where("doc_id = 100").collect()} == {"ipsum100 call phone: <phone> today"}
 
 
+def test_pii_second_hop(spark):
+    """`phone:` is taught by seeds and finds numbers; `dial`, seen only around those, is learned from them and finds one more."""
+    rows = [(i, f"a{i} phone: +1 823 555 {4000 + i} z{i}") for i in range(30)]
+    rows += [(100 + i, f"b{i} phone: 823-555-99{10 + i} y{i}") for i in range(8)] + [(200 + i, f"c{i} dial 823-555-99{10 + i} x{i}") for i in range(8)]
+    rows += [(300, "d dial 777-555-1234 w")] + [(400 + i, f"e{i} order 123-456-78{10 + i} v{i}") for i in range(8)] + [(420, "f order 823-555-9910 u")]
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["found"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    phone = pii.KINDS.index("phone")
+    assert found[300] == [(phone, "777-555-1234")]
+    assert all(found[200 + i] == [(phone, f"823-555-99{10 + i}")] for i in range(8))
+    assert not any(found[400 + i] for i in range(8)), "one found value among eight others does not teach `order`"
+
+
 def test_redact_unites_overlaps(spark):
     df = spark.createDataFrame([(1, "x 4111111111111111, 1.2.3.4@b.de é", 5), (2, None, 0)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: r for r in pii.redact(df).collect()}
