@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evirank.llm import chat, decontaminate, langid, mixing, pii, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from evirank.llm import chat, decontaminate, fim, langid, mixing, pii, quality_net, quality_rules, repair, simhash, suffix_dedup, toxicity
 from evirank.llm.common import table
 
 #: A conversation that says the control strings of a common template, added to the table's own.
@@ -60,8 +60,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), keep=["doc_id"]))
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(repair.damaged(turns), turns)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_quality_net, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity)}
+    op1_chat_format, op2_quality_net, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity,
+    op12_fill_in_middle, op13_conversation_repair)}
 
 ORACLES: dict[str, str] = {
     # template: 12 + role + 1 characters open a block, 11 close it, 8 part two turns of one role
@@ -128,5 +138,57 @@ g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY s) AS gap FROM m),
 l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN more = 0 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h, doc_id, size) = 1
     AND more = 0 AND size > 0 AND abs(size - gap) < gap AS last FROM g)
 SELECT doc_id, size, n AS source_size, target, (size * CASE WHEN size = 0 THEN 0 ELSE base + more + last::INT END)::BIGINT AS taken FROM l
+""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS lo, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS hi FROM u),
+p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(w[1:lo], '') AS a, array_to_string(w[lo + 1:hi], '') AS m, array_to_string(w[hi + 1:], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+""",
+    # crc32 bit by bit; then all readings of a conversation row by row: the end of the kept roles is b(egin), s(ystem), u(ser) or p(air)
+    "op13_conversation_repair": """
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+x AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(k[i]) >> b) & 1))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS what FROM k),
+y AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS no FROM y),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY no) || left(role, 1) AS pair FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(no) AS size FROM f GROUP BY conv_id),
+-- steps between ends: an inserted turn, or a row by its initial
+moves(was, i, now) AS (VALUES ('b', 's', 's'), ('b', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'p'), ('p', 'u', 'u')),
+steps AS (
+  SELECT was, i, now, '' AS ins, '' AS said, 0 AS price FROM moves
+  UNION ALL SELECT a.was, b.i, b.now, 'I', CASE a.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10), 2 FROM moves a JOIN moves b ON a.now = b.was WHERE a.i <> 's'),
+rows AS (SELECT conv_id, no, role, text, fault, left(role, 1) AS i FROM f),
+options AS (
+  SELECT conv_id, no, was, now, ins || 'K' AS letters, said || role || ':' || text || chr(10) AS said, price + (fault = 'truncated')::INT AS price
+  FROM rows JOIN steps USING (i) WHERE fault IN ('none', 'truncated')
+  UNION ALL SELECT conv_id, no, was, now, ins || 'R', said || CASE s.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10), price + 2 + (fault = 'truncated')::INT
+  FROM rows, steps s WHERE fault IN ('none', 'truncated') AND s.i <> 's'
+  UNION ALL SELECT conv_id, no, was, was, 'D', '', 3 FROM rows, (SELECT unnest(['b', 's', 'u', 'p']) AS was)),
+best AS (SELECT conv_id, no, was, now, min(struct_pack(price := price, letters := letters, said := said)) AS o FROM options GROUP BY ALL),
+reading(conv_id, no, state, v) AS (
+  SELECT conv_id, 0::BIGINT, 'b', struct_pack(cost := 0::BIGINT, audit := '', said := '') FROM g
+  UNION ALL
+  SELECT r.conv_id, r.no + 1, b.now, min(struct_pack(cost := r.v.cost + b.o.price, audit := r.v.audit || b.o.letters, said := r.v.said || b.o.said))
+  FROM reading r JOIN best b ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND b.no = r.no + 1 AND b.was = r.state GROUP BY 1, 2, 3),
+-- an open user turn may be answered by an inserted one, a lone system turn by two
+ended AS (
+  SELECT r.conv_id, min(CASE r.state WHEN 'u' THEN struct_pack(cost := r.v.cost + 2, audit := r.v.audit || 'I', said := r.v.said || 'assistant:' || chr(10))
+      WHEN 's' THEN struct_pack(cost := r.v.cost + 4, audit := r.v.audit || 'II', said := r.v.said || 'user:' || chr(10) || 'assistant:' || chr(10)) ELSE r.v END) AS v
+  FROM reading r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.no = g.size GROUP BY r.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(v.cost, 0)::BIGINT AS cost, coalesce(v.audit, '') AS audit, sha256(coalesce(left(v.said, length(v.said) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """,
 }
