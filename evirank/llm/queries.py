@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evirank.llm import chat, decontaminate, fim, langid, mixing, pii, quality_net, quality_rules, repair, simhash, suffix_dedup, toxicity
+from evirank.llm import chat, decontaminate, fim, jaccard, langid, mixing, pii, quality_net, quality_rules, repair, simhash, suffix_dedup, toxicity
 from evirank.llm.common import table
 
 #: A conversation that says the control strings of a common template, added to the table's own.
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), keep=["doc_id"]))
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -71,7 +75,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_net, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity,
-    op12_fill_in_middle, op13_conversation_repair)}
+    op11_jaccard_join, op12_fill_in_middle, op13_conversation_repair)}
 
 ORACLES: dict[str, str] = {
     # template: 12 + role + 1 characters open a block, 11 close it, 8 part two turns of one role
@@ -138,6 +142,22 @@ g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY s) AS gap FROM m),
 l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN more = 0 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h, doc_id, size) = 1
     AND more = 0 AND size > 0 AND abs(size - gap) < gap AS last FROM g)
 SELECT doc_id, size, n AS source_size, target, (size * CASE WHEN size = 0 THEN 0 ELSE base + more + last::INT END)::BIGINT AS taken FROM l
+""",
+    # equal sets are one class; classes that share a shingle are compared, then the least doc_id spreads along links
+    "op11_jaccard_join": """
+WITH RECURSIVE
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT r, doc_id, list_sort(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] WHEN 2 THEN [w[1] || ' ' || w[2]]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+c AS (SELECT min(r) AS c, min(doc_id) AS least, s, len(s) AS n FROM d WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT c, n, hash(unnest(s)) AS g FROM c),
+pairs AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.g = b.g AND a.c < b.c AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(c, other) AS (SELECT c, c FROM c UNION SELECT r.c, l.b FROM reach r JOIN links l ON r.other = l.a),
+named AS (SELECT r.c, min(o.least) AS component_id FROM reach r JOIN c o ON r.other = o.c GROUP BY r.c)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN c USING (s) LEFT JOIN named USING (c)
 """,
     "op12_fill_in_middle": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
