@@ -6,7 +6,8 @@ passage that many documents share spreads over all fragments.
 
 Search: sets that are near enough differ in at most D elements, so of F fragments at least F - D hold equal segments. Equal segments
 are counted, each set keeps its rarest ones up to the number that decides (a prefix filter over segments), and sets that share one are
-candidates. Check: for a candidate pair the overlap is counted apart in each fragment of its sets and summed.
+candidates; among those a prefix filter over elements, rarest first, leaves the pairs to check. Check: for a candidate pair the overlap is counted apart
+in each fragment of its sets and summed.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ PERCENT = 90
 #: Size groups: each upper end is GROWTH times the lower; sets within reach of the next group's lower end are in both.
 GROWTH = 1.5
 #: Fragments per D + 1, so that more than the least number of equal segments is asked for.
-SPARE = 1.5
+SPARE = 1.25
 #: Orders tried for a set that leaves too many fragments empty; the last also counts empty segments as equal.
 ORDERS = 8
 #: Elements of a set per fragment, at most on average, in which overlaps are counted.
 FRAGMENT = 128
+#: Leaders of a bucket grow by this factor from round to round.
+SPREAD = 8
 #: Bytes of a text split into words together, and words whose hashes are remembered.
 STRIDE, REMEMBERED = 1 << 20, 1 << 20
 
@@ -178,18 +181,20 @@ def _linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """classes(id, n, sigs) -> (key, id, n, size_group, members): sets that share one of their rarest segments. A set with k keys that
+    """classes(id, n, sigs) -> (key, id, n, size_group, apart): sets that share one of their rarest segments; apart is the lower, the
+    more frequent a set's segments are. A set with k keys that
     occur elsewhere and a need of m can link only to sets that share one of its k - m + 1 rarest; with k < m to none."""
     sigs = classes.select("id", "n", F.explode("sigs").alias("s")).select("id", "n", "s.g", "s.need", "s.keys")
     keyed = sigs.select("id", "g", F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     held = keyed.join(often, "key").groupBy("id", "g").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    total = F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, k: acc - k["often"])
     rare = held.join(sigs.select("id", "g", "n", "need"), ["id", "g"]).where(F.size("keys") >= F.col("need")).select(
-        "id", "n", (F.col("g") / ORDERS).cast("int").alias("size_group"),
+        "id", "n", (F.col("g") / ORDERS).cast("int").alias("size_group"), total.alias("apart"),
         F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.greatest(F.col("need") - 1, F.lit(0)))["key"]).alias("key"))
     rare = checkpointed(rare)
-    members = rare.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1")
-    return checkpointed(rare.join(members, "key"))
+    shared = rare.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return checkpointed(rare.join(shared, "key"))
 
 
 def _unit(id_: Column) -> Column:
@@ -197,37 +202,62 @@ def _unit(id_: Column) -> Column:
     return (id_.cast("double") + float(1 << 63)) / float(1 << 64)
 
 
+def _rarest(cut: DataFrame, percent: int) -> DataFrame:
+    """Fragments -> (key, id, n, size_group, at): each set's rarest elements by their number of candidate sets, as many as decide, without
+    those that no other candidate holds; `at` is the place of an element in the set's order of rarity, from 0."""
+    once = cut.groupBy("id").agg(F.min("size_group").alias("size_group"))
+    each = cut.join(once, ["id", "size_group"]).select("id", "n", "size_group", F.explode("elements").alias("element"))
+    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    held = each.join(often, "element").groupBy("id", "n", "size_group").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("held"))
+    own = F.col("n") - F.size("held")
+    room = (F.col("n") * (100 - percent) / 100).cast("bigint") + 1 - own
+    first = F.slice("held", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))["element"]
+    return held.select("id", "n", "size_group", own.alias("own"), F.posexplode(first).alias("at", "key")).withColumn("at", F.col("at") + F.col("own")).drop("own")
+
+
+def _within_reach(one: str, two: str, percent: int) -> Column:
+    """Whether sets that share an element can link: by their sizes, and by what may still be shared behind its places, if the
+    element is the first shared one."""
+    n1, n2, at1, at2 = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (one, two))
+    most = F.least(n1 - at1, n2 - at2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most * (100 + percent) >= (n1 + n2) * percent)
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """classes(id, node, n, sigs, row_id, row_hash) -> (a, b): links between different sets that give the same components as all links.
 
-    Members of a bucket meet its leaders only, first the member of least id, then four times as many each round, until a bucket's
-    members are one component or all have led. So a family of near copies costs about one pair per member and bucket, and
-    no pair of different components in a bucket stays unchecked.
+    First each candidate meets the most central set of its buckets, the one whose segments are the most frequent. Then buckets are drawn
+    anew, by the rarest elements that candidates share, and members of a bucket meet those leaders of it that are not in their
+    component yet: one, next about SPREAD, SPREAD squared and so on, until a bucket's members are one component or all have led. So a
+    family of near copies costs a few pairs per member, while no pair that could link two components stays unchecked.
     """
     buckets = _buckets(classes)
     wanted = buckets.select("id").distinct().join(classes.select("id", "row_id", "row_hash"), "id")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.row_id")) & (F.xxhash64("d.text") == F.col("w.row_hash"))
     texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), same).select("id", "text")
-    whole = _fragments(texts, percent)
-    cut = checkpointed(whole.dropDuplicates(["id", "node", "size_group", "fragment"]))
-    found, labels, share = None, None, 0
+    cut = checkpointed(_fragments(texts, percent).dropDuplicates(["id", "node", "size_group", "fragment"]))
+
+    head = buckets.groupBy("key").agg(F.min(F.struct("apart", "id", "n")).alias("l"))
+    near = 100 * F.least("m.n", "l.n") >= percent * F.greatest("m.n", "l.n")
+    best = buckets.alias("m").join(head, "key").where((F.col("m.id") != F.col("l.id")) & near)
+    best = best.groupBy(F.col("m.id").alias("a")).agg(F.min(F.struct("l.apart", "l.id", "m.size_group")).alias("f"))
+    found = checkpointed(_linked(best.select("a", F.col("f.id").alias("b"), "f.size_group"), cut, percent))
+    rare, share = checkpointed(_rarest(cut, percent)), 1
+    rare = rare.join(rare.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1"), "key")
     while True:
-        now = buckets.withColumn("label", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labels = components(found).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
+        now = rare.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        more = share * 4 or 1
-        now = checkpointed(now.join(apart, "key").withColumn("leads", _leads(more)).where(~_leads(share) if share else F.lit(True)))
+        led = _leads(share // SPREAD) if share > 1 else F.lit(False)
+        now = checkpointed(now.join(apart, "key").withColumn("leads", _leads(share)).where(~led))
         if not now.take(1):
-            break
+            return found
         m, l = now.alias("m"), now.where("leads").alias("l")
-        near = 100 * F.least("m.n", "l.n") >= percent * F.greatest("m.n", "l.n")
         once = (F.col("m.id") > F.col("l.id")) | ~F.col("m.leads")
-        pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("m.label") != F.col("l.label")) & near & once)
-        pairs = pairs.select(F.col("m.id").alias("a"), F.col("l.id").alias("b"), F.col("m.size_group").alias("size_group"))
-        new = checkpointed(_linked(pairs.groupBy("a", "b").agg(F.min("size_group").alias("size_group")), cut, percent))
-        found = new if found is None else found.unionAll(new)
-        labels = checkpointed(components(found).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("label")))
-        share = more
-    return found if found is not None else docs.sparkSession.createDataFrame([], "a binary, b binary")
+        pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("m.label") != F.col("l.label")) & once & _within_reach("m", "l", percent))
+        pairs = pairs.select(F.col("m.id").alias("a"), F.col("l.id").alias("b"), F.greatest("m.size_group", "l.size_group").alias("size_group"))
+        found = found.unionAll(checkpointed(_linked(pairs.distinct(), cut, percent)))
+        share *= SPREAD
 
 
 def _leads(share: int) -> Column:
