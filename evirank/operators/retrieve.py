@@ -136,8 +136,16 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
     stats = scope_stats(docs)
     scoped = resolve_scope(queries, stats, typed).withColumn("q_tokens", token_set("query"))
     labels = concepts.select("doc_idx", token_set(first_filled("standard_label", "tag")).alias("label_tokens"))
-    whole = cfg.pool_multiplier <= 0
-    pool = (_whole_pool if whole else _bounded_pool)(scoped, docs, labels, stats, k, cfg)
+    if cfg.pool_multiplier <= 0:
+        pool = _whole_pool(scoped, docs, labels, stats, match_parts(scoped, docs, stats, cfg), k)
+    else:
+        pool_k = max(k, k * cfg.pool_multiplier)
+        pool = _bounded_pool(scoped, docs, labels, _top(match_scores(scoped, docs, stats, cfg), ["query_id"], bm25_order(), pool_k), pool_k)
+    return _rescored(pool, k, cfg)
+
+
+def _rescored(pool: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
+    """Top k of a pool with bm25_score, its lo and hi per query, and both coverages."""
     spread = F.col("hi") - F.col("lo")
     rescored = pool.withColumn(
         "bm25_normalized", F.when(spread > 0, (F.col("bm25_score") - F.col("lo")) / spread).otherwise(F.lit(1.0))
@@ -152,10 +160,8 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
     return _top(rescored, ["query_id"], order, k)
 
 
-def _bounded_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
-    """The best max(k, k * multiplier) concepts per query, zero fill included, with their coverage."""
-    pool_k = max(k, k * cfg.pool_multiplier)
-    hits = _top(match_scores(scoped, docs, stats, cfg), ["query_id"], bm25_order(), pool_k)
+def _bounded_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, hits: DataFrame, pool_k: int) -> DataFrame:
+    """The best pool_k concepts per query, zero fill included, with their coverage."""
     pool = _zero_filled(scoped, hits, docs, pool_k).drop("rank")
     span = pool.groupBy("query_id").agg(F.min("bm25_score").alias("lo"), F.max("bm25_score").alias("hi"))
     joined = pool.join(span, "query_id").join(scoped.select("query_id", "q_tokens"), "query_id").join(labels, "doc_idx")
@@ -163,7 +169,7 @@ def _bounded_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats:
     return joined.withColumns({"label_coverage": cov, "query_label_coverage": qcov}).drop("q_tokens", "label_tokens")
 
 
-def _whole_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
+def _whole_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: DataFrame, parts: DataFrame, k: int) -> DataFrame:
     """Every concept that can be listed: text matches, label matches, and the smallest tags of the scope.
 
     Text and label postings meet in one aggregate per (query, concept), so coverage is a count and no concept text is
@@ -176,7 +182,7 @@ def _whole_pool(scoped: DataFrame, docs: DataFrame, labels: DataFrame, stats: Da
         terms.select("token").distinct(), "token", "left_semi")
     none = F.lit(None).cast("int")
     cells = ["query_id", "scope", "doc_idx", "tag"]
-    by_text = match_parts(scoped, docs, stats, cfg).select(*cells, "part", F.lit(0).alias("shared"), none.alias("n_label"), none.alias("n_query"))
+    by_text = parts.select(*cells, "part", F.lit(0).alias("shared"), none.alias("n_label"), none.alias("n_query"))
     by_label = terms.join(by_document(label_terms.join(members, "doc_idx")), ["scope", "token"]).select(
         *cells, F.lit(None).cast("double").alias("part"), F.lit(1).alias("shared"), "n_label", "n_query")
     head = _top(members, ["scope"], [F.asc("tag")], 2 * k, "pos").drop("pos")

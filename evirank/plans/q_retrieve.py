@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evirank.domain import DomainConfig
 from evirank.functions.text import coverage, token_set
-from evirank.operators import metrics, retrieve
+from evirank.operators import index, metrics, retrieve
 from evirank.operators.fuse import fuse
 from evirank.plans import frames
 from evirank.plans.registry import fragment, query, sql_tokens
@@ -43,12 +43,21 @@ fragment("sb_top", """SELECT query_id, doc_idx, tag, scope, bm25, rank FROM (SEL
     PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_idx) AS rank FROM sb_hits) WHERE rank <= 200""")
 
 
-def _docs(t):
-    return retrieve.scoped_docs(frames.document_concepts(t))
+#: Indexes built in this session, by application, table folder and corpus.
+BUILT: dict[tuple, index.Index] = {}
+
+
+def corpus_index(t, name: str) -> index.Index:
+    """The stored index of `document_concepts` or `concepts`, built by the first query that needs it. It is kept as long as the session
+    runs, so tables that change under the same folder need a new session."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in BUILT:
+        BUILT[key] = index.build_index(getattr(frames, name)(t), CFG)
+    return BUILT[key]
 
 
 def _bench_top(t, k=DEPTH, zero_fill=False):
-    return retrieve.rank_bm25(frames.benchmark_queries(t), _docs(t), k, CFG, zero_fill=zero_fill)
+    return index.rank(frames.benchmark_queries(t), corpus_index(t, "document_concepts"), k, zero_fill=zero_fill)
 
 
 def supplier_queries(t):
@@ -58,17 +67,14 @@ def supplier_queries(t):
 
 def supplier_lists(t, k=DEPTH):
     queries = supplier_queries(t)
-    docs = retrieve.scoped_docs(frames.concepts(t))
-    top = retrieve.rank_bm25(queries.select("query_id", "entity_type", "query"), docs, k, CFG, zero_fill=False)
+    top = index.rank(queries.select("query_id", "entity_type", "query"), corpus_index(t, "concepts"), k, zero_fill=False)
     keys = queries.select("query_id", "fact_id", "hyp_idx", "rendering", "list_id", "entity_type")
     return top.join(keys, "query_id")
 
 
 @query("R1_bm25_index", "SELECT scope, token, df, n_docs, round(idf, 8) AS idf FROM bm_idf")
 def r1(t):
-    docs = _docs(t)
-    table = retrieve.idf_table(retrieve.postings(docs), retrieve.scope_stats(docs))
-    return table.select("scope", "token", "df", "n_docs", F.round("idf", 8).alias("idf"))
+    return corpus_index(t, "document_concepts").tokens.select("scope", "token", "df", "n_docs", F.round("idf", 8).alias("idf"))
 
 
 @query("R2_bm25_rank", "SELECT query_id, doc_idx, rank, round(bm25, 6) AS bm25_score FROM bm_top")
@@ -89,8 +95,7 @@ def r3(t):
 @query("R4_typed_scope", "SELECT query_id, scope FROM bm_q")
 def r4(t):
     queries = frames.benchmark_queries(t)
-    known = frames.document_concepts(t).select(F.col("entity_type").alias("scope")).distinct()
-    return retrieve.resolve_scope(queries, known).select("query_id", "scope")
+    return retrieve.resolve_scope(queries, corpus_index(t, "document_concepts").scopes).select("query_id", "scope")
 
 
 @query("R5_label_coverage", f"""SELECT query_id, doc_idx, CASE WHEN len(l) > 0 THEN len(list_intersect(q_toks, l)) / len(l)::DOUBLE ELSE 0 END AS label_coverage,
@@ -125,7 +130,7 @@ def _rescored(t, multiplier):
     queries = supplier_queries(t).select("query_id", "entity_type", "query")
     concepts = frames.concepts(t)
     cfg = replace(CFG, pool_multiplier=multiplier)
-    top = retrieve.rescore_with_labels(queries, retrieve.scoped_docs(concepts), concepts, DEPTH, cfg)
+    top = index.rescore(queries, corpus_index(t, "concepts"), concepts, DEPTH, cfg)
     return top.select("query_id", "doc_idx", "rank", F.round("label_coverage", 6).alias("label_coverage"),
                       F.round("retrieval_score", 6).alias("retrieval_score"))
 
@@ -184,7 +189,7 @@ fragment("self_queries", "SELECT doc_idx AS query_id, entity_type, retrieval_tex
       FROM se_hits) WHERE r = 1) USING (query_id) GROUP BY entity_type""")
 def r11(t):
     concepts = frames.concepts(t)
-    return retrieve.self_retrieval(concepts, retrieve.scoped_docs(concepts), CFG)
+    return index.self_retrieval(concepts, corpus_index(t, "concepts"))
 
 
 fragment("probe_queries", """SELECT fact_id, tag AS gold_tag, fact_id || '-' || tag AS query_id, entity_type,
@@ -198,12 +203,12 @@ fragment("probe", """SELECT fact_id, min(CASE WHEN tag = gold_tag THEN rank END)
 def probe(t):
     concepts = frames.concepts(t)
     gold = frames.supplier_gold(t).withColumnRenamed("tag", "gold_tag")
-    queries = gold.join(concepts.withColumnRenamed("tag", "gold_tag"), "gold_tag").select(
-        "fact_id", "gold_tag", "entity_type", F.concat_ws(". ", "standard_label", "documentation").alias("query"),
-        F.concat_ws("-", F.col("fact_id").cast("string"), "gold_tag").alias("query_id"))
-    top = retrieve.rank_bm25(queries, retrieve.scoped_docs(concepts), 50, CFG, zero_fill=False)
-    ranks = top.join(queries.select("query_id", "fact_id", "gold_tag"), "query_id")
-    return ranks.groupBy("fact_id").agg(F.min(F.when(F.col("tag") == F.col("gold_tag"), F.col("rank"))).alias("gold_rank"))
+    # a concept's query is its own text, so facts that share a gold concept share its list: each is ranked once
+    queries = concepts.join(gold.select(F.col("gold_tag").alias("tag")).distinct(), "tag", "left_semi").select(
+        F.col("tag").alias("query_id"), "entity_type", F.concat_ws(". ", "standard_label", "documentation").alias("query"))
+    top = index.rank(queries, corpus_index(t, "concepts"), 50, zero_fill=False)
+    own = top.groupBy("query_id").agg(F.min(F.when(F.col("tag") == F.col("query_id"), F.col("rank"))).alias("rank"))
+    return gold.join(own, gold["gold_tag"] == own["query_id"]).groupBy("fact_id").agg(F.min("rank").alias("gold_rank"))
 
 
 @query("R12_gold_probe", """SELECT count(*) AS n, avg(CASE WHEN gold_rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_at_1,

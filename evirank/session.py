@@ -25,15 +25,19 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: what the cluster names in spark.checkpoint.dir; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder the cluster names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
