@@ -71,21 +71,32 @@ def labelled_samples(entities: DataFrame) -> DataFrame:
 def allocate_quotas(weights: DataFrame, total: int, keys: tuple = (), cap: str = "weight", one_each: bool = True) -> DataFrame:
     """weights(keys.., name, weight[, cap]): integer seats by largest remaining deficit, then weight, then name.
 
-    Seat k of a group has priority target - (k - 1), which only falls, so taking the best `total` seats equals handing
-    them out one by one. The seats listed are at most `total` per group.
+    Handing seats out one by one lowers a name's deficit by one each time, so at the end all names without a bound stand within one
+    seat of a common level m: a name has ceil(share) - m seats, or its cap, or its forced first seat. The seats at level m are a
+    piecewise linear function of m that bends where a name meets a bound. Its bends, summed by place, give the least m that needs
+    no more than `total` seats; what is left goes to the highest deficits, one seat each. No seat is ever a row.
     """
-    groups = Window.partitionBy(*keys)
-    rows = weights.withColumn("_cap", F.col(cap)).where("_cap > 0")
-    rows = rows.withColumns({"_w": F.sum("weight").over(groups), "_g": F.count(F.lit(1)).over(groups), "_c": F.sum("_cap").over(groups)})
-    rows = rows.withColumn("_total", F.least(F.lit(total), F.col("_c"))).withColumn(
-        "_raw", F.col("weight") / F.col("_w") * F.col("_total"))
-    forced = F.lit(one_each) & (F.col("_total") >= F.col("_g"))
-    seats = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("_cap"), F.col("_total")).cast("int"))))
-    seats = seats.withColumn("_f", (forced & (F.col("k") == 1)).cast("int")).withColumn("_p", F.col("_raw") - (F.col("k") - 1))
-    order = Window.partitionBy(*keys).orderBy(F.desc("_f"), F.desc("_p"), F.desc("weight"), F.desc("name"), F.asc("k"))
-    won = seats.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_total"))
-    return rows.select(*keys, "name").join(won.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("quota")), [*keys, "name"], "left").withColumn(
-        "quota", F.coalesce("quota", F.lit(0)))
+    by = [*keys, "_all"]
+    rows = weights.withColumns({"_cap": F.col(cap).cast("bigint"), "_all": F.lit(0)}).where("_cap > 0")
+    sums = rows.groupBy(*by).agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_g"), F.sum("_cap").alias("_c"))
+    rows = rows.join(sums, by).withColumn("_total", F.least(F.lit(total), F.col("_c")))
+    rows = rows.withColumns({"_raw": F.col("weight") / F.col("_w") * F.col("_total"), "_f": (F.lit(one_each) & (F.col("_total") >= F.col("_g"))).cast("bigint")})
+    rows = rows.withColumn("_top", F.ceil("_raw").cast("bigint"))
+
+    bends = F.array(F.struct((F.col("_top") - F.col("_cap")).alias("x"), F.lit(1).alias("d")), F.struct((F.col("_top") - F.col("_f")).alias("x"), F.lit(-1).alias("d")))
+    levels = rows.select(*by, "_total", "_c", F.inline(bends)).groupBy(*by, "_total", "_c", "x").agg(F.sum("d").alias("d"))
+    upto = Window.partitionBy(*by).orderBy("x")
+    levels = levels.withColumns({"slope": F.sum("d").over(upto), "next": F.lead("x").over(upto)}).withColumn(
+        "fall", F.coalesce(F.col("slope") * (F.col("next") - F.col("x")), F.lit(0)))
+    levels = levels.withColumn("seats", F.col("_c") - F.coalesce(F.sum("fall").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.col("x") + F.ceil((F.col("seats") - F.col("_total")) / F.col("slope")).cast("bigint")
+    level = levels.where("seats - fall <= _total").groupBy(*by).agg(F.min(F.when(F.col("seats") <= F.col("_total"), F.col("x")).otherwise(inside)).alias("_m"))
+
+    rows = rows.join(level, by).withColumn("_n", F.greatest("_f", F.least("_cap", F.col("_top") - F.col("_m"))))
+    given = rows.groupBy(*by).agg(F.sum("_n").alias("_given"))
+    order = Window.partitionBy(*by).orderBy(F.desc(F.col("_n") < F.col("_cap")), F.desc(F.col("_raw") - F.col("_n")), F.desc("weight"), F.desc("name"))
+    return rows.join(given, by).withColumn("_r", F.row_number().over(order)).select(
+        *keys, "name", (F.col("_n") + (F.col("_r") <= F.col("_total") - F.col("_given")).cast("bigint")).alias("quota"))
 
 
 def stratified_sample(samples: DataFrame, quotas: DataFrame, seed, keys: tuple = ()) -> DataFrame:
