@@ -94,16 +94,19 @@ def sentence_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+#: Characters that end a line, a carriage return with its line feed counting once.
+LINE_BREAKS = r"\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}"
+
+
 def line_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with offsets; the line break is not part of the line."""
-    lines = F.split(col(text), "\n")
+    """One row per line with offsets. Any line break ends a line; carriage return and line feed are not part of it, rarer ones are."""
+    whole = F.regexp_extract_all(col(text), F.lit(rf"[^{LINE_BREAKS}]*(?:\r\n|[{LINE_BREAKS}])|[^{LINE_BREAKS}]+"), 0)
     by_key = Window.partitionBy(key).orderBy("idx")
     return (
-        docs.select(key, F.posexplode(lines).alias("idx", "body"), F.size(lines).alias("n"))
-        .withColumn("next_start", F.sum(F.length("body") + 1).over(by_key))
-        .where((F.col("idx") < F.col("n") - 1) | (F.length("body") > 0))
-        .withColumn("line", F.regexp_replace("body", r"\r+$", ""))
-        .withColumn("span_start", F.col("next_start") - F.length("body") - 1)
+        docs.select(key, F.posexplode(whole).alias("idx", "body"))
+        .withColumn("next_start", F.sum(F.length("body")).over(by_key))
+        .withColumn("line", F.regexp_replace("body", r"[\r\n]+\z", ""))
+        .withColumn("span_start", F.col("next_start") - F.length("body"))
         .select(key, "idx", "span_start", (F.col("span_start") + F.length("line")).alias("span_end"), "line")
     )
 

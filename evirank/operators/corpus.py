@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evirank.functions import codes, text
 from evirank.functions.text import first_filled, normalize_space, raw_tag
+from evirank.operators.splits import dedupe_annotations, fill_to_target
 from evirank.session import checkpointed
 
 
@@ -55,6 +56,23 @@ def paths_by_code(rows: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
+def facts_from_annotations(annotations: DataFrame, known: DataFrame, label: str, sentences: DataFrame, lines: DataFrame, target: int, seed: int) -> DataFrame:
+    """annotations(row_id, doc_id, position, code, label) -> located facts of whole documents, drawn until their facts reach the target.
+
+    One fact per document, position and known code. Documents are taken in seeded order by a running sum of their facts, which is
+    spread over buckets of that order; only documents taken have their positions located.
+    """
+    facts = dedupe_annotations(annotations, known, label)
+    counts = facts.groupBy(F.col("doc_id").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
+    taken = fill_to_target(counts, seed, target).select(F.col("sample_id").alias("doc_id"))
+    named = F.concat_ws("|", F.col("doc_id").cast("string"), "position", F.col("code").cast("string"))
+    drawn = checkpointed(facts.join(taken, "doc_id", "left_semi").withColumn("req_id", named))
+    some = drawn.select("doc_id").distinct()
+    requests = drawn.select("req_id", "doc_id", codes.parse_ranges("position").alias("ranges"))
+    located = codes.aligned_locus(requests, sentences.join(some, "doc_id", "left_semi"), lines.join(some, "doc_id", "left_semi"))
+    return drawn.join(located.drop("doc_id"), "req_id").drop("req_id")
+
+
 def concept_table(elements: DataFrame, labels: DataFrame, docs: DataFrame, refs: DataFrame, older: DataFrame, prefix: str) -> DataFrame:
     """elements(tag, type) with label, documentation and references; an older label or type is preferred when present."""
     joined = (

@@ -90,10 +90,15 @@ fragment("loci", """WITH c AS (SELECT doc_id, count(*) AS n FROM sentences GROUP
 _CLEAN = "trim(regexp_replace(coalesce({x}, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
-def loci(t):
+def source_and_target(t):
     sentences = codes.sentence_spans(t.documents, "doc_id", "text")
     lines = codes.line_spans(t.documents, "doc_id", "text").where("doc_id % 3 = 0").select("doc_id", "idx", "line").unionByName(
         sentences.where("doc_id % 3 <> 0").select("doc_id", "idx", F.concat(F.lit("en: "), F.col("sentence")).alias("line")))
+    return sentences, lines
+
+
+def loci(t):
+    sentences, lines = source_and_target(t)
     requests = t.documents.select(F.col("doc_id").alias("req_id"), "doc_id", codes.parse_ranges(F.expr(POSITION)).alias("ranges"))
     return codes.aligned_locus(requests, sentences, lines)
 

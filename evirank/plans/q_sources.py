@@ -226,14 +226,40 @@ def c3(t):
     return corpus.vocabulary_table(t.part.select(F.col("p_type").alias("chapter"), codes.role_for_code(F.expr(PART_CODE)).alias("role"), extension.alias("extension")))
 
 
-@query("C4_facts_build", """SELECT count(*) AS n_facts, avg(alignment_ok::INT) AS alignment_rate, avg(CASE WHEN ok THEN 0 ELSE 1 END) AS fallback_rate FROM loci JOIN (SELECT doc_id FROM (SELECT doc_id, sum(1) OVER (ORDER BY md5('3-' || doc_id), doc_id) AS r FROM documents) WHERE r <= 600) USING (doc_id)""")
+# annotations of documents: lines of 15 orders each, their position by quantity and line number
+TARGET_FACTS = 500
+fragment("doc_annots", """SELECT l_orderkey * 10 + l_linenumber AS row_id, l_orderkey // 15 AS doc_id, l_partkey % 50 AS code, l_returnflag AS label,
+    l_quantity::INT * 4 AS s, l_quantity::INT * 4 + 12 AS e, l_linenumber % 3 = 0 AS two FROM lineitem""")
+fragment("doc_facts", """SELECT doc_id, code, s, e, two, min(row_id) AS row_id FROM doc_annots WHERE label = 'R' AND code IN (SELECT p_size FROM part WHERE p_brand <> 'Brand#3') GROUP BY ALL""")
+fragment("drawn_facts", f"""SELECT *, concat_ws('|', doc_id, s, two, code) AS k FROM doc_facts WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY md5('3-' || doc_id), doc_id) AS upto FROM (SELECT doc_id, count(*) AS n FROM doc_facts GROUP BY doc_id))
+    WHERE upto - n < {TARGET_FACTS})""")
+fragment("fact_loci", """WITH c AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS m FROM targets GROUP BY doc_id),
+    r AS (SELECT k, doc_id, s, e FROM drawn_facts UNION ALL SELECT k, doc_id, s + 90, e + 100 FROM drawn_facts WHERE two),
+    h AS (SELECT DISTINCT k, doc_id, idx FROM r JOIN sentences USING (doc_id) WHERE s < span_end AND e > span_start),
+    l AS (SELECT k, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS indices, count(*) FILTER (line IS NULL) AS outside FROM h LEFT JOIN targets USING (doc_id, idx) GROUP BY k)
+    SELECT f.row_id, f.doc_id, code, coalesce(indices, '') AS indices, coalesce(n, 0) = coalesce(m, 0) AS alignment_ok, coalesce(n, 0) = coalesce(m, 0) AND indices IS NOT NULL AND outside = 0 AS ok
+    FROM drawn_facts f LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN l USING (k)""")
+
+
+def facts_built(t):
+    start = F.col("l_quantity").cast("int") * 4
+    span = lambda s, e: F.concat_ws(" ", s.cast("string"), e.cast("string"))
+    rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.floor(F.col("l_orderkey") / 15).alias("doc_id"),
+                             F.concat_ws(";", span(start, start + 12), F.when(F.col("l_linenumber") % 3 == 0, span(start + 90, start + 112))).alias("position"),
+                             (F.col("l_partkey") % 50).alias("code"), F.col("l_returnflag").alias("label"))
+    known = t.part.where("p_brand <> 'Brand#3'").select(F.col("p_size").cast("bigint").alias("code")).distinct()
+    return corpus.facts_from_annotations(rows, known, "R", *q_rounds.source_and_target(t), TARGET_FACTS, 3)
+
+
+@query("C4_fact_rows", """SELECT row_id, doc_id, code, indices, alignment_ok, CASE WHEN ok THEN 'aligned_sentence' ELSE 'document' END AS locus_level FROM fact_loci""")
+def c4_rows(t):
+    return facts_built(t).select("row_id", "doc_id", "code", F.array_join("sentence_indices", ",").alias("indices"), "alignment_ok", "locus_level")
+
+
+@query("C4_facts_build", """SELECT count(*) AS n_facts, count(DISTINCT doc_id) AS n_documents, avg(alignment_ok::INT) AS alignment_rate, avg(CASE WHEN ok THEN 0 ELSE 1 END) AS fallback_rate FROM fact_loci""")
 def c4(t):
-    from evirank.operators.splits import fill_to_target
-
-    picked = fill_to_target(t.documents.select(F.col("doc_id").alias("sample_id"), F.lit(1).alias("n")), 3, 600).select(F.col("sample_id").alias("doc_id"))
-    rows = loci(t).join(picked, "doc_id")
-    return rows.agg(F.count(F.lit(1)).alias("n_facts"), F.avg(F.col("alignment_ok").cast("double")).alias("alignment_rate"),
-                    F.avg((F.col("locus_level") == "document").cast("double")).alias("fallback_rate"))
+    return facts_built(t).agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("doc_id").alias("n_documents"), F.avg(F.col("alignment_ok").cast("double")).alias("alignment_rate"),
+                              F.avg((F.col("locus_level") == "document").cast("double")).alias("fallback_rate"))
 
 
 fragment("requests_sql", f"SELECT doc_id, CASE WHEN ok THEN 'sentence' ELSE 'document' END AS scope, CASE WHEN ok THEN {sql_space('sentence_locus')} ELSE {sql_space('text')} END AS candidate_text FROM loci JOIN documents USING (doc_id)")

@@ -234,11 +234,12 @@ def f18(t):
     return codes.sentence_spans(t.documents, "doc_id", "text").withColumn("idx", F.col("idx").cast("bigint"))
 
 
-fragment("doc_lines", """SELECT doc_id, idx, span_start, span_start + length(line) AS span_end, line FROM (
-    SELECT doc_id, (i - 1)::BIGINT AS idx, line, n, i,
-      (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS span_start
-    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE i < n OR length(line) > 0""")
+_BREAKS = r"\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}"
+fragment("doc_lines", f"""SELECT doc_id, idx, span_start, span_start + length(line) AS span_end, line FROM (
+    SELECT doc_id, (i - 1)::BIGINT AS idx, regexp_replace(body, '[\\r\\n]+$', '') AS line,
+      (coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS span_start
+    FROM (SELECT doc_id, unnest(l) AS body, generate_subscripts(l, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, '[^{_BREAKS}]*(?:\\r\\n|[{_BREAKS}])|[^{_BREAKS}]+') AS l FROM documents)))""")
 
 
 @query("F19_line_spans", "SELECT doc_id, idx, span_start, span_end, line FROM doc_lines")
