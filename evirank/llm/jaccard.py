@@ -38,7 +38,7 @@ ORDERS = 8
 #: Elements of a set per fragment, at most on average, in which overlaps are counted.
 FRAGMENT = 128
 #: Leaders of a bucket grow by this factor from round to round.
-SPREAD = 8
+SPREAD = 64
 #: Bytes of a text split into words together, and words whose hashes are remembered.
 STRIDE, REMEMBERED = 1 << 20, 1 << 20
 
@@ -223,8 +223,8 @@ def _within_reach(one: str, two: str, percent: int) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most * (100 + percent) >= (n1 + n2) * percent)
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """classes(id, node, n, sigs, row_id, row_hash) -> (a, b): links between different sets that give the same components as all links.
+def joined_up(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """classes(id, node, n, sigs, row_id, row_hash) -> (node, root): the components of all links between different sets.
 
     First each candidate meets the most central set of its buckets, the one whose segments are the most frequent. Then buckets are drawn
     anew, by the rarest elements that candidates share, and members of a bucket meet those leaders of it that are not in their
@@ -242,21 +242,25 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     best = buckets.alias("m").join(head, "key").where((F.col("m.id") != F.col("l.id")) & near)
     best = best.groupBy(F.col("m.id").alias("a")).agg(F.min(F.struct("l.apart", "l.id", "m.size_group")).alias("f"))
     found = checkpointed(_linked(best.select("a", F.col("f.id").alias("b"), "f.size_group"), cut, percent))
-    rare, share = checkpointed(_rarest(cut, percent)), 1
+    rare, share, more = checkpointed(_rarest(cut, percent)), 1, found
     rare = rare.join(rare.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1"), "key")
+    roots = None
     while True:
-        labels = components(found).select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
-        now = rare.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        if roots is None or more.take(1):  # without new links the components stay
+            roots = checkpointed(components(found))
+        labels = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("label"))
+        now = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         led = _leads(share // SPREAD) if share > 1 else F.lit(False)
         now = checkpointed(now.join(apart, "key").withColumn("leads", _leads(share)).where(~led))
         if not now.take(1):
-            return found
+            return roots
         m, l = now.alias("m"), now.where("leads").alias("l")
         once = (F.col("m.id") > F.col("l.id")) | ~F.col("m.leads")
         pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("m.label") != F.col("l.label")) & once & _within_reach("m", "l", percent))
         pairs = pairs.select(F.col("m.id").alias("a"), F.col("l.id").alias("b"), F.greatest("m.size_group", "l.size_group").alias("size_group"))
-        found = found.unionAll(checkpointed(_linked(pairs.distinct(), cut, percent)))
+        more = checkpointed(_linked(pairs.distinct(), cut, percent))
+        found = found.unionAll(more)
         share *= SPREAD
 
 
@@ -280,7 +284,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("row")
     classes = checkpointed(sets.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sigs").alias("sigs")).select(
         "node", F.xxhash64("node").alias("id"), "n", "sigs", F.col("row.doc_id").alias("row_id"), F.col("row.row_hash").alias("row_hash")))
-    found = components(links(narrow, classes, percent))
+    found = joined_up(narrow, classes, percent)
     rooted = classes.select("node", "row_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("row_id").alias("component_id"))
     named = rooted.select("node", "root").join(least, "root").select("node", "component_id")
