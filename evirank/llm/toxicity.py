@@ -26,6 +26,10 @@ L2_LINEAR, L2_FACTORS = 1e-4, 1e-2
 LEAST_Z = 2.5
 #: Batches hold both classes equally; the intercept then moves this share of the way to the log odds of all labelled rows.
 PRIOR_WEIGHT = 0.5
+#: The most frequent terms, whatever their labels, are looked at in pairs: both terms of a pair become features if texts that hold both
+#: are toxic more or less often than the two terms alone let expect, by so many standard errors (about the largest of PAIR_TERMS^2 / 2 chance values).
+PAIR_TERMS = 2048
+LEAST_PAIR_Z = 5.5
 SEED = 11
 
 
@@ -85,6 +89,25 @@ def train(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, steps: int = STE
     return w, v, float(b[0])
 
 
+def interacting(x: np.ndarray, y: np.ndarray, least_z: float = LEAST_PAIR_Z) -> np.ndarray:
+    """Which columns of x (rows x terms of 0/1) belong to a pair that says more about y than its two terms do.
+
+    Rows are weighted so that both classes count alike. A pair's expected rate is additive, rate(i) + rate(j) - 1/2, kept off 0 and 1:
+    a word that is toxic alone makes no pair with the common words beside it."""
+    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y <= 0).mean(), 1e-9)).astype(np.float32)
+    bits = x.astype(np.float32)
+    weighted = bits * weight[:, None]
+    both = weighted.T @ bits
+    toxic = (weighted * (y > 0)[:, None]).T @ bits
+    spread = (weighted * weight[:, None]).T @ bits  # sum of squared weights: the variance of a weighted rate
+    each = np.diag(toxic) / np.maximum(np.diag(both), 1e-9)
+    expected = np.clip(each[:, None] + each[None, :] - 0.5, 0.02, 0.98)
+    z = np.abs(toxic - expected * both) / np.sqrt(np.maximum(spread * expected * (1 - expected), 1e-9))
+    z[both <= 0] = 0
+    np.fill_diagonal(z, 0)
+    return (z >= least_z).any(axis=1)
+
+
 def _terms(docs: DataFrame) -> DataFrame:
     """docs(row_id, y, text) -> row_id, y, terms array<bigint>: the distinct hashed words of each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +135,9 @@ def labelled(labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame,
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = ROWS_PER_CLASS, terms: int = TERMS) -> Machine:
     """A Machine from docs(doc_id, text) and labels(doc_id, <column> 0/1).
 
-    The sample is per_class rows of each class; which terms become features is counted in Spark over it, and the driver gets
-    rows x features bits only, so long texts don't grow what it holds. With one class or none the machine scores that rate."""
+    The sample is per_class rows of each class. Features are the terms whose own rates differ, and the terms of interacting() pairs,
+    which may be as common in both classes. Terms are counted in Spark, and the driver gets rows x (terms + PAIR_TERMS) bits at
+    most, so long texts don't grow what it holds. With one class or none the machine scores that rate."""
     sample, counts = labelled(labels, column, per_class)
     total = sum(counts.values())
     rate = (counts.get(1, 0) + 1) / (total + 2)
@@ -127,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     gap = F.col("a") / n1 - (F.col("n") - F.col("a")) / n0
     spread = (F.col("n") / (n0 + n1)) * (1 - F.col("n") / (n0 + n1)) + 1e-6
     strength = gap * gap / spread
-    chosen = each.where(strength >= LEAST_Z**2 * (1 / n0 + 1 / n1)).orderBy(strength.desc(), "term").limit(terms).select("term")
-    keys = np.array(sorted(r["term"] for r in chosen.collect()), np.uint32)
+    each = checkpointed(each)
+    alone = {r["term"] for r in each.where(strength >= LEAST_Z**2 * (1 / n0 + 1 / n1)).orderBy(strength.desc(), "term").limit(terms).select("term").collect()}
+    frequent = {r["term"] for r in each.orderBy(F.col("n").desc(), "term").limit(PAIR_TERMS).select("term").collect()}
+    keys = np.array(sorted(alone | frequent), np.uint32)
     held = docs.sparkSession.sparkContext.broadcast(keys)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     rows.sort(key=lambda r: (r["row_id"], bytes(r["bits"])))
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(keys)) for r in rows])
     y = np.array([r["y"] for r in rows], np.float32)
+    paired = np.flatnonzero(np.isin(keys, np.array(sorted(frequent), np.uint32)))
+    used = np.isin(keys, np.array(sorted(alone), np.uint32))
+    used[paired] |= interacting(x[:, paired], y)
+    keys, x = keys[used], np.ascontiguousarray(x[:, used])
     w, v, bias = train(x, y)
     bias += PRIOR_WEIGHT * float(np.log(rate / (1 - rate)))
     return Machine(keys, w, v, bias)

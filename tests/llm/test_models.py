@@ -142,6 +142,23 @@ def test_machine_learns_pairs():
     assert ((z > 0) == y[2500:]).mean() > 0.95
 
 
+def test_fit_learns_pairs(spark):
+    """The same from texts, through the choice of features: toxic iff insult and group agree, each as common in both classes; one group name is rare."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(3000):
+        insult, group, rare = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.1
+        said = list(rng.choice(vocabulary, 15)) + ["moron"] * insult + ["rarefolk" if rare else "people"] * group
+        rng.shuffle(said)
+        rows.append((i, " ".join(said), int(insult == group), bool(group and rare)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, rare boolean").repartition(4)
+    got = toxicity.digest(toxicity.score(df.select("doc_id", "text"), toxicity.fit(df, df))).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text", "toxic", "rare"]), on="doc_id")
+    out = got[got.held_out]
+    assert len(out) > 500 and (out.predicted == out.toxic).mean() > 0.9
+    assert (out[out.rare].predicted == out[out.rare].toxic).mean() > 0.8
+
+
 def test_pieces_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 5, 50, 3, 0, 7)], "i": list(range(6))})
     parts = list(pieces(iter([batch.slice(1), batch.slice(0, 0)]), "text", 10))
