@@ -19,6 +19,9 @@ COPY_COSTS = (0, 1, 3)
 RANGE_DIGITS = 3
 #: Distinct membership patterns the driver solves for (a pattern is a set of sources, not a document).
 MOST_PATTERNS = 100_000
+#: The selection goes on past rows that don't fit so often, unless a pattern's gap is within this share of its tokens before.
+PASSES = 8
+CLOSE = 0.001
 SEED = 7
 
 
@@ -103,8 +106,8 @@ def mix(rows: DataFrame, weights: dict | None = None, cycle: tuple = (1, 2, 3),
 
     `members` lists the sources a row belongs to; null stands for the source of rows without one. Weights by source, or `cycle` over
     the sources in code-point order, null last. The driver holds one number per pattern and source only. A pattern's flow is
-    dealt in whole copies to all its rows first; the remainder goes to rows in the order of a seeded hash of the id, up to the
-    row that reaches it, so reruns and any partitioning agree. Rows of size 0 get no copy; rows with equal ids are ordered by
+    dealt in whole copies to all its rows first; the remainder goes to rows in the order of a seeded hash of the id, past rows that
+    no longer fit, so reruns and any partitioning agree. Rows of size 0 get no copy; rows with equal ids are ordered by
     size, and equal rows are interchangeable. Returns (rows with _copies, targets table).
     """
     rows = rows.withColumn("members", F.array_sort(F.array_distinct("members")))
@@ -123,11 +126,9 @@ def mix(rows: DataFrame, weights: dict | None = None, cycle: tuple = (1, 2, 3),
     quota = targets_of(sizes, weights, total)
     flows = min_cost_flow(patterns, quota)
     spark = rows.sparkSession
-    plan = spark.createDataFrame(
-        [(list(p), *_shared_out(flows[p], n)) for p, n in patterns.items()],
-        "members array<string>, base int, rest double")
+    plan = {p: _shared_out(flows[p], n) for p, n in patterns.items()}
     wanted = spark.createDataFrame([(s, sizes[s], quota[s]) for s in order], "source string, source_size bigint, target double")
-    return _select(rows, plan, seed), wanted
+    return _select(rows, plan, flows, seed), wanted
 
 
 def _shared_out(flow: float, size: int) -> tuple[int, float]:
@@ -145,33 +146,71 @@ def targets_of(sizes: dict, weights: dict, total: float) -> dict:
     return scaled
 
 
-def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Base copies for all rows; one more for the first rows in hash order whose running size stays within the rest; then the one
-    row whose size comes nearest to what is still missing, if it brings the pattern nearer."""
-    key = f"h_{tag()}"
-    hashed = rows.withColumn(key, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))).withColumn("_range", F.substring(key, 1, RANGE_DIGITS))
-    ranges = hashed.groupBy("members", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("members").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("members", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), "_sum")
-    offsets = offsets.join(plan, "members")
-    # all of a range is in, out, or (one range per pattern) cut inside: only that one needs an order of its rows
-    state = F.when(F.col("_before") + F.col("_sum") <= F.col("rest"), 1).when(F.col("_before") >= F.col("rest"), 0)
-    offsets = offsets.select("members", "_range", "_before", "base", "rest", state.alias("_more"))
-    joined = hashed.join(offsets, ["members", "_range"])
-    within = Window.partitionBy("members", "_range").orderBy(key, "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = joined.where(F.col("_more").isNull()).withColumn("_end", F.col("_before") + F.sum("size").over(within))
-    cut = cut.withColumn("_more", (F.col("_end") <= F.col("rest")).cast("int")).drop("_end")
-    dealt = checkpointed(joined.where(F.col("_more").isNotNull()).unionByName(cut))
+def _select(rows: DataFrame, plan: dict[tuple, tuple[int, float]], flows: dict[tuple, float], seed: int) -> DataFrame:
+    """Base copies for all rows; one more in the order of a seeded hash for each row that fits what is still missing; then one copy
+    of the row whose size comes nearest to the gap left, if that brings the pattern nearer and the row is below MOST_COPIES.
+
+    A pass takes rows up to the first that no longer fits; the next goes on behind that row with the smaller gap, among rows within
+    it. Rows passed over were larger than a gap that only shrinks, so this is the first-fit scan of the whole order. A pattern is done
+    when its gap is within CLOSE of its tokens, or nothing fits, or after PASSES. The driver keeps the ends of the passes, not rows."""
+    key, range_, place = f"h_{tag()}", f"range_{tag()}", f"place_{tag()}"
+    hashed = rows.withColumn(key, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))).withColumn(range_, F.substring(key, 1, RANGE_DIGITS))
+    within = Window.partitionBy("members", range_).orderBy(key, "id", "size")
+    ranked = checkpointed(hashed.withColumn(place, F.row_number().over(within)).drop(key))
+    spark = rows.sparkSession
+    state = {m: ("", 0, rest) for m, (_, rest) in plan.items()}  # where the next pass starts, and the gap
+    steps: dict[tuple, list] = {m: [] for m in plan}
+    at = F.struct(F.col(range_).alias("r"), F.col(place).alias("p"))
+    for _ in range(PASSES):
+        going = [(list(m), r, p, gap) for m, (r, p, gap) in state.items() if r is not None and gap >= 1 and gap > CLOSE * flows[m]]
+        if not going:
+            break
+        open_ = _with_plan(ranked, spark.createDataFrame(going, "_m array<string>, _r string, _p int, _gap double")).where(
+            (F.col("size") > 0) & (F.col("size") <= F.col("_gap")) & (at > F.struct(F.col("_r").alias("r"), F.col("_p").alias("p"))))
+        sums = open_.groupBy("members", range_).agg(F.sum("size").alias("_sum"), F.first("_gap").alias("_gap"))
+        upto = F.sum("_sum").over(Window.partitionBy("members").orderBy(range_).rowsBetween(Window.unboundedPreceding, 0))
+        sums = checkpointed(sums.withColumn("_upto", upto))  # RANGE_DIGITS bounds the rows of a pattern
+        for r in sums.groupBy("members").agg(F.max("_upto").alias("all")).collect():
+            m = tuple(r["members"])
+            gap = state[m][2]
+            if r["all"] <= gap:
+                steps[m].append((*state[m][:2], "~", 0, gap))
+                state[m] = (None, 0, gap - r["all"])
+        ends = sums.where((F.col("_upto") > F.col("_gap")) & (F.col("_upto") - F.col("_sum") <= F.col("_gap"))).select(
+            F.col("members").alias("_n"), F.col(range_).alias("_cut"), (F.col("_upto") - F.col("_sum")).alias("_before"))
+        cut = open_.join(F.broadcast(ends), (F.col("members") == F.col("_n")) & (F.col(range_) == F.col("_cut")))  # one range per pattern
+        run = F.col("_before") + F.sum("size").over(Window.partitionBy("members").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+        fits = F.col("_end") <= F.col("_gap")
+        blocked = cut.withColumn("_end", run).groupBy("members", range_).agg(
+            F.min(F.when(~fits, F.col(place))).alias("p"), F.coalesce(F.max(F.when(fits, F.col("_end"))), F.first("_before")).alias("taken"))
+        for r in blocked.collect():
+            m = tuple(r["members"])
+            gap = state[m][2]
+            steps[m].append((*state[m][:2], r[range_], r["p"], gap))
+            state[m] = (r[range_], r["p"], gap - r["taken"])
+        for m, r, p, gap in going:
+            if state[tuple(m)] == (r, p, gap):  # no row within the gap
+                state[tuple(m)] = (None, 0, gap)
+    step = "array<struct<lo_r:string,lo_p:int,hi_r:string,hi_p:int,gap:double>>"
+    table = spark.createDataFrame([(list(m), plan[m][0], state[m][2], steps[m]) for m in plan], f"_m array<string>, _base int, _left double, _steps {step}")
+
+    def taken(s: Column) -> Column:
+        return (F.col("size") > 0) & (F.col("size") <= s["gap"]) & (at > F.struct(s["lo_r"].alias("r"), s["lo_p"].alias("p"))) & (at < F.struct(s["hi_r"].alias("r"), s["hi_p"].alias("p")))
+
+    dealt = _with_plan(ranked, table).withColumn("_more", F.exists("_steps", taken).cast("int"))
+    off = F.abs(F.col("size") - F.col("_left"))
+    last = dealt.where((F.col("_base") + F.col("_more") < MOST_COPIES) & (F.col("size") > 0) & (off < F.col("_left"))).groupBy(F.col("members").alias("_n")).agg(
+        F.min(F.struct(off.alias("d"), "_more", F.col(range_).alias("r"), F.col(place).alias("p"))).alias("_last"))
     # one row per pattern, of which mix() allows MOST_PATTERNS: small enough to broadcast, so a hot source stays where it is
-    gaps = dealt.groupBy("members").agg((F.first("rest") - F.sum(F.col("size") * F.col("_more"))).alias("_gap"))
-    open_ = dealt.where((F.col("_more") == 0) & (F.col("size") > 0)).join(F.broadcast(gaps), "members").where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
-    last = open_.groupBy(F.col("members").alias("_m")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), F.col(key).alias("k"), "id", "size")).alias("_last"))
-    marked = dealt.join(F.broadcast(last), F.col("members") == F.col("_m"), "left")
-    chosen = (F.col("_more") == 0) & F.col("_last.k").eqNullSafe(F.col(key)) & F.col("_last.id").eqNullSafe(F.col("id")) & F.col("_last.size").eqNullSafe(F.col("size"))
-    rest = marked.where(~chosen)
-    first = marked.where(chosen).withColumn("_more", (F.row_number().over(Window.partitionBy("members").orderBy("id")) == 1).cast("int"))  # equal rows: one
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("_more"))
-    return rest.unionByName(first).withColumn("copies", copies.cast("int")).select(*rows.columns, "copies")
+    marked = dealt.join(F.broadcast(last), F.col("members") == F.col("_n"), "left")
+    nearest = F.coalesce((F.col("_last.r") == F.col(range_)) & (F.col("_last.p") == F.col(place)), F.lit(False)).cast("int")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_base") + F.col("_more") + nearest)
+    return marked.withColumn("copies", copies.cast("int")).select(*rows.columns, "copies")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows beside the one plan row of their pattern (at most MOST_PATTERNS rows, broadcast)."""
+    return rows.join(F.broadcast(plan), F.col("members") == F.col("_m"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -77,6 +77,19 @@ QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_net, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_mixing, op7_decontaminate, op8_simhash, op9_language_id, op10_toxicity,
     op11_jaccard_join, op12_fill_in_middle, op13_conversation_repair)}
 
+
+def _mix_passes(passes: int, close: float) -> str:
+    """CTEs of the first-fit scan: each takes rows behind `pos` within the gap up to the first that no longer fits."""
+    out = []
+    for k in range(1, passes + 1):
+        out.append(f"""o{k} AS (SELECT c.s, rn, gap, sum(size) OVER (PARTITION BY c.s ORDER BY rn ROWS UNBOUNDED PRECEDING) AS upto FROM c JOIN g{k - 1} g ON c.s IS NOT DISTINCT FROM g.s
+  WHERE rn > pos AND size > 0 AND size <= gap AND gap >= 1 AND gap > {close} * g.target),
+e{k} AS (SELECT s, coalesce(min(rn) FILTER (upto > gap), 9000000000000000000) AS pos, coalesce(max(upto) FILTER (upto <= gap), 0) AS taken FROM o{k} GROUP BY s),
+g{k} AS (SELECT g.s, target, coalesce(e.pos, 9000000000000000000) AS pos, gap - coalesce(taken, 0) AS gap FROM g{k - 1} g LEFT JOIN e{k} e ON g.s IS NOT DISTINCT FROM e.s),""")
+    took = " UNION ALL ".join(f"SELECT s, rn FROM o{k} WHERE upto <= gap" for k in range(1, passes + 1))
+    return "\n".join(out) + f"\ntook AS ({took}),\nleft_ AS (SELECT s, gap FROM g{passes}),"
+
+
 ORACLES: dict[str, str] = {
     # template: 12 + role + 1 characters open a block, 11 close it, 8 part two turns of one role
     "op1_chat_format": """
@@ -136,12 +149,13 @@ v AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY full_at, s ROWS BETW
 t AS (SELECT s, n, least(3.0::DOUBLE * n, w * (SELECT min_by(level, full_at) FROM v WHERE level <= full_at)) AS target FROM v),
 p AS (SELECT *, CASE WHEN n > 0 THEN floor((target + 1e-6) / n)::BIGINT ELSE 0 END AS base FROM t),
 c AS (SELECT d.*, n, target, base, greatest(0, round(target - base * n, 6)) AS rest,
-    sum(size) OVER (PARTITION BY d.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.s IS NOT DISTINCT FROM p.s),
-m AS (SELECT *, (upto <= rest)::INT AS more FROM c),
-g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY s) AS gap FROM m),
-l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN more = 0 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h, doc_id, size) = 1
-    AND more = 0 AND size > 0 AND abs(size - gap) < gap AS last FROM g)
-SELECT doc_id, size, n AS source_size, target, (size * CASE WHEN size = 0 THEN 0 ELSE base + more + last::INT END)::BIGINT AS taken FROM l
+    row_number() OVER (PARTITION BY d.s ORDER BY h, doc_id, size) AS rn FROM d JOIN p ON d.s IS NOT DISTINCT FROM p.s),
+g0 AS (SELECT s, any_value(target) AS target, 0::BIGINT AS pos, any_value(rest) AS gap FROM c GROUP BY s),
+""" + _mix_passes(mixing.PASSES, mixing.CLOSE) + """
+m AS (SELECT c.*, left_.gap, took.rn IS NOT NULL AS more FROM c JOIN left_ ON c.s IS NOT DISTINCT FROM left_.s LEFT JOIN took ON c.s IS NOT DISTINCT FROM took.s AND c.rn = took.rn),
+l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN base + more::INT < 3 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), more, rn) = 1
+    AND base + more::INT < 3 AND size > 0 AND abs(size - gap) < gap AS last FROM m)
+SELECT doc_id, size, n AS source_size, target, (size * CASE WHEN size = 0 THEN 0 ELSE base + more::INT + last::INT END)::BIGINT AS taken FROM l
 """,
     # equal sets are one class; classes that share a shingle are compared, then the least doc_id spreads along links
     "op11_jaccard_join": """

@@ -74,6 +74,42 @@ def test_mix_meets_targets(spark, sourced):
     assert mixing.mix_documents(sourced.limit(0)).count() == 0
 
 
+def first_fit(rows, rest, base, passes=mixing.PASSES, most=3):
+    """Plain scan in hash order: past rows that don't fit; then one copy of the nearest row."""
+    import hashlib
+    order = sorted(range(len(rows)), key=lambda i: (hashlib.md5(f"{mixing.SEED}-{rows[i][0]}".encode()).hexdigest(), rows[i][0], rows[i][2]))
+    gap, more = rest, [0] * len(rows)
+    for i in order:
+        if 0 < rows[i][2] <= gap:
+            more[i], gap = 1, gap - rows[i][2]
+    near = [(abs(rows[i][2] - gap), more[i], at, i) for at, i in enumerate(order) if rows[i][2] > 0 and base + more[i] < most and abs(rows[i][2] - gap) < gap]
+    if near:
+        more[min(near)[3]] += 1
+    return [base + m if r[2] else 0 for m, r in zip(more, rows)]
+
+
+def test_selection_goes_past_large_rows(spark):
+    """A document of a quarter of its source doesn't keep smaller ones behind it out; as the plain scan of the whole order."""
+    rnd = random.Random(9)
+    for trial in range(4):
+        rows = [(i, ["a"], rnd.choice([1, 5, 20, 60]) + rnd.randrange(4)) for i in range(60)]
+        rows.append((100, ["a"], sum(r[2] for r in rows) // 3))
+        total = sum(r[2] for r in rows)
+        rows += [(200 + i, ["b"], 10) for i in range(total // 10)]
+        rows = [(i + 1000 * trial, m, n) for i, m, n in rows]
+        df = spark.createDataFrame(rows, "id bigint, members array<string>, size bigint").repartition(3)
+        mixed, wanted = mixing.mix(df, weights={"a": 1, "b": 2})
+        target = {r["source"]: r["target"] for r in wanted.collect()}
+        got = {r["id"]: r["copies"] for r in mixed.collect()}
+        own = [r for r in rows if r[1] == ["a"]]
+        taken = sum(r[2] * got[r[0]] for r in own)
+        assert abs(taken - target["a"]) <= 0.02 * target["a"]
+        base, rest = mixing._shared_out(target["a"], total)
+        want = first_fit(own, rest, base)
+        exact = sum(r[2] * c for r, c in zip(own, want))
+        assert abs(taken - target["a"]) <= abs(exact - target["a"]) + mixing.CLOSE * target["a"]
+
+
 def test_overlapping_sources(spark):
     rows = [(i, ["a", "b"] if i % 2 else ["a"], 10) for i in range(200)]
     mixed, wanted = mixing.mix(spark.createDataFrame(rows, "id bigint, members array<string>, size bigint"), weights={"a": 1, "b": 1})
