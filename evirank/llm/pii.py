@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from evirank.llm.common import checkpointed, let, tag
 
 #: Base patterns, leftmost without overlap. Repetitions are possessive, which changes no match (nothing that follows could use
-#: what they give back) and keeps the matcher from recursing over long runs of digits.
+#: what they give back) and keeps the matcher from recursing over long runs of digits. A match starts at the head of its run or where
+#: the match before ended: a later start in a run could only match where the head does, so a long run is read once.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
 #: What may be an identifier that the base patterns miss: a run with a digit or @, long enough (see _candidates).
-CANDIDATE = r"[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
+CANDIDATE = r"(?<![A-Za-z._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
 #: The same written in groups: runs of digits joined by single spaces, dots, hyphens or round brackets.
 GROUPED = r"\(?[0-9]++(?:\)?[\x20.-]?\(?[0-9]++)*+"
 LEAST_DIGITS = 6
@@ -36,16 +37,20 @@ SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def _placed(text: Column, pattern: str, kind: int, valid) -> Column:
-    """Valid matches as SPAN. None of the patterns looks around, so the next place where a match's text occurs is where it matched."""
+    """Valid matches as SPAN. Their places follow from the lengths of the matches and of what lies between them."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, acc["at"] + 1)
-        end = at - 1 + F.length(match)
-        span = F.struct(F.lit(kind).alias("kind"), (at - 1).alias("start"), end.alias("end"), match.alias("value"))
-        return F.struct(end.alias("at"), F.when(valid(match), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["out"])
+    between = F.split(text, pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(between, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+
+    def step(acc: Column, part: Column) -> Column:
+        at = acc["at"] + part["gap"]
+        end = at + F.length(part["match"])
+        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), part["match"].alias("value"))
+        grown = F.when(valid(part["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN)
+        return F.struct(end.alias("at"), grown.alias("out"))
+
+    return F.aggregate(F.filter(parts, lambda p: p["match"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def _part_ok(part: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -162,6 +163,19 @@ def test_pii_base(spark):
     assert got == sorted(want, key=str)
 
 
+def test_pii_long_runs(spark):
+    """A run of a million characters is read once, of letters, digits or dots; its tail may still hold a span."""
+    million = 1_000_000
+    texts = ["x" * million + " a@b.cd", "9" * million + " 1.2.3.4", "." * million, "x@" * 2000 + "b.cd", "a@b.c_d@e.f g@h.i", "1.2.3.4.5.6.7.8 12.3.4.5.6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    began = time.time()
+    got = {r["doc_id"]: r["base_sha256"] for r in pii.digest(pii.extracted(df).select("doc_id", "text_hash", "base", F.array().cast(pii.SPAN).alias("found"))).collect()}
+    assert time.time() - began < 60
+    want = {0: [("email", million + 1, million + 7)], 1: [("ip", million + 1, million + 8)], 2: []}
+    for i, text in enumerate(texts):
+        assert got[i] == sha(",".join(f"{k}:{a}:{b}" for k, a, b in (want[i] if i in want else base_spans(text)))), i
+
+
 def test_pii_learns_contexts(spark):
     """Seeds teach `phone:`; a number without + after the same words is found, one after other words is not."""
     rows = [(i, f"lorem {i} call phone: +1 823 555 {4000 + i} today") for i in range(20)]
