@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evirank.functions.text import md5_int
 from evirank.session import checkpointed
 
+#: Orders of many attempts are lines modulo a prime; the buckets cut them evenly by the leading bits of the place.
+PRIME, PLACE_BITS, BUCKET_BITS = 2**31 - 1, 31, 8
+
 
 def split_differences(rows: DataFrame) -> DataFrame:
     """rows(split, sample_id, context_id, tag): overlaps and differences between train and test, one row."""
@@ -111,63 +117,139 @@ def proportions(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def max_share_difference(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Largest |p - q| over the union of names; left and right come from `proportions`."""
-    a, b = left.select(*keys, name, F.col("p").alias("a")), right.select(*keys, name, F.col("p").alias("b"))
-    gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
-    return a.join(b, [*keys, name], "full").groupBy(*keys).agg(F.max(gap).alias("max_diff"))
-
-
 def share_distance(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     a, b = left.select(name, F.col("p").alias("a")), right.select(name, F.col("p").alias("b"))
     gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
     return a.join(b, name, "full").agg(F.sum(gap).alias("l1"))
 
 
-def split_search(samples: DataFrame, labels: DataFrame, seed: int, attempts: int, n_train: int, n_test: int) -> DataFrame:
-    """All attempts in one job: train by quota, test from samples whose labels train covers; the attempt with the lowest
-    score wins, the lower number on a tie. Returns (attempt, sample_id, stratum, split) of every attempt.
+def _line(seed: int, attempts: int, attempt: Column, h: Column) -> Column:
+    """Place of a key with number h in an attempt: a * h + b modulo PRIME, with a and b from the md5 of seed and attempt."""
+    def numbers(part: str, low: int) -> Column:
+        drawn = (low + int(hashlib.md5(f"{seed}-{i}-{part}".encode()).hexdigest()[:8], 16) % (PRIME - low) for i in range(attempts))
+        return F.split(F.lit(",".join(map(str, drawn))), ",").cast("array<bigint>")
+
+    return (F.get(numbers("a", 1), attempt) * h + F.get(numbers("b", 0), attempt)) % PRIME
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Each key hashed once, before its row meets the attempts. The rows are narrow and become many each: they are spread over all
+    tasks by number, since small inputs would else be coalesced to one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("_h", md5_int(F.col(key).cast("string")) % PRIME)
+
+
+def _placed(rows: DataFrame, seed: int, attempts: int) -> DataFrame:
+    """rows(_h, attempt, ..[, open]): the attempts a row is open to, with its place and bucket in each."""
+    if "open" in rows.columns:
+        rows = rows.where(F.getbit(F.get("open", F.expr("cast(attempt div 64 as int)")), F.expr("attempt % 64")) == 1)
+    rows = rows.withColumn("_place", _line(seed, attempts, F.col("attempt"), F.col("_h")))
+    return rows.withColumn("_bucket", F.shiftright("_place", PLACE_BITS - BUCKET_BITS))
+
+
+def attempt_counts(rows: DataFrame, seed: int, attempts: int, key: str = "sample_id", group: str = "stratum") -> DataFrame:
+    """rows(key, group[, open]) -> (attempt, group, _bucket, _n). The counts are summed before they are shuffled, so only
+    attempts x groups x buckets rows move, however many rows there are."""
+    each = _numbered(rows, key).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return _placed(each, seed, attempts).groupBy("attempt", group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def attempt_draws(rows: DataFrame, counts: DataFrame, quotas: DataFrame, seed: int, attempts: int, key: str = "sample_id", group: str = "stratum") -> DataFrame:
+    """The first quota rows of each group in the order of each attempt: (attempt, key, group), quotas([attempt,] group, quota).
 
-    samples(sample_id, stratum), labels(sample_id, label).
+    The counts say in which bucket a quota ends. A row meets the ends of its group once and leaves only the attempts that may
+    draw it; the rows of the last bucket are ranked. Equal places go to the smaller key.
     """
-    samples, labels = checkpointed(samples), checkpointed(labels)
-    tries = samples.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    quotas = allocate_quotas(samples.groupBy(F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("weight")), n_train)
-    # the picked training samples feed five later steps, so they are written once
-    train = checkpointed(_per_attempt(tries, quotas, seed))
-    covered = train.join(labels, "sample_id").select("attempt", "label").distinct()
-    rest = tries.join(train.select("attempt", "sample_id"), ["attempt", "sample_id"], "left_anti")
-    missing = rest.join(labels, "sample_id").join(covered, ["attempt", "label"], "left_anti").select("attempt", "sample_id").distinct()
-    eligible = checkpointed(rest.join(missing, ["attempt", "sample_id"], "left_anti"))
-    sizes = samples.groupBy(F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("weight"))
-    caps = eligible.groupBy("attempt", F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("room"))
-    test_quotas = allocate_quotas(caps.join(sizes, "name"), n_test, ("attempt",), "room")
-    test = _per_attempt(eligible, test_quotas, seed + 1_000_000, ("attempt",))
-    keep = ["attempt", "sample_id", "stratum"]
-    return train.select(*keep, F.lit("train").alias("split")).unionByName(test.select(*keep, F.lit("test").alias("split")))
-
-
-def _per_attempt(rows: DataFrame, quotas: DataFrame, seed: int, keys: tuple = ()) -> DataFrame:
-    placed = hashed_order(rows, "sample_id", F.col("attempt") + seed, ["attempt", "stratum"], digits=2)
-    return placed.join(quotas.withColumnRenamed("name", "stratum"), [*keys, "stratum"]).where(F.col("place") <= F.col("quota")).drop(
-        "place", "running", "quota")
+    upto = Window.partitionBy("attempt", group).orderBy("_bucket")
+    ends = counts.join(quotas, [c for c in ("attempt", group) if c in quotas.columns]).withColumn("_left", F.col("quota") - F.sum("_n").over(upto) + F.col("_n"))
+    ends = ends.where("_left > 0").groupBy("attempt", group).agg(F.max("_bucket").alias("_end"), F.max_by("_left", "_bucket").alias("_left"))
+    ends = ends.groupBy(group).agg(F.collect_list(F.struct("attempt", "_end", "_left")).alias("_ends"))  # one entry per attempt
+    own = [c for c in (key, group, "_h", "open") if c in (*rows.columns, "_h")]
+    near = _placed(_numbered(rows, key).join(ends, group).select(*own, F.inline("_ends")), seed, attempts).where(F.col("_bucket") <= F.col("_end"))
+    rank = F.row_number().over(Window.partitionBy("attempt", group, "_bucket").orderBy("_place", key))
+    return near.withColumn("_rank", rank).where((F.col("_bucket") < F.col("_end")) | (F.col("_rank") <= F.col("_left"))).select("attempt", key, group)
+
 
+def split_search(samples: DataFrame, labels: DataFrame, seed: int, attempts: int, n_train: int, n_test: int) -> DataFrame:
+    """All attempts in one pass: train by quota, test from samples whose labels train covers. Returns (attempt, sample_id, stratum,
+    split) of every attempt.
 
-def split_scores(splits: DataFrame, n_train: int, n_test: int) -> DataFrame:
-    """Score of each attempt: size penalties plus the stratum share difference; low is good."""
-    sides = {s: splits.where(F.col("split") == s) for s in ("train", "test")}
-    diff = max_share_difference(proportions(sides["train"], ["attempt"], "stratum"), proportions(sides["test"], ["attempt"], "stratum"),
-                                ["attempt"], "stratum")
+    samples(sample_id, stratum), labels(sample_id, label): labels are concepts and datatypes alike. Attempts are bits: a sample
+    carries the attempts that train on it, a label the `or` of its samples, a sample is open to the `and` of its labels less its
+    own. So coverage costs two joins of the labels for any number of attempts. A sample without labels is covered.
+    """
+    samples, labels = checkpointed(samples), checkpointed(labels)
+    sizes = samples.groupBy("stratum").agg(F.count(F.lit(1)).alias("weight"))
+    quotas = allocate_quotas(sizes.withColumnRenamed("stratum", "name"), n_train).withColumnRenamed("name", "stratum")
+    # the picked training samples feed three later steps, so they are written once
+    train = checkpointed(attempt_draws(samples, attempt_counts(samples, seed, attempts), quotas, seed, attempts))
+    words = range(-(-attempts // 64))
+
+    def merged(how, missing: int) -> list[Column]:
+        return [how(F.coalesce(f"b{w}", F.lit(missing).cast("bigint"))).alias(f"b{w}") for w in words]
+
+    bit = F.expr("shiftleft(1L, cast(attempt % 64 as int))")
+    picked = train.groupBy("sample_id").agg(*[F.bit_or(F.when(F.expr("attempt div 64") == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{w}") for w in words])
+    covered = labels.join(picked, "sample_id").groupBy("label").agg(*merged(F.bit_or, 0))
+    shared = labels.join(covered, "label", "left").groupBy("sample_id").agg(*merged(F.bit_and, 0))
+    own = picked.select("sample_id", *[F.col(f"b{w}").alias(f"t{w}") for w in words])
+    free = [F.coalesce(f"b{w}", F.lit(-1).cast("bigint")).bitwiseAND(F.bitwise_not(F.coalesce(f"t{w}", F.lit(0).cast("bigint")))) for w in words]
+    eligible = checkpointed(samples.join(shared, "sample_id", "left").join(own, "sample_id", "left").select("sample_id", "stratum", F.array(*free).alias("open")))
+
+    counts = checkpointed(attempt_counts(eligible, seed + 1_000_000, attempts))
+    room = counts.groupBy("attempt", "stratum").agg(F.sum("_n").alias("room")).join(sizes, "stratum").withColumnRenamed("stratum", "name")
+    test_quotas = allocate_quotas(room, n_test, ("attempt",), "room").withColumnRenamed("name", "stratum")
+    test = attempt_draws(eligible, counts, test_quotas, seed + 1_000_000, attempts)
+    # scores and reports read the drawn rows several times
+    return checkpointed(train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))))
+
+
+def split_scores(splits: DataFrame, kinds: DataFrame, n_train: int, n_test: int) -> DataFrame:
+    """Score of each attempt, low is good: both size penalties and the largest share differences between train and test of the
+    strata, of the samples a datatype occurs in and of the entities of a datatype. kinds(sample_id, kind, n)."""
+    strata = splits.groupBy("attempt", "split", F.col("stratum").alias("name")).agg(F.count(F.lit(1)).alias("w")).withColumn("measure", F.lit("stratum"))
+    by_kind = splits.join(kinds.select("sample_id", "kind", "n"), "sample_id").groupBy("attempt", "split", F.col("kind").alias("name")).agg(
+        F.count(F.lit(1)).alias("presence"), F.sum("n").alias("entity"))
+    by_kind = by_kind.select("attempt", "split", "name", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("w")) for m in ("presence", "entity")])))
+    sides = strata.unionByName(by_kind).groupBy("attempt", "measure", "name").agg(
+        *[F.sum(F.when(F.col("split") == s, F.col("w")).otherwise(0)).alias(s) for s in ("train", "test")])
+    whole = Window.partitionBy("attempt", "measure")
+    train, test = (F.coalesce(F.try_divide(F.col(s).cast("double"), F.sum(s).over(whole)), F.lit(0.0)) for s in ("train", "test"))
+    gaps = sides.select("attempt", "measure", F.abs(train - test).alias("gap")).groupBy("attempt").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("gap"))).alias(c) for m, c in (("stratum", "max_diff"), ("presence", "presence_diff"), ("entity", "entity_diff"))])
     sizes = splits.groupBy("attempt").agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
-    score = 10.0 * F.abs(F.col("n_test") - n_test) / n_test + 5.0 * F.abs(F.col("n_train") - n_train) / n_train + 4.0 * F.col("max_diff")
-    return sizes.join(diff, "attempt").withColumn("score", score)
+    penalties = 10.0 * F.abs(F.col("n_test") - n_test) / max(n_test, 1) + 5.0 * F.abs(F.col("n_train") - n_train) / max(n_train, 1)
+    score = penalties + 4.0 * F.col("max_diff") + 2.0 * F.coalesce("presence_diff", F.lit(0.0)) + F.coalesce("entity_diff", F.lit(0.0))
+    return sizes.join(gaps, "attempt").withColumn("score", score)
 
 
 def best_attempt(scores: DataFrame) -> DataFrame:
     return scores.agg(F.min_by("attempt", F.struct(F.round("score", 10), "attempt")).alias("attempt"), F.min("score").alias("score"))
 
 
+def split_report(splits: DataFrame, scores: DataFrame, contexts: DataFrame, labels: DataFrame, allowed: float = 0.05) -> DataFrame:
+    """One row: the best attempt with its overlaps, labels of test that train lacks, and whether it is valid.
+
+    contexts(sample_id, context_id), labels(sample_id, family, label) with the families concept and datatype.
+    """
+    best = scores.join(best_attempt(scores).select("attempt"), "attempt")
+    chosen = splits.join(best.select("attempt"), "attempt").select("split", "sample_id")
+    ids = chosen.select("split", F.lit("sample").alias("family"), F.col("sample_id").cast("string").alias("label"))
+    owners = chosen.join(contexts, "sample_id").select("split", F.lit("context").alias("family"), F.col("context_id").cast("string").alias("label"))
+    held = chosen.join(labels, "sample_id").select("split", "family", F.col("label").cast("string").alias("label"))
+    sides = ids.unionByName(owners).unionByName(held).groupBy("family", "label").agg(
+        F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") == "test").alias("test"))
+
+    def both(family: str, wanted: Column) -> Column:
+        return F.count_if((F.col("family") == family) & F.col("test") & wanted)
+
+    found = sides.agg(both("sample", F.col("train")).alias("sample_overlap"), both("context", F.col("train")).alias("context_overlap"),
+                      both("concept", ~F.col("train")).alias("missing_concepts"), both("datatype", ~F.col("train")).alias("missing_datatypes"))
+    faults = F.col("sample_overlap") + F.col("context_overlap") + F.col("missing_concepts") + F.col("missing_datatypes")
+    # two one-row frames side by side
+    return best.join(found).withColumn("passed", (faults == 0) & (F.round("max_diff", 10) <= allowed))
+
+
 def count_with_share(rows: DataFrame, lead: list[str], name: str) -> DataFrame:
     counts = rows.groupBy(*lead, name).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(*lead)))
@@ -219,33 +301,59 @@ def sample_quality(sample: DataFrame, whole: DataFrame) -> DataFrame:
     row = row.select(
         F.abs(F.col("s_table") - F.col("w_table")).alias("table_delta"), F.col("l1").alias("datatype_l1"),
         F.greatest(*rel).alias("fpc_delta"), (F.abs(F.col("s_unique") - F.col("w_unique")) / F.col("w_unique")).alias("unique_delta"))
-    flags = F.array_compact(F.array(
-        F.when(F.col("table_delta") > 0.08, "table_fact_ratio_delta_gt_0.08"), F.when(F.col("datatype_l1") > 0.15, "datatype_l1_delta_gt_0.15"),
-        F.when(F.col("fpc_delta") > 0.35, "by_modality_facts_per_context_relative_delta_gt_0.35"),
-        F.when(F.col("unique_delta") > 0.60, "unique_concepts_per_context_relative_delta_gt_0.60")))
-    return row.withColumns({"flags": F.array_join(flags, ","), "passed": F.size(flags) == 0})
+    return row.withColumns({"flags": F.array_join(soft_flags(), ","), "passed": F.size(soft_flags()) == 0})
+
+
+def soft_flags() -> Column:
+    """Names of the soft limits that the deltas of a sample exceed."""
+    # fixed values: the published limits and their names
+    limits = (("table_delta", 0.08, "table_fact_ratio_delta_gt_0.08"), ("datatype_l1", 0.15, "datatype_l1_delta_gt_0.15"),
+              ("fpc_delta", 0.35, "by_modality_facts_per_context_relative_delta_gt_0.35"),
+              ("unique_delta", 0.60, "unique_concepts_per_context_relative_delta_gt_0.60"))
+    return F.array_compact(F.array(*[F.when(F.round(c, 10) > limit, name) for c, limit, name in limits]))
 
 
-def cluster_search(facts: DataFrame, seed: int, attempts: int, n_table: int, n_text: int) -> DataFrame:
-    """Each attempt draws contexts per modality; its score against all facts decides. facts(modality, context_id, datatype).
+def cluster_search(facts: DataFrame, seed: int, attempts: int, n_table: int, n_text: int, target: int = 0, target_weight: float = 0.0) -> DataFrame:
+    """Each attempt draws contexts per modality; four weighted deltas against all facts, and the distance from a target number of
+    facts, are its score. facts(modality, context_id, datatype, concept); one row, the chosen attempt.
 
-    The first attempt that passes the soft limit and improves on all before it ends the search, else the best one wins.
+    The first attempt that improves on all before it and exceeds no soft limit ends the search, else the least score wins, the
+    lower number on a tie. The facts meet only the contexts drawn, so the work after the draw grows with attempts x contexts drawn.
     """
-    contexts = facts.groupBy("modality", "context_id").agg(F.count(F.lit(1)).alias("n"))
-    tries = contexts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn(
-        "sample_id", F.concat_ws(":", "modality", F.col("context_id").cast("string")))
-    placed = hashed_order(tries, "sample_id", F.col("attempt") + seed, ["attempt", "modality"], digits=2)
-    limit = F.when(F.col("modality") == "table", n_table).otherwise(n_text)
-    drawn = placed.where(F.col("place") <= limit)
-    whole = facts.agg(F.avg((F.col("modality") == "table").cast("double")).alias("w"))
-    # one-row frame: the share over all facts
-    scored = drawn.groupBy("attempt").agg(
-        (F.sum(F.when(F.col("modality") == "table", F.col("n")).otherwise(0)) / F.sum("n")).alias("s"), F.sum("n").alias("facts")).join(whole)
-    scored = scored.select("attempt", "facts", F.round(F.abs(F.col("s") - F.col("w")), 10).alias("score"))
-    best_before = F.min("score").over(Window.orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1))
-    marked = scored.withColumn("improves", F.coalesce(F.col("score") < best_before, F.lit(True)))
-    stop = F.min(F.when(F.col("improves") & (F.col("score") <= 0.08), F.col("attempt")))
-    return marked.agg(F.coalesce(stop, F.min_by("attempt", F.struct("score", "attempt"))).alias("attempt"), F.min("score").alias("best_score"))
+    facts = checkpointed(facts.select("modality", "context_id", "datatype", "concept").withColumn("cluster", F.concat_ws(":", "modality", F.col("context_id").cast("string"))))
+    clusters = facts.select("cluster", "modality").distinct()
+    quotas = facts.select("modality").distinct().withColumn("quota", F.when(F.col("modality") == "table", n_table).otherwise(n_text))
+    clusters = checkpointed(clusters)
+    drawn = attempt_draws(clusters, attempt_counts(clusters, seed, attempts, "cluster", "modality"), quotas, seed, attempts, "cluster", "modality")
+    rows = checkpointed(drawn.drop("modality").join(facts, "cluster"))
+
+    def stats(df: DataFrame, keys: list[str]) -> DataFrame:
+        one = lambda m: F.col("modality") == m
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("facts"), F.avg(one("table").cast("double")).alias("share"), (F.countDistinct("concept") / F.countDistinct("context_id")).alias("unique"),
+            *[F.coalesce(F.try_divide(F.count_if(one(m)), F.countDistinct(F.when(one(m), F.col("context_id")))), F.lit(0.0)).alias(m) for m in ("table", "text")])
+
+    def relative(c: str) -> Column:
+        return F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"w_{c}")), F.col(f"w_{c}")), F.lit(0.0))
+
+    # every datatype drawn occurs in all facts: those not drawn add their own share, which is one less the shares of the drawn
+    p, q = proportions(rows, ["attempt"], "datatype"), proportions(facts, [], "datatype").select("datatype", F.col("p").alias("q"))
+    l1 = p.join(q, p["datatype"].eqNullSafe(q["datatype"])).groupBy("attempt").agg((1 + F.sum(F.abs(F.col("p") - F.col("q")) - F.col("q"))).alias("datatype_l1"))
+    whole = stats(facts, []).select(*[F.col(c).alias(f"w_{c}") for c in ("share", "unique", "table", "text")])
+    # one-row frame: the figures of all facts
+    scored = stats(rows, ["attempt"]).join(l1, "attempt").join(whole).select(
+        "attempt", "facts", F.abs(F.col("share") - F.col("w_share")).alias("table_delta"), "datatype_l1",
+        F.greatest(relative("table"), relative("text")).alias("fpc_delta"), relative("unique").alias("unique_delta"))
+    score = F.col("table_delta") + 0.5 * F.col("datatype_l1") + 0.2 * F.col("fpc_delta") + 0.2 * F.col("unique_delta")
+    if target:
+        score = score + target_weight * F.abs(F.col("facts") - target) / target
+    scored = scored.withColumns({"score": F.round(score, 10), "passed": F.size(soft_flags()) == 0})
+    # one row per attempt
+    before = F.min("score").over(Window.orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1))
+    ends = F.col("passed") & F.coalesce(F.col("score") < before, F.lit(True))
+    order = F.struct((~F.col("ends")).alias("later"), F.when(F.col("ends"), F.col("attempt")).otherwise(F.lit(0)).alias("at"), "score", "attempt")
+    row = F.struct("attempt", "facts", "table_delta", "datatype_l1", "fpc_delta", "unique_delta", "score", "passed")
+    return scored.withColumn("ends", ends).agg(F.min_by(row, order).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def fill_to_target(documents: DataFrame, seed: int, target: int) -> DataFrame:

@@ -7,6 +7,7 @@ from evirank.operators import bootstrap, fuse, metrics, splits
 from evirank.plans import frames
 from evirank.plans.q_fuse import NAMES, fused_metrics
 from evirank.plans.registry import fragment, query, sql_md5
+from evirank.session import checkpointed
 
 # samples = orders, entities = their lines (value, part as concept, part type as datatype), context = customer
 
@@ -68,43 +69,73 @@ def b4(t):
     return splits.stratified_sample(rows, quotas, 7).select("sample_id", "stratum")
 
 
-ATT = 4
-fragment("train_tries", f"""SELECT attempt, sample_id, stratum FROM (SELECT attempt, sample_id, stratum, row_number() OVER (PARTITION BY attempt, stratum ORDER BY md5((attempt + 11) || '-' || sample_id), sample_id) AS r
-    FROM labelled, (SELECT unnest(range(0, {ATT})) AS attempt)) JOIN train_quotas ON stratum = name WHERE r <= quota""")
-fragment("eligible", f"""SELECT a.attempt, l.sample_id, l.stratum FROM labelled l, (SELECT unnest(range(0, {ATT})) AS attempt) a WHERE NOT EXISTS (SELECT 1 FROM train_tries t WHERE t.attempt = a.attempt AND t.sample_id = l.sample_id)
-    AND (a.attempt, l.sample_id) NOT IN (SELECT a.attempt, e.sample_id FROM (SELECT DISTINCT sample_id, concept FROM ents WHERE concept IS NOT NULL) e, (SELECT unnest(range(0, {ATT})) AS attempt) a
-      WHERE (a.attempt, e.concept) NOT IN (SELECT t.attempt, x.concept FROM train_tries t JOIN ents x USING (sample_id) WHERE x.concept IS NOT NULL))""")
+ATT, PRIME = 200, splits.PRIME
+
+
+def sql_lines(seed: int, attempts: int) -> str:
+    """Lines a * h + b modulo PRIME of the attempts, whose order on h = md5 number of the key is the order of the draw."""
+    return f"""(SELECT i AS attempt, 1 + {sql_md5(f"'{seed}-' || i || '-a'")} % {PRIME - 1} AS a, {sql_md5(f"'{seed}-' || i || '-b'")} % {PRIME} AS b FROM (SELECT unnest(range(0, {attempts})) AS i))"""
+
+
+fragment("numbered", f"SELECT sample_id, stratum, {sql_md5('sample_id::VARCHAR')} % {PRIME} AS h FROM labelled")
+fragment("train_tries", f"""SELECT attempt, sample_id, stratum FROM (SELECT attempt, sample_id, stratum, row_number() OVER (PARTITION BY attempt, stratum ORDER BY (a * h + b) % {PRIME}, sample_id) AS r
+    FROM numbered, {sql_lines(11, ATT)}) JOIN train_quotas ON stratum = name WHERE r <= quota""")
+fragment("split_labels", "SELECT DISTINCT sample_id, 'concept' AS family, concept AS label FROM ents WHERE concept IS NOT NULL UNION ALL SELECT DISTINCT sample_id, 'datatype', kind FROM ents WHERE kind IS NOT NULL")
+fragment("covered_labels", "SELECT DISTINCT attempt, family, label FROM train_tries JOIN split_labels USING (sample_id)")
+fragment("uncovered", f"""SELECT DISTINCT attempt, sample_id FROM (SELECT l.*, attempt FROM split_labels l SEMI JOIN labelled USING (sample_id), (SELECT unnest(range(0, {ATT})) AS attempt)) ANTI JOIN covered_labels USING (attempt, family, label)""")
+fragment("eligible", f"""SELECT attempt, sample_id, stratum, h FROM (SELECT attempt, sample_id, stratum, h FROM numbered, (SELECT unnest(range(0, {ATT})) AS attempt)) ANTI JOIN train_tries USING (attempt, sample_id) ANTI JOIN uncovered USING (attempt, sample_id)""")
 fragment("test_quotas", SEATS.format(k="attempt,", p="PARTITION BY attempt", n=100, src="SELECT attempt, name, weight, cap FROM (SELECT attempt, stratum AS name, count(*) AS cap FROM eligible GROUP BY ALL) JOIN strata USING (name)"))
-fragment("test_tries", """SELECT attempt, sample_id, stratum FROM (SELECT attempt, sample_id, stratum, row_number() OVER (PARTITION BY attempt, stratum ORDER BY md5((attempt + 1000011) || '-' || sample_id), sample_id) AS r
-    FROM eligible) e JOIN test_quotas q USING (attempt) WHERE e.stratum = q.name AND r <= quota""")
+fragment("test_tries", f"""SELECT attempt, sample_id, stratum FROM (SELECT attempt, sample_id, stratum, row_number() OVER (PARTITION BY attempt, stratum ORDER BY (a * h + b) % {PRIME}, sample_id) AS r
+    FROM eligible JOIN {sql_lines(1000011, ATT)} USING (attempt)) e JOIN test_quotas q USING (attempt) WHERE e.stratum = q.name AND r <= quota""")
 fragment("tries", "SELECT *, 'train' AS split FROM train_tries UNION ALL SELECT *, 'test' FROM test_tries")
 
 
 def search(t):
-    rows = entities(t)
-    labels = rows.where("concept IS NOT NULL").select("sample_id", F.col("concept").alias("label")).distinct()
-    return splits.split_search(splits.labelled_samples(rows).select("sample_id", "stratum"), labels, 11, ATT, 400, 100)
+    """The splits of all attempts, with the labelled samples, their labels and their datatypes."""
+    rows = checkpointed(entities(t))
+    labelled = checkpointed(splits.labelled_samples(rows))
+    labels = rows.select("sample_id", F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.col(c).alias("label")) for f, c in (("concept", "concept"), ("datatype", "kind"))]))).where("label IS NOT NULL").distinct()
+    kinds = rows.join(labelled, "sample_id", "left_semi").where("kind IS NOT NULL").groupBy("sample_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    found = splits.split_search(labelled.select("sample_id", "stratum"), labels.select("sample_id", F.concat_ws(":", "family", "label").alias("label")), 11, ATT, 400, 100)
+    return found, labelled, labels, kinds
 
 
 @query("B5_split_search", "SELECT attempt, sample_id, stratum, split FROM tries")
 def b5(t):
-    return search(t)
+    return search(t)[0]
 
 
-fragment("try_scores", """WITH p AS (SELECT attempt, split, stratum, count(*) / (sum(count(*)) OVER (PARTITION BY attempt, split)) AS p FROM tries GROUP BY attempt, split, stratum),
-    d AS (SELECT attempt, max(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS max_diff FROM (SELECT * FROM p WHERE split = 'train') a FULL JOIN (SELECT * FROM p WHERE split = 'test') b USING (attempt, stratum) GROUP BY attempt)
-    SELECT attempt, n_train, n_test, max_diff, 10 * abs(n_test - 100) / 100.0::DOUBLE + 5 * abs(n_train - 400) / 400.0::DOUBLE + 4 * max_diff AS score FROM d JOIN (
+fragment("try_scores", """WITH m AS (SELECT attempt, split, 's' AS measure, stratum AS name, count(*) AS w FROM tries GROUP BY ALL UNION ALL SELECT attempt, split, 'p', kind, count(*) FROM tries JOIN kinds USING (sample_id) GROUP BY ALL
+      UNION ALL SELECT attempt, split, 'e', kind, sum(n) FROM tries JOIN kinds USING (sample_id) GROUP BY ALL),
+    p AS (SELECT *, w / (sum(w) OVER (PARTITION BY attempt, split, measure)) AS p FROM m),
+    d AS (SELECT attempt, measure, max(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS d FROM (SELECT * FROM p WHERE split = 'train') a FULL JOIN (SELECT * FROM p WHERE split = 'test') b USING (attempt, measure, name) GROUP BY attempt, measure),
+    g AS (SELECT attempt, max(d) FILTER (measure = 's') AS max_diff, max(d) FILTER (measure = 'p') AS presence_diff, max(d) FILTER (measure = 'e') AS entity_diff FROM d GROUP BY attempt)
+    SELECT attempt, n_train, n_test, max_diff, presence_diff, entity_diff, 10 * abs(n_test - 100) / 100.0::DOUBLE + 5 * abs(n_train - 400) / 400.0::DOUBLE + 4 * max_diff + 2 * presence_diff + entity_diff AS score FROM g JOIN (
       SELECT attempt, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM tries GROUP BY attempt) USING (attempt)""")
 
 
 @query("B5_best_attempt", "SELECT arg_min(attempt, (round(score, 10), attempt)) AS attempt, round(min(score), 8) AS score FROM try_scores")
 def b5b(t):
-    return splits.best_attempt(splits.split_scores(search(t), 400, 100)).withColumn("score", F.round("score", 8))
+    found, _, _, kinds = search(t)
+    return splits.best_attempt(splits.split_scores(found, kinds, 400, 100)).withColumn("score", F.round("score", 8))
+
 
+@query("B5_split_report", """WITH best AS (SELECT * FROM try_scores ORDER BY round(score, 10), attempt LIMIT 1), c AS (SELECT split, sample_id, context_id FROM tries SEMI JOIN best USING (attempt) JOIN labelled USING (sample_id)),
+    l AS (SELECT split, family, label FROM c JOIN split_labels USING (sample_id)),
+    f AS (SELECT (SELECT count(*) FROM (SELECT sample_id FROM c WHERE split = 'train' INTERSECT SELECT sample_id FROM c WHERE split = 'test')) AS sample_overlap, (SELECT count(*) FROM (SELECT context_id FROM c WHERE split = 'train' INTERSECT SELECT context_id FROM c WHERE split = 'test')) AS context_overlap,
+      (SELECT count(*) FROM (SELECT label FROM l WHERE split = 'test' AND family = 'concept' EXCEPT SELECT label FROM l WHERE split = 'train' AND family = 'concept')) AS missing_concepts, (SELECT count(*) FROM (SELECT label FROM l WHERE split = 'test' AND family = 'datatype' EXCEPT SELECT label FROM l WHERE split = 'train' AND family = 'datatype')) AS missing_datatypes)
+    SELECT attempt, n_train, n_test, round(score, 8) AS score, round(max_diff, 8) AS max_diff, sample_overlap, context_overlap, missing_concepts, missing_datatypes,
+      sample_overlap + context_overlap + missing_concepts + missing_datatypes = 0 AND round(max_diff, 10) <= 0.05 AS passed FROM best, f""")
+def b5c(t):
+    found, labelled, labels, kinds = search(t)
+    report = splits.split_report(found, splits.split_scores(found, kinds, 400, 100), labelled, labels)
+    return report.drop("presence_diff", "entity_diff").withColumns({c: F.round(c, 8) for c in ("score", "max_diff")})
 
-@query("B6_share_difference", "SELECT attempt, n_train, n_test, round(max_diff, 8) AS max_diff, round(score, 8) AS score FROM try_scores")
+
+@query("B6_share_difference", "SELECT attempt, n_train, n_test, round(max_diff, 8) AS max_diff, round(presence_diff, 8) AS presence_diff, round(entity_diff, 8) AS entity_diff, round(score, 8) AS score FROM try_scores")
 def b6(t):
-    return splits.split_scores(search(t), 400, 100).withColumns({c: F.round(c, 8) for c in ("max_diff", "score")})
+    found, _, _, kinds = search(t)
+    return splits.split_scores(found, kinds, 400, 100).withColumns({c: F.round(c, 8) for c in ("max_diff", "presence_diff", "entity_diff", "score")})
 
 
 @query("B7_count_with_share", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus) AS pct FROM orders GROUP BY o_orderstatus, o_orderpriority")
@@ -160,13 +191,23 @@ def b11(t):
     return out.withColumns({c: F.round(c, 6) for c in ("table_delta", "datatype_l1", "fpc_delta", "unique_delta")})
 
 
-@query("B12_cluster_search", """WITH c AS (SELECT modality, context_id, count(*) AS n FROM described GROUP BY ALL), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attempt, modality ORDER BY md5((attempt + 5) || '-' || modality || ':' || context_id), modality || ':' || context_id) AS r
-      FROM c, (SELECT unnest(range(0, 8)) AS attempt)) WHERE r <= CASE WHEN modality = 'table' THEN 30 ELSE 50 END),
-    s AS (SELECT attempt, round(abs(sum(CASE WHEN modality = 'table' THEN n ELSE 0 END) / sum(n)::DOUBLE - (SELECT avg((modality = 'table')::INT) FROM described)), 10) AS score FROM d GROUP BY attempt),
-    m AS (SELECT *, coalesce(score < min(score) OVER (ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improves FROM s)
-    SELECT coalesce(min(attempt) FILTER (improves AND score <= 0.08), arg_min(attempt, (score, attempt))) AS attempt, min(score) AS best_score FROM m""")
+DRAWS = 2000
+
+
+@query("B12_cluster_search", f"""WITH c AS (SELECT DISTINCT modality, context_id, {sql_md5("modality || ':' || context_id")} % {PRIME} AS h FROM described),
+    d AS (SELECT attempt, modality, unnest(CASE WHEN modality = 'table' THEN arg_min(context_id, (a * h + b) % {PRIME} * 4294967296 + context_id, 30) ELSE arg_min(context_id, (a * h + b) % {PRIME} * 4294967296 + context_id, 50) END) AS context_id FROM c, {sql_lines(5, DRAWS)} GROUP BY attempt, modality),
+    r AS (SELECT attempt, f.* FROM d JOIN described f USING (modality, context_id)),
+    x AS (SELECT attempt, count(*) AS facts, avg((modality = 'table')::INT) AS tb, count(DISTINCT concept) / count(DISTINCT context_id)::DOUBLE AS un, count(*) FILTER (modality = 'table') / 30.0::DOUBLE AS f1, count(*) FILTER (modality = 'text') / 50.0::DOUBLE AS f2 FROM r GROUP BY attempt),
+    y AS ({STATS} described), q AS (SELECT datatype, count(*) / (SELECT count(*) FROM described)::DOUBLE AS q FROM described GROUP BY datatype),
+    p AS (SELECT attempt, datatype, count(*) / (sum(count(*)) OVER (PARTITION BY attempt))::DOUBLE AS p FROM r GROUP BY attempt, datatype),
+    l AS (SELECT attempt, sum(abs(coalesce(p, 0) - q)) AS datatype_l1 FROM (SELECT attempt, datatype, q FROM q, (SELECT unnest(range(0, {DRAWS})) AS attempt)) LEFT JOIN p USING (attempt, datatype) GROUP BY attempt),
+    s AS (SELECT attempt, facts, abs(x.tb - y.tb) AS table_delta, datatype_l1, greatest(abs(x.f1 - y.f1) / y.f1, abs(x.f2 - y.f2) / y.f2) AS fpc_delta, abs(x.un - y.un) / y.un AS unique_delta FROM x JOIN l USING (attempt), y),
+    t AS (SELECT *, round(table_delta + 0.5 * datatype_l1 + 0.2 * fpc_delta + 0.2 * unique_delta + 0.3 * abs(facts - 240) / 240.0::DOUBLE, 10) AS score, round(table_delta, 10) <= 0.08 AND round(datatype_l1, 10) <= 0.15 AND round(fpc_delta, 10) <= 0.35 AND round(unique_delta, 10) <= 0.6 AS passed FROM s),
+    m AS (SELECT *, passed AND coalesce(score < min(score) OVER (ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ends FROM t)
+    SELECT attempt, facts, round(table_delta, 8) AS table_delta, round(datatype_l1, 8) AS datatype_l1, round(fpc_delta, 8) AS fpc_delta, round(unique_delta, 8) AS unique_delta, round(score, 8) AS score, passed FROM m ORDER BY (NOT ends)::INT, CASE WHEN ends THEN attempt ELSE 0 END, score, attempt LIMIT 1""")
 def b12(t):
-    return splits.cluster_search(described(t), 5, 8, 30, 50)
+    found = splits.cluster_search(described(t), 5, DRAWS, 30, 50, 240, 0.3)
+    return found.withColumns({c: F.round(c, 8) for c in ("table_delta", "datatype_l1", "fpc_delta", "unique_delta", "score")})
 
 
 @query("B13_fill_to_target", """SELECT sample_id, n, place FROM (SELECT sample_id, n, row_number() OVER w AS place, sum(n) OVER w - n AS before FROM (SELECT doc_id AS sample_id, len(string_split(text, chr(10))) AS n FROM documents)
