@@ -16,8 +16,8 @@ from evirank.llm.common import held_out, pieces, tag, text_bytes
 HIDDEN = 12
 #: Training: documents per language, crops per document, code points per crop, bytes per crop, steps.
 DOCS_PER_LANG, CROPS, CROP_CHARS, CROP_BYTES, STEPS, BATCH = 400, 4, 64, 64, 300, 256
-#: Languages the network has outputs for: the most frequent ones.
-MOST_LANGS = 256
+#: Buckets of the seeded hash that choose training documents; the counts of a language's buckets say where its first documents end.
+BUCKET_BITS = 16
 #: Scoring: bytes per segment, bytes of context on either side, segments side by side.
 SEGMENT, CONTEXT, WIDE = 128, 12, 2048
 UNKNOWN = "und"
@@ -176,24 +176,31 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Net | None:
     """A Net from docs(doc_id, text, lang): crops of a bounded number of documents per language (first in the order of a seeded
-    hash), held-out ids, null languages and texts without a letter left out. None if nothing is left."""
+    hash), held-out ids, null languages and texts without a letter left out. Every language gets an output. None if nothing is left."""
     usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     crops = F.array(*[F.substring("text", (1 + F.pmod(F.xxhash64(F.lit(SEED + k), "doc_id"), F.greatest(F.length("text") - CROP_CHARS, F.lit(1)))).cast("int"), F.lit(CROP_CHARS)) for k in range(CROPS)])
-    order, place = f"o_{tag()}", f"p_{tag()}"
-    ranked = usable.select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias(order), crops.alias("crops")).withColumn(
-        place, F.row_number().over(Window.partitionBy("lang").orderBy(order, F.col("crops")[0])))
-    rows = ranked.where(F.col(place) <= docs_per_lang).select("lang", order, "crops").collect()  # DOCS_PER_LANG x CROPS short strings a language
-    sizes: dict[str, int] = {}
-    for r in rows:
-        sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
-    langs = sorted(sorted(sizes, key=lambda s: (-sizes[s], s))[:MOST_LANGS])
+    order, bucket = f"o_{tag()}", f"b_{tag()}"
+    hashed = usable.select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias(order), crops.alias("crops")).withColumn(
+        bucket, F.shiftright(order, 64 - BUCKET_BITS))
+    # counts are summed before they are shuffled; a language's documents themselves meet no common task
+    counts = hashed.groupBy("lang", bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("n0", before).where(F.col("n0") < docs_per_lang).groupBy("lang").agg(F.max(bucket).alias("end"))
+    # one row a language, fewer than the training rows collected below
+    near = hashed.join(F.broadcast(ends), "lang").where(F.col(bucket) <= F.col("end")).drop("end")
+    order_in = Window.partitionBy("lang").orderBy(order, F.col("crops")[0])
+    # near holds the first documents and the rest of the last bucket
+    ranked = near.withColumn("place", F.row_number().over(order_in)).where(F.col("place") <= docs_per_lang)
+    rows = ranked.select("lang", order, "crops").collect()  # DOCS_PER_LANG x CROPS short strings a language
+    langs = sorted({r["lang"] for r in rows})
+    index = {name: i for i, name in enumerate(langs)}
     x, y = [], []
     for r in sorted(rows, key=lambda r: (r["lang"], r[order], r["crops"])):
-        for crop in r["crops"] if r["lang"] in langs else ():
+        for crop in r["crops"]:
             raw = crop.encode()[:CROP_BYTES]
             if raw.strip(b"\0"):
                 x.append(np.frombuffer(raw.ljust(CROP_BYTES, b"\0"), np.uint8))
-                y.append(langs.index(r["lang"]))
+                y.append(index[r["lang"]])
     if not x:
         return None
     found = np.array(y)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evirank.llm import langid, quality_net, queries, terms, toxicity
-from evirank.llm.common import pieces, text_bytes
+from evirank.llm.common import held_out, pieces, text_bytes
 
 FOLDER = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -193,3 +193,15 @@ def test_odd_rows(spark):
     assert [r["lang_pred"] for r in found if not r["text"] or r["doc_id"] == 4] == ["und"] * 3
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+def test_every_language_trains_on_its_first_documents(spark, monkeypatch):
+    """300 languages, one of them hot: each gives the documents first in the seeded order, and none is left out."""
+    rows = [(i, f"text {i} of the hot one", "hot") for i in range(2000)] + [(10_000 + i, f"words {i}", f"l{i % 299:03d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6)
+    monkeypatch.setattr(langid, "train", lambda langs, x, y: (langs, x, y))
+    langs, x, y = langid.fit(df, 3)
+    usable = df.where(~held_out("doc_id")).select("lang", "text", F.xxhash64(F.lit(langid.SEED), "doc_id").alias("o")).toPandas()
+    first = usable.sort_values("o").groupby("lang").head(3)
+    assert langs == sorted(first.lang.unique()) and len(langs) > 256
+    assert sorted(zip(y, (bytes(r).rstrip(b"\0").decode() for r in x))) == sorted((langs.index(a), t[:64]) for a, t in zip(first.lang, first.text) for _ in range(langid.CROPS))
