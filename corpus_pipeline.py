@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from evirank.llm import decontaminate, langid, mixing, pii, simhash
 from evirank.llm.common import checkpointed, tag
 
-#: A document is rejected if its pooled language probability is lower, or if it has no letter.
-LEAST_CONFIDENCE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or with no clear language; `lang` becomes the predicted language. The network learns from
-    the labelled languages of docs itself, held-out ids left out. Null texts go (no letter); other columns stay."""
+    """Drops documents in no language: null texts and texts without a letter. `lang` becomes the predicted language, however the
+    probability is spread: texts in several languages or full of digits stay. The network learns from the labelled languages of docs
+    itself, held-out ids left out. Other columns stay."""
     guess, score = f"lang_{tag()}", f"score_{tag()}"
     found = langid.identify(docs, langid.fit(docs), names=(guess, score))
-    kept = found.where((F.col(guess) != langid.UNKNOWN) & (F.col(score) >= LEAST_CONFIDENCE))
-    return kept.withColumn("lang", F.col(guess)).select(*docs.columns)
+    return found.where(F.col(guess) != langid.UNKNOWN).withColumn("lang", F.col(guess)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
