@@ -137,7 +137,7 @@ def p9(t):
 def selections(t):
     key = F.col("fact_id").cast("string")
     sel = md5_int(F.concat(F.lit("s"), key)) % 12 + 1
-    doc = F.concat(F.lit('{"ranked_indices": [3, "2", 99, 3, "x"], "ranked_tags": ["'), (F.col("fact_id") % 7).cast("string"), F.lit('", "1"], "selected_index": '), sel.cast("string"), F.lit("}"))
+    doc = F.concat(F.lit('{"ranked_indices": [3, "2", 201, 3, "x"], "ranked_tags": ["'), (F.col("fact_id") % 7).cast("string"), F.lit('", "1"], "selected_index": '), sel.cast("string"), F.lit("}"))
     return t.customer.select(F.col("c_custkey").alias("fact_id")).select("fact_id", doc.alias("raw_output"))
 
 
