@@ -19,6 +19,8 @@ from evirank.domain import DomainConfig
 from evirank.functions.text import coverage, first_filled, token_set, tokenize
 
 ALL = "ALL"
+#: Scores are compared at ten digits; a pool whose scores differ by less is one of equal scores.
+NO_SPREAD = 5e-11
 
 
 def scoped_docs(concepts: DataFrame, typed: bool = True) -> DataFrame:
@@ -145,10 +147,13 @@ def rescore_with_labels(queries: DataFrame, docs: DataFrame, concepts: DataFrame
 
 
 def _rescored(pool: DataFrame, k: int, cfg: DomainConfig) -> DataFrame:
-    """Top k of a pool with bm25_score, its lo and hi per query, and both coverages."""
+    """Top k of a pool with bm25_score, its lo and hi per query, and both coverages.
+
+    Equal scores that were summed in another order differ in their last bits; a spread of no more than that is none.
+    """
     spread = F.col("hi") - F.col("lo")
     rescored = pool.withColumn(
-        "bm25_normalized", F.when(spread > 0, (F.col("bm25_score") - F.col("lo")) / spread).otherwise(F.lit(1.0))
+        "bm25_normalized", F.when(spread >= NO_SPREAD, (F.col("bm25_score") - F.col("lo")) / spread).otherwise(F.lit(1.0))
     ).withColumn(
         "retrieval_score",
         F.col("bm25_normalized") + cfg.coverage_weight * (F.col("label_coverage") + F.col("query_label_coverage")),
