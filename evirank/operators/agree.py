@@ -109,9 +109,16 @@ def normalize_hypotheses(hypotheses: DataFrame, cfg: DomainConfig) -> DataFrame:
 
 
 def pair_verdicts(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Judge every (candidate, hypothesis) of a fact; `pool` may carry hyp_idx to judge a list by its own hypothesis."""
-    on = ["fact_id", "hyp_idx"] if "hyp_idx" in pool.columns else ["fact_id"]
-    rows = pool.join(hypotheses.select("fact_id", "hyp_idx", "dims"), on).join(profiles, "tag")
+    """Judge every (candidate, hypothesis) of a fact; `pool` may carry hyp_idx to judge a list by its own hypothesis.
+
+    A candidate meets its profile first and the hypotheses, one row per fact, last: what moves to the tags and back is one short row
+    per candidate, no hypothesis does, and the judged pairs lie by fact for what follows.
+    """
+    own = "hyp_idx" in pool.columns
+    stated = hypotheses.groupBy("fact_id").agg(F.collect_list(F.struct("hyp_idx", "dims")).alias("_stated"))
+    mine = F.filter("_stated", lambda h: h["hyp_idx"] == F.col("hyp_idx")) if own else F.col("_stated")
+    kept = [c for c in pool.columns if c != "hyp_idx"]
+    rows = pool.join(profiles, "tag").join(stated, "fact_id").select(*kept, "tokens", "cats", F.inline(mine))
     out = {}
     for d in JUDGED:
         mine, theirs = F.col("dims")[d], F.col("cats")[d]
@@ -124,8 +131,7 @@ def pair_verdicts(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame) -
         out[f"e_{d}"] = F.when(resolved, controlled)
         out[f"c_{d}"] = F.when(resolved & controlled, F.when(F.size(theirs) > 0, 0.85).otherwise(0.35)).when(
             resolved & comparable, F.least(F.lit(0.75), F.greatest(F.lit(0.2), overlap))).when(resolved, 0.0)
-    kept = [c for c in rows.columns if c not in ("dims", "cats", "tokens")]
-    return rows.select(*kept, *[c.alias(n) for n, c in out.items()])
+    return rows.select(*kept, "hyp_idx", *[c.alias(n) for n, c in out.items()])
 
 
 def verdict_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:

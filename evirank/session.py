@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -41,3 +42,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def by_fact(df: DataFrame) -> DataFrame:
+    """Rows dealt by fact_id. Aggregates and windows over the fact and more keys, and joins by fact_id alone, then move nothing; the
+    count is fixed, so the partitions still match those of other frames dealt by fact."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fact_id")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Left join of `table`, unique by fact_id and `keys`, whose rows of one fact are few: they meet the fact as a map, by fact_id
+    alone, so rows that lie by fact stay there (a join by all keys would move them)."""
+    entry = F.struct(F.struct(*keys).alias("key"), F.struct(*values).alias("value"))
+    held = table.groupBy("fact_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    kinds = dict(table.dtypes)
+    key = F.struct(*[F.col(k).cast(kinds[k]).alias(k) for k in keys])
+    joined = rows.join(held, "fact_id", "left").withColumn("_found", F.try_element_at("_held", key))
+    return joined.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
