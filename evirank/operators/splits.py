@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from evirank.functions.text import md5_int
 from evirank.session import checkpointed
 
-#: Orders of many attempts are lines modulo a prime; the buckets cut them evenly by the leading bits of the place.
-PRIME, PLACE_BITS, BUCKET_BITS = 2**31 - 1, 31, 8
+#: Orders of many attempts are lines modulo a prime.
+PRIME = 2**31 - 1
 
 
 def split_differences(rows: DataFrame) -> DataFrame:
@@ -138,35 +138,48 @@ def _numbered(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("_h", md5_int(F.col(key).cast("string")) % PRIME)
 
 
-def _placed(rows: DataFrame, seed: int, attempts: int) -> DataFrame:
-    """rows(_h, attempt, ..[, open]): the attempts a row is open to, with its place and bucket in each."""
-    if "open" in rows.columns:
-        rows = rows.where(F.getbit(F.get("open", F.expr("cast(attempt div 64 as int)")), F.expr("attempt % 64")) == 1)
-    rows = rows.withColumn("_place", _line(seed, attempts, F.col("attempt"), F.col("_h")))
-    return rows.withColumn("_bucket", F.shiftright("_place", PLACE_BITS - BUCKET_BITS))
+def attempt_counts(rows: DataFrame, seed: int, attempts: int, key: str = "sample_id", group: str = "stratum") -> DataFrame:
+    """rows(key, group[, open]) -> ([attempt,] group, _n): rows that an attempt may draw from a group. Rows without bits are open to
+    all attempts; equal bits of a group are counted before they meet the attempts."""
+    if "open" not in rows.columns:
+        return rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    alike = rows.groupBy(group, "open").agg(F.count(F.lit(1)).alias("_n")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return alike.where(_open()).groupBy("attempt", group).agg(F.sum("_n").alias("_n"))
 
 
-def attempt_counts(rows: DataFrame, seed: int, attempts: int, key: str = "sample_id", group: str = "stratum") -> DataFrame:
-    """rows(key, group[, open]) -> (attempt, group, _bucket, _n). The counts are summed before they are shuffled, so only
-    attempts x groups x buckets rows move, however many rows there are."""
-    each = _numbered(rows, key).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    return _placed(each, seed, attempts).groupBy("attempt", group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+def _open() -> Column:
+    return F.getbit(F.get("open", F.expr("cast(attempt div 64 as int)")), F.expr("attempt % 64")) == 1
 
 
 def attempt_draws(rows: DataFrame, counts: DataFrame, quotas: DataFrame, seed: int, attempts: int, key: str = "sample_id", group: str = "stratum") -> DataFrame:
     """The first quota rows of each group in the order of each attempt: (attempt, key, group), quotas([attempt,] group, quota).
 
-    The counts say in which bucket a quota ends. A row meets the ends of its group once and leaves only the attempts that may
-    draw it; the rows of the last bucket are ranked. Equal places go to the smaller key.
+    Places are even, so the counts say below which place a quota and some more lie; a row leaves only the attempts where its place
+    is below. Where fewer rows than the quota are found, that group of that attempt is read in full. Equal places go to the smaller key.
     """
-    upto = Window.partitionBy("attempt", group).orderBy("_bucket")
-    ends = counts.join(quotas, [c for c in ("attempt", group) if c in quotas.columns]).withColumn("_left", F.col("quota") - F.sum("_n").over(upto) + F.col("_n"))
-    ends = ends.where("_left > 0").groupBy("attempt", group).agg(F.max("_bucket").alias("_end"), F.max_by("_left", "_bucket").alias("_left"))
-    ends = ends.groupBy(group).agg(F.collect_list(F.struct("attempt", "_end", "_left")).alias("_ends"))  # one entry per attempt
-    own = [c for c in (key, group, "_h", "open") if c in (*rows.columns, "_h")]
-    near = _placed(_numbered(rows, key).join(ends, group).select(*own, F.inline("_ends")), seed, attempts).where(F.col("_bucket") <= F.col("_end"))
-    rank = F.row_number().over(Window.partitionBy("attempt", group, "_bucket").orderBy("_place", key))
-    return near.withColumn("_rank", rank).where((F.col("_bucket") < F.col("_end")) | (F.col("_rank") <= F.col("_left"))).select("attempt", key, group)
+    by = ["attempt", group]
+    ends = counts.join(quotas, [c for c in by if c in counts.columns and c in quotas.columns]).where("quota > 0")
+    if "attempt" not in ends.columns:
+        ends = ends.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    ends = checkpointed(ends.select(*by, F.least("quota", "_n").alias("_take"), F.least(
+        F.lit(PRIME), F.ceil(PRIME / F.col("_n") * (F.col("quota") + 8 * F.sqrt("quota") + 16))).cast("bigint").alias("_limit")))
+    numbered = _numbered(rows, key)
+
+    def below(ends: DataFrame) -> DataFrame:
+        # one entry per attempt, so groups x attempts entries in all
+        held = F.broadcast(ends.groupBy(group).agg(F.collect_list(F.struct("attempt", "_take", "_limit")).alias("_ends")))
+        own = [c for c in (key, group, "_h", "open") if c in numbered.columns]
+        near = numbered.join(held, group).select(*own, F.inline("_ends"))
+        near = near.withColumn("_place", _line(seed, attempts, F.col("attempt"), F.col("_h"))).where(F.col("_place") < F.col("_limit"))
+        return (near.where(_open()) if "open" in own else near).select(*by, key, "_place", "_take")
+
+    near = checkpointed(below(ends))
+    found = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_found"))
+    short = checkpointed(ends.join(found, by, "left").where(F.coalesce("_found", F.lit(0)) < F.col("_take")).select(*ends.columns))
+    if not short.isEmpty():
+        near = near.join(short, by, "left_anti").unionByName(below(short.withColumn("_limit", F.lit(PRIME).cast("bigint"))))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_place", key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_take")).select("attempt", key, group)
 
 
 def split_search(samples: DataFrame, labels: DataFrame, seed: int, attempts: int, n_train: int, n_test: int) -> DataFrame:
@@ -196,7 +209,7 @@ def split_search(samples: DataFrame, labels: DataFrame, seed: int, attempts: int
     eligible = checkpointed(samples.join(shared, "sample_id", "left").join(own, "sample_id", "left").select("sample_id", "stratum", F.array(*free).alias("open")))
 
     counts = checkpointed(attempt_counts(eligible, seed + 1_000_000, attempts))
-    room = counts.groupBy("attempt", "stratum").agg(F.sum("_n").alias("room")).join(sizes, "stratum").withColumnRenamed("stratum", "name")
+    room = counts.withColumnRenamed("_n", "room").join(sizes, "stratum").withColumnRenamed("stratum", "name")
     test_quotas = allocate_quotas(room, n_test, ("attempt",), "room").withColumnRenamed("name", "stratum")
     test = attempt_draws(eligible, counts, test_quotas, seed + 1_000_000, attempts)
     # scores and reports read the drawn rows several times

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from evirank.operators import splits
 from tests.test_quotas import greedy
 
@@ -119,3 +121,20 @@ def test_empty_tables_give_no_attempt(spark):
     assert found.count() == 0
     facts = spark.createDataFrame([], "modality string, context_id int, datatype string, concept string")
     assert splits.cluster_search(facts, 1, 3, 2, 2).count() == 0
+
+
+def test_rows_meet_the_attempts_only_below_the_place_a_quota_needs(spark):
+    keys = [f"k{i}" for i in range(3000)]
+    rows = spark.createDataFrame([(k, "g") for k in keys], "sample_id string, stratum string")
+    quotas = spark.createDataFrame([("g", 4)], "stratum string, quota int")
+    counts = splits.attempt_counts(rows, 9, 50)
+    assert [r["_n"] for r in counts.collect()] == [3000]  # one row per group, not one per attempt and bucket
+    # counts that promise more rows than there are leave every attempt short, so all rows are read
+    for known in (counts, counts.withColumn("_n", counts["_n"] * 1000)):
+        got = defaultdict(list)
+        for r in splits.attempt_draws(rows, known, quotas, 9, 50).collect():
+            got[r["attempt"]].append(r["sample_id"])
+        for attempt in range(50):
+            assert sorted(got[attempt]) == sorted(ordered(keys, 9, attempt)[:4])
+    bits = rows.withColumn("open", F.array(F.when(F.col("sample_id") == "k1", 5).otherwise(2).cast("bigint")))
+    assert {r["attempt"]: r["_n"] for r in splits.attempt_counts(bits, 9, 3).collect()} == {0: 1, 1: 2999, 2: 1}
