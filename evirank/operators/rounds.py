@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ def evidence_profile(limit: int) -> Column:
     )
 
 
+#: Queries, and memories, of a pool that one task compares, on average at most.
+MEMORY_BLOCK = 16384
+
+
 # A fact has at most as many rounds as its search budget, so windows over a fact stay small.
 def by_fact():
     return Window.partitionBy("fact_id").orderBy("round_idx")
@@ -71,9 +78,9 @@ def novelty(rounds: DataFrame, items: str) -> DataFrame:
 def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """Top k memories per query and sign by token overlap, from the same modality and type but another source.
 
-    A query without any compatible memory falls back to its modality alone. Only memories that share a token with the
-    query meet it in the join, so the work follows the postings, not all pairs; where fewer than k do, the first memories of
-    the pool follow with similarity 0.
+    A query without any compatible memory falls back to its modality alone. Every query of a pool is compared with every memory of
+    it, as an exact search over common words has to; the pool is cut into blocks of both, a task holds one block of each, and only
+    the best k of a block leave it, so no pair is ever shuffled.
     queries(query_id, source, modality, datatype, tokens), memories(memory_id, source, modality, datatype, positive, tokens)
     """
     strict = F.concat_ws("|", F.lit("s"), "modality", "datatype")
@@ -83,30 +90,61 @@ def nearest_memories(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
     sized = queries.withColumn("pool", strict).join(totals, "pool", "left").join(
         per_source.withColumnRenamed("own", "source"), ["pool", "source"], "left")
     others = F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0))
-    pooled = sized.select("query_id", F.col("source").alias("q_source"), F.when(others > 0, F.col("pool")).otherwise(loose).alias("pool"), "tokens")
-    asked = pooled.select("query_id", "q_source", "pool", F.size("tokens").alias("n_q"), F.explode("tokens").alias("token"))
-    known = memories.select(
-        "memory_id", "source", "positive", F.size("tokens").alias("n_m"), F.explode(F.array(strict, loose)).alias("pool"), "tokens",
-    ).withColumn("token", F.explode("tokens")).drop("tokens")
-    shared = (
-        asked.join(known, ["pool", "token"]).where(F.col("source") != F.col("q_source"))
-        .groupBy("query_id", "memory_id", "positive", "n_q", "n_m").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("similarity", F.col("n") / (F.col("n_q") + F.col("n_m") - F.col("n")))
-    )
-    shared = shared.select("query_id", "memory_id", "positive", "similarity")
+    asked = checkpointed(sized.select("query_id", F.col("source").alias("q_source"), F.when(others > 0, F.col("pool")).otherwise(loose).alias("pool"),
+                                      F.col("tokens").alias("q_tokens")).where("q_source IS NOT NULL"))
+    known = checkpointed(memories.select("memory_id", "source", "positive", F.explode(F.array(strict, loose)).alias("pool"), "tokens").where("source IS NOT NULL"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / MEMORY_BLOCK).alias(name))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in one block of its side and beside every block of the other. One row per pool holds the numbers of blocks."""
+        cells = rows.join(F.broadcast(cut), "pool").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")))
+        return cells.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1))).drop("n_qb", "n_mb")
+
+    cut = checkpointed(blocks(asked, "n_qb").join(blocks(known, "n_mb"), "pool"))
+    cell = ["pool", "qb", "mb"]
+    kinds = {**dict(asked.dtypes), **dict(known.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "memory_id", "positive")) + ", similarity double"
+    left, right = dealt(asked, "query_id", "qb", "mb"), dealt(known, "memory_id", "mb", "qb")
+    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(lambda q, m: _nearest_in_block(q, m, k), schema)
     window = Window.partitionBy("query_id", "positive").orderBy(F.desc(F.round("similarity", 10)), F.asc("memory_id"))
-    top = checkpointed(shared.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).drop("place"))
-    # the first of a pool: at most k per source and 3 k in all, of which k remain once a query's own source and found ones are out
-    first = memories.select("memory_id", "source", "positive", F.explode(F.array(strict, loose)).alias("pool"))
-    per_source = Window.partitionBy("pool", "positive", "source").orderBy("memory_id")
-    first = first.withColumn("_n", F.row_number().over(per_source)).where(F.col("_n") <= k)
-    per_pool = Window.partitionBy("pool", "positive").orderBy("memory_id")
-    first = first.withColumn("_n", F.row_number().over(per_pool)).where(F.col("_n") <= 3 * k).drop("_n")
-    full = top.groupBy("query_id", "positive").agg(F.count(F.lit(1)).alias("_found"))
-    rest = pooled.join(first, "pool").where(F.col("source") != F.col("q_source")).join(full, ["query_id", "positive"], "left").where(
-        F.coalesce("_found", F.lit(0)) < k).join(top.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
-    rows = top.unionByName(rest.select("query_id", "memory_id", "positive", F.lit(0.0).alias("similarity")))
-    return rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+    return best.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+
+
+def _nearest_in_block(queries: pa.Table, memories: pa.Table, k: int) -> pa.Table:
+    """The best k memories of the block per query and sign: overlaps are counted along the postings of the query's tokens."""
+    memories = memories.sort_by("memory_id")
+    tokens = memories["tokens"].combine_chunks()
+    words = tokens.flatten().dictionary_encode()
+    sizes = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int64)
+    codes = words.indices.to_numpy()
+    postings = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(words.dictionary)))])
+    asked = queries["q_tokens"].combine_chunks()
+    found = pc.index_in(asked.flatten(), value_set=words.dictionary).to_pylist()
+    ends = np.cumsum(np.nan_to_num(pc.list_value_length(asked).to_numpy(zero_copy_only=False)).astype(np.int64)).tolist()
+    sources, own = memories["source"].to_numpy(), queries["q_source"].to_numpy()
+    signs = np.array([-1 if p is None else int(p) for p in memories["positive"].to_pylist()])
+    sides = [np.flatnonzero(signs == s) for s in np.unique(signs)]
+    later = np.arange(len(sizes))[::-1]
+    rows, picked, similarity, begin = [], [], [], 0
+    for i, end in enumerate(ends):
+        lists = [postings[starts[w]:starts[w + 1]] for w in found[begin:end] if w is not None]
+        shared = np.bincount(np.concatenate(lists), minlength=len(sizes)) if lists else np.zeros(len(sizes), np.int64)
+        score = np.where(shared > 0, shared / np.maximum(end - begin + sizes - shared, 1), 0.0)
+        # ten digits of the score, then the smaller id, in one number
+        order = np.where(sources == own[i], -1, np.floor(score * 1e10 + 0.5).astype(np.int64) * len(sizes) + later)
+        for side in sides:
+            top = side[np.argpartition(-order[side], k)[:k]] if len(side) > k else side
+            top = top[order[top] >= 0]
+            rows.append(np.full(len(top), i)), picked.append(top), similarity.append(score[top])
+        begin = end
+    if not rows:
+        rows = picked = similarity = [np.zeros(0, np.int64)]
+    taken = memories.take(pa.array(np.concatenate(picked)))
+    return pa.table({"query_id": queries["query_id"].take(pa.array(np.concatenate(rows))), "memory_id": taken["memory_id"],
+                     "positive": taken["positive"], "similarity": pa.array(np.concatenate(similarity), pa.float64())})
 
 
 def utility(rank) -> Column:

@@ -1,9 +1,11 @@
 """Judged candidates stay with their fact."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from evirank.operators import rounds
 from evirank.plans.q_agree import k24
 from evirank.plans.registry import Tables
 from evirank.session import looked_up
@@ -31,3 +33,24 @@ def test_look_up_is_a_left_join(spark):
     assert sorted(map(str, looked_up(rows, table, keys, ["m", "w"]).collect())) == sorted(map(str, want.collect()))
     wide = looked_up(rows.withColumn("hyp_idx", F.col("hyp_idx").cast("bigint")), table, keys, ["m", "w"])
     assert wide.where("m").count() == want.where("m").count() == 1
+
+
+def test_memories_in_blocks_are_the_nearest_of_all(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "MEMORY_BLOCK", 7)
+    rnd = random.Random(3)
+
+    def row(i):
+        return f"q{i}", i % 9, rnd.choice(["table", "text"]), rnd.choice(["d1", "d2", "d3"]), rnd.random() < 0.6, rnd.sample("abcdefghijkl", rnd.randint(0, 5))
+
+    asked, known = [row(i) for i in range(40)], [r for r in map(row, range(100, 160)) if r[3] != "d3"]
+    schema = "{0} string, source int, modality string, datatype string, positive boolean, tokens array<string>"
+    found = rounds.nearest_memories(spark.createDataFrame(asked, schema.format("query_id")).drop("positive"), spark.createDataFrame(known, schema.format("memory_id")), 3)
+    got = {(r["query_id"], r["positive"], r["place"]): (r["memory_id"], round(r["similarity"], 10)) for r in found.collect()}
+    want = {}
+    for q, source, modality, kind, _, words in asked:
+        pool = [m for m in known if m[2] == modality and m[1] != source]
+        pool = [m for m in pool if m[3] == kind] or pool
+        for sign in (True, False):
+            scored = [(-round(len({*words} & {*m[5]}) / max(len({*words} | {*m[5]}), 1), 10), m[0]) for m in pool if m[4] == sign]
+            want |= {(q, sign, i + 1): (m, -s) for i, (s, m) in enumerate(sorted(scored)[:3])}
+    assert got == want
