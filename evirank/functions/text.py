@@ -63,13 +63,19 @@ def token_set(text) -> Column:
     return F.array_distinct(tokenize(text))
 
 
+# What html.unescape takes for a reference; everything between references stays as it is.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
 def unescape_html(text) -> Column:
-    """All named and numeric character references of HTML 5, decoded once. Only texts that hold `&` reach the Arrow step."""
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
+    """All named and numeric character references of HTML 5, decoded once. Only the references reach the Arrow step, no texts."""
+    def decode(found: pd.Series) -> pd.Series:
+        return found.map(lambda refs: [html.unescape(r) for r in refs], na_action="ignore")
 
     text = col(text)
-    return F.coalesce(F.pandas_udf(decode, "string")(F.when(text.contains("&"), text)), text)
+    decoded = F.pandas_udf(decode, "array<string>")(F.when(text.contains("&"), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))))
+    joined = F.array_join(F.zip_with(F.split(text, REFERENCE), decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(decoded.isNotNull(), joined).otherwise(text)
 
 
 # A comment, or a script or style element whose body is raw text.
@@ -88,7 +94,6 @@ def _shielded(block: Column) -> Column:
 def html_to_visible_text(text) -> Column:
     """Text nodes joined by a space; script and style text stays, comments and declarations go."""
     text = F.coalesce(col(text), F.lit(""))
-    plain = normalize_space(unescape_html(text))
     blocks = F.transform(F.regexp_extract_all(text, F.lit(RAW_BLOCK), F.lit(0)), _shielded)
     between = F.split(text, RAW_BLOCK)
     joined = F.array_join(
@@ -96,9 +101,10 @@ def html_to_visible_text(text) -> Column:
     )
     bare = F.regexp_replace(joined, r"(?s)<![^>]*>|<\?[^>]*>", " ")
     bare = F.regexp_replace(bare, r"</?[A-Za-z][^>]*>", " ")
-    parsed = normalize_space(F.translate(unescape_html(bare), SHIELD, "<>&"))
-    fallback = normalize_space(F.regexp_replace(unescape_html(text), r"<[^>]+>", " "))
     marked = text.contains("<") & text.contains(">")
+    parsed = normalize_space(F.translate(unescape_html(F.when(marked, bare)), SHIELD, "<>&"))
+    plain = normalize_space(unescape_html(F.when(~marked, text)))
+    fallback = normalize_space(F.regexp_replace(unescape_html(F.when(marked, text)), r"<[^>]+>", " "))
     return F.when(~marked, plain).otherwise(first_filled(parsed, fallback))
 
 
