@@ -211,15 +211,16 @@ def verdict_entries(calls: DataFrame, dims: list[str], prefix: str = "") -> Data
     said = normalize_tag(F.try_variant_get("entry", "$.tag", "string"), prefix)
     own = F.filter("candidate_tags", lambda c: normalize_tag(c, prefix) == F.col("said"))
     allowed = rows.withColumn("said", said).withColumn("tag", F.try_element_at(own, F.lit(1))).where(F.col("tag").isNotNull())
-    last = allowed.groupBy("call_id", "tag").agg(F.max("pos").alias("pos"))
-    kept = allowed.join(last, ["call_id", "tag", "pos"])
+    mode = F.when(F.col("whole"), "clean").otherwise("salvaged")
+    words = [F.lower(F.trim(F.try_variant_get("entry", f"$.{d}", "string"))).alias(f"w{i}") for i, d in enumerate(dims)]
+    # the last entry is an aggregate: a join of the parsed rows with themselves would parse all answers again
+    judged = allowed.select("call_id", "tag", "pos", F.struct(mode.alias("parse_mode"), *words).alias("judged"))
+    kept = judged.groupBy("call_id", "tag").agg(F.max_by("judged", "pos").alias("judged")).select("call_id", "tag", "judged.*")
     cells = []
-    for d in dims:
-        word = F.lower(F.trim(F.try_variant_get("entry", f"$.{d}", "string")))
-        matched = F.when(word == "support", F.lit(True)).when(word == "contradict", F.lit(False))
+    for i, d in enumerate(dims):
+        matched = F.when(F.col(f"w{i}") == "support", F.lit(True)).when(F.col(f"w{i}") == "contradict", F.lit(False))
         cells.append(F.struct(F.lit(d.lower()).alias("dim"), matched.alias("matched")))
-    mode = F.when(F.col("whole"), "clean").otherwise("salvaged")
-    return kept.select("call_id", "tag", mode.alias("parse_mode"), F.inline(F.array(*cells)))
+    return kept.select("call_id", "tag", "parse_mode", F.inline(F.array(*cells)))
 
 
 def call_modes(calls: DataFrame, entries: DataFrame) -> DataFrame:
