@@ -147,6 +147,28 @@ def verdict_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, F.inline(F.array(*cells))).where(F.col("exact").isNotNull())
 
 
+def stated_verdicts(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`verdict_rows` of every (candidate, hypothesis) straight from what the hypotheses state: one row per resolved dimension, judged
+    once with one expression, where the pairs' wide form judges all dimensions of a pair, resolved or not, before it is made long."""
+    entries = [F.when(F.col("dims")[d].isNotNull(), F.struct("hyp_idx", F.lit(d).alias("dim"), F.lit(i).alias("_at"), F.col("dims")[d]["cats"].alias("_cats"),
+                                                             F.col("dims")[d]["tokens"].alias("_tokens"))) for i, d in enumerate(JUDGED)]
+    stated = hypotheses.groupBy("fact_id").agg(F.flatten(F.collect_list(F.array_compact(F.array(*entries)))).alias("_stated"))
+    known = profiles.select("tag", "tokens", F.array(*[F.col("cats")[d] for d in JUDGED]).alias("cats"))
+    rows = pool.join(known, "tag").join(stated, "fact_id").select(*pool.columns, "tokens", "cats", F.inline("_stated"))
+    rows = rows.select(*pool.columns, "hyp_idx", "dim", "tokens", "_cats", "_tokens", F.get("cats", F.col("_at")).alias("_theirs"))
+    by_category = (F.size("_cats") > 0) | (F.size("_theirs") > 0)
+    share = F.size(F.array_intersect("_tokens", "tokens")) / F.size("_tokens")
+    rows = rows.withColumns({"_exact": by_category, "_share": F.when(~by_category & (F.size("_tokens") > 0) & (F.size("tokens") > 0), share)})
+    has_category, by_token = F.size("_theirs") > 0, F.col("_share").isNotNull()
+    # only a share has more than six digits to round
+    confidence = F.when(F.col("_exact"), F.when(has_category, 0.85).otherwise(0.35)).when(
+        by_token, F.when(F.col("_share") >= 0.75, 0.75).when(F.col("_share") <= 0.2, 0.2).otherwise(F.round("_share", 6))).otherwise(0.0)
+    reason = F.when(F.col("_exact"), F.when(has_category, "controlled_category_intersection").otherwise("candidate_missing_controlled_category")).when(
+        by_token, "token_overlap").otherwise("no_comparable_tokens")
+    return rows.select(*pool.columns, "hyp_idx", "dim", F.when(F.col("_exact"), F.arrays_overlap("_cats", "_theirs")).otherwise(F.col("_share") >= 0.5).alias("matched"),
+                       confidence.alias("confidence"), reason.alias("reason"))
+
+
 def _tally(flags: list[Column]) -> Column:
     """How many of the conditions hold; null counts as no."""
     return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0))

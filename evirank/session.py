@@ -44,10 +44,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def by_fact(df: DataFrame) -> DataFrame:
+def by_fact(df: DataFrame, key: str = "fact_id") -> DataFrame:
     """Rows dealt by fact_id. Aggregates and windows over the fact and more keys, and joins by fact_id alone, then move nothing; the
     count is fixed, so the partitions still match those of other frames dealt by fact."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fact_id")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

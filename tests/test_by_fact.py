@@ -5,8 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from evirank.operators import rounds
-from evirank.plans.q_agree import k24
+from evirank.operators import agree, rounds
+from evirank.plans.q_agree import Inputs, k5, k24
 from evirank.plans.registry import Tables
 from evirank.session import looked_up
 
@@ -54,3 +54,18 @@ def test_memories_in_blocks_are_the_nearest_of_all(spark, monkeypatch):
             scored = [(-round(len({*words} & {*m[5]}) / max(len({*words} | {*m[5]}), 1), 10), m[0]) for m in pool if m[4] == sign]
             want |= {(q, sign, i + 1): (m, -s) for i, (s, m) in enumerate(sorted(scored)[:3])}
     assert got == want
+
+
+def test_stated_verdicts_are_the_rows_of_the_pairs(spark):
+    """Each resolved dimension is judged as a row of its own; the wide form of the pairs is not computed for it."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    i = Inputs(t)
+    want = agree.verdict_rows(i.pairs, ["fact_id", "hyp_idx", "tag"]).drop("exact").withColumn("confidence", F.round("confidence", 6))
+    got = k5(t)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert "m_family" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_split_of_facts_or_concepts_is_not_one_task(spark):
+    i = Inputs(Tables(spark, "/root/testdata/sf0.001"))
+    assert i.hyps.rdd.getNumPartitions() > 1 and i.profiles.rdd.getNumPartitions() > 1
