@@ -12,6 +12,7 @@ dimension, so judging and scoring stay inside generated code.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,61 @@ def pair_verdicts(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame) -
     return rows.select(*kept, "hyp_idx", *[c.alias(n) for n, c in out.items()])
 
 
+#: Categories in one mask.
+MASK = 62
+
+
+def _masks(cats: Column, names: list[str]) -> list[Column]:
+    """The categories as bits, as many to a bigint as it holds."""
+    def mask(part: list[str]) -> Column:
+        return sum((F.when(F.array_contains(cats, n), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, n in enumerate(part)), F.lit(0).cast("bigint"))
+
+    return [mask(names[i:i + MASK]) for i in range(0, len(names), MASK)]
+
+
+def pair_bits(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame, cfg: DomainConfig, outer: bool = False) -> DataFrame:
+    """`pair_verdicts` as three small numbers with a bit per dimension in the order of JUDGED: hit (matched), ruled (could be compared), held (resolved).
+
+    Profiles move as one text of their tokens (tokens hold no spaces) and as category bits, hypotheses as bits and tokens; `cfg` names the
+    vocabulary both were made with. `pool` may carry hyp_idx to judge a list by its own hypothesis. `outer` keeps candidates without profile or hypothesis, once, with hyp_idx null.
+    """
+    names = {d: list(cfg.vocabulary.get(d, {})) for d in JUDGED}
+    coded = profiles.select("tag", F.when(F.size("tokens") > 0, F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))).otherwise("").alias("_words"),
+                            *[m.alias(f"_k_{d}_{i}") for d in JUDGED for i, m in enumerate(_masks(F.col("cats")[d], names[d]))])
+    cells = [F.col("hyp_idx")]
+    for d in JUDGED:
+        mine = F.col("dims")[d]
+        cells += [F.transform(mine["tokens"], lambda t: F.concat(F.lit(" "), t, F.lit(" "))).alias(f"_t_{d}")]
+        cells += [F.coalesce(m, F.lit(0).cast("bigint")).alias(f"_h_{d}_{i}") for i, m in enumerate(_masks(mine["cats"], names[d]))]
+    stated = hypotheses.groupBy("fact_id").agg(F.collect_list(F.struct(*cells)).alias("_stated"))
+    own = "hyp_idx" in pool.columns
+    asked = F.filter("_stated", lambda h: h["hyp_idx"] == F.col("hyp_idx")) if own else F.col("_stated")
+    kept = [c for c in pool.columns if c != "hyp_idx"]
+    how, written = ("left", F.inline_outer(F.when(F.col("_words").isNotNull(), asked))) if outer else ("inner", F.inline(asked))
+    rows = pool.join(coded, "tag", how).join(stated, "fact_id", how).select(*kept, *[c for c in coded.columns if c != "tag"], written)
+    hit, ruled, held = [], [], []
+    for at, d in enumerate(JUDGED):
+        def either(conditions: list[Column]) -> Column:
+            return reduce(Column.__or__, conditions, F.lit(False))
+
+        places = range(-(-len(names[d]) // MASK))
+        asks, has = F.col(f"_t_{d}"), [(F.col(f"_h_{d}_{i}"), F.col(f"_k_{d}_{i}")) for i in places]
+        resolved = asks.isNotNull()
+        controlled = either([(a != 0) | (b != 0) for a, b in has])
+        shares = either([a.bitwiseAND(b) != 0 for a, b in has])
+        comparable = (F.size(asks) > 0) & (F.col("_words") != "")
+        found = F.size(F.filter(asks, lambda t: F.contains(F.col("_words"), t)))
+        matched = F.when(controlled, shares).when(comparable, found * 2 >= F.size(asks)).otherwise(F.lit(False))
+        for bits, condition in ((hit, resolved & matched), (ruled, resolved & (controlled | comparable)), (held, resolved)):
+            bits.append(F.when(condition, F.lit(1 << at)).otherwise(F.lit(0)))
+    return rows.select(*kept, "hyp_idx", sum(hit, F.lit(0)).alias("hit"), sum(ruled, F.lit(0)).alias("ruled"), sum(held, F.lit(0)).alias("held"))
+
+
+def bits_agree() -> Column:
+    """`agree_score` of pair bits."""
+    return F.coalesce(F.try_divide(F.bit_count("hit"), F.bit_count("ruled")), F.lit(0.0))
+
+
 def verdict_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of the resolved dimensions: keys, dim, matched, confidence, reason."""
     def reason(d: str) -> Column:

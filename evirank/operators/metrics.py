@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def gold_ranks(rankings: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest rank of a gold tag per key; null when the list holds none."""
-    flagged = rankings.join(gold.select("fact_id", "tag", F.lit(True).alias("is_gold")), ["fact_id", "tag"], "left")
-    return flagged.groupBy(*keys).agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("gold_rank"))
+    """Smallest rank of a gold tag per key; null when the list holds none. A fact's gold tags meet its rows as one list, so these stay by fact."""
+    tags = gold.groupBy("fact_id").agg(F.collect_set("tag").alias("_gold"))
+    rows = rankings.join(tags, "fact_id", "left")
+    return rows.groupBy(*keys).agg(F.min(F.when(F.array_contains("_gold", F.col("tag")), F.col("rank"))).alias("gold_rank"))
 
 
 def metric_columns(depths: list[int], cap: int | None = None) -> dict[str, Column]:

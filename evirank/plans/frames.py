@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evirank.functions.text import md5_int
 from evirank.plans.registry import Tables, fragment, sql_md5
-from evirank.session import by_fact
+from evirank.session import by_fact, stored_by_fact
 
 TOP_K = 200
 TABLE_SEGMENTS = ["BUILDING", "AUTOMOBILE", "MACHINERY"]
@@ -54,6 +54,17 @@ def rankings(t: Tables, top_k: int = TOP_K) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
 
 
+def stored_rankings(t: Tables, columns: list[str]) -> DataFrame:
+    """`rankings` with these columns of rank and score, written once: a candidate is one row there, and its lists are written out when read."""
+    lists = rankings(t)
+    cells = [F.max(F.when(F.col("list_id") == i + 1, F.col(c))).alias(f"{c}_{i}") for c in columns for i in range(4)]
+    wide = stored_by_fact(lists.groupBy("fact_id", "tag").agg(*cells))
+    rows = [F.when(F.col(f"{columns[0]}_{i}").isNotNull(), F.struct(
+        F.lit(i + 1).alias("list_id"), F.lit(i // 2).alias("hyp_idx"), F.lit("lab" if i % 2 else "def").alias("rendering"),
+        *[F.col(f"{c}_{i}").alias(c) for c in columns])) for i in range(4)]
+    return wide.select("fact_id", "tag", F.inline(F.array_compact(F.array(*rows))))
+
+
 fragment("rankings", """SELECT fact_id, list_id, ((list_id - 1) // 2)::BIGINT AS hyp_idx,
     CASE WHEN list_id % 2 = 1 THEN 'def' ELSE 'lab' END AS rendering, tag, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY fact_id, list_id ORDER BY score DESC, tag) AS rank FROM (
