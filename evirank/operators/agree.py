@@ -151,7 +151,8 @@ def pair_bits(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame, cfg:
     """`pair_verdicts` as three small numbers with a bit per dimension in the order of JUDGED: hit (matched), ruled (could be compared), held (resolved).
 
     Profiles move as one text of their tokens (tokens hold no spaces) and as category bits, hypotheses as bits and tokens; `cfg` names the
-    vocabulary both were made with. `pool` may carry hyp_idx to judge a list by its own hypothesis. `outer` keeps candidates without profile or hypothesis, once, with hyp_idx null.
+    vocabulary both were made with. `pool` may carry _hyps array<struct<hyp_idx, ..>>: those hypotheses judge the candidate, and the struct's other fields come out beside the pair.
+    `outer` keeps candidates without profile or hypothesis; without _hyps they come once, with hyp_idx null.
     """
     names = {d: list(cfg.vocabulary.get(d, {})) for d in JUDGED}
     coded = profiles.select("tag", F.when(F.size("tokens") > 0, F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))).otherwise("").alias("_words"),
@@ -162,11 +163,16 @@ def pair_bits(pool: DataFrame, hypotheses: DataFrame, profiles: DataFrame, cfg:
         cells += [F.transform(mine["tokens"], lambda t: F.concat(F.lit(" "), t, F.lit(" "))).alias(f"_t_{d}")]
         cells += [F.coalesce(m, F.lit(0).cast("bigint")).alias(f"_h_{d}_{i}") for i, m in enumerate(_masks(mine["cats"], names[d]))]
     stated = hypotheses.groupBy("fact_id").agg(F.collect_list(F.struct(*cells)).alias("_stated"))
-    own = "hyp_idx" in pool.columns
-    asked = F.filter("_stated", lambda h: h["hyp_idx"] == F.col("hyp_idx")) if own else F.col("_stated")
-    kept = [c for c in pool.columns if c != "hyp_idx"]
-    how, written = ("left", F.inline_outer(F.when(F.col("_words").isNotNull(), asked))) if outer else ("inner", F.inline(asked))
-    rows = pool.join(coded, "tag", how).join(stated, "fact_id", how).select(*kept, *[c for c in coded.columns if c != "tag"], written)
+    how, written = ("left", F.inline_outer) if outer else ("inner", F.inline)
+    rows = pool.join(coded, "tag", how).join(stated, "fact_id", how)
+    codes = [c for c in coded.columns if c != "tag"]
+    kept, asked = [c for c in pool.columns if c != "_hyps"], F.col("_stated")
+    if "_hyps" in pool.columns:
+        rows = rows.select(*kept, *codes, "_stated", F.inline("_hyps"))
+        kept = [c for c in rows.columns if c not in (*codes, "_stated")]
+        asked = F.transform(F.filter("_stated", lambda h: h["hyp_idx"] == F.col("hyp_idx")), lambda h: h.dropFields("hyp_idx"))
+    rows = rows.select(*kept, *codes, written(F.when(F.col("_words").isNotNull(), asked) if outer else asked))
+    kept = [c for c in kept if c != "hyp_idx"]
     hit, ruled, held = [], [], []
     for at, d in enumerate(JUDGED):
         def either(conditions: list[Column]) -> Column:

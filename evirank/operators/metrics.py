@@ -18,6 +18,13 @@ def gold_ranks(rankings: DataFrame, gold: DataFrame, keys: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(F.min(F.when(F.array_contains("_gold", F.col("tag")), F.col("rank"))).alias("gold_rank"))
 
 
+def first_gold(rows: DataFrame, gold: DataFrame, ranks: dict[str, str], depth: int) -> DataFrame:
+    """Per fact and rank column, under its name in `ranks`: the smallest rank of a gold tag, null beyond `depth`. All columns in one pass."""
+    tags = gold.groupBy("fact_id").agg(F.collect_set("tag").alias("_gold"))
+    found = rows.join(tags, "fact_id").where(F.array_contains("_gold", F.col("tag")))
+    return found.groupBy("fact_id").agg(*[F.min(F.when(F.col(c) <= depth, F.col(c))).alias(n) for c, n in ranks.items()])
+
+
 def metric_columns(depths: list[int], cap: int | None = None) -> dict[str, Column]:
     """Columns over gold_rank; with a cap, ranks beyond it count as not found."""
     rank = F.col("gold_rank") if cap is None else F.when(F.col("gold_rank") <= cap, F.col("gold_rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evirank.operators import agree, metrics, verify
 from evirank.plans import frames
-from evirank.plans.q_agree import CFG, Inputs, k24, k25
+from evirank.plans.q_agree import CFG, Inputs, consolidation, k24, k25, k26
 from evirank.plans.registry import Tables
 from evirank.session import by_fact
 
@@ -83,3 +83,25 @@ def test_stored_lists_are_the_lists_and_lie_by_fact(spark):
 
 def test_modes_judge_bits(spark):
     assert "m_family" not in k24(Tables(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_single_hypotheses_and_consolidation_move_candidates_to_tags_and_facts_only(spark):
+    t = Tables(spark, FOLDER)
+    assert shuffles(spark, lambda: k26(t)) == {"fact_id", "tag"}
+    # the rest is one row per configuration and slice
+    assert {x for x in shuffles(spark, lambda: consolidation(t)) if "tag" in x or "fact" in x} == {"fact_id", "tag"}
+
+
+def test_candidates_are_judged_by_the_hypotheses_they_carry(spark):
+    pool = spark.createDataFrame([(1, "a", [(0, 0.5), (2, 0.25)]), (1, "x", [(0, 1.0)])], "fact_id bigint, tag string, _hyps array<struct<hyp_idx:int,fused_score:double>>")
+    concepts = spark.createDataFrame([("a", "red bolt")], "tag string, standard_label string")
+    stated = spark.createDataFrame([(1, 0, {"QUALIFIER": "red"}), (1, 1, {"QUALIFIER": "hot"})], "fact_id bigint, hyp_idx int, dimensions map<string,string>")
+    got = agree.pair_bits(pool, agree.normalize_hypotheses(stated, CFG), agree.concept_profiles(concepts, CFG, ["tag", "standard_label"]), CFG, outer=True)
+    at = 1 << agree.JUDGED.index("qualifier")
+    assert sorted((r.tag, r.hyp_idx, r.fused_score, r.hit, r.ruled, r.held) for r in got.collect()) == [("a", 0, 0.5, at, at, at), ("a", 2, 0.25, 0, 0, 0), ("x", 0, 1.0, 0, 0, 0)]
+
+
+def test_first_gold_of_several_orders(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 9), (1, "b", 3, 2), (1, "c", 2, 1), (2, "a", 1, 1)], "fact_id bigint, tag string, p int, q int")
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (3, "a")], "fact_id bigint, tag string")
+    assert [tuple(r) for r in metrics.first_gold(rows, gold, {"p": "x", "q": "y.1"}, 1).collect()] == [(1, 1, None)]
